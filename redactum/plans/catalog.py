@@ -172,4 +172,158 @@ def q_doc_counts(spark, d):
                     F.coalesce("n_persons", F.lit(0)).alias("n_persons")))
 
 
+# ---- ledger, cases, rosters ------------------------------------------------
+from ..operators import ledger as L  # noqa: E402
+from ..operators import persons as PS  # noqa: E402
+from ..operators import roster as R  # noqa: E402
+
+TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def _latest(spark, d):
+    return L.latest(T.ledger(spark, d))
+
+
+def q_ledger_latest(spark, d):
+    x = _latest(spark, d)
+    return x.select("doc_id", "status", F.date_format("ts", TS_FMT).alias("ts"), "n_events")
+
+
+def q_ledger_subset(spark, d):
+    return L.subsets(_latest(spark, d))
+
+
+def _case_docs(spark, d):
+    return T.text_docs(spark, d).select("doc_id", "case_id")
+
+
+def q_todo_docs(spark, d):
+    return L.todo(_case_docs(spark, d), _latest(spark, d))
+
+
+def q_published_only(spark, d):
+    lat = _latest(spark, d)
+    docs = L.publish(T.text_docs(spark, d), lat)
+    red = Redaction(docs).redacted()
+    return L.publish(red, lat).select("doc_id", "n_mentions", F.length("text").alias("n_chars"))
+
+
+def q_erase_outcome(spark, d):
+    sel = T.table(spark, d, "labels").select("doc_id")
+    return L.erase(sel, _latest(spark, d))
+
+
+def _requests(spark, d):
+    e = T.table(spark, d, "events")
+    req = F.when(F.col("value") > 45, F.lit("stop")).when(F.col("value") < 3, F.lit("retry"))
+    return e.select(F.col("user_id").alias("doc_id"), "ts", F.col("event_id").alias("seq"), req.alias("request")).where(
+        F.col("request").isNotNull())
+
+
+def q_ledger_resolved(spark, d):
+    return L.resolve_requests(_latest(spark, d), _requests(spark, d))
+
+
+def q_overdue_docs(spark, d):
+    led = T.ledger(spark, d)
+    asof = led.select(F.max("ts")).scalar()
+    x = L.overdue(L.latest(led), asof)
+    return x.select("doc_id", F.date_format("ts", TS_FMT).alias("ts"), F.col("age_s").cast("long").alias("age_s"))
+
+
+def q_throughput_hourly(spark, d):
+    x = L.throughput(T.ledger(spark, d))
+    return x.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("w_start"), "n",
+                    F.round("avg_s", 6).alias("avg_s"))
+
+
+def q_case_sessions(spark, d):
+    led = T.ledger(spark, d).join(_case_docs(spark, d), "doc_id")
+    x = L.sessions(led, "case_id")
+    return x.select("case_id", F.date_format("s.start", TS_FMT).alias("s_start"),
+                    F.date_format("s.end", TS_FMT).alias("s_end"), "n")
+
+
+def q_docs_by_day_status(spark, d):
+    return L.by_day_status(T.ledger(spark, d)).select("day", "status", "n", F.col("gid").cast("long").alias("gid"))
+
+
+REMOVED_CASES = ["src3", "src7"]
+
+
+def q_docs_with_case(spark, d):
+    docs = _case_docs(spark, d)
+    cases = docs.select("case_id").distinct().where(~F.col("case_id").isin(REMOVED_CASES))
+    x = docs.withColumnRenamed("case_id", "c").join(cases, F.col("c") == F.col("case_id"), "left")
+    return x.select("doc_id", "case_id")
+
+
+def _doc_rosters(spark, d):
+    r = redaction(spark, d)
+    dr = R.doc_roster(r.persons)
+    return dr.join(_case_docs(spark, d), "doc_id").withColumn("seq", F.col("doc_id"))
+
+
+def _case_roster(spark, d):
+    return R.merge_case_roster(_doc_rosters(spark, d))
+
+
+def q_doc_roster(spark, d):
+    return R.doc_roster(redaction(spark, d).persons)
+
+
+def q_case_roster(spark, d):
+    return _case_roster(spark, d)
+
+
+def _removals(spark, d):
+    cr = _case_roster(spark, d)
+    first = F.substring("person_key", 1, 1)
+    hit = cr.where(first < "m").select("case_id", "person_key")
+    miss = cr.where(first >= "m").select("case_id", F.concat("person_key", F.lit(" x")).alias("person_key"))
+    return hit.union(miss).withColumn("seq", F.lit(10 ** 12))
+
+
+def q_roster_after_remove(spark, d):
+    log = R.roster_log(_doc_rosters(spark, d), _removals(spark, d))
+    return R.current_roster(log)
+
+
+def q_removal_found(spark, d):
+    return R.removal_found(_case_roster(spark, d), _removals(spark, d))
+
+
+def q_roster_json(spark, d):
+    return R.roster_json(_case_roster(spark, d))
+
+
+def q_roster_sorted(spark, d):
+    return R.sorted_roster(_case_roster(spark, d))
+
+
+def q_case_summary(spark, d):
+    return L.case_summary(_case_docs(spark, d), _latest(spark, d), _case_roster(spark, d))
+
+
+def q_newest_per_case(spark, d):
+    created = T.ledger(spark, d).groupBy("doc_id").agg(F.min("ts").alias("created"))
+    return L.newest_per_case(_case_docs(spark, d), created, 3).select("case_id", "doc_id", "rn")
+
+
+def q_run_summary(spark, d):
+    r = redaction(spark, d)
+    red = r.redacted().agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_mentions").alias("n_mentions"))
+    p = r.persons.agg(F.count(F.lit(1)).alias("n_persons"),
+                      F.count_distinct("doc_id", "initials").alias("n_initials"))
+    # two one-row aggregates side by side, joined on a constant key
+    return red.withColumn("k", F.lit(0)).join(p.withColumn("k", F.lit(0)), "k").drop("k")
+
+
+def q_persons_numbered_case(spark, d):
+    r = redaction(spark, d)
+    m = r.mentions.where("label = 'PERSON'").join(_case_docs(spark, d), "doc_id")
+    return PS.case_persons(m).select("case_id", "person_key", "initials", "k",
+                                     F.col("n_same").cast("long").alias("n_same"), "substitute")
+
+
 QUERIES = {name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)}

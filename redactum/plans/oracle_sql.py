@@ -374,3 +374,101 @@ SELECT d.doc_id, coalesce(m.n, 0) AS n_mentions, coalesce(p.n, 0) AS n_persons F
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM spans GROUP BY doc_id) m ON m.doc_id = d.doc_id
 LEFT JOIN (SELECT doc_id, count(DISTINCT person_key) AS n FROM persons GROUP BY doc_id) p ON p.doc_id = d.doc_id""",
 }
+
+
+# ---- ledger, cases, rosters ------------------------------------------------
+LEDGER = """ledger AS (SELECT user_id AS doc_id, ts, event_id AS seq, CASE event_type WHEN 'view' THEN 'pending'
+  WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'cancelled' END AS status,
+  value AS duration FROM events),
+lat AS (SELECT doc_id, status, ts, n_events FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts DESC, seq DESC) AS r,
+  count(*) OVER (PARTITION BY doc_id) AS n_events FROM ledger) WHERE r = 1),
+cdocs AS (SELECT doc_id, source AS case_id FROM documents)"""
+TSF = "'%Y-%m-%d %H:%M:%S.%f'"
+DOC_ROSTER = """droster AS (SELECT p.doc_id, p.person_key, p.substitute AS initials, c.case_id, p.doc_id AS seq
+  FROM persons p JOIN cdocs c ON c.doc_id = p.doc_id),
+croster AS (SELECT case_id, person_key, initials FROM (SELECT *, row_number() OVER (PARTITION BY case_id, person_key ORDER BY seq DESC) AS r
+  FROM droster) WHERE r = 1),
+removals AS (SELECT case_id, person_key, 1000000000000 AS seq FROM croster WHERE substring(person_key, 1, 1) < 'm'
+  UNION ALL SELECT case_id, person_key || ' x', 1000000000000 FROM croster WHERE substring(person_key, 1, 1) >= 'm')"""
+
+
+def _js(x):
+    return f"'\"' || replace(replace({x}, '\\', '\\\\'), '\"', '\\\"') || '\"'"
+
+
+def _with_persons(body):
+    return core(TXT, "persons") + ",\n" + LEDGER + ",\n" + DOC_ROSTER + "\n" + body
+
+
+ORACLES.update({
+    "ledger_latest": f"WITH {LEDGER} SELECT doc_id, status, strftime(ts, {TSF}) AS ts, n_events FROM lat",
+    "ledger_subset": f"""WITH {LEDGER} SELECT doc_id, status, status = 'pending' AS pending,
+        status IN ('pending', 'processing') AS in_progress, status IN ('done', 'failed', 'cancelled') AS finished FROM lat""",
+    "todo_docs": f"WITH {LEDGER} SELECT doc_id, case_id FROM cdocs WHERE doc_id IN (SELECT doc_id FROM lat WHERE status = 'pending')",
+    "published_only": core("SELECT doc_id, text, 'txt' AS fmt FROM documents WHERE doc_id NOT IN "
+                           "(SELECT user_id FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r "
+                           "FROM events) WHERE r = 1 AND event_type = 'signup')") + ",\n" + LEDGER + """
+SELECT doc_id, n_mentions, length(text) AS n_chars FROM red WHERE doc_id NOT IN (SELECT doc_id FROM lat WHERE status = 'cancelled')""",
+    "erase_outcome": f"""WITH {LEDGER}, sel AS (SELECT DISTINCT doc_id FROM labels)
+SELECT s.doc_id, CASE WHEN l.status = 'processing' THEN 'skipped' ELSE 'deleted' END AS outcome FROM sel s LEFT JOIN lat l ON l.doc_id = s.doc_id""",
+    "ledger_resolved": f"""WITH {LEDGER},
+rq AS (SELECT user_id AS doc_id, ts, event_id AS seq, CASE WHEN value > 45 THEN 'stop' WHEN value < 3 THEN 'retry' END AS request FROM events),
+rq2 AS (SELECT doc_id, request, n_requests FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts DESC, seq DESC) AS r,
+          count(*) OVER (PARTITION BY doc_id) AS n_requests FROM rq WHERE request IS NOT NULL) WHERE r = 1),
+x AS (SELECT l.doc_id, l.status, q.request, q.n_requests,
+  CASE WHEN q.request = 'stop' AND l.status = 'pending' THEN 'cancelled' WHEN q.request = 'stop' AND l.status = 'processing' THEN 'stopping'
+       WHEN q.request = 'stop' THEN 'noop' WHEN q.request = 'retry' AND l.status = 'processing' THEN 'refused' ELSE 'requeued' END AS outcome
+  FROM lat l JOIN rq2 q ON q.doc_id = l.doc_id)
+SELECT doc_id, status, request, outcome, CASE WHEN outcome IN ('cancelled', 'stopping') THEN 'cancelled' WHEN outcome = 'requeued' THEN 'pending' ELSE status END AS new_status,
+  n_requests + CASE WHEN outcome = 'requeued' THEN 1 ELSE 0 END AS attempt FROM x""",
+    "overdue_docs": f"""WITH {LEDGER}, a AS (SELECT max(ts) AS as_of FROM ledger)
+SELECT doc_id, strftime(ts, {TSF}) AS ts, CAST(epoch(date_trunc('second', (SELECT as_of FROM a))) - epoch(date_trunc('second', ts)) AS BIGINT) AS age_s FROM lat
+WHERE status = 'processing' AND epoch(date_trunc('second', (SELECT as_of FROM a))) - epoch(date_trunc('second', ts)) > 1800""",
+    "throughput_hourly": f"""WITH {LEDGER} SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS w_start,
+  count(*) AS n, round(avg(duration), 6) AS avg_s FROM ledger WHERE status = 'done' GROUP BY 1""",
+    "case_sessions": f"""WITH {LEDGER},
+e AS (SELECT c.case_id, l.ts FROM ledger l JOIN cdocs c ON c.doc_id = l.doc_id),
+g AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY case_id ORDER BY ts) IS NULL
+        OR ts - lag(ts) OVER (PARTITION BY case_id ORDER BY ts) >= INTERVAL '30 minutes' THEN 1 ELSE 0 END AS nw FROM e),
+h AS (SELECT *, sum(nw) OVER (PARTITION BY case_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM g)
+SELECT case_id, strftime(min(ts), {TSF}) AS s_start, strftime(max(ts) + INTERVAL '30 minutes', {TSF}) AS s_end, count(*) AS n
+FROM h GROUP BY case_id, sid""",
+    "docs_by_day_status": f"""WITH {LEDGER} SELECT strftime(ts, '%Y-%m-%d') AS day, status, count(*) AS n,
+  CAST(grouping(strftime(ts, '%Y-%m-%d'), status) AS BIGINT) AS gid FROM ledger GROUP BY CUBE (strftime(ts, '%Y-%m-%d'), status)""",
+    "docs_with_case": f"""WITH {LEDGER}, cases AS (SELECT DISTINCT case_id FROM cdocs WHERE case_id NOT IN ('src3', 'src7'))
+SELECT d.doc_id, c.case_id FROM cdocs d LEFT JOIN cases c ON c.case_id = d.case_id""",
+    "doc_roster": core(TXT, "persons") + "\nSELECT doc_id, person_key, substitute AS initials FROM persons",
+    "case_roster": _with_persons("SELECT case_id, person_key, initials FROM croster"),
+    "roster_after_remove": _with_persons("""
+, rlog AS (SELECT case_id, person_key, initials, 'put' AS op, seq FROM droster
+         UNION ALL SELECT case_id, person_key, NULL, 'del', seq FROM removals)
+SELECT case_id, person_key, initials FROM (SELECT *, row_number() OVER (PARTITION BY case_id, person_key ORDER BY seq DESC) AS r FROM rlog)
+WHERE r = 1 AND op = 'put'"""),
+    "removal_found": _with_persons("""
+SELECT r.case_id, r.person_key, (c.person_key IS NOT NULL) AS found FROM removals r
+LEFT JOIN croster c ON c.case_id = r.case_id AND c.person_key = r.person_key"""),
+    "roster_json": _with_persons(f"""
+SELECT case_id, '{{"case_id": ' || {_js('case_id')} || ', "persons": {{' ||
+  string_agg({_js('person_key')} || ': ' || {_js('initials')}, ', ' ORDER BY person_key, initials) || '}}, "count": ' || CAST(count(*) AS VARCHAR) || '}}' AS json
+FROM croster GROUP BY case_id"""),
+    "roster_sorted": _with_persons("SELECT case_id, person_key, initials, row_number() OVER (PARTITION BY case_id ORDER BY person_key) AS rn FROM croster"),
+    "case_summary": _with_persons("""
+, cd AS (SELECT d.case_id, count(*) AS n_docs, count(*) FILTER (WHERE l.status = 'done') AS n_done FROM cdocs d LEFT JOIN lat l ON l.doc_id = d.doc_id GROUP BY d.case_id),
+cp AS (SELECT case_id, count(*) AS n FROM croster GROUP BY case_id)
+SELECT cd.case_id, n_docs, n_done, coalesce(cp.n, 0) AS n_persons FROM cd LEFT JOIN cp ON cp.case_id = cd.case_id"""),
+    "newest_per_case": f"""WITH {LEDGER}, cr AS (SELECT doc_id, min(ts) AS created FROM ledger GROUP BY doc_id)
+SELECT case_id, doc_id, rn FROM (SELECT d.case_id, d.doc_id, row_number() OVER (PARTITION BY d.case_id ORDER BY cr.created DESC NULLS LAST, d.doc_id) AS rn
+  FROM cdocs d LEFT JOIN cr ON cr.doc_id = d.doc_id) WHERE rn <= 3""",
+    "run_summary": core(TXT) + """
+SELECT (SELECT count(*) FROM red) AS n_docs, (SELECT sum(n_mentions) FROM red) AS n_mentions,
+       (SELECT count(*) FROM persons) AS n_persons, (SELECT count(DISTINCT (doc_id, initials)) FROM persons) AS n_initials""",
+    "persons_numbered_case": core(TXT, "persons") + """,
+cdocs AS (SELECT doc_id, source AS case_id FROM documents),
+pc AS (SELECT c.case_id, pm.doc_id, pm.person_key, pm.ini, pm.run_no, pm.start FROM pm JOIN cdocs c ON c.doc_id = pm.doc_id),
+pc1 AS (SELECT case_id, person_key, ini AS initials, doc_id AS o_doc, run_no AS o_run, start AS o_start FROM (
+  SELECT *, row_number() OVER (PARTITION BY case_id, person_key ORDER BY doc_id, run_no, start DESC) AS r FROM pc) WHERE r = 1),
+pc2 AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_id, initials ORDER BY o_doc, o_run, o_start DESC) AS INTEGER) AS k,
+  count(*) OVER (PARTITION BY case_id, initials) AS n_same FROM pc1)
+SELECT case_id, person_key, initials, k, CAST(n_same AS BIGINT) AS n_same,
+  CASE WHEN n_same = 1 THEN initials ELSE initials || ' (' || CAST(k AS VARCHAR) || ')' END AS substitute FROM pc2""",
+})
