@@ -17,6 +17,9 @@ ABBREVIATION = r"[a-z" + POLISH_LOWER + r"]{1,4}\."
 # Title words removed before a name is normalised (two passes, in this order).
 TITLES_PASS_1 = r"dr\.?|prof\.?|mgr\.?|inż\.?|hab\.?|adw\.?|r\.pr\.?"
 TITLES_PASS_2 = r"pan|pani|minister|sędzi[aeo]|radcy?|radcę|świadek|mał\.?|małoletniego?"
+# The 29 characters of Python's \s, listed (for rtrim, which takes a set).
+WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+                    "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 # Letter fold used by the initials shift (upper-cased input; note the swap of
 # case in the target, which shifts Polish capitals by six letters).
 FOLD_FROM = "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ"

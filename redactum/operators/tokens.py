@@ -24,25 +24,27 @@ def run_window():
 def pieces(segs: DataFrame) -> DataFrame:
     """segments -> pieces(doc_id, run_no, pos, is_xml, is_tok, lead, token, trail, start, end)."""
     seg = F.col("seg")
-    # the regex arrays are materialised once per segment; they are zipped, not
-    # indexed from a lambda (which would re-run the regex per element)
+    # one regex pass per run: each match is a token with its trailing space
     x = segs.select("doc_id", "seg_no", "is_xml", "is_run", "seg",
-                    F.regexp_extract_all(seg, F.lit(P.TOKEN_WITH_TRAIL), 1).alias("token"),
-                    F.regexp_extract_all(seg, F.lit(P.TOKEN_WITH_TRAIL), 2).alias("trail"))
-    tokenized = F.col("is_run") & (F.size("token") > 0)
-    arr = (F.when(tokenized, F.arrays_zip("token", "trail"))
-           .otherwise(F.array(F.struct(seg.alias("token"), F.lit("").alias("trail")))))
+                    F.regexp_extract_all(seg, F.lit(P.TOKEN_WITH_TRAIL), 0).alias("ps"))
+    tokenized = F.col("is_run") & (F.size("ps") > 0)
+    arr = F.when(tokenized, F.col("ps")).otherwise(F.array(seg))
     lead = F.when(tokenized, F.regexp_extract(seg, P.LEADING_SPACE, 0)).otherwise(F.lit(""))
-    x = x.select("doc_id", F.col("seg_no").alias("run_no"), "is_xml", tokenized.alias("is_tok"), lead.alias("lead0"),
-                 F.posexplode(arr).alias("pos", "p"))
-    width = F.length("p.token") + F.length("p.trail")
+    # everything per segment is computed before the explode, so the exploded
+    # rows carry only small columns (never the segment text or its arrays)
+    x = x.select("doc_id", F.col("seg_no").alias("run_no"), "is_xml", tokenized.alias("is_tok"),
+                 lead.alias("lead0"), arr.alias("arr"))
+    x = x.select("doc_id", "run_no", "is_xml", "is_tok", "lead0", F.posexplode("arr").alias("pos", "p"))
+    # a token never ends in whitespace, so right-trimming the match splits it
+    token = F.when(F.col("is_tok"), F.rtrim(F.col("p"), F.lit(P.WHITESPACE_CHARS))).otherwise(F.col("p"))
+    x = x.withColumn("token", token).withColumn("trail", F.expr("substring(p, length(token) + 1)"))
+    width = F.length("p")
     run_sum = F.sum(width).over(run_window().rowsBetween(Window.unboundedPreceding, 0))
     start = F.length("lead0") + run_sum - width
     return x.select(
         "doc_id", "run_no", "pos", "is_xml", "is_tok",
         F.when(F.col("pos") == 0, F.col("lead0")).otherwise(F.lit("")).alias("lead"),
-        F.col("p.token").alias("token"), F.col("p.trail").alias("trail"),
-        start.cast("int").alias("start"), (start + F.length("p.token")).cast("int").alias("end"))
+        "token", "trail", start.cast("int").alias("start"), (start + F.length("token")).cast("int").alias("end"))
 
 
 def tokens(segs: DataFrame) -> DataFrame:

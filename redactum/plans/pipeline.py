@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import markup, names, persons, recognize, rewrite, spans, tokens
+from ..session import checkpoint_dir
 
 
 @dataclass
@@ -30,6 +31,10 @@ class Config:
     skip_tagged: bool = True
     officials: bool = False
     partitions: Optional[int] = None
+    # how the small intermediate tables (spans, name keys, substitutes) are
+    # kept: "checkpoint" writes them to the cluster's checkpoint folder and
+    # cuts the lineage; "none" keeps one long plan
+    materialize: str = "checkpoint"
 
 
 class Redaction:
@@ -50,16 +55,24 @@ class Redaction:
             labelled = recognize.officials_rule(labelled)
         self.labelled = labelled
         self.marked = spans.mark_spans(labelled, self.cfg.threshold)
-        self.spans = spans.decode_spans(self.marked, self.cfg.threshold)
+        self.spans = self._keep(spans.decode_spans(self.marked, self.cfg.threshold))
         person_names = self.spans.where(F.col("label") == "PERSON").select(F.col("text").alias("name")).distinct()
         if lemmas is None:
             lemmas = names.fixture_lemmas(names.words_of_names(person_names))
         self.lemmas = lemmas
-        self.keys = names.name_keys(person_names, lemmas)
-        self.mentions = persons.mention_substitutes(self.spans, self.keys, self.cfg.shift, self.cfg.order)
+        self.keys = self._keep(names.name_keys(person_names, lemmas))
+        self.mentions = self._keep(persons.mention_substitutes(self.spans, self.keys, self.cfg.shift, self.cfg.order))
         self.persons = persons.persons(
             self.mentions.where(F.col("label") == "PERSON"), self.cfg.shift, self.cfg.order)
 
+    def _keep(self, df: DataFrame) -> DataFrame:
+        """Materialise a small intermediate table (mentions are a tiny
+        fraction of the text) so later stages do not re-plan the token pass."""
+        if self.cfg.materialize == "checkpoint":
+            checkpoint_dir(df.sparkSession)
+            return df.checkpoint(eager=True)
+        return df
+
     @property
     def fmt_tags(self):
         if self.cfg.tags is None:
