@@ -326,4 +326,94 @@ def q_persons_numbered_case(spark, d):
                                      F.col("n_same").cast("long").alias("n_same"), "substitute")
 
 
+# ---- evaluation and corpus ---------------------------------------------------
+from ..functions import patterns as PT  # noqa: E402
+from ..operators import corpus as C  # noqa: E402
+from ..operators import evaluate as EV  # noqa: E402
+from ..sources import golden as G  # noqa: E402
+
+DIGITS9 = "[0-9]{9,}"
+
+
+def golden_files(spark, d):
+    """One golden file per document: each non-blank line is a case; the
+    expected output redacts 9+ digit runs only, else NO_CHANGE."""
+    docs = T.table(spark, d, "documents")
+    x = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ln", "line")).where(
+        F.col("line").rlike(PT.NOT_SPACE))
+    case = F.concat(F.lit('ANONYMIZE("'), F.col("line"), F.lit('") = '),
+                    F.when(F.col("line").rlike(DIGITS9),
+                           F.concat(F.lit('"'), F.regexp_replace("line", DIGITS9, "(...)"), F.lit('"')))
+                    .otherwise(F.lit("NO_CHANGE")))
+    g = x.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ln", case.alias("c")))).alias("cs"))
+    return g.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".test")).alias("file"),
+                    F.array_join(F.col("cs.c"), "\n").alias("content"))
+
+
+def _golden_cases(spark, d):
+    return G.read_cases(golden_files(spark, d))
+
+
+def q_golden_cases(spark, d):
+    c = _golden_cases(spark, d)
+    return c.select("file", "case_no", "input", F.array_join("expected", " | ").alias("expected"), "no_change")
+
+
+def _verdicts(spark, d):
+    cases = _golden_cases(spark, d)
+    num = F.regexp_extract("file", "[0-9]+", 0).cast("long")
+    docs = cases.select((num * F.lit(100000) + F.col("case_no")).alias("doc_id"), F.col("input").alias("text"),
+                        F.lit("txt").alias("fmt"))
+    out = Redaction(docs).redacted()
+    out = out.select((F.col("doc_id") / 100000).cast("long").alias("fno"), (F.col("doc_id") % 100000).cast("int").alias("case_no"),
+                     "text", "n_mentions")
+    out = out.join(cases.select("file", "case_no", num.alias("fno")), ["fno", "case_no"]).drop("fno")
+    return EV.verdicts(cases, out)
+
+
+def q_golden_verdicts(spark, d):
+    return _verdicts(spark, d)
+
+
+def q_golden_rollup(spark, d):
+    return EV.totals(_verdicts(spark, d))
+
+
+def q_span_metrics(spark, d):
+    gold = redaction(spark, d, threshold=0.6).spans
+    pred = redaction(spark, d).spans
+    return EV.span_metrics(gold, pred)
+
+
+def _tagged(spark, d):
+    r = redaction(spark, d)
+    return C.bio_tags(r.marked, r.spans)
+
+
+def q_bio_dataset(spark, d):
+    ex = C.bio_examples(_tagged(spark, d))
+    return ex.select("doc_id", "run_no", F.size("tokens").cast("long").alias("n_tokens"),
+                     F.array_join("tokens", " ").alias("tokens"), F.array_join("labels", " ").alias("labels"))
+
+
+def q_split_80_20(spark, d):
+    ex = C.bio_examples(_tagged(spark, d)).select("doc_id", "run_no")
+    return C.split_by_document(ex, 80, key="mod")
+
+
+def q_redaction_diff(spark, d):
+    r = redaction(spark, d)
+    return EV.change_set(r.outputs(), r.pieces)
+
+
+def q_leak_audit(spark, d):
+    r = redaction(spark, d)
+    kept = r.spans.select("doc_id", "run_no", "span")
+    span_toks = r.marked.join(kept, ["doc_id", "run_no", "span"])
+    red = r.redacted().select("doc_id", "text", F.lit("txt").alias("fmt"))
+    from ..operators import markup as MK
+    out_toks = tokens.pieces(MK.segments(red)).where("is_tok")
+    return EV.leak_audit(span_toks, out_toks)
+
+
 QUERIES = {name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)}

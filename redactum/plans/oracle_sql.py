@@ -269,11 +269,11 @@ LEVELS = ["segments", "pieces", "labels", "spans", "keys", "persons", "redact"]
 
 
 def core(docs_sql: str, upto: str = "redact", *, officials: bool = False, shift: int = 0,
-         tags: str = "is_xml", extra_names: str = "") -> str:
+         tags: str = "is_xml", extra_names: str = "", threshold: float = 0.7) -> str:
     """WITH-prefix of the redaction plan up to a level (no trailing comma)."""
     names = "(SELECT text AS name FROM spans WHERE label = 'PERSON'" + (
         f" UNION SELECT name FROM {extra_names}" if extra_names else "") + ")"
-    parts = [segments_cte(docs_sql).lstrip(), pieces_cte(), labels_cte(officials), spans_cte(),
+    parts = [segments_cte(docs_sql).lstrip(), pieces_cte(), labels_cte(officials), spans_cte(threshold),
              name_keys_cte(names), persons_cte(shift), redact_cte(tags)]
     return "WITH " + ",".join(parts[:LEVELS.index(upto) + 1])
 
@@ -472,3 +472,70 @@ pc2 AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_id, initials ORDER B
 SELECT case_id, person_key, initials, k, CAST(n_same AS BIGINT) AS n_same,
   CASE WHEN n_same = 1 THEN initials ELSE initials || ' (' || CAST(k AS VARCHAR) || ')' END AS substitute FROM pc2""",
 })
+
+
+# ---- evaluation and corpus ---------------------------------------------------
+from ..sources.golden import CASE_PATTERN  # noqa: E402
+
+GOLD_FILES = f"""SELECT 'doc_' || CAST(doc_id AS VARCHAR) || '.test' AS file, string_agg(cs, chr(10) ORDER BY ln) AS content FROM (
+  SELECT doc_id, ln, 'ANONYMIZE("' || line || '") = ' || CASE WHEN regexp_matches(line, '[0-9]{{9,}}')
+      THEN '"' || regexp_replace(line, '[0-9]{{9,}}', '(...)', 'g') || '"' ELSE 'NO_CHANGE' END AS cs
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln FROM documents)
+  WHERE regexp_matches(line, {q(P.NOT_SPACE)})) GROUP BY doc_id"""
+
+
+def _collapse(x):
+    return strip(f"regexp_replace({x}, {q(P.SPACE_RUN)}, ' ', 'g')")
+
+
+GOLD_CASES = f"""SELECT file, CAST(k AS INTEGER) AS case_no, {_collapse('i')} AS input,
+    CASE WHEN coalesce(n = 'NO_CHANGE', false) THEN ['NO_CHANGE'] ELSE list_transform(string_split(coalesce(e, ''), '" OR "'), lambda z: {_collapse('z')}) END AS expected,
+    coalesce(n = 'NO_CHANGE', false) AS no_change
+  FROM (SELECT file, unnest(ii) AS i, unnest(ee) AS e, unnest(nn) AS n, generate_subscripts(ii, 1) AS k FROM (
+    SELECT file, regexp_extract_all(content, {q(CASE_PATTERN)}, 1) AS ii, regexp_extract_all(content, {q(CASE_PATTERN)}, 2) AS ee,
+           regexp_extract_all(content, {q(CASE_PATTERN)}, 3) AS nn FROM ({GOLD_FILES})))"""
+
+GOLD_DOCS = f"""SELECT CAST(regexp_extract(file, '[0-9]+', 0) AS BIGINT) * 100000 + case_no AS doc_id, input AS text, 'txt' AS fmt FROM ({GOLD_CASES})"""
+
+NW = q(P.NOT_WORD)
+VERDICTS = f"""
+SELECT c.file, c.case_no, r.n_mentions,
+  CASE WHEN c.no_change THEN r.n_mentions = 0 ELSE
+    len(list_filter(c.expected, lambda e: regexp_replace(e, {NW}, '', 'g') = regexp_replace(r.text, {NW}, '', 'g'))) > 0 END AS passed
+FROM ({GOLD_CASES}) c JOIN red r ON r.doc_id = CAST(regexp_extract(c.file, '[0-9]+', 0) AS BIGINT) * 100000 + c.case_no"""
+
+
+def _spans_only(threshold):
+    return core(TXT, "spans", threshold=threshold) + '\nSELECT doc_id, run_no, start, "end", label FROM spans'
+
+
+ORACLES.update({
+    "golden_cases": f"SELECT file, case_no, input, array_to_string(expected, ' | ') AS expected, no_change FROM ({GOLD_CASES})",
+    "golden_verdicts": core(GOLD_DOCS) + VERDICTS,
+    "golden_rollup": core(GOLD_DOCS) + f""", v AS ({VERDICTS})
+SELECT file, count(*) AS total, count(*) FILTER (WHERE passed) AS passed, count(*) - count(*) FILTER (WHERE passed) AS failed,
+  round(count(*) FILTER (WHERE passed) * 100.0 / count(*), 1) AS pass_rate, CAST(grouping(file) AS BIGINT) AS gid
+FROM v GROUP BY ROLLUP (file)""",
+    "span_metrics": f"""WITH gold AS ({_spans_only(0.6)}), pred AS ({_spans_only(0.7)}),
+x AS (SELECT coalesce(g.label, p.label) AS label, g.doc_id IS NOT NULL AS in_g, p.doc_id IS NOT NULL AS in_p FROM gold g FULL OUTER JOIN pred p
+  ON g.doc_id = p.doc_id AND g.run_no = p.run_no AND g.start = p.start AND g."end" = p."end" AND g.label = p.label),
+a AS (SELECT label, count(*) FILTER (WHERE in_g AND in_p) AS tp, count(*) FILTER (WHERE NOT in_g) AS fp,
+         count(*) FILTER (WHERE NOT in_p) AS fn, CAST(grouping(label) AS BIGINT) AS gid FROM x GROUP BY ROLLUP (label))
+SELECT label, tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall,
+  round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1, gid FROM a""",
+    "bio_dataset": core(TXT, "spans") + """,
+bt AS (SELECT m.doc_id, m.run_no, m.pos, m.token, CASE WHEN s.label IS NULL THEN 'O' WHEN m.pos = s.first_pos THEN 'B-' || s.label
+         ELSE 'I-' || s.label END AS tag FROM marked m LEFT JOIN spans s ON s.doc_id = m.doc_id AND s.run_no = m.run_no AND s.span = m.span
+       WHERE m.is_tok)
+SELECT doc_id, run_no, count(*) AS n_tokens, string_agg(token, ' ' ORDER BY pos) AS tokens, string_agg(tag, ' ' ORDER BY pos) AS labels
+FROM bt GROUP BY doc_id, run_no""",
+    "split_80_20": core(TXT, "pieces") + """
+SELECT DISTINCT doc_id, run_no, CASE WHEN doc_id % 100 < 80 THEN 'train' ELSE 'val' END AS split FROM pieces2 WHERE is_tok""",
+    "redaction_diff": core(TXT) + """
+SELECT o.doc_id, o.run_no, o.pos, p.lead || p.token || p.trail AS before, o.out AS after FROM outs o
+JOIN pieces2 p ON p.doc_id = o.doc_id AND p.run_no = o.run_no AND p.pos = o.pos WHERE p.lead || p.token || p.trail <> o.out""",
+    "leak_audit": core(TXT) + f""",
+st AS (SELECT DISTINCT m.doc_id, m.token FROM marked m JOIN spans s ON s.doc_id = m.doc_id AND s.run_no = m.run_no AND s.span = m.span),
+ot AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, {q(P.TOKEN_WITH_TRAIL)}, 1)) AS token FROM red)
+SELECT st.doc_id, count(*) AS n_leaks FROM st JOIN ot ON ot.doc_id = st.doc_id AND ot.token = st.token GROUP BY st.doc_id""",
+})
