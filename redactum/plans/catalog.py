@@ -416,4 +416,72 @@ def q_leak_audit(spark, d):
     return EV.leak_audit(span_toks, out_toks)
 
 
+# ---- sources, failures, streams -----------------------------------------------
+from ..sources import files as FS  # noqa: E402
+from ..streaming import jobs as SJ  # noqa: E402
+from .failures import redact_isolated  # noqa: E402
+
+ADMISSION_TEST_BYTES = 16000
+
+
+def _named(spark, d):
+    docs = T.table(spark, d, "documents")
+    sfx = (F.when(F.pmod("doc_id", F.lit(10)) == 3, F.lit(".pdf")).when(F.pmod("doc_id", F.lit(10)) == 7, F.lit(".XML"))
+           .otherwise(F.lit(".txt")))
+    return docs.select("doc_id", "source", "text", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), sfx).alias("name"))
+
+
+def q_admission(spark, d):
+    f = _named(spark, d).select("doc_id", "name", F.encode("text", "UTF-8").alias("content"))
+    return FS.admission(f, ADMISSION_TEST_BYTES).select("doc_id", "name", "size", "status", "reason")
+
+
+def q_case_assignment(spark, d):
+    docs = T.table(spark, d, "documents")
+    man = docs.select("doc_id", F.when(F.pmod("doc_id", F.lit(3)) == 0, F.col("source")).alias("case_id"),
+                      F.when(F.pmod("doc_id", F.lit(5)) == 0,
+                             F.concat(F.lit(" case-"), F.pmod("doc_id", F.lit(17)).cast("string"), F.lit(" ")))
+                      .otherwise(F.lit("")).alias("new_case_id"))
+    cases = docs.select(F.col("source").alias("case_id")).distinct()
+    return FS.assign_cases(man, cases)
+
+
+def q_result_names(spark, d):
+    return _named(spark, d).select("doc_id", FS.result_name(F.col("name")).alias("result_name"))
+
+
+def q_sources_union(spark, d):
+    docs = T.table(spark, d, "documents").select("doc_id", F.lit("document").alias("kind"), F.length("text").alias("n_chars"))
+    conv = (T.table(spark, d, "conversations").groupBy("conv_id")
+            .agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+            .select(F.col("conv_id").alias("doc_id"), F.lit("conversation").alias("kind"),
+                    F.length(F.array_join(F.col("t.text"), "\n")).alias("n_chars")))
+    return docs.unionByName(conv)
+
+
+def q_failures_isolated(spark, d):
+    docs = T.text_docs(spark, d).select("doc_id", "text", "fmt")
+    bad = spark.createDataFrame([(-1, None, "txt"), (-2, "nul\u0000byte", "txt")], "doc_id long, text string, fmt string")
+    return redact_isolated(docs.unionByName(bad)).select("doc_id", "status", "error", "n_mentions")
+
+
+def q_stream_redact(spark, d):
+    out = SJ.redact_stream(spark, d)
+    return spark.read.parquet(out).select("doc_id", "text", "n_mentions")
+
+
+def q_stream_dedup(spark, d):
+    return spark.read.parquet(SJ.dedup_stream(spark, d)).select("doc_id")
+
+
+def q_stream_throughput(spark, d):
+    x = spark.read.parquet(SJ.throughput_stream(spark, d))
+    return x.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("w_start"), "n",
+                    F.round("avg_s", 6).alias("avg_s"))
+
+
+def q_stream_roster(spark, d):
+    return spark.read.parquet(SJ.roster_stream(spark, d)).select("case_id", "person_key", "initials")
+
+
 QUERIES = {name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)}

@@ -539,3 +539,36 @@ st AS (SELECT DISTINCT m.doc_id, m.token FROM marked m JOIN spans s ON s.doc_id
 ot AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, {q(P.TOKEN_WITH_TRAIL)}, 1)) AS token FROM red)
 SELECT st.doc_id, count(*) AS n_leaks FROM st JOIN ot ON ot.doc_id = st.doc_id AND ot.token = st.token GROUP BY st.doc_id""",
 })
+
+
+# ---- sources, failures, streams -----------------------------------------------
+NAMED = """(SELECT doc_id, source, text, 'doc_' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 10 = 3 THEN '.pdf'
+  WHEN doc_id % 10 = 7 THEN '.XML' ELSE '.txt' END AS name FROM documents)"""
+SFX = "regexp_extract(name, '^(.*?)(\\.[^.]+)?$', 2)"
+STEM = "regexp_extract(name, '^(.*?)(\\.[^.]+)?$', 1)"
+
+ORACLES.update({
+    "admission": f"""SELECT doc_id, name, CAST(octet_length(encode(text)) AS BIGINT) AS size,
+  CASE WHEN lower({SFX}) NOT IN ('.xml', '.txt') OR octet_length(encode(text)) > 16000 THEN 'rejected' ELSE 'accepted' END AS status,
+  CASE WHEN lower({SFX}) NOT IN ('.xml', '.txt') THEN 'suffix' WHEN octet_length(encode(text)) > 16000 THEN 'size' END AS reason FROM {NAMED}""",
+    "case_assignment": """WITH man AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source END AS case_id,
+    CASE WHEN doc_id % 5 = 0 THEN trim(' case-' || CAST(doc_id % 17 AS VARCHAR) || ' ') END AS new FROM documents),
+cases AS (SELECT DISTINCT source AS case_id FROM documents)
+SELECT doc_id, CASE WHEN m.case_id IS NOT NULL AND new IS NOT NULL THEN NULL ELSE coalesce(new, m.case_id) END AS case_id,
+  CASE WHEN m.case_id IS NOT NULL AND new IS NOT NULL THEN 'rejected' WHEN new IS NOT NULL OR m.case_id IS NOT NULL THEN 'ok' ELSE 'none' END AS status,
+  NOT (m.case_id IS NOT NULL AND new IS NOT NULL) AND new IS NOT NULL AND new NOT IN (SELECT case_id FROM cases) AS created
+FROM man m""",
+    "result_names": f"SELECT doc_id, {STEM} || '_anon' || {SFX} AS result_name FROM {NAMED}",
+    "sources_union": """SELECT doc_id, 'document' AS kind, length(text) AS n_chars FROM documents
+UNION ALL SELECT conv_id, 'conversation', length(string_agg(text, chr(10) ORDER BY turn)) FROM conversations GROUP BY conv_id""",
+    "failures_isolated": core(TXT) + """
+SELECT doc_id, 'done' AS status, CAST(NULL AS VARCHAR) AS error, n_mentions FROM red
+UNION ALL SELECT -1, 'failed', 'no text', 0 UNION ALL SELECT -2, 'failed', 'NUL character in text', 0""",
+    "stream_redact": core(TXT) + "\nSELECT doc_id, text, n_mentions FROM red",
+    "stream_dedup": "SELECT DISTINCT user_id AS doc_id FROM events WHERE event_type = 'view'",
+    "stream_throughput": """WITH p AS (SELECT ts, value FROM events WHERE event_type = 'purchase'),
+wm AS (SELECT max(ts) - INTERVAL '1 hour' AS wm FROM p)
+SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS w_start, count(*) AS n, round(avg(value), 6) AS avg_s
+FROM p GROUP BY time_bucket(INTERVAL '1 hour', ts) HAVING time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' <= (SELECT wm FROM wm)""",
+    "stream_roster": ORACLES["case_roster"],
+})
