@@ -1,0 +1,47 @@
+"""A deterministic stand-in for a token-classification model, for tests and
+the hosted-model query: it applies the test-table rule to a run's word list
+in Python, so its output can be checked against the JVM rule recognizer.
+Production code passes a real model factory to ``model_labels``."""
+
+from __future__ import annotations
+
+from .recognize import PREPOSITIONS, TRANSPARENT_SYMBOL
+
+
+def rule_model_factory():
+    import regex
+
+    cap3 = regex.compile(r"^\p{Lu}\p{Ll}{2,}$")
+    caps = regex.compile(r"^\p{Lu}{3,}$")
+    digits = regex.compile(r"^[0-9]{9,}$")
+    preps = set(PREPOSITIONS)
+
+    def predict(runs):
+        out = []
+        for words in runs:
+            labs = []
+            for i, w in enumerate(words):
+                prev = words[i - 1] if i > 0 else None
+                nxt = words[i + 1] if i + 1 < len(words) else None
+                c = lambda x: x is not None and cap3.search(x) is not None
+                if digits.search(w):
+                    lab = "B-SENSITIVE"
+                elif caps.search(w) and nxt == "License":
+                    lab = "B-PRODUCT"
+                elif w == "License" and prev is not None and caps.search(prev):
+                    lab = "I-PRODUCT"
+                elif c(w) and c(prev):
+                    lab = "I-PERSON"
+                elif c(w) and c(nxt):
+                    lab = "B-PERSON"
+                elif c(w) and prev in preps:
+                    lab = "B-LOCATION"
+                elif w == TRANSPARENT_SYMBOL:
+                    lab = "MAIL"
+                else:
+                    lab = "O"
+                labs.append((lab, 0.5 + (len(w) % 5) * 0.125))
+            out.append(labs)
+        return out
+
+    return predict

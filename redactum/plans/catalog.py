@@ -484,4 +484,87 @@ def q_stream_roster(spark, d):
     return spark.read.parquet(SJ.roster_stream(spark, d)).select("case_id", "person_key", "initials")
 
 
+# ---- more inventory items ------------------------------------------------------
+from ..operators import spans as SP  # noqa: E402
+from ..operators.fixture_model import rule_model_factory  # noqa: E402
+
+LABEL_LIST = ["O", "B-PERSON", "I-PERSON", "B-LOCATION", "B-SENSITIVE", "B-PRODUCT", "I-PRODUCT", "MAIL"]
+
+
+def q_spans_trimmed(spark, d):
+    """P3 on external spans: decoded spans padded with a space on each side."""
+    s = redaction(spark, d).spans
+    ext = s.select("doc_id", "run_no", (F.col("start") - 1).alias("start"), (F.col("end") + 1).alias("end"), "label",
+                   F.concat(F.lit(" "), F.col("text"), F.lit("\n")).alias("text"))
+    return SP.trim_spans(ext).select("doc_id", "run_no", "start", "end", "label", "text")
+
+
+def q_initials_frequency(spark, d):
+    """Persons (not mentions) per initials in each document."""
+    return (redaction(spark, d).persons.groupBy("doc_id", "initials")
+            .agg(F.count(F.lit(1)).alias("n_persons"), F.sum("n_mentions").alias("n_mentions")))
+
+
+def q_preds_from_label_map(spark, d):
+    """Predicted label ids mapped through a label-map JSON."""
+    r = redaction(spark, d)
+    lab = recognize.rule_labels(r.pieces).where("is_tok")
+    ids = F.array_position(F.array(*[F.lit(x) for x in LABEL_LIST]), F.col("label")) - 1
+    pred_ids = lab.select("doc_id", "run_no", F.col("pos").alias("tok_no"), ids.cast("int").alias("label_id"), "confidence")
+    js = "{\"id2label\": {" + ", ".join(f'\"{i}\": \"{x}\"' for i, x in enumerate(LABEL_LIST)) + "}}"
+    m = spark.createDataFrame([(js,)], "json string")
+    out = recognize.apply_label_map(pred_ids, m)
+    return out.where("label <> 'O'").select("doc_id", "run_no", "tok_no", "label_id", "label",
+                                            F.round("confidence", 6).alias("confidence"))
+
+
+def q_spans_model_hosted(spark, d):
+    """X1(c): the same rule as a Python model hosted in mapInPandas."""
+    docs = T.text_docs(spark, d)
+    rec = lambda p: recognize.model_labels(p, rule_model_factory)
+    return _spans_out(Redaction(docs, recognizer=rec).spans)
+
+
+def _turn_segments(spark, d):
+    c = T.table(spark, d, "conversations")
+    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("seg_no"),
+                    F.coalesce("text", F.lit("")).alias("seg"), F.lit(False).alias("is_xml"), F.lit(True).alias("is_run"))
+
+
+def person_terms(spark, d):
+    """A term list learnt from the documents: tokens of PERSON spans."""
+    r = redaction(spark, d)
+    person = r.spans.where("label = 'PERSON'").select("doc_id", "run_no", "span")
+    toks = r.marked.where("is_tok").join(person, ["doc_id", "run_no", "span"]).select(F.col("token").alias("term")).distinct()
+    return toks.select("term", F.lit("B-PERSON").alias("label"), F.lit(0.9).alias("confidence"))
+
+
+def q_conversation_substitutes(spark, d):
+    """Conversations whose turns are runs, recognised with the term list
+    (X1b); one numbering per conversation."""
+    terms = person_terms(spark, d)
+    rec = lambda p: recognize.gazetteer_labels(p, terms)
+    r = Redaction(None, segments=_turn_segments(spark, d), recognizer=rec)
+    return r.mentions.select(F.col("doc_id").alias("conv_id"), F.col("run_no").alias("turn"), "start", "label", "substitute")
+
+
+def q_stream_ledger(spark, d):
+    """T3 as a stream: latest status per document, update mode."""
+    import uuid as _uuid
+
+    from ..session import checkpoint_dir as _ck
+    base = _ck(spark).rstrip("/") + f"/streams/ledger-{_uuid.uuid4().hex[:12]}"
+
+    def per_batch(b, i):
+        b.write.mode("overwrite").parquet(f"{base}/out/batch_id={i}")
+
+    q = (SJ.latest_status_stream(spark, d).writeStream.outputMode("update").foreachBatch(per_batch)
+         .option("checkpointLocation", base + "/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    x = spark.read.parquet(base + "/out")
+    # the newest batch that updated a document holds its latest status
+    last = x.groupBy("doc_id").agg(F.max_by("event_type", "batch_id").alias("event_type"))
+    return last.select("doc_id", F.col("event_type").alias("last_event"))
+
+
 QUERIES = {name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)}

@@ -572,3 +572,43 @@ SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS w_st
 FROM p GROUP BY time_bucket(INTERVAL '1 hour', ts) HAVING time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' <= (SELECT wm FROM wm)""",
     "stream_roster": ORACLES["case_roster"],
 })
+
+
+# ---- more inventory items ------------------------------------------------------
+TURNS = """d AS (SELECT DISTINCT conv_id AS doc_id FROM conversations),
+segs AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS seg_no, coalesce(text, '') AS seg, false AS is_xml, true AS is_run FROM conversations)"""
+
+
+def core_turns():
+    """Conversation turns as runs, labelled by the term list learnt from
+    the documents' person spans."""
+    full = core(TXT, "pieces")
+    a = full.index("d AS (")
+    b = full.index("ta AS (")
+    terms = (core(TXT, "spans") + "\nSELECT DISTINCT m.token AS term FROM marked m JOIN spans s ON s.doc_id = m.doc_id "
+             "AND s.run_no = m.run_no AND s.span = m.span WHERE s.label = 'PERSON' AND m.is_tok")
+    lab = f"""terms AS ({terms}),
+lab AS (SELECT p.doc_id, p.run_no, p.pos, p.is_xml, p.is_tok, p.lead, p.token, p.trail, p.start, p."end",
+  CASE WHEN p.is_tok AND t.term IS NOT NULL THEN 'B-PERSON' ELSE 'O' END AS label,
+  CASE WHEN t.term IS NOT NULL THEN CAST(0.9 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS confidence
+  FROM pieces2 p LEFT JOIN terms t ON t.term = p.token)"""
+    names = "(SELECT text AS name FROM spans WHERE label = 'PERSON')"
+    return (full[:a] + TURNS + ",\n" + full[b:] + ",\n" + lab + "," + spans_cte() + "," + name_keys_cte(names)
+            + "," + persons_cte(0))
+
+
+LABEL_IDS = "['O', 'B-PERSON', 'I-PERSON', 'B-LOCATION', 'B-SENSITIVE', 'B-PRODUCT', 'I-PRODUCT', 'MAIL']"
+
+ORACLES.update({
+    "spans_trimmed": core(TXT, "spans") + '\nSELECT doc_id, run_no, start, "end", label, text FROM spans',
+    "initials_frequency": core(TXT, "persons") + """
+SELECT doc_id, initials, count(*) AS n_persons, sum(n_mentions) AS n_mentions FROM persons GROUP BY doc_id, initials""",
+    "preds_from_label_map": core(TXT, "labels") + f"""
+SELECT doc_id, run_no, pos AS tok_no, CAST(list_position({LABEL_IDS}, label) - 1 AS INTEGER) AS label_id, label,
+  round(confidence, 6) AS confidence FROM lab WHERE is_tok AND label <> 'O'""",
+    "spans_model_hosted": ORACLES["spans_decoded"],
+    "conversation_substitutes": core_turns() + """
+SELECT doc_id AS conv_id, run_no AS turn, start, label, substitute FROM subs""",
+    "stream_ledger": """SELECT user_id AS doc_id, event_type AS last_event FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+  ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""",
+})

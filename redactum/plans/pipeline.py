@@ -43,12 +43,18 @@ class Redaction:
 
     def __init__(self, docs: DataFrame, lemmas: Optional[DataFrame] = None,
                  recognizer: Callable[[DataFrame], DataFrame] = recognize.rule_labels,
-                 config: Optional[Config] = None):
+                 config: Optional[Config] = None, segments: Optional[DataFrame] = None):
+        """``segments`` (doc_id, seg_no, seg, is_xml, is_run) may be given
+        instead of documents, e.g. conversations whose turns are runs."""
         self.cfg = config or Config()
-        spark = docs.sparkSession
+        spark = (docs if docs is not None else segments).sparkSession
         n = self.cfg.partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.docs = docs.select("doc_id", "text", F.coalesce(F.col("fmt"), F.lit("txt")).alias("fmt")).repartition(n, "doc_id")
-        self.segments = markup.segments(self.docs, self.cfg.skip_tagged)
+        if segments is None:
+            self.docs = docs.select("doc_id", "text", F.coalesce(F.col("fmt"), F.lit("txt")).alias("fmt")).repartition(n, "doc_id")
+            self.segments = markup.segments(self.docs, self.cfg.skip_tagged)
+        else:
+            self.segments = segments.repartition(n, "doc_id")
+            self.docs = self.segments.select("doc_id").distinct()
         self.pieces = tokens.pieces(self.segments)
         labelled = recognizer(self.pieces)
         if self.cfg.officials:
