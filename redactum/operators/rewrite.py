@@ -17,13 +17,19 @@ from ..functions import patterns as P
 from ..functions.substitutes import ELLIPSIS, TAG_CLOSE, TAG_MID, TAG_OPEN, escape_attr
 
 
-def emit(marked: DataFrame, subs: DataFrame, tags) -> DataFrame:
-    """marked pieces + span substitutes -> piece outputs (doc_id, run_no, pos, out).
+def span_positions(subs: DataFrame) -> DataFrame:
+    """Kept spans -> one row per token position they cover (small: only
+    tokens inside mentions)."""
+    return subs.select("doc_id", "run_no", "substitute", "first_pos", "last_pos",
+                       F.explode(F.sequence("first_pos", "last_pos")).alias("pos"))
+
+
+def emit(pcs: DataFrame, positions: DataFrame, tags) -> DataFrame:
+    """pieces + span positions -> piece outputs (doc_id, run_no, pos, out).
 
     ``tags`` is a boolean column: tag form for markup, plain replacement for
     text (P13)."""
-    s = subs.select("doc_id", "run_no", "span", "substitute", "first_pos", "last_pos")
-    x = marked.join(s, ["doc_id", "run_no", "span"], "left")
+    x = pcs.join(positions, ["doc_id", "run_no", "pos"], "left")
     inside = F.col("substitute").isNotNull()
     first = inside & (F.col("pos") == F.col("first_pos"))
     last = inside & (F.col("pos") == F.col("last_pos"))

@@ -21,8 +21,11 @@ def run_window():
     return Window.partitionBy("doc_id", "run_no").orderBy("pos")
 
 
-def pieces(segs: DataFrame) -> DataFrame:
-    """segments -> pieces(doc_id, run_no, pos, is_xml, is_tok, lead, token, trail, start, end)."""
+def pieces(segs: DataFrame, offsets: bool = True) -> DataFrame:
+    """segments -> pieces(doc_id, run_no, pos, is_xml, is_tok, lead, token, trail, start, end).
+
+    ``offsets=False`` skips the running-sum window (the rewrite pass needs
+    positions, not offsets), so no sort is needed."""
     seg = F.col("seg")
     # one regex pass per run: each match is a token with its trailing space
     x = segs.select("doc_id", "seg_no", "is_xml", "is_run", "seg",
@@ -38,6 +41,9 @@ def pieces(segs: DataFrame) -> DataFrame:
     # a token never ends in whitespace, so right-trimming the match splits it
     token = F.when(F.col("is_tok"), F.rtrim(F.col("p"), F.lit(P.WHITESPACE_CHARS))).otherwise(F.col("p"))
     x = x.withColumn("token", token).withColumn("trail", F.expr("substring(p, length(token) + 1)"))
+    if not offsets:
+        return x.select("doc_id", "run_no", "pos", "is_xml", "is_tok",
+                        F.when(F.col("pos") == 0, F.col("lead0")).otherwise(F.lit("")).alias("lead"), "token", "trail")
     width = F.length("p")
     run_sum = F.sum(width).over(run_window().rowsBetween(Window.unboundedPreceding, 0))
     start = F.length("lead0") + run_sum - width

@@ -49,11 +49,14 @@ class Redaction:
         self.cfg = config or Config()
         spark = (docs if docs is not None else segments).sparkSession
         n = self.cfg.partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.n = n
+        self._seg_input = None
         if segments is None:
             self.docs = docs.select("doc_id", "text", F.coalesce(F.col("fmt"), F.lit("txt")).alias("fmt")).repartition(n, "doc_id")
             self.segments = markup.segments(self.docs, self.cfg.skip_tagged)
         else:
-            self.segments = segments.repartition(n, "doc_id")
+            self._seg_input = segments.repartition(n, "doc_id")
+            self.segments = self._seg_input
             self.docs = self.segments.select("doc_id").distinct()
         self.pieces = tokens.pieces(self.segments)
         labelled = recognizer(self.pieces)
@@ -85,14 +88,34 @@ class Redaction:
             return F.col("is_xml")
         return F.lit(bool(self.cfg.tags))
 
+    def touched(self) -> DataFrame:
+        """Ids of documents with at least one kept span (small)."""
+        return self.spans.select("doc_id").distinct()
+
     def outputs(self) -> DataFrame:
-        n = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        subs = self.mentions.repartition(n, "doc_id")
-        return rewrite.emit(self.marked, subs, self.fmt_tags)
+        """Pass 2: piece outputs of the documents that have mentions.
+
+        Recognition is not run again: the kept spans are expanded to the
+        token positions they cover and joined on (doc_id, run_no, pos); the
+        pieces are cut again without the offset window. Documents without
+        mentions are not touched at all (F3)."""
+        ids = self.touched()
+        if self._seg_input is None:
+            docs = self.docs.join(ids, "doc_id", "left_semi")
+            segs = markup.segments(docs, self.cfg.skip_tagged)
+        else:
+            segs = self._seg_input.join(ids, "doc_id", "left_semi")
+        pcs = tokens.pieces(segs, offsets=False)
+        positions = rewrite.span_positions(self.mentions).repartition(self.n, "doc_id")
+        return rewrite.emit(pcs, positions, self.fmt_tags)
 
     def redacted(self) -> DataFrame:
-        """docs'(doc_id, text, n_mentions)."""
-        out = rewrite.rebuild(self.outputs())
+        """docs'(doc_id, text, n_mentions); untouched documents pass through."""
+        if self._seg_input is not None:
+            raise ValueError("segment input has no document text to pass through; use outputs()")
+        changed = rewrite.rebuild(self.outputs())
         counts = self.spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_mentions"))
-        return (out.join(counts, "doc_id", "left")
-                .select("doc_id", "text", F.coalesce("n_mentions", F.lit(0)).alias("n_mentions")))
+        changed = changed.join(counts, "doc_id").select("doc_id", "text", "n_mentions")
+        same = (self.docs.join(self.touched(), "doc_id", "left_anti")
+                .select("doc_id", "text", F.lit(0).cast("long").alias("n_mentions")))
+        return changed.unionByName(same)
