@@ -481,7 +481,8 @@ def q_stream_throughput(spark, d):
 
 
 def q_stream_roster(spark, d):
-    return spark.read.parquet(SJ.roster_stream(spark, d)).select("case_id", "person_key", "initials")
+    v = spark.read.parquet(SJ.roster_stream(spark, d))
+    return SJ.current_roster(v).select("case_id", "person_key", "initials")
 
 
 # ---- more inventory items ------------------------------------------------------

@@ -448,7 +448,7 @@ WHERE r = 1 AND op = 'put'"""),
 SELECT r.case_id, r.person_key, (c.person_key IS NOT NULL) AS found FROM removals r
 LEFT JOIN croster c ON c.case_id = r.case_id AND c.person_key = r.person_key"""),
     "roster_json": _with_persons(f"""
-SELECT case_id, '{{"case_id": ' || {_js('case_id')} || ', "persons": {{' ||
+SELECT case_id, CAST(0 AS BIGINT) AS page, '{{"case_id": ' || {_js('case_id')} || ', "persons": {{' ||
   string_agg({_js('person_key')} || ': ' || {_js('initials')}, ', ' ORDER BY person_key, initials) || '}}, "count": ' || CAST(count(*) AS VARCHAR) || '}}' AS json
 FROM croster GROUP BY case_id"""),
     "roster_sorted": _with_persons("SELECT case_id, person_key, initials, row_number() OVER (PARTITION BY case_id ORDER BY person_key) AS rn FROM croster"),

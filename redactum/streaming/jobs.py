@@ -87,35 +87,41 @@ def throughput_stream(spark: SparkSession, folder: str, every: str = "1 hour", d
 
 
 def roster_stream(spark: SparkSession, folder: str, config: Config | None = None) -> str:
-    """T5: running case roster. Each micro-batch redacts its documents,
-    merges their persons with the current roster (G7: latest document
-    wins) and writes the merged roster as a new version; the batch id keeps
-    a replay idempotent. Only the cases touched by the batch are merged."""
+    """T5: running case roster. Each micro-batch redacts its documents and
+    merges their persons into the cases it touches (G7: latest document
+    wins); it writes only those cases, as version ``batch_id``. The current
+    roster of a case is its newest version. A replayed batch overwrites its
+    own version, so the sink is idempotent."""
     out_path, ckpt = _paths(spark, "roster")
+    versions = f"{out_path}/versions"
 
     def per_batch(batch: DataFrame, batch_id: int):
         docs = batch.select("doc_id", "text", F.lit("txt").alias("fmt"))
         r = Redaction(docs, config=config)
         cases = batch.select("doc_id", F.col("source").alias("case_id"))
-        new = R.doc_roster(r.persons).join(cases, "doc_id").withColumn("seq", F.col("doc_id"))
+        new = (R.doc_roster(r.persons).join(cases, "doc_id").withColumn("seq", F.col("doc_id"))
+               .select("case_id", "person_key", "initials", "seq"))
+        touched = new.select("case_id").distinct()
+        rows = new
         try:
-            cur = spark.read.parquet(f"{out_path}/current").where(F.col("version") < batch_id)
-            last = cur.agg(F.max("version")).first()[0]
-            cur = cur.where(F.col("version") == last).drop("version")
+            prev = current_roster(spark.read.parquet(versions).where(F.col("version") < batch_id))
+            rows = rows.unionByName(prev.join(touched, "case_id", "left_semi").select("case_id", "person_key", "initials", "seq"))
         except Exception:  # first batch: no roster yet
-            cur = None
-        rows = new.select("case_id", "person_key", "initials", "seq")
-        if cur is not None:
-            rows = rows.unionByName(cur.select("case_id", "person_key", "initials", "seq"))
+            pass
         merged = rows.groupBy("case_id", "person_key").agg(
             F.max_by("initials", "seq").alias("initials"), F.max("seq").alias("seq"))
-        merged.withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{out_path}/current/version={batch_id}")
+        merged.write.mode("overwrite").parquet(f"{versions}/version={batch_id}")
 
     q = (document_stream(spark, folder).writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return out_path + "/current"
+    return versions
+
+
+def current_roster(versions: DataFrame) -> DataFrame:
+    """Newest version of each case's roster."""
+    last = versions.groupBy("case_id").agg(F.max("version").alias("version"))
+    return versions.join(last, ["case_id", "version"]).drop("version")
 
 
 def latest_status_stream(spark: SparkSession, folder: str) -> DataFrame:
