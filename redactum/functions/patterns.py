@@ -33,6 +33,10 @@ SPACES = rf"[{SPACE_CLASS}]*"
 # One match = one token (group 1) plus the whitespace that follows it
 # (group 2). Only leading whitespace of a text is left outside the matches.
 TOKEN_WITH_TRAIL = rf"({TOKEN})({SPACES})"
+# Java twin with a possessive abbreviation quantifier: equivalent (a shorter
+# run of letters is always followed by a letter, never by the dot), but it
+# stops the regex from backtracking through every lower-case word.
+TOKEN_WITH_TRAIL_JAVA = TOKEN_WITH_TRAIL.replace(r"]{1,4}\.", r"]{1,4}+\.", 1)
 LEADING_SPACE = rf"^[{SPACE_CLASS}]*"
 EDGE_SPACE = rf"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$"
 TRAILING_SPACE = rf"[{SPACE_CLASS}]+$"

@@ -39,23 +39,28 @@ def rule_confidence(token):
 
 
 def rule_labels(pcs: DataFrame) -> DataFrame:
-    """X1(a): rule recognizer over runs; adds label, confidence."""
+    """X1(a): rule recognizer over runs; adds label, confidence.
+
+    Each token's regex predicates are evaluated once; neighbours see them
+    through lag/lead of the booleans (regex matching dominates the cost)."""
     tok = F.col("token")
-    prev = F.lag("token", 1).over(run_window())
-    nxt = F.lead("token", 1).over(run_window())
-    cap3 = lambda c: c.rlike(CAP3)
-    caps = lambda c: c.rlike(CAPS)
+    x = (pcs.withColumn("_c3", F.col("is_tok") & tok.rlike(CAP3))
+         .withColumn("_ca", F.col("is_tok") & tok.rlike(CAPS)))
+    w = run_window()
+    prev, nxt = F.lag("token", 1).over(w), F.lead("token", 1).over(w)
+    p_c3, n_c3, p_ca = F.lag("_c3", 1).over(w), F.lead("_c3", 1).over(w), F.lag("_ca", 1).over(w)
+    c3, ca = F.col("_c3"), F.col("_ca")
     label = (F.when(~F.col("is_tok"), F.lit("O"))
              .when(tok.rlike(DIGITS9), F.lit("B-SENSITIVE"))
-             .when(caps(tok) & (nxt == "License"), F.lit("B-PRODUCT"))
-             .when((tok == "License") & caps(prev), F.lit("I-PRODUCT"))
-             .when(cap3(tok) & cap3(prev), F.lit("I-PERSON"))
-             .when(cap3(tok) & cap3(nxt), F.lit("B-PERSON"))
-             .when(cap3(tok) & prev.isin(PREPOSITIONS), F.lit("B-LOCATION"))
+             .when(ca & (nxt == "License"), F.lit("B-PRODUCT"))
+             .when((tok == "License") & p_ca, F.lit("I-PRODUCT"))
+             .when(c3 & p_c3, F.lit("I-PERSON"))
+             .when(c3 & n_c3, F.lit("B-PERSON"))
+             .when(c3 & prev.isin(PREPOSITIONS), F.lit("B-LOCATION"))
              .when(tok == TRANSPARENT_SYMBOL, F.lit("MAIL"))
              .otherwise(F.lit("O")))
     conf = F.when(F.col("is_tok"), rule_confidence(tok)).otherwise(F.lit(1.0))
-    return pcs.withColumn("label", label).withColumn("confidence", conf)
+    return x.withColumn("label", label).withColumn("confidence", conf).drop("_c3", "_ca")
 
 
 def officials_rule(labelled: DataFrame, roles=None) -> DataFrame:

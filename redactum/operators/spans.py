@@ -21,7 +21,12 @@ _O_STATE = "#O#"
 
 def mark_spans(labelled: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Adds kind (O/B/I/T), etype and ``span`` (span number inside the run,
-    null outside spans; transparent tokens inside a span get its number)."""
+    null outside spans; transparent tokens inside a span get its number).
+
+    Two window operators: (1) the previous and the next non-transparent
+    state, (2) the running count of span openings. A transparent token is
+    inside a span when the previous state is a span type and the next
+    non-transparent token continues that same type."""
     lbl, conf = F.col("label"), F.col("confidence")
     eff = F.when((lbl == "O") | (conf < F.lit(threshold)), F.lit("O")).otherwise(lbl)
     kind = (F.when(eff == "O", "O").when(eff.startswith("B-"), "B")
@@ -29,22 +34,20 @@ def mark_spans(labelled: DataFrame, threshold: float = 0.7) -> DataFrame:
     x = labelled.withColumn("kind", kind).withColumn(
         "etype", F.when(F.col("kind").isin("B", "I"), F.expr("substring(label, 3)")))
     state = F.when(F.col("kind") == "O", F.lit(_O_STATE)).otherwise(F.col("etype"))
-    x = x.withColumn("state", state)
-    prev_state = F.last("state", ignorenulls=True).over(run_window().rowsBetween(Window.unboundedPreceding, -1))
-    is_start = (F.col("kind") == "B") | ((F.col("kind") == "I") & (prev_state.isNull() | (prev_state != F.col("etype"))))
-    x = x.withColumn("is_start", is_start)
-    x = x.withColumn("span_no", F.sum(F.col("is_start").cast("int")).over(
-        run_window().rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("key", F.when(F.col("kind").isin("B", "I"), F.col("span_no"))
-                     .when(F.col("kind") == "O", F.lit(-1)))
-    x = x.withColumn("prev_key", F.last("key", ignorenulls=True).over(
+    tagged = F.when(F.col("kind") == "O", F.lit(_O_STATE)).when(
+        F.col("kind").isin("B", "I"), F.concat(F.col("kind"), F.lit(":"), F.col("etype")))
+    x = x.withColumn("state", state).withColumn("tstate", tagged)
+    x = (x.withColumn("prev_state", F.last("state", ignorenulls=True).over(
+            run_window().rowsBetween(Window.unboundedPreceding, -1)))
+         .withColumn("next_state", F.expr(
+            "lead(tstate) ignore nulls over (partition by doc_id, run_no order by pos)")))
+    is_start = (F.col("kind") == "B") | ((F.col("kind") == "I") & (F.col("prev_state").isNull() | (F.col("prev_state") != F.col("etype"))))
+    x = x.withColumn("span_no", F.sum(is_start.cast("int")).over(
         run_window().rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("next_key", F.expr(
-        "lead(key) ignore nulls over (partition by doc_id, run_no order by pos)"))
-    span = (F.when(F.col("key") >= 0, F.col("key"))
-            .when(F.col("key").isNull() & (F.col("prev_key") == F.col("next_key")) & (F.col("prev_key") >= 0),
-                  F.col("prev_key")))
-    return x.withColumn("span", span.cast("int")).drop("state", "is_start", "span_no", "key", "prev_key", "next_key")
+    inside_t = ((F.col("kind") == "T") & F.col("prev_state").isNotNull() & (F.col("prev_state") != F.lit(_O_STATE))
+                & (F.col("next_state") == F.concat(F.lit("I:"), F.col("prev_state"))))
+    span = F.when(F.col("kind").isin("B", "I") | inside_t, F.col("span_no"))
+    return x.withColumn("span", span.cast("int")).drop("state", "tstate", "prev_state", "next_state", "span_no")
 
 
 def decode_spans(marked: DataFrame, threshold: float = 0.7) -> DataFrame:

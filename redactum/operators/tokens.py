@@ -29,7 +29,7 @@ def pieces(segs: DataFrame, offsets: bool = True) -> DataFrame:
     seg = F.col("seg")
     # one regex pass per run: each match is a token with its trailing space
     x = segs.select("doc_id", "seg_no", "is_xml", "is_run", "seg",
-                    F.regexp_extract_all(seg, F.lit(P.TOKEN_WITH_TRAIL), 0).alias("ps"))
+                    F.regexp_extract_all(seg, F.lit(P.TOKEN_WITH_TRAIL_JAVA), 0).alias("ps"))
     tokenized = F.col("is_run") & (F.size("ps") > 0)
     arr = F.when(tokenized, F.col("ps")).otherwise(F.array(seg))
     lead = F.when(tokenized, F.regexp_extract(seg, P.LEADING_SPACE, 0)).otherwise(F.lit(""))
