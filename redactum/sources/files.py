@@ -33,8 +33,8 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     """``*.xml`` and ``*.txt`` of one folder (not recursive) ->
     docs(doc_id, name, fmt, text). Line ends are normalised to LF, as a
     text-mode read does."""
-    df = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.{xml,txt}")
-          .option("recursiveFileLookup", False).text(path))
+    # text() applies its own keyword defaults, so the options go there
+    df = spark.read.text(path, wholetext=True, pathGlobFilter="*.{xml,txt}", recursiveFileLookup=False)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return df.select(name.alias("name"), F.regexp_replace("value", "\r\n?", "\n").alias("text")).select(
         F.col("name").alias("doc_id"), "name", fmt_of(F.col("name")).alias("fmt"), "text")

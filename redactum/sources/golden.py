@@ -38,6 +38,6 @@ def read_cases(files: DataFrame) -> DataFrame:
 
 def read_case_files(spark, path: str) -> DataFrame:
     """Whole ``*.test`` files of a folder as (file, content)."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", "*.test").text(path)
+    df = spark.read.text(path, wholetext=True, pathGlobFilter="*.test")
     return df.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"),
                      F.col("value").alias("content"))
