@@ -33,17 +33,25 @@ def strip_titles(name: Column) -> Column:
     return F.regexp_replace(once, F.lit(P.TITLES_2_JAVA), F.lit(""))
 
 
-def letter(part: Column, shift: int) -> Column:
-    """Initial letter of one part, optionally Caesar-shifted."""
+def letter(part: Column, shift: int, fold: str = "reference") -> Column:
+    """Initial letter of one part, optionally Caesar-shifted.
+
+    ``fold="reference"`` reproduces the reference's table (Polish capitals
+    land six letters off, Q4); ``fold="letter"`` maps them to their base
+    letter first."""
     first = F.upper(F.substring(part, 1, 1))
     if shift <= 0:
         return first
-    code = F.ascii(F.translate(first, P.FOLD_FROM, P.FOLD_TO))
+    to = P.FOLD_TO_LETTER if fold == "letter" else P.FOLD_TO
+    code = F.ascii(F.translate(first, P.FOLD_FROM, to))
     return F.chr(F.lit(65) + F.pmod(code - F.lit(65) + F.lit(shift), F.lit(26)))
 
 
-def initials(name: Column, shift: int = 0) -> Column:
+def initials(name: Column, shift: int = 0, fold: str = "reference") -> Column:
     """Initials of a raw mention ("F. L.", "F.", hyphen rule, "X.")."""
+    def ini(part):
+        return letter(part, shift, fold)
+
     parts = split_ws(name)
     n = F.size(parts)
     p0 = F.get(parts, 0)
@@ -55,12 +63,11 @@ def initials(name: Column, shift: int = 0) -> Column:
     idx = F.array_position(parts, hyph)  # 1-based first equal part
     surname = (F.when(before != "", before)
                .when((n > 2) & (idx - 1 > 1), F.get(parts, (idx - 2).cast("int"))))
-    sur_letter = F.coalesce(F.when(surname.isNotNull() & (strip_ws(surname) != ""),
-                                   letter(surname, shift)), F.lit("X"))
+    sur_letter = F.coalesce(F.when(surname.isNotNull() & (strip_ws(surname) != ""), ini(surname)), F.lit("X"))
     return (F.when(n == 0, F.lit("X."))
-            .when(n == 1, F.concat(letter(p0, shift), F.lit(".")))
-            .when(hyph.isNotNull(), F.concat(letter(p0, shift), F.lit(". "), sur_letter, F.lit(".")))
-            .otherwise(F.concat(letter(p0, shift), F.lit(". "), letter(plast, shift), F.lit("."))))
+            .when(n == 1, F.concat(ini(p0), F.lit(".")))
+            .when(hyph.isNotNull(), F.concat(ini(p0), F.lit(". "), sur_letter, F.lit(".")))
+            .otherwise(F.concat(ini(p0), F.lit(". "), ini(plast), F.lit("."))))
 
 
 def name_parts(clean: Column):

@@ -24,6 +24,8 @@ WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u
 # case in the target, which shifts Polish capitals by six letters).
 FOLD_FROM = "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ"
 FOLD_TO = "ACELNOSZZacelnoszz"
+# Letter-true fold (option fold="letter"): every Polish letter to its base capital.
+FOLD_TO_LETTER = "ACELNOSZZACELNOSZZ"
 # ---------------------------------------------------------------------------
 
 WORD = rf"[{WORD_CLASS}]+(?:-[{WORD_CLASS}]+)*"

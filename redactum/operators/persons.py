@@ -25,10 +25,10 @@ def order_key(order: str = "reference"):
 
 
 def persons(mentions: DataFrame, shift: int = 0, order: str = "reference",
-            scope: str = "doc_id") -> DataFrame:
+            scope: str = "doc_id", fold: str = "reference") -> DataFrame:
     """mentions(doc_id, run_no, start, text, person_key) ->
     persons(doc_id, person_key, initials, ord, k, n_same, substitute)."""
-    m = mentions.withColumn("ord", order_key(order)).withColumn("ini", initials(F.col("text"), shift))
+    m = mentions.withColumn("ord", order_key(order)).withColumn("ini", initials(F.col("text"), shift, fold))
     p = (m.groupBy(scope, "person_key")
          .agg(F.min_by("ini", "ord").alias("initials"), F.min("ord").alias("ord"),
               F.count(F.lit(1)).alias("n_mentions")))
@@ -82,11 +82,11 @@ def split_rank(df: DataFrame, keys: list, order_col: str, slices: int | None = N
 
 
 def mention_substitutes(spans: DataFrame, keys: DataFrame, shift: int = 0,
-                        order: str = "reference") -> DataFrame:
+                        order: str = "reference", fold: str = "reference") -> DataFrame:
     """Every kept span with its substitute; persons through their key."""
     per = (spans.where(F.col("label") == "PERSON")
            .join(keys.select(F.col("name").alias("text"), "person_key"), "text", "left"))
-    ps = persons(per, shift, order)
+    ps = persons(per, shift, order, fold=fold)
     per = per.join(ps.select("doc_id", "person_key", "substitute"), ["doc_id", "person_key"], "left")
     other = spans.where(F.col("label") != "PERSON").withColumn(
         "substitute", label_substitute(F.col("label"), F.col("text"))).withColumn(

@@ -30,6 +30,8 @@ class Config:
     tags: Optional[bool] = None   # None: tags for markup, plain for text
     skip_tagged: bool = True
     officials: bool = False
+    fold: str = "reference"       # or "letter" (Q4)
+    truncate: Optional[int] = None  # compat: tokens from this position on stay in clear (Q2)
     partitions: Optional[int] = None
     # how the small intermediate tables (spans, name keys, substitutes) are
     # kept: "checkpoint" writes them to the cluster's checkpoint folder and
@@ -62,6 +64,8 @@ class Redaction:
         labelled = recognizer(self.pieces)
         if self.cfg.officials:
             labelled = recognize.officials_rule(labelled)
+        if self.cfg.truncate is not None:
+            labelled = recognize.truncate_compat(labelled, self.cfg.truncate)
         self.labelled = labelled
         self.marked = spans.mark_spans(labelled, self.cfg.threshold)
         self.spans = self._keep(spans.decode_spans(self.marked, self.cfg.threshold))
@@ -70,9 +74,10 @@ class Redaction:
             lemmas = names.fixture_lemmas(names.words_of_names(person_names))
         self.lemmas = lemmas
         self.keys = self._keep(names.name_keys(person_names, lemmas))
-        self.mentions = self._keep(persons.mention_substitutes(self.spans, self.keys, self.cfg.shift, self.cfg.order))
+        self.mentions = self._keep(persons.mention_substitutes(
+            self.spans, self.keys, self.cfg.shift, self.cfg.order, self.cfg.fold))
         self.persons = persons.persons(
-            self.mentions.where(F.col("label") == "PERSON"), self.cfg.shift, self.cfg.order)
+            self.mentions.where(F.col("label") == "PERSON"), self.cfg.shift, self.cfg.order, fold=self.cfg.fold)
 
     def _keep(self, df: DataFrame) -> DataFrame:
         """Materialise a small intermediate table (mentions are a tiny

@@ -65,3 +65,20 @@ def test_numbering_matches_sequential(spark):
         exp = number_persons([(k, i) for k, i, _, _ in order])
         for k, v in exp.items():
             assert got[(d, k)] == v
+
+
+def test_fold_letter_and_truncate_options(spark):
+    from conftest import docs_df
+    from redactum.operators import recognize
+    from redactum.plans.pipeline import Config, Redaction
+
+    df = spark.createDataFrame([("Łukasz Ślęzak",)], "name string")
+    r = df.select(initials_col(F.col("name"), 2).alias("q"), initials_col(F.col("name"), 2, "letter").alias("l")).first()
+    assert r.q == initials("Łukasz Ślęzak", 2)   # reference table: six letters off
+    assert r.l == "N. U."                          # L+2, S+2
+    docs = docs_df(spark, [(1, "Anna Nowak oraz Anna Nowak")])
+    terms = spark.createDataFrame([("Anna", "B-PERSON", 0.9), ("Nowak", "I-PERSON", 0.9)], "term string, label string, confidence double")
+    rec = lambda p: recognize.gazetteer_labels(p, terms)
+    full = Redaction(docs, recognizer=rec, config=Config(materialize="none")).redacted().first()
+    cut = Redaction(docs, recognizer=rec, config=Config(materialize="none", truncate=3)).redacted().first()
+    assert full.text == "A. N. oraz A. N." and cut.text == "A. N. oraz Anna Nowak"
