@@ -55,3 +55,16 @@ def text_runs(docs: DataFrame, skip_tagged: bool = True) -> DataFrame:
     s = s.withColumn("start", F.coalesce(F.sum(F.length("seg")).over(w), F.lit(0)).cast("int"))
     return s.where("is_run").select("doc_id", F.col("seg_no").alias("run_no"), "start",
                                     F.col("seg").alias("text"))
+
+
+def blank_attributes(text, names, substitute: str = "(...)"):
+    """Q6 option: replace the values of the listed attributes (e.g. editor
+    or clerk names on the root element) with a substitute. Both quote
+    styles; the markup is otherwise unchanged. A column expression."""
+    if not names:
+        return text
+    alt = "|".join(names)
+    dq = rf'(\s(?:{alt})\s*=\s*")[^"]*(")'
+    sq = rf"(\s(?:{alt})\s*=\s*')[^']*(')"
+    once = F.regexp_replace(text, F.lit(dq), F.lit("$1" + substitute + "$2"))
+    return F.regexp_replace(once, F.lit(sq), F.lit("$1" + substitute + "$2"))
