@@ -460,7 +460,7 @@ SELECT cd.case_id, n_docs, n_done, coalesce(cp.n, 0) AS n_persons FROM cd LEFT J
 SELECT case_id, doc_id, rn FROM (SELECT d.case_id, d.doc_id, row_number() OVER (PARTITION BY d.case_id ORDER BY cr.created DESC NULLS LAST, d.doc_id) AS rn
   FROM cdocs d LEFT JOIN cr ON cr.doc_id = d.doc_id) WHERE rn <= 3""",
     "run_summary": core(TXT) + """
-SELECT (SELECT count(*) FROM red) AS n_docs, (SELECT sum(n_mentions) FROM red) AS n_mentions,
+SELECT (SELECT count(*) FROM red) AS n_docs, (SELECT CAST(sum(n_mentions) AS BIGINT) FROM red) AS n_mentions,
        (SELECT count(*) FROM persons) AS n_persons, (SELECT count(DISTINCT (doc_id, initials)) FROM persons) AS n_initials""",
     "persons_numbered_case": core(TXT, "persons") + """,
 cdocs AS (SELECT doc_id, source AS case_id FROM documents),
@@ -602,7 +602,7 @@ LABEL_IDS = "['O', 'B-PERSON', 'I-PERSON', 'B-LOCATION', 'B-SENSITIVE', 'B-PRODU
 ORACLES.update({
     "spans_trimmed": core(TXT, "spans") + '\nSELECT doc_id, run_no, start, "end", label, text FROM spans',
     "initials_frequency": core(TXT, "persons") + """
-SELECT doc_id, initials, count(*) AS n_persons, sum(n_mentions) AS n_mentions FROM persons GROUP BY doc_id, initials""",
+SELECT doc_id, initials, count(*) AS n_persons, CAST(sum(n_mentions) AS BIGINT) AS n_mentions FROM persons GROUP BY doc_id, initials""",
     "preds_from_label_map": core(TXT, "labels") + f"""
 SELECT doc_id, run_no, pos AS tok_no, CAST(list_position({LABEL_IDS}, label) - 1 AS INTEGER) AS label_id, label,
   round(confidence, 6) AS confidence FROM lab WHERE is_tok AND label <> 'O'""",
