@@ -38,15 +38,17 @@ def emit(pcs: DataFrame, positions: DataFrame, tags) -> DataFrame:
                       F.col("token"), e(last, F.lit(TAG_CLOSE)), F.col("trail"))
     plain = F.concat(F.col("lead"), e(first, F.col("substitute")), e(~inside, F.col("token")),
                      e(~inside | last, F.col("trail")))
-    return x.select("doc_id", "run_no", "pos", F.when(tags, tagged).otherwise(plain).alias("out"))
+    return x.select("doc_id", "run_no", "pos", F.when(tags, tagged).otherwise(plain).alias("out"),
+                    first.cast("int").alias("opens"))
 
 
 def rebuild(outs: DataFrame) -> DataFrame:
-    """Piece outputs -> docs'(doc_id, text). The pieces of one document
-    are bounded by the admission size cap."""
+    """Piece outputs -> docs'(doc_id, text, n_mentions). The pieces of
+    one document are bounded by the admission size cap; the mention count
+    (G2) is the number of span openings, summed in the same aggregate."""
     parts = F.sort_array(F.collect_list(F.struct("run_no", "pos", "out")))
-    return (outs.groupBy("doc_id").agg(parts.alias("ps"))
-            .select("doc_id", F.array_join(F.transform("ps", lambda s: s["out"]), "").alias("text")))
+    return (outs.groupBy("doc_id").agg(parts.alias("ps"), F.sum("opens").cast("long").alias("n_mentions"))
+            .select("doc_id", F.array_join(F.transform("ps", lambda s: s["out"]), "").alias("text"), "n_mentions"))
 
 
 def parse_mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -54,7 +54,8 @@ class Redaction:
         self.n = n
         self._seg_input = None
         if segments is None:
-            self.docs = docs.select("doc_id", "text", F.coalesce(F.col("fmt"), F.lit("txt")).alias("fmt")).repartition(n, "doc_id")
+            self.raw_docs = docs.select("doc_id", "text", F.coalesce(F.col("fmt"), F.lit("txt")).alias("fmt"))
+            self.docs = self.raw_docs.repartition(n, "doc_id")
             self.segments = markup.segments(self.docs, self.cfg.skip_tagged)
         else:
             self._seg_input = segments.repartition(n, "doc_id")
@@ -106,7 +107,7 @@ class Redaction:
         mentions are not touched at all (F3)."""
         ids = self.touched()
         if self._seg_input is None:
-            docs = self.docs.join(ids, "doc_id", "left_semi")
+            docs = self.raw_docs.join(ids, "doc_id", "left_semi").repartition(self.n, "doc_id")
             segs = markup.segments(docs, self.cfg.skip_tagged)
         else:
             segs = self._seg_input.join(ids, "doc_id", "left_semi")
@@ -119,8 +120,7 @@ class Redaction:
         if self._seg_input is not None:
             raise ValueError("segment input has no document text to pass through; use outputs()")
         changed = rewrite.rebuild(self.outputs())
-        counts = self.spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_mentions"))
-        changed = changed.join(counts, "doc_id").select("doc_id", "text", "n_mentions")
-        same = (self.docs.join(self.touched(), "doc_id", "left_anti")
+        # documents without mentions are read as they are, never shuffled
+        same = (self.raw_docs.join(self.touched(), "doc_id", "left_anti")
                 .select("doc_id", "text", F.lit(0).cast("long").alias("n_mentions")))
         return changed.unionByName(same)
