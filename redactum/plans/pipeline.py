@@ -37,6 +37,9 @@ class Config:
     # kept: "checkpoint" writes them to the cluster's checkpoint folder and
     # cuts the lineage; "none" keeps one long plan
     materialize: str = "checkpoint"
+    # the input is already hash-partitioned on doc_id (a table bucketed by
+    # doc_id, see sources.files.ingest_bucketed): no shuffle of the text
+    clustered: bool = False
 
 
 class Redaction:
@@ -55,7 +58,7 @@ class Redaction:
         self._seg_input = None
         if segments is None:
             self.raw_docs = docs.select("doc_id", "text", F.coalesce(F.col("fmt"), F.lit("txt")).alias("fmt"))
-            self.docs = self.raw_docs.repartition(n, "doc_id")
+            self.docs = self.raw_docs if self.cfg.clustered else self.raw_docs.repartition(n, "doc_id")
             self.segments = markup.segments(self.docs, self.cfg.skip_tagged)
         else:
             self._seg_input = segments.repartition(n, "doc_id")
@@ -107,7 +110,9 @@ class Redaction:
         mentions are not touched at all (F3)."""
         ids = self.touched()
         if self._seg_input is None:
-            docs = self.raw_docs.join(ids, "doc_id", "left_semi").repartition(self.n, "doc_id")
+            docs = self.raw_docs.join(ids, "doc_id", "left_semi")
+            if not self.cfg.clustered:
+                docs = docs.repartition(self.n, "doc_id")
             segs = markup.segments(docs, self.cfg.skip_tagged)
         else:
             segs = self._seg_input.join(ids, "doc_id", "left_semi")

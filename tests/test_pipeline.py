@@ -78,3 +78,19 @@ def test_text_mode_and_identity(spark):
     assert got[1] == ("Nic tu nie ma.\r\n", 0)
     assert got[2] == ("", 0)
     assert got[3] == ("J. K. i J. K.", 2)
+
+
+def test_bucketed_input_needs_no_text_shuffle(spark):
+    from conftest import SF_SMALL
+    from redactum.sources import files
+    from redactum.sources import tables as T
+
+    docs = T.text_docs(spark, SF_SMALL)
+    files.ingest_bucketed(docs, "redactum_test_docs_bucketed", 4)
+    b = spark.table("redactum_test_docs_bucketed")
+    r = Redaction(b, config=Config(clustered=True, materialize="none"))
+    plan = r.marked._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    got = {tuple(x) for x in r.redacted().collect()}
+    want = {tuple(x) for x in Redaction(docs).redacted().collect()}
+    assert got == want
