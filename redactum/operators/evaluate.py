@@ -64,3 +64,11 @@ def leak_audit(span_tokens: DataFrame, output_tokens: DataFrame) -> DataFrame:
     a = span_tokens.select("doc_id", "token").distinct()
     b = output_tokens.select("doc_id", "token").distinct()
     return a.join(b, ["doc_id", "token"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_leaks"))
+
+
+def token_accuracy(gold_tags: DataFrame, pred_tags: DataFrame) -> DataFrame:
+    """Share of tokens whose BIO tag agrees (one row)."""
+    k = ["doc_id", "run_no", "pos"]
+    x = gold_tags.select(*k, F.col("tag").alias("g")).join(pred_tags.select(*k, F.col("tag").alias("p")), k)
+    return x.agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("g") == F.col("p")).alias("n_equal")).select(
+        "n_tokens", "n_equal", F.round(F.try_divide(F.col("n_equal"), F.col("n_tokens")), 6).alias("accuracy"))

@@ -82,10 +82,12 @@ def overdue(lat: DataFrame, asof, limit_s: int = OVERDUE_SECONDS) -> DataFrame:
             .where(F.col("age_s") > F.lit(limit_s)))
 
 
-def throughput(ledger: DataFrame, every: str = "1 hour") -> DataFrame:
-    """T7 (batch form): finished documents per interval and their mean duration."""
+def throughput(ledger: DataFrame, every: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """T7 (batch form): finished documents per interval and their mean
+    duration; tumbling, or sliding when ``slide`` is given."""
+    win = F.window("ts", every, slide) if slide else F.window("ts", every)
     return (ledger.where(F.col("status") == DONE)
-            .groupBy(F.window("ts", every).alias("w"))
+            .groupBy(win.alias("w"))
             .agg(F.count(F.lit(1)).alias("n"), F.avg("duration").alias("avg_s")))
 
 

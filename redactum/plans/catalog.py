@@ -568,4 +568,16 @@ def q_stream_ledger(spark, d):
     return last.select("doc_id", F.col("event_type").alias("last_event"))
 
 
+def q_throughput_sliding(spark, d):
+    x = L.throughput(T.ledger(spark, d), "1 hour", "30 minutes")
+    return x.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("w_start"), "n",
+                    F.round("avg_s", 6).alias("avg_s"))
+
+
+def q_token_accuracy(spark, d):
+    g = redaction(spark, d, threshold=0.6)
+    p = redaction(spark, d)
+    return EV.token_accuracy(C.bio_tags(g.marked, g.spans), C.bio_tags(p.marked, p.spans))
+
+
 QUERIES = {name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)}

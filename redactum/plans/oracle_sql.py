@@ -612,3 +612,23 @@ SELECT doc_id AS conv_id, run_no AS turn, start, label, substitute FROM subs""",
     "stream_ledger": """SELECT user_id AS doc_id, event_type AS last_event FROM (SELECT *, row_number() OVER (PARTITION BY user_id
   ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""",
 })
+
+
+def _tags_sql(threshold):
+    return core(TXT, "spans", threshold=threshold) + """
+SELECT m.doc_id, m.run_no, m.pos, CASE WHEN s.label IS NULL THEN 'O' WHEN m.pos = s.first_pos THEN 'B-' || s.label
+  ELSE 'I-' || s.label END AS tag FROM marked m LEFT JOIN spans s ON s.doc_id = m.doc_id AND s.run_no = m.run_no AND s.span = m.span
+WHERE m.is_tok"""
+
+
+ORACLES.update({
+    "throughput_sliding": f"""WITH {LEDGER},
+dn AS (SELECT ts, duration FROM ledger WHERE status = 'done'),
+ws AS (SELECT time_bucket(INTERVAL '30 minutes', ts) AS w, duration FROM dn
+       UNION ALL SELECT time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes', duration FROM dn)
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS w_start, count(*) AS n, round(avg(duration), 6) AS avg_s FROM ws GROUP BY w""",
+    "token_accuracy": f"""WITH g AS ({_tags_sql(0.6)}), p AS ({_tags_sql(0.7)})
+SELECT count(*) AS n_tokens, count(*) FILTER (WHERE g.tag = p.tag) AS n_equal,
+  round(count(*) FILTER (WHERE g.tag = p.tag) / nullif(count(*), 0), 6) AS accuracy
+FROM g JOIN p ON p.doc_id = g.doc_id AND p.run_no = g.run_no AND p.pos = g.pos""",
+})
