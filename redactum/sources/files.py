@@ -92,10 +92,12 @@ def write_results(results: DataFrame, path: str, run_id: str) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path))
 
 
-def ingest_bucketed(docs: DataFrame, table: str, buckets: int) -> None:
+def ingest_bucketed(docs: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
     """One-time ingest of documents into a table bucketed (and sorted) by
     doc_id. Reads of the table carry a hash partitioning on doc_id, so a
     redaction run with ``Config(clustered=True)`` does not shuffle the
     text at all; the bucket count is the run's parallelism."""
-    (docs.write.mode("overwrite").bucketBy(buckets, "doc_id").sortBy("doc_id")
-     .format("parquet").saveAsTable(table))
+    w = docs.write.mode("overwrite").bucketBy(buckets, "doc_id").sortBy("doc_id").format("parquet")
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table)

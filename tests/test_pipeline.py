@@ -85,9 +85,13 @@ def test_bucketed_input_needs_no_text_shuffle(spark):
     from redactum.sources import files
     from redactum.sources import tables as T
 
+    import tempfile
+    import uuid
+
     docs = T.text_docs(spark, SF_SMALL)
-    files.ingest_bucketed(docs, "redactum_test_docs_bucketed", 4)
-    b = spark.table("redactum_test_docs_bucketed")
+    name = "redactum_test_docs_" + uuid.uuid4().hex[:8]
+    files.ingest_bucketed(docs, name, 4, path=tempfile.mkdtemp(prefix="redactum-test-") + "/t")
+    b = spark.table(name)
     r = Redaction(b, config=Config(clustered=True, materialize="none"))
     plan = r.marked._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
