@@ -16,6 +16,7 @@ from typing import Callable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from .tokens import run_window
 
 # --- fixed values of the test-table rule recognizer ------------------------
@@ -34,6 +35,20 @@ CAPS = r"^\p{Lu}{3,}$"
 DIGITS9 = r"^[0-9]{9,}$"
 
 
+def rule_prefilter(seg):
+    """Run-level superset test for the rule recognizer: a run can only hold
+    a span if its text matches one of these (two word tokens are always
+    separated by whitespace only, or they would be one token). Runs that
+    do not match skip the token pass of recognition."""
+    z = P.SPACE_CLASS
+    preps = "|".join(PREPOSITIONS)
+    pat = (rf"[0-9]{{9,}}|\p{{Lu}}{{3,}}[{z}]*License|\p{{Lu}}\p{{Ll}}{{2,}}[{z}]*\p{{Lu}}\p{{Ll}}{{2,}}"
+           rf"|(?:{preps})[{z}]*\p{{Lu}}\p{{Ll}}{{2,}}")
+    return seg.rlike(pat)
+
+
+
+
 def rule_confidence(token):
     return F.lit(0.5) + (F.length(token) % F.lit(5)) * F.lit(0.125)
 

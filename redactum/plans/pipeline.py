@@ -48,9 +48,16 @@ class Redaction:
 
     def __init__(self, docs: DataFrame, lemmas: Optional[DataFrame] = None,
                  recognizer: Callable[[DataFrame], DataFrame] = recognize.rule_labels,
-                 config: Optional[Config] = None, segments: Optional[DataFrame] = None):
+                 config: Optional[Config] = None, segments: Optional[DataFrame] = None,
+                 prefilter: Optional[Callable] = None):
         """``segments`` (doc_id, seg_no, seg, is_xml, is_run) may be given
-        instead of documents, e.g. conversations whose turns are runs."""
+        instead of documents, e.g. conversations whose turns are runs.
+
+        ``prefilter(seg) -> bool column`` is a run-level superset test of
+        the recognizer (the rule recognizer has one; a model has none): runs
+        that fail it skip the token pass of recognition. ``pieces`` and
+        ``marked`` stay complete (lazy) for the queries that need every
+        token."""
         self.cfg = config or Config()
         spark = (docs if docs is not None else segments).sparkSession
         n = self.cfg.partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -64,15 +71,17 @@ class Redaction:
             self._seg_input = segments.repartition(n, "doc_id")
             self.segments = self._seg_input
             self.docs = self.segments.select("doc_id").distinct()
+        if prefilter is None and recognizer is recognize.rule_labels:
+            prefilter = recognize.rule_prefilter
         self.pieces = tokens.pieces(self.segments)
-        labelled = recognizer(self.pieces)
-        if self.cfg.officials:
-            labelled = recognize.officials_rule(labelled)
-        if self.cfg.truncate is not None:
-            labelled = recognize.truncate_compat(labelled, self.cfg.truncate)
-        self.labelled = labelled
-        self.marked = spans.mark_spans(labelled, self.cfg.threshold)
-        self.spans = self._keep(spans.decode_spans(self.marked, self.cfg.threshold))
+        self.labelled = self._recognize(self.pieces, recognizer)
+        self.marked = spans.mark_spans(self.labelled, self.cfg.threshold)
+        if prefilter is not None:
+            segs = self.segments.withColumn("is_run", F.col("is_run") & F.coalesce(prefilter(F.col("seg")), F.lit(False)))
+            marked = spans.mark_spans(self._recognize(tokens.pieces(segs), recognizer), self.cfg.threshold)
+        else:
+            marked = self.marked
+        self.spans = self._keep(spans.decode_spans(marked, self.cfg.threshold))
         person_names = self.spans.where(F.col("label") == "PERSON").select(F.col("text").alias("name")).distinct()
         if lemmas is None:
             lemmas = names.fixture_lemmas(names.words_of_names(person_names))
@@ -83,6 +92,14 @@ class Redaction:
         self.persons = persons.persons(
             self.mentions.where(F.col("label") == "PERSON"), self.cfg.shift, self.cfg.order, fold=self.cfg.fold)
 
+    def _recognize(self, pcs: DataFrame, recognizer) -> DataFrame:
+        labelled = recognizer(pcs)
+        if self.cfg.officials:
+            labelled = recognize.officials_rule(labelled)
+        if self.cfg.truncate is not None:
+            labelled = recognize.truncate_compat(labelled, self.cfg.truncate)
+        return labelled
+
     def _keep(self, df: DataFrame) -> DataFrame:
         """Materialise a small intermediate table (mentions are a tiny
         fraction of the text) so later stages do not re-plan the token pass."""

@@ -98,3 +98,18 @@ def test_bucketed_input_needs_no_text_shuffle(spark):
     got = {tuple(x) for x in r.redacted().collect()}
     want = {tuple(x) for x in Redaction(docs).redacted().collect()}
     assert got == want
+
+
+def test_rule_prefilter_is_a_superset(spark):
+    from pyspark.sql import functions as F
+    from conftest import SF_SMALL
+    from redactum.sources import tables as T
+
+    extra = docs_df(spark, [(10 ** 6 + i, t) for i, t in enumerate([
+        "Ala Ola", "x in Paryż", "MIT License", "123456789", "Ab Cd", "Ala\nOla", "in\tBerlin", "ABC-License",
+        "Zażółć Gęślą", "nic"])])
+    docs = T.text_docs(spark, SF_SMALL).select("doc_id", "text", "fmt").unionByName(extra)
+    cols = ["doc_id", "run_no", "start", "end", "label", "text"]
+    a = {tuple(r) for r in Redaction(docs, config=Config(materialize="none")).spans.select(*cols).collect()}
+    b = {tuple(r) for r in Redaction(docs, config=Config(materialize="none"), prefilter=lambda s: F.lit(True)).spans.select(*cols).collect()}
+    assert a == b and len(a) > 0
