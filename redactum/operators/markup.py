@@ -35,11 +35,17 @@ def segments(docs: DataFrame, skip_tagged: bool = True) -> DataFrame:
     prev = F.lag("seg", 1).over(w)
     prev2 = F.lag("seg", 2).over(w)
     nxt = F.lead("seg", 1).over(w)
-    # the ten characters before the '>' that precedes this piece
-    ctx = F.right(F.concat_ws("", F.collect_list("seg").over(w.rowsBetween(-11, -2))), F.lit(10))
+    # "the ten characters before that '>' end in '=\"' after right-trimming":
+    # pieces alternate between brackets and maximal bracket-free stretches,
+    # so only the stretch right before the '>' (prev2) can supply both
+    # characters, and it does iff its trimmed text ends in '="' and at most
+    # eight trailing spaces push them out of the ten-character window.
+    trimmed = rstrip_ws(prev2)
+    in_attr = ((~prev2.isin("<", ">")) & trimmed.endswith('="')
+               & ((F.length(prev2) - F.length(trimmed)) <= F.lit(8)))
     markup_run = ((~F.col("seg").isin("<", ">")) & (prev == ">") & (nxt == "<")
                   & F.col("seg").rlike(P.NOT_SPACE)
-                  & ~rstrip_ws(F.coalesce(ctx, F.lit(""))).endswith('="'))
+                  & ~F.coalesce(in_attr, F.lit(False)))
     if skip_tagged:
         markup_run = markup_run & ~F.coalesce(prev2.rlike(r"^xAnon(\s|$)"), F.lit(False))
     return s.select("doc_id", "seg_no", "seg", "is_xml",

@@ -37,7 +37,9 @@ def test_pieces_concatenate_to_text(spark):
 def test_markup_runs_match_spec(spark):
     rnd = random.Random(3)
     frags = ["<", ">", "a", " ", '="', "x=\"", "tekst", "\n", "b c", '"']
-    xmls = ["<a x=\">\">t<b>u</b></a>", "<p>Jan Kowalski</p><q a=\"1\">z</q>"]
+    xmls = ["<a x=\">\">t<b>u</b></a>", "<p>Jan Kowalski</p><q a=\"1\">z</q>",
+            '<a x="' + " " * 8 + '>t<', '<a x="' + " " * 9 + '>t<', '<a x="\n\n' + " " * 6 + '>t<',
+            '="' + " " * 8 + '>t<', '<a x= "  >t<', '<>="><', '>="  >a<']
     xmls += ["".join(rnd.choice(frags) for _ in range(rnd.randint(1, 30))) for _ in range(300)]
     df = docs_df(spark, list(enumerate(xmls)), fmt="xml")
     got = {}
