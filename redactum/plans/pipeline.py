@@ -13,6 +13,7 @@ the substitute join, which reuses the token side's partitioning
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Callable, Optional
 
 from pyspark.sql import DataFrame
@@ -73,24 +74,46 @@ class Redaction:
             self.docs = self.segments.select("doc_id").distinct()
         if prefilter is None and recognizer is recognize.rule_labels:
             prefilter = recognize.rule_prefilter
+        self._recognizer, self._prefilter, self._lemmas = recognizer, prefilter, lemmas
         self.pieces = tokens.pieces(self.segments)
         self.labelled = self._recognize(self.pieces, recognizer)
         self.marked = spans.mark_spans(self.labelled, self.cfg.threshold)
-        if prefilter is not None:
-            segs = self.segments.withColumn("is_run", F.col("is_run") & F.coalesce(prefilter(F.col("seg")), F.lit(False)))
-            marked = spans.mark_spans(self._recognize(tokens.pieces(segs), recognizer), self.cfg.threshold)
+
+    # The small tables are built (and checkpointed) on first use only, so a
+    # query that needs tokens alone never runs recognition.
+    @cached_property
+    def spans(self) -> DataFrame:
+        if self._prefilter is not None:
+            segs = self.segments.withColumn(
+                "is_run", F.col("is_run") & F.coalesce(self._prefilter(F.col("seg")), F.lit(False)))
+            marked = spans.mark_spans(self._recognize(tokens.pieces(segs), self._recognizer), self.cfg.threshold)
         else:
             marked = self.marked
-        self.spans = self._keep(spans.decode_spans(marked, self.cfg.threshold))
-        person_names = self.spans.where(F.col("label") == "PERSON").select(F.col("text").alias("name")).distinct()
-        if lemmas is None:
-            lemmas = names.fixture_lemmas(names.words_of_names(person_names))
-        self.lemmas = lemmas
-        self.keys = self._keep(names.name_keys(person_names, lemmas))
-        self.mentions = self._keep(persons.mention_substitutes(
+        return self._keep(spans.decode_spans(marked, self.cfg.threshold))
+
+    @cached_property
+    def person_names(self) -> DataFrame:
+        return self.spans.where(F.col("label") == "PERSON").select(F.col("text").alias("name")).distinct()
+
+    @cached_property
+    def lemmas(self) -> DataFrame:
+        if self._lemmas is not None:
+            return self._lemmas
+        return names.fixture_lemmas(names.words_of_names(self.person_names))
+
+    @cached_property
+    def keys(self) -> DataFrame:
+        return self._keep(names.name_keys(self.person_names, self.lemmas))
+
+    @cached_property
+    def mentions(self) -> DataFrame:
+        return self._keep(persons.mention_substitutes(
             self.spans, self.keys, self.cfg.shift, self.cfg.order, self.cfg.fold))
-        self.persons = persons.persons(
-            self.mentions.where(F.col("label") == "PERSON"), self.cfg.shift, self.cfg.order, fold=self.cfg.fold)
+
+    @cached_property
+    def persons(self) -> DataFrame:
+        return persons.persons(self.mentions.where(F.col("label") == "PERSON"), self.cfg.shift, self.cfg.order,
+                               fold=self.cfg.fold)
 
     def _recognize(self, pcs: DataFrame, recognizer) -> DataFrame:
         labelled = recognizer(pcs)
