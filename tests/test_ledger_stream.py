@@ -62,3 +62,24 @@ def test_two_stage_sessions_equal_direct(spark):
     one = {(r.case_id, r.s.start, r.s.end, r.n) for r in
            df.groupBy("case_id", F.session_window("ts", "30 minutes").alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
     assert two == one
+
+
+def test_preview_and_parse_both_quote_styles(spark):
+    from redactum.operators import rewrite
+
+    t = "<p>A <xAnon xSubst=\"J. K. (1)\">Jan Kowalski</xAnon>, <xAnon xSubst='E. N.'>Ewa</xAnon> i <xAnon>X</xAnon></p>\n\n\n\nkoniec   tu"
+    df = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    m = [(r.n, r.subst, r.orig) for r in rewrite.parse_mentions(df).orderBy("n").collect()]
+    assert m == [(1, "J. K. (1)", "Jan Kowalski"), (2, "E. N.", "Ewa"), (3, None, "X")]
+    clean, trunc = rewrite.clean_text(F.col("text"), 1000)
+    c = df.select(clean.alias("c"), trunc.alias("t")).first()
+    assert c.c == " A J. K. (1), E. N. i (...) \n\nkoniec tu" and c.t is False
+
+
+def test_work_selection_rules(spark):
+    lat = spark.createDataFrame([(1, "pending"), (2, "processing"), (3, "cancelled"), (4, "done")], "doc_id long, status string")
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(1, 6)], "doc_id long, text string")
+    assert {r.doc_id for r in L.todo(docs, lat).collect()} == {1}               # only pending is claimed
+    assert {r.doc_id for r in L.publish(docs, lat).collect()} == {1, 2, 4, 5}   # withdrawn never published
+    out = {r.doc_id: r.outcome for r in L.erase(docs.select("doc_id"), lat).collect()}
+    assert out == {1: "deleted", 2: "skipped", 3: "deleted", 4: "deleted", 5: "deleted"}
