@@ -7,14 +7,30 @@ places on both sides.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import patterns as PT
 from ..functions.names import initials, name_parts
+from ..operators import corpus as C
+from ..operators import evaluate as EV
+from ..operators import ledger as L
 from ..operators import names as N
+from ..operators import persons as PS
 from ..operators import recognize, rewrite, tokens
+from ..operators import roster as R
+from ..operators import spans as SP
+from ..operators.fixture_model import rule_model_factory
+from ..operators.markup import segments as markup_segments
 from ..operators.markup import text_runs
+from ..session import checkpoint_dir
+from ..sources import files as FS
+from ..sources import golden as G
 from ..sources import tables as T
+from ..streaming import jobs as SJ
+from .failures import redact_isolated
 from .pipeline import Config, Redaction
 
 _cache: dict = {}
@@ -173,9 +189,6 @@ def q_doc_counts(spark, d):
 
 
 # ---- ledger, cases, rosters ------------------------------------------------
-from ..operators import ledger as L  # noqa: E402
-from ..operators import persons as PS  # noqa: E402
-from ..operators import roster as R  # noqa: E402
 
 TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -327,10 +340,6 @@ def q_persons_numbered_case(spark, d):
 
 
 # ---- evaluation and corpus ---------------------------------------------------
-from ..functions import patterns as PT  # noqa: E402
-from ..operators import corpus as C  # noqa: E402
-from ..operators import evaluate as EV  # noqa: E402
-from ..sources import golden as G  # noqa: E402
 
 DIGITS9 = "[0-9]{9,}"
 
@@ -411,15 +420,11 @@ def q_leak_audit(spark, d):
     kept = r.spans.select("doc_id", "run_no", "span")
     span_toks = r.marked.join(kept, ["doc_id", "run_no", "span"])
     red = r.redacted().select("doc_id", "text", F.lit("txt").alias("fmt"))
-    from ..operators import markup as MK
-    out_toks = tokens.pieces(MK.segments(red)).where("is_tok")
+    out_toks = tokens.pieces(markup_segments(red)).where("is_tok")
     return EV.leak_audit(span_toks, out_toks)
 
 
 # ---- sources, failures, streams -----------------------------------------------
-from ..sources import files as FS  # noqa: E402
-from ..streaming import jobs as SJ  # noqa: E402
-from .failures import redact_isolated  # noqa: E402
 
 ADMISSION_TEST_BYTES = 16000
 
@@ -486,8 +491,6 @@ def q_stream_roster(spark, d):
 
 
 # ---- more inventory items ------------------------------------------------------
-from ..operators import spans as SP  # noqa: E402
-from ..operators.fixture_model import rule_model_factory  # noqa: E402
 
 LABEL_LIST = ["O", "B-PERSON", "I-PERSON", "B-LOCATION", "B-SENSITIVE", "B-PRODUCT", "I-PRODUCT", "MAIL"]
 
@@ -551,10 +554,7 @@ def q_conversation_substitutes(spark, d):
 
 def q_stream_ledger(spark, d):
     """T3 as a stream: latest status per document, update mode."""
-    import uuid as _uuid
-
-    from ..session import checkpoint_dir as _ck
-    base = _ck(spark).rstrip("/") + f"/streams/ledger-{_uuid.uuid4().hex[:12]}"
+    base = checkpoint_dir(spark).rstrip("/") + f"/streams/ledger-{uuid.uuid4().hex[:12]}"
 
     def per_batch(b, i):
         b.write.mode("overwrite").parquet(f"{base}/out/batch_id={i}")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from ..functions import patterns as P
 from ..operators.recognize import PREPOSITIONS, ROLE_WORDS
 from ..operators.names import CASES
+from ..sources.golden import CASE_PATTERN
+from ..sources.tables import PART_NAMES_SQL
 
 
 def q(s: str) -> str:
@@ -281,7 +283,6 @@ def core(docs_sql: str, upto: str = "redact", *, officials: bool = False, shift:
 # --------------------------------------------------------------------------
 # The oracle queries, keyed like the Spark catalog.
 # --------------------------------------------------------------------------
-from ..sources.tables import PART_NAMES_SQL  # noqa: E402
 
 TXT = docs_txt()
 XML = docs_xml()
@@ -475,7 +476,6 @@ SELECT case_id, person_key, initials, k, CAST(n_same AS BIGINT) AS n_same,
 
 
 # ---- evaluation and corpus ---------------------------------------------------
-from ..sources.golden import CASE_PATTERN  # noqa: E402
 
 GOLD_FILES = f"""SELECT 'doc_' || CAST(doc_id AS VARCHAR) || '.test' AS file, string_agg(cs, chr(10) ORDER BY ln) AS content FROM (
   SELECT doc_id, ln, 'ANONYMIZE("' || line || '") = ' || CASE WHEN regexp_matches(line, '[0-9]{{9,}}')
