@@ -113,3 +113,14 @@ def test_rule_prefilter_is_a_superset(spark):
     a = {tuple(r) for r in Redaction(docs, config=Config(materialize="none")).spans.select(*cols).collect()}
     b = {tuple(r) for r in Redaction(docs, config=Config(materialize="none"), prefilter=lambda s: F.lit(True)).spans.select(*cols).collect()}
     assert a == b and len(a) > 0
+
+
+def test_mixed_formats_in_one_plan(spark):
+    from conftest import SF_SMALL
+    from redactum.sources import tables as T
+
+    txt = T.text_docs(spark, SF_SMALL).select("doc_id", "text", "fmt")
+    xml = T.markup_docs(spark, SF_SMALL).select((F.col("doc_id") + 10 ** 7).alias("doc_id"), "text", "fmt")
+    mixed = {tuple(r) for r in Redaction(txt.unionByName(xml)).redacted().collect()}
+    separate = {tuple(r) for r in Redaction(txt).redacted().collect()} | {tuple(r) for r in Redaction(xml).redacted().collect()}
+    assert mixed == separate
