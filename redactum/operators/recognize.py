@@ -146,16 +146,24 @@ def apply_label_map(pred_ids: DataFrame, label_map_json: DataFrame) -> DataFrame
         "label", F.coalesce("label", F.lit("O")))
 
 
-def model_labels(pcs: DataFrame, model_factory: Callable[[], Callable], batch_runs: int = 64) -> DataFrame:
-    """X1(c): user model over whole runs in Arrow batches.
+def model_labels(pcs: DataFrame, model_factory: Callable[[], Callable], window=None) -> DataFrame:
+    """X1(c): user model over runs in Arrow batches.
 
     ``model_factory()`` returns ``predict(list[list[str]]) -> list[list[(label, conf)]]``
     and is called once per Python worker process. Runs are assembled on the
     executors (``collect_list`` per run, bounded by the document size cap),
-    never on the driver.
-    """
-    runs = (pcs.where("is_tok").groupBy("doc_id", "run_no")
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("toks")))
+    never on the driver. ``window=(size, overlap)`` feeds a length-limited
+    model overlapping token windows (X2); each token keeps the prediction of
+    the window where it is furthest from an edge, so no token is left
+    unlabelled."""
+    toks = pcs.where("is_tok").select("doc_id", "run_no", F.col("pos").alias("tok_no"), "token")
+    if window is None:
+        toks = toks.withColumn("chunk", F.lit(0))
+    else:
+        from .tokens import chunk_windows
+        toks = chunk_windows(toks, size=window[0], overlap=window[1]).drop("offset", "edge_dist")
+    runs = (toks.groupBy("doc_id", "run_no", "chunk")
+            .agg(F.sort_array(F.collect_list(F.struct(F.col("tok_no").alias("pos"), "token"))).alias("toks")))
 
     def infer(batches: Iterator):
         import pandas as pd
@@ -167,11 +175,19 @@ def model_labels(pcs: DataFrame, model_factory: Callable[[], Callable], batch_ru
             words = [[t["token"] for t in toks] for toks in pdf["toks"]]
             out = model(words)
             rows = []
-            for (d, r, toks, preds) in zip(pdf["doc_id"], pdf["run_no"], pdf["toks"], out):
+            for (d, r, c, toks, preds) in zip(pdf["doc_id"], pdf["run_no"], pdf["chunk"], pdf["toks"], out):
                 for t, (lab, conf) in zip(toks, preds):
-                    rows.append((d, r, t["pos"], lab, float(conf)))
-            yield pd.DataFrame(rows, columns=["doc_id", "run_no", "tok_no", "label", "confidence"])
+                    rows.append((d, r, c, t["pos"], lab, float(conf)))
+            yield pd.DataFrame(rows, columns=["doc_id", "run_no", "chunk", "tok_no", "label", "confidence"])
 
-    schema = "doc_id long, run_no int, tok_no int, label string, confidence double"
+    schema = "doc_id long, run_no int, chunk int, tok_no int, label string, confidence double"
     preds = runs.mapInPandas(infer, schema=schema)
-    return join_predictions(pcs, preds)
+    if window is not None:
+        size, overlap = window
+        step = size - overlap
+        off = F.col("tok_no") - F.col("chunk") * F.lit(step)
+        dist = F.least(off, F.lit(size - 1) - off)
+        best = F.max_by(F.struct("label", "confidence"), F.struct(dist, -F.col("chunk")))
+        preds = (preds.groupBy("doc_id", "run_no", "tok_no").agg(best.alias("b"))
+                 .select("doc_id", "run_no", "tok_no", "b.label", "b.confidence"))
+    return join_predictions(pcs, preds.drop("chunk") if window is None else preds)

@@ -124,3 +124,18 @@ def test_mixed_formats_in_one_plan(spark):
     mixed = {tuple(r) for r in Redaction(txt.unionByName(xml)).redacted().collect()}
     separate = {tuple(r) for r in Redaction(txt).redacted().collect()} | {tuple(r) for r in Redaction(xml).redacted().collect()}
     assert mixed == separate
+
+
+def test_model_windows_equal_whole_runs(spark):
+    from conftest import SF_SMALL
+    from redactum.operators.fixture_model import rule_model_factory
+    from redactum.sources import tables as T
+
+    docs = T.text_docs(spark, SF_SMALL).select("doc_id", "text", "fmt")
+    cols = ["doc_id", "run_no", "start", "end", "label", "text"]
+    whole = Redaction(docs, recognizer=lambda p: recognize.model_labels(p, rule_model_factory),
+                      config=Config(materialize="none")).spans.select(*cols)
+    win = Redaction(docs, recognizer=lambda p: recognize.model_labels(p, rule_model_factory, window=(16, 4)),
+                    config=Config(materialize="none")).spans.select(*cols)
+    a, b = {tuple(r) for r in whole.collect()}, {tuple(r) for r in win.collect()}
+    assert a == b and len(a) > 0
