@@ -82,3 +82,20 @@ def test_fold_letter_and_truncate_options(spark):
     full = Redaction(docs, recognizer=rec, config=Config(materialize="none")).redacted().first()
     cut = Redaction(docs, recognizer=rec, config=Config(materialize="none", truncate=3)).redacted().first()
     assert full.text == "A. N. oraz A. N." and cut.text == "A. N. oraz Anna Nowak"
+
+
+def test_split_rank_equals_row_number_on_a_hot_group(spark):
+    from pyspark.sql import Window
+
+    rnd = random.Random(9)
+    # one hot (case, initials) group holding most rows, plus small ones
+    rows = [("hot", "J. K.", rnd.random()) for _ in range(3000)]
+    rows += [(f"c{i % 7}", rnd.choice(["A. B.", "J. K."]), rnd.random()) for i in range(500)]
+    df = spark.createDataFrame(rows, "case_id string, initials string, o double")
+    got = persons.split_rank(df, ["case_id", "initials"], "o", slices=16)
+    assert got.select("_slice" if "_slice" in got.columns else "case_id").count() == len(rows)
+    w = Window.partitionBy("case_id", "initials")
+    ref = df.withColumn("k_ref", F.row_number().over(w.orderBy("o"))).withColumn("n_ref", F.count(F.lit(1)).over(w))
+    j = got.join(ref, ["case_id", "initials", "o"])
+    assert j.count() == len(rows)
+    assert j.where("k <> k_ref OR n_same <> n_ref").count() == 0
