@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactum.llm import orc_tokens, packing, repetition, topk, url_filter, warc
+from redactum.llm import html_blocks, language, order_minhash, orc_tokens, packing, repetition, topk, url_filter, warc
 from redactum.llm.common import prepare, table
 from redactum.llm.tokens import default_path
 
@@ -17,6 +17,20 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return orc_tokens.store_tokens(spark, docs, default_path("word_bpe_49k.json"), END_ID)[1]
@@ -46,5 +60,5 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op5_orc_tokens, op6_warc, op7_packing, op9_url_filter, op10_repetition)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_order_minhash, op3_language, op4_html_blocks, op5_orc_tokens, op6_warc, op7_packing, op9_url_filter, op10_repetition)}
 ORACLES: dict[str, str] = {}
