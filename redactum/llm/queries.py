@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactum.llm import html_blocks, language, order_minhash, orc_tokens, packing, repetition, topk, url_filter, warc
+from redactum.llm import html_blocks, language, merge_dropout, order_minhash, orc_tokens, packing, repetition, topk, url_filter, warc
 from redactum.llm.common import prepare, table
 from redactum.llm.tokens import default_path
 
@@ -51,6 +51,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, docs, default_path("byte_bpe_50k.json"), END_ID)
 
 
+def op8_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return merge_dropout.encode_decode(table(spark, sf_dir, "documents"), default_path("piece_bpe_32k.model"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark, table(spark, sf_dir, "pages"))
 
@@ -60,5 +65,7 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_order_minhash, op3_language, op4_html_blocks, op5_orc_tokens, op6_warc, op7_packing, op9_url_filter, op10_repetition)}
+QUERIES = {f.__name__: f for f in (
+    op1_topk, op2_order_minhash, op3_language, op4_html_blocks, op5_orc_tokens, op6_warc, op7_packing,
+    op8_merge_dropout, op9_url_filter, op10_repetition)}
 ORACLES: dict[str, str] = {}
