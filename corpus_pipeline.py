@@ -35,7 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     net = language.train(docs)
     if net is None:
-        return docs.filter(F.col("text").rlike(r"\\p{L}"))
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     name = temp_name(*docs.columns)
     sure = (F.col(f"{name}.lang_pred") != language.UNKNOWN) & (F.col(f"{name}.score") >= LEAST_SCORE)
     return docs.withColumn(name, language.language(F.col("text"), net)).filter(sure).drop(name)
