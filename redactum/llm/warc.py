@@ -2,7 +2,7 @@
 
 Writer: one record per page. Header lines, the HTTP head and the payload are
 one string column, written by Spark's text writer, whose task commit makes lost
-or repeated attempts harmless. Of pages with equal payloads the largest page_id
+or repeated attempts harmless; by default each file is one gzip stream. Of pages with equal payloads the largest page_id
 is the response; the others are revisit records without a payload that name its
 record id.
 
@@ -11,7 +11,8 @@ files at about ``FILE_BYTES``). A record is accepted if its version line,
 header, length, end mark and payload digest hold. After a failed check the
 reader searches for the next version line, or in compressed archives the next
 member that can be inflated, goes on from there, and logs the bytes in between
-as a quarantined gap.
+as a quarantined gap. Of a damaged member the records before the damage are
+recovered too.
 
 Null html is an empty payload; null url leaves out the target; a null page_id
 is written as such and never is the one that others refer to, unless all equal
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from redactum.llm.common import fresh_path
 
 FILE_BYTES = 8 << 20
+#: compressed bytes inflated at a time: less is lost before a damaged place
+CHUNK = 4096
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
@@ -57,25 +60,26 @@ def safe_url(url: Column) -> Column:
     return F.when(url.rlike(r"\A[\x21-\x7E]*\z"), url).otherwise(odd)
 
 
-def plan_records(pages: DataFrame, id_col="page_id", html_col="html", url_col="url",
+def plan_records(pages: DataFrame, files: int = 1, id_col="page_id", html_col="html", url_col="url",
                  least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, payload_bytes, payload_digest, resp): resp is the page_id
-    of the response with an equal payload.
+    """(page_id, url, html, payload_bytes, payload_digest, resp), dealt to so many
+    partitions; resp is the page_id of the response with an equal payload.
 
     The largest id per payload comes from a sum before the shuffle; it is joined
-    back by page_id and digest, so a payload that many pages share stays spread.
+    back by page_id and digest, so a payload that many pages share stays spread,
+    and the payloads are shuffled once.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
                         F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    rows = rows.withColumns({"payload_bytes": F.octet_length("html").cast("long"),
+    name = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
+    rows = rows.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "page": name,
                              "payload_digest": base32_sha1(F.col("html").cast("binary"))})
-    slim = rows.select("page_id", "payload_bytes", "payload_digest")
+    slim = rows.select("page_id", "page", "payload_bytes", "payload_digest")
     best = (slim.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("resp"), F.count("*").alias("n"))
             .filter((F.col("n") > 1) & (F.col("payload_bytes") >= least_bytes)).drop("n"))
     links = (slim.join(best, ["payload_digest", "payload_bytes"]).filter("page_id IS NULL OR page_id < resp")
-             .select(F.col("page_id").alias("k_id"), F.col("payload_digest").alias("k_digest"), "resp").distinct())
-    return rows.join(links, F.col("page_id").eqNullSafe(F.col("k_id"))
-                     & (F.col("payload_digest") == F.col("k_digest")), "left").drop("k_id", "k_digest")
+             .select("page", "payload_digest", "resp").distinct())
+    return rows.repartition(files, "page", "payload_digest").join(links, ["page", "payload_digest"], "left").drop("page")
 
 
 def record_id(page_id: Column) -> Column:
@@ -101,12 +105,9 @@ def record_text(df: DataFrame) -> Column:
                     F.lit("\r\n\r\n"), body, F.lit("\r\n\r"))
 
 
-def write_warc(spark: SparkSession, planned: DataFrame, path: str, total_bytes: int,
-               compression: str = "none") -> None:
-    """Files of about FILE_BYTES; a record is never split."""
-    files = max(1, -(-total_bytes // FILE_BYTES))
-    (planned.repartition(files, F.xxhash64("page_id", "payload_digest", "url"))
-     .select(record_text(planned).alias("value"))
+def write_warc(planned: DataFrame, path: str, compression: str = "gzip") -> None:
+    """A file per partition; a record is never split."""
+    (planned.select(record_text(planned).alias("value"))
      .write.option("lineSep", "\n").option("compression", compression).text(path))
 
 
@@ -166,35 +167,48 @@ def salvage(data: bytes, base: int = 0):
         yield "gap", base + gap, base + len(data), why
 
 
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What a member holds, as far as it can be inflated; its end; what failed."""
+    if data[at:at + 2] != b"\x1f\x8b":
+        return b"", at, "no member"
+    inflate, plain = zlib.decompressobj(31), []
+    try:
+        for k in range(at, len(data), CHUNK):
+            plain.append(inflate.decompress(data[k:k + CHUNK]))
+            if inflate.eof:
+                return b"".join(plain), min(k + CHUNK, len(data)) - len(inflate.unused_data), ""
+    except zlib.error as e:
+        return b"".join(plain), at, str(e)
+    return b"".join(plain), at, "cut member"
+
+
 def salvage_any(data: bytes):
     """The same for plain bytes or gzip members; offsets are those of the file.
 
-    A member that can't be inflated whole is a gap up to the next place from
-    which one can; what it holds is checked like a plain archive.
+    A member that can't be inflated whole gives the records before the damage;
+    from its start to the next member that can be inflated is a gap.
     """
     if data[:2] != b"\x1f\x8b" and b"WARC/1." in data:
         yield from salvage(data)
         return
     at, gap, why = 0, None, ""
     while at < len(data):
-        inflate = zlib.decompressobj(31)
-        try:
-            plain = inflate.decompress(data[at:]) if data[at:at + 2] == b"\x1f\x8b" else None
-            bad = "no member" if plain is None else "" if inflate.eof else "cut member"
-        except zlib.error as e:
-            bad = str(e)
+        plain, end, bad = _inflate(data, at)
         if bad:
+            found = data.find(b"\x1f\x8b\x08", at + 1)
+            found = found if found >= 0 else len(data)
+            for kind, _, _, what in salvage(plain):
+                if kind == "record":
+                    yield kind, at, found, what
             if gap is None:
                 gap, why = at, bad
-            found = data.find(b"\x1f\x8b\x08", at + 1)
-            at = found if found >= 0 else len(data)
+            at = found
             continue
         if gap is not None:
             yield "gap", gap, at, why
             gap = None
-        end = len(data) - len(inflate.unused_data)
-        for kind, a, b, what in salvage(plain):
-            yield kind, at if kind == "record" else at + min(a, end - at), end, what
+        for kind, _, _, what in salvage(plain):
+            yield kind, at, end, what
         at = end
     if gap is not None:
         yield "gap", gap, len(data), why
@@ -244,5 +258,5 @@ def archive(spark: SparkSession, pages: DataFrame, path: str | None = None) -> t
     """Write the pages and read them back: (path, records and gaps)."""
     path = path or fresh_path(spark, "warc")
     total = pages.agg(F.sum(F.octet_length("html") + 600)).first()[0] or 0
-    write_warc(spark, plan_records(pages), path, total)
+    write_warc(plan_records(pages, max(1, -(-total // FILE_BYTES))), path)
     return path, read_warc(spark, path, with_payload=False)
