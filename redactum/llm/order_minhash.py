@@ -216,25 +216,35 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFr
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """(c, label): the least number of each linked set, for all numbers in links(a, b).
+    """(c, label): one number for each linked set, for all numbers in links(a, b).
 
-    Every round takes the least label among the neighbours and then that
-    label's own label; each is a written table. Ends when no label changes.
+    Every round points each number to the least of its neighbours and itself,
+    follows the pointers to their roots, and keeps the links between different
+    roots; a large family is one root after the first round. Pointers and links
+    are written tables.
     """
-    both = stored(spark, links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-                  "links")
-    labels = stored(spark, both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m"))
-                    .select("c", F.least("c", "m").alias("label"), F.lit(True).alias("new")), "labels")
-    while labels.filter("new").limit(1).count():
-        near = (both.join(labels.select(F.col("c").alias("b"), "label"), "b")
-                .groupBy(F.col("a").alias("c")).agg(F.min("label").alias("m")))
-        least = labels.select("c", F.col("label").alias("old")).join(near, "c").select(
-            "c", "old", F.least("old", "m").alias("to"))
-        jump = labels.select(F.col("c").alias("to"), F.col("label").alias("far"))
-        label = F.least("to", "far")
-        labels = stored(spark, least.join(jump, "to").select(
-            "c", label.alias("label"), (label != F.col("old")).alias("new")), "labels")
-    return labels.select("c", "label")
+    rounds = []
+    while True:
+        ends = links.select(F.col("a").alias("c"), F.col("b").alias("to")).unionByName(
+            links.select(F.col("b").alias("c"), F.col("a").alias("to")))
+        to = stored(spark, ends.groupBy("c").agg(F.min("to").alias("to")).select("c", F.least("c", "to").alias("to"),
+                                                                                 F.lit(True).alias("new")), "pointers")
+        while to.filter("new").limit(1).count():
+            far = to.select(F.col("c").alias("to"), F.col("to").alias("far"))
+            to = stored(spark, to.drop("new").join(far, "to").select(
+                "c", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("new")), "pointers")
+        rounds.append(to.drop("new"))
+        root = lambda k: to.select(F.col("c").alias(k), F.col("to").alias(f"{k}_root"))  # noqa: B023, E731
+        ends = links.join(root("a"), "a").join(root("b"), "b").filter("a_root != b_root")
+        links = stored(spark, ends.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"))
+                       .distinct(), "links")
+        if not links.limit(1).count():
+            break
+    labels = rounds[0].withColumnRenamed("to", "label")
+    for later in rounds[1:]:
+        later = later.select(F.col("c").alias("label"), "to")
+        labels = labels.join(later, "label", "left").select("c", F.coalesce("to", "label").alias("label"))
+    return labels
 
 
 def classes_of(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, least: float):
