@@ -263,7 +263,8 @@ def classes_of(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str,
     pairs = stored(spark, candidates(spark, first), "candidates")
     asked = (pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
              .join(first.select("c", "key", "least_id"), "c"))
-    texts = with_key(docs, id_col, text_col, asked).select("c", F.col(text_col).alias("text"))
+    slim = docs.select(ids.alias("doc_id"), F.col(text_col).alias("text"))
+    texts = with_key(slim, "doc_id", "text", asked).select("c", "text")
     texts = stored(spark, texts.groupBy("c").agg(F.first("text").alias("text")), "asked-texts")
     labels = components(spark, stored(spark, verified(pairs, texts, least), "near"))
     named = (first.select("c", "key", "least_id", "many").join(labels, "c", "left")
