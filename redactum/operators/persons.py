@@ -5,17 +5,20 @@ first (the reference splices right-to-left). The first mention of a person in
 that order decides the person's initials (G5); the k-th new person with the
 same initials in a document is numbered ``(k)`` (W2) and the number is dropped
 when the initials are unique in the document (W3, structural: source text is
-never edited). Windows are partitioned by document, whose size is capped at
-admission, so no window partition grows with the collection.
+never edited). Windows are partitioned by document, which is a unit of
+work, so no window partition grows with the collection.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import initials
 from ..functions.substitutes import label_substitute
+from ..session import scratch_path
 
 
 def order_key(order: str = "reference"):
@@ -66,7 +69,11 @@ def split_rank(df: DataFrame, keys: list, order_col: str, slices: int | None = N
     spark = df.sparkSession
     n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     x = df.repartitionByRange(n, *[F.col(k) for k in keys], F.col(order_col))
-    x = x.withColumn("_slice", F.spark_partition_id())
+    # written once: ranks and counts below must see the same slices, and a range
+    # exchange that is planned twice may sample different bounds
+    path = scratch_path(spark, f"ranked-{uuid.uuid4().hex}")
+    x.withColumn("_slice", F.spark_partition_id()).write.parquet(path)
+    x = spark.read.parquet(path)
     local = Window.partitionBy(*keys, "_slice").orderBy(order_col)
     x = x.withColumn("_lk", F.row_number().over(local))
     counts = x.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_c"))

@@ -96,15 +96,6 @@ def officials_rule(labelled: DataFrame, roles=None) -> DataFrame:
     return x.withColumn("label", F.when(F.col("official"), F.lit("O")).otherwise(lbl)).drop("official", "grp")
 
 
-def truncate_compat(labelled: DataFrame, limit: int = 512) -> DataFrame:
-    """Q2 compatibility: tokens from position ``limit`` on are left in clear
-    (O, 1.0), as a model truncated at that length would leave them. The
-    default pipeline labels every token instead (X2)."""
-    cut = F.col("pos") >= F.lit(limit)
-    return (labelled.withColumn("label", F.when(cut, F.lit("O")).otherwise(F.col("label")))
-            .withColumn("confidence", F.when(cut, F.lit(1.0)).otherwise(F.col("confidence"))))
-
-
 def gazetteer_labels(pcs: DataFrame, terms: DataFrame) -> DataFrame:
     """X1(b): single-token term list terms(term, label, confidence).
 

@@ -70,12 +70,11 @@ def tagged_to_plain(c):
     return F.regexp_replace(c, F.lit(r"(?s)<xAnon\s+xSubst=(?:'([^']*)'|\"([^\"]*)\")\s*>.*?</xAnon>"), F.lit("$1$2"))
 
 
-def clean_text(c, limit: int = 20000):
+def clean_text(c):
     """Mentions -> substitute ('(...)' without attribute), other tags ->
-    space, runs of spaces/tabs -> one space, 3+ newlines -> 2, cut at limit."""
+    space, runs of spaces/tabs -> one space, 3+ newlines -> 2; the whole text."""
     t = F.regexp_replace(c, F.lit(r"(?s)<xAnon\s+xSubst=(?:'([^']*)'|\"([^\"]*)\")\s*>.*?</xAnon>"), F.lit("$1$2"))
     t = F.regexp_replace(t, F.lit(r"(?s)<xAnon\s*>.*?</xAnon>"), F.lit(ELLIPSIS))
     t = F.regexp_replace(t, F.lit(r"<[^>]+>"), F.lit(" "))
     t = F.regexp_replace(t, F.lit(r"[ \t]{2,}"), F.lit(" "))
-    t = F.regexp_replace(t, F.lit(r"\n{3,}"), F.lit("\n\n"))
-    return F.left(t, F.lit(limit)), F.length(t) > F.lit(limit)
+    return F.regexp_replace(t, F.lit(r"\n{3,}"), F.lit("\n\n"))

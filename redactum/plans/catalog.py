@@ -174,8 +174,7 @@ def q_tagged_to_plain(spark, d):
 
 def q_clean_text(spark, d):
     r = redaction(spark, d, kind="markup").redacted()
-    c, t = rewrite.clean_text(F.col("text"), 2000)
-    return r.select("doc_id", c.alias("clean"), t.alias("truncated"))
+    return r.select("doc_id", rewrite.clean_text(F.col("text")).alias("clean"))
 
 
 def q_doc_counts(spark, d):

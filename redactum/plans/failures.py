@@ -7,22 +7,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.files import MAX_UPLOAD_BYTES
 from .pipeline import Config, Redaction
 
 
-def problems(docs: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES):
+def problems():
     t = F.col("text")
     return (F.when(t.isNull(), F.lit("no text"))
-            .when(F.octet_length(t) > F.lit(max_bytes), F.lit("document over the size cap"))
             .when(t.contains("\u0000"), F.lit("NUL character in text")))
 
 
-def redact_isolated(docs: DataFrame, config: Config | None = None, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
+def redact_isolated(docs: DataFrame, config: Config | None = None) -> DataFrame:
     """-> (doc_id, status, error, n_mentions, text)."""
-    x = docs.withColumn("error", problems(docs, max_bytes))
+    x = docs.withColumn("error", problems())
     bad = x.where(F.col("error").isNotNull()).select(
-        "doc_id", F.lit("failed").alias("status"), F.right(F.col("error"), F.lit(2000)).alias("error"),
+        "doc_id", F.lit("failed").alias("status"), "error",
         F.lit(0).cast("long").alias("n_mentions"), F.lit(None).cast("string").alias("text"))
     good = Redaction(x.where(F.col("error").isNull()).drop("error"), config=config).redacted()
     good = good.select("doc_id", F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"),

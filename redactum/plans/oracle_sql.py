@@ -369,7 +369,7 @@ SELECT doc_id, n, nullif(concat(a, b), '') AS subst, orig FROM mu"""),
 c1 AS (SELECT doc_id, regexp_replace(text, {q(TAGGED_RE2)}, '\\1\\2', 'g') AS t FROM red),
 c2 AS (SELECT doc_id, regexp_replace(t, '(?s)<xAnon\\s*>.*?</xAnon>', '(...)', 'g') AS t FROM c1),
 c3 AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM c2)
-SELECT doc_id, left(t, 2000) AS clean, length(t) > 2000 AS truncated FROM c3""",
+SELECT doc_id, t AS clean FROM c3""",
     "doc_counts": core(TXT, "persons") + """
 SELECT d.doc_id, coalesce(m.n, 0) AS n_mentions, coalesce(p.n, 0) AS n_persons FROM d
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM spans GROUP BY doc_id) m ON m.doc_id = d.doc_id

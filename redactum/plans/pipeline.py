@@ -32,7 +32,6 @@ class Config:
     skip_tagged: bool = True
     officials: bool = False
     fold: str = "reference"       # or "letter" (Q4)
-    truncate: Optional[int] = None  # compat: tokens from this position on stay in clear (Q2)
     partitions: Optional[int] = None
     # how the small intermediate tables (spans, name keys, substitutes) are
     # kept: "checkpoint" writes them to the cluster's checkpoint folder and
@@ -119,8 +118,6 @@ class Redaction:
         labelled = recognizer(pcs)
         if self.cfg.officials:
             labelled = recognize.officials_rule(labelled)
-        if self.cfg.truncate is not None:
-            labelled = recognize.truncate_compat(labelled, self.cfg.truncate)
         return labelled
 
     def _keep(self, df: DataFrame) -> DataFrame:

@@ -59,13 +59,15 @@ def apply_runtime_conf(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Only when the session has none (a test or a laptop) a fresh folder is
-    made under the system temp dir.
+    Only when a local session has none (a test or a laptop) a fresh folder is
+    made under the system temp dir; on a cluster that is an error.
     """
     d = spark.sparkContext.getCheckpointDir()
     if d:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="redactum-ckpt-")
     spark.sparkContext.setCheckpointDir(d)

@@ -44,8 +44,8 @@ def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     w1 = F.split("p_name", " ").getItem(0)
     w2 = F.element_at(F.split("p_name", " "), -1)
     k = F.pmod(F.col("p_partkey"), F.lit(6))
-    name = (F.when(k == 0, F.concat(F.upper(F.substring(w1, 1, 1)), F.substring(w1, 2, 1000), F.lit(" "),
-                                    F.upper(F.substring(w2, 1, 1)), F.substring(w2, 2, 1000)))
+    name = (F.when(k == 0, F.concat(F.upper(F.substring(w1, 1, 1)), w1.substr(F.lit(2), F.length(w1)), F.lit(" "),
+                                    F.upper(F.substring(w2, 1, 1)), w2.substr(F.lit(2), F.length(w2))))
             .when(k == 1, F.concat(F.lit("dr "), F.col("p_name")))
             .when(k == 2, F.concat(w1, F.lit(" -"), w2))
             .when(k == 3, F.concat(F.lit("pani "), w1, F.lit(" "), w2, F.lit("-"), w1))
@@ -55,8 +55,8 @@ def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PART_NAMES_SQL = """(SELECT CASE p_partkey % 6
-    WHEN 0 THEN upper(substring(string_split(p_name, ' ')[1], 1, 1)) || substring(string_split(p_name, ' ')[1], 2, 1000) || ' '
-                || upper(substring(string_split(p_name, ' ')[-1], 1, 1)) || substring(string_split(p_name, ' ')[-1], 2, 1000)
+    WHEN 0 THEN upper(substring(string_split(p_name, ' ')[1], 1, 1)) || substring(string_split(p_name, ' ')[1], 2) || ' '
+                || upper(substring(string_split(p_name, ' ')[-1], 1, 1)) || substring(string_split(p_name, ' ')[-1], 2)
     WHEN 1 THEN 'dr ' || p_name
     WHEN 2 THEN string_split(p_name, ' ')[1] || ' -' || string_split(p_name, ' ')[-1]
     WHEN 3 THEN 'pani ' || string_split(p_name, ' ')[1] || ' ' || string_split(p_name, ' ')[-1] || '-' || string_split(p_name, ' ')[1]
