@@ -68,4 +68,51 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_topk, op2_order_minhash, op3_language, op4_html_blocks, op5_orc_tokens, op6_warc, op7_packing,
     op8_merge_dropout, op9_url_filter, op10_repetition)}
-ORACLES: dict[str, str] = {}
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10"""
+
+
+def _covered_sql(n: int) -> str:
+    """c<n>(doc_id, p): words under a window of n words found twice or more."""
+    return f"""
+w{n} AS (SELECT doc_id, i, list_slice(ws, i, i + {n - 1}) AS g FROM (
+    SELECT doc_id, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM t WHERE len(ws) >= {n})),
+d{n} AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM w{n}),
+c{n} AS (SELECT DISTINCT doc_id, i + o AS p FROM d{n}, unnest(range({n})) AS u(o) WHERE c > 1),
+s{n} AS (SELECT c.doc_id, count(*) AS words, sum(length(w)) AS chars FROM c{n} c
+         JOIN words USING (doc_id, p) GROUP BY c.doc_id)"""
+
+
+_SPACES = "\\x20\\x09-\\x0D"
+REPETITION_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^{_SPACES}]+') AS ws
+           FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM t),
+chars AS (SELECT doc_id, sum(length(w)) AS chars FROM words GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
+repeated AS (SELECT doc_id, line, count(*) - 1 AS n FROM lines WHERE regexp_matches(line, '[^{_SPACES}]')
+             GROUP BY doc_id, line HAVING count(*) > 1),
+dup AS (SELECT doc_id, sum(n) AS n, sum(n * length(regexp_replace(line, '[{_SPACES}]', '', 'g'))) AS chars
+        FROM repeated GROUP BY doc_id),
+{",".join(_covered_sql(n) for n in (repetition.BASE_WINDOW, *repetition.LIMITS))},
+m AS (SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(chars.chars, 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(s8.words, 0) AS BIGINT) AS n_repeat_words,
+    CAST(coalesce(dup.chars, 0) AS BIGINT) AS dup_line_chars,
+    {", ".join(f"CAST(coalesce(s{n}.chars, 0) AS BIGINT) AS dup_{n}gram_chars" for n in repetition.LIMITS)}
+  FROM t LEFT JOIN chars USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN s8 USING (doc_id)
+  {" ".join(f"LEFT JOIN s{n} USING (doc_id)" for n in repetition.LIMITS)}),
+b AS (SELECT *, n_words < {repetition.MIN_WORDS} OR 100 * n_repeat_words > {repetition.BASE_PERCENT} * n_words AS base_failed
+      FROM m)
+SELECT *, NOT base_failed AND dup_line_chars <= {repetition.LINE_LIMIT} * word_chars
+    AND {" AND ".join(f"dup_{n}gram_chars <= {x} * word_chars" for n, x in repetition.LIMITS.items())} AS kept FROM b"""
+
+ORACLES: dict[str, str] = {"op1_topk": TOP_K_SQL, "op10_repetition": REPETITION_SQL}
