@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 # --- fixed values ----------------------------------------------------------
 ALLOWED_SUFFIXES = [".xml", ".txt"]
-MAX_UPLOAD_BYTES = 20 * 1024 * 1024
 # ---------------------------------------------------------------------------
 
 
@@ -29,14 +28,19 @@ def fmt_of(name):
     return F.when(F.lower(suffix_of(name)) == ".xml", F.lit("xml")).otherwise(F.lit("txt"))
 
 
+def file_name():
+    """Name of the file a row comes from; the path is a URI, where a ``+`` is a plus."""
+    last = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    return F.url_decode(F.replace(last, F.lit("+"), F.lit("%2B")))
+
+
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
     """``*.xml`` and ``*.txt`` of one folder (not recursive) ->
     docs(doc_id, name, fmt, text). Line ends are normalised to LF, as a
     text-mode read does."""
     # text() applies its own keyword defaults, so the options go there
     df = spark.read.text(path, wholetext=True, pathGlobFilter="*.{xml,txt}", recursiveFileLookup=False)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return df.select(name.alias("name"), F.regexp_replace("value", "\r\n?", "\n").alias("text")).select(
+    return df.select(file_name().alias("name"), F.regexp_replace("value", "\r\n?", "\n").alias("text")).select(
         F.col("name").alias("doc_id"), "name", fmt_of(F.col("name")).alias("fmt"), "text")
 
 
@@ -46,14 +50,14 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
 
-def admission(files: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
-    """S3: suffix allow-list, size cap, valid UTF-8; the first failing rule
-    is the reason. files(name, content BINARY, ...) -> + size, status, reason."""
+def admission(files: DataFrame) -> DataFrame:
+    """S3: suffix allow-list, valid UTF-8; the first failing rule is the
+    reason. files(name, content BINARY, ...) -> + size, status, reason. The
+    size is information: documents of any size are worked."""
     size = F.octet_length("content")
     ok_suffix = F.lower(suffix_of(F.col("name"))).isin(ALLOWED_SUFFIXES)
     utf8 = F.is_valid_utf8(F.col("content").cast("string"))
-    reason = (F.when(~ok_suffix, F.lit("suffix")).when(size > F.lit(max_bytes), F.lit("size"))
-              .when(~utf8, F.lit("encoding")))
+    reason = F.when(~ok_suffix, F.lit("suffix")).when(~utf8, F.lit("encoding"))
     return files.withColumn("size", size.cast("long")).withColumn("reason", reason).withColumn(
         "status", F.when(F.col("reason").isNull(), F.lit("accepted")).otherwise(F.lit("rejected")))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.names import strip_ws
+from .files import file_name
 
 # --- fixed values: golden file syntax ----------------------------------------
 CASE_PATTERN = r'(?s)ANONYMIZE\("(.*?)"\)\s*=\s*(?:"((?:[^"]|" OR ")*)"|(NO_CHANGE))'
@@ -39,5 +40,4 @@ def read_cases(files: DataFrame) -> DataFrame:
 def read_case_files(spark, path: str) -> DataFrame:
     """Whole ``*.test`` files of a folder as (file, content)."""
     df = spark.read.text(path, wholetext=True, pathGlobFilter="*.test")
-    return df.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"),
-                     F.col("value").alias("content"))
+    return df.select(file_name().alias("file"), F.col("value").alias("content"))

@@ -23,12 +23,27 @@ def test_read_folder_formats_and_crlf(spark):
     got = {r.name: (r.fmt, r.text) for r in files.read_folder(spark, d).collect()}
     # the glob is case-sensitive (b.XML is not listed), the suffix test is not
     assert got == {"a.txt": ("txt", "Jan Kowalski\nline two\n"), "c.xml": ("xml", "<x>Ola</x>")}
-    adm = {r.name: (r.status, r.reason) for r in files.admission(files.read_binary(spark, d), 12).collect()}
+    adm = {r.name: (r.status, r.reason) for r in files.admission(files.read_binary(spark, d)).collect()}
     assert adm["skip.pdf"] == ("rejected", "suffix")
-    assert adm["a.txt"] == ("rejected", "size")
+    assert adm["a.txt"] == ("accepted", None)
     assert adm["b.XML"] == ("accepted", None)
 
 
+def test_file_names_are_kept(spark):
+    d = tempfile.mkdtemp(prefix="redactum-test-")
+    names = {"my file.txt", "100% a+b.txt", "zażółć.xml", "a%20b.txt"}
+    for n in names:
+        with open(os.path.join(d, n), "w") as f:
+            f.write("x")
+    assert {r.name for r in files.read_folder(spark, d).collect()} == names
+    assert {r.name for r in files.read_binary(spark, d).collect()} == names
+
+
+def test_bad_encoding_is_refused(spark):
+    x = spark.createDataFrame([("a.txt", bytearray(b"ok")), ("b.txt", bytearray(b"\xff"))], "name string, content binary")
+    assert {r.name: r.reason for r in files.admission(x).collect()} == {"a.txt": None, "b.txt": "encoding"}
+
+
 def test_results_written_per_run(spark):
     d = tempfile.mkdtemp(prefix="redactum-test-")
     res = catalog.q_redacted_text(spark, SF_SMALL).limit(5)
