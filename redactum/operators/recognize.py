@@ -11,12 +11,16 @@ A recognizer maps ``pieces`` to ``(label, confidence)`` per token:
 
 from __future__ import annotations
 
+import hashlib
 from typing import Callable, Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
 
 from ..functions import patterns as P
+from .model_host import hosted
 from .tokens import run_window
 
 # --- fixed values of the test-table rule recognizer ------------------------
@@ -132,18 +136,20 @@ def apply_label_map(pred_ids: DataFrame, label_map_json: DataFrame) -> DataFrame
     m = (label_map_json.select(F.explode(F.from_json("json", "struct<id2label: map<string,string>>")
                                          .getField("id2label")).alias("k", "label"))
          .select(F.col("k").cast("int").alias("label_id"), "label"))
-    # a label map has a few dozen entries at most: a fixed-size broadcast
-    return pred_ids.join(F.broadcast(m), "label_id", "left").withColumn(
+    return pred_ids.join(m, "label_id", "left").withColumn(
         "label", F.coalesce("label", F.lit("O")))
 
 
-def model_labels(pcs: DataFrame, model_factory: Callable[[], Callable], window=None) -> DataFrame:
+def model_labels(pcs: DataFrame, model_factory: Callable[[], Callable], window=None,
+                 model_id: str | None = None) -> DataFrame:
     """X1(c): user model over runs in Arrow batches.
 
     ``model_factory()`` returns ``predict(list[list[str]]) -> list[list[(label, conf)]]``
-    and is called once per Python worker process. Runs are assembled on the
-    executors (``collect_list`` per run, bounded by the document size cap),
-    never on the driver. ``window=(size, overlap)`` feeds a length-limited
+    and is called once per Python worker and ``model_id`` (by default a
+    digest of the factory): later tasks of the worker use the model it holds.
+    Only labels other than ``O`` come back. Runs are assembled on the
+    executors (``collect_list`` per run, as large as the longest run; a window
+    bounds it), never on the driver. ``window=(size, overlap)`` feeds a length-limited
     model overlapping token windows (X2); each token keeps the prediction of
     the window where it is furthest from an edge, so no token is left
     unlabelled."""
@@ -156,22 +162,23 @@ def model_labels(pcs: DataFrame, model_factory: Callable[[], Callable], window=N
     runs = (toks.groupBy("doc_id", "run_no", "chunk")
             .agg(F.sort_array(F.collect_list(F.struct(F.col("tok_no").alias("pos"), "token"))).alias("toks")))
 
+    model_id = model_id or hashlib.sha256(cloudpickle.dumps(model_factory)).hexdigest()
+    every = window is not None  # a window's O may outweigh another window's label
+
     def infer(batches: Iterator):
         import pandas as pd
-        g = globals()
-        if "_REDACTUM_MODEL" not in g:
-            g["_REDACTUM_MODEL"] = model_factory()
-        model = g["_REDACTUM_MODEL"]
+        model = hosted(model_id, model_factory)
         for pdf in batches:
             words = [[t["token"] for t in toks] for toks in pdf["toks"]]
             out = model(words)
             rows = []
             for (d, r, c, toks, preds) in zip(pdf["doc_id"], pdf["run_no"], pdf["chunk"], pdf["toks"], out):
-                for t, (lab, conf) in zip(toks, preds):
-                    rows.append((d, r, c, t["pos"], lab, float(conf)))
+                rows += [(d, r, c, t["pos"], lab, float(conf)) for t, (lab, conf) in zip(toks, preds)
+                         if every or lab != "O"]
             yield pd.DataFrame(rows, columns=["doc_id", "run_no", "chunk", "tok_no", "label", "confidence"])
 
-    schema = "doc_id long, run_no int, chunk int, tok_no int, label string, confidence double"
+    schema = StructType([runs.schema["doc_id"], runs.schema["run_no"], runs.schema["chunk"]])
+    schema = schema.add("tok_no", IntegerType()).add("label", StringType()).add("confidence", DoubleType())
     preds = runs.mapInPandas(infer, schema=schema)
     if window is not None:
         size, overlap = window

@@ -53,9 +53,11 @@ class Redaction:
         """``segments`` (doc_id, seg_no, seg, is_xml, is_run) may be given
         instead of documents, e.g. conversations whose turns are runs.
 
-        ``prefilter(seg) -> bool column`` is a run-level superset test of
-        the recognizer (the rule recognizer has one; a model has none): runs
-        that fail it skip the token pass of recognition. ``pieces`` and
+        ``prefilter(seg) -> bool column`` is a superset test of the
+        recognizer that holds for a text if it holds for any part of it (the
+        rule recognizer has one; a model has none): documents that fail it
+        are not shuffled for recognition, runs that fail it skip its token
+        pass. ``pieces`` and
         ``marked`` stay complete (lazy) for the queries that need every
         token."""
         self.cfg = config or Config()
@@ -83,7 +85,13 @@ class Redaction:
     @cached_property
     def spans(self) -> DataFrame:
         if self._prefilter is not None:
-            segs = self.segments.withColumn(
+            segs = self.segments
+            if self._seg_input is None:
+                # a run is part of its document's text: what no run can match is not shuffled
+                docs = self.raw_docs.where(self._prefilter(F.col("text")))
+                docs = docs if self.cfg.clustered else docs.repartition(self.n, "doc_id")
+                segs = markup.segments(docs, self.cfg.skip_tagged)
+            segs = segs.withColumn(
                 "is_run", F.col("is_run") & F.coalesce(self._prefilter(F.col("seg")), F.lit(False)))
             marked = spans.mark_spans(self._recognize(tokens.pieces(segs), self._recognizer), self.cfg.threshold)
         else:

@@ -1,6 +1,7 @@
 """End-to-end redaction of an invented judgment (markup) with external
 predictions and a small dictionary, checked against hand-derived answers."""
 
+import os
 import re
 
 from pyspark.sql import functions as F
@@ -138,3 +139,34 @@ def test_model_windows_equal_whole_runs(spark):
                     config=Config(materialize="none")).spans.select(*cols)
     a, b = {tuple(r) for r in whole.collect()}, {tuple(r) for r in win.collect()}
     assert a == b and len(a) > 0
+
+
+def test_model_is_loaded_once_a_worker(spark, tmp_path):
+    from redactum.operators import recognize
+
+    folder = str(tmp_path)
+
+    def factory():
+        import os
+        import uuid
+
+        open(os.path.join(folder, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+        return lambda runs: [[("B-PERSON" if w == "Jan" else "O", 0.9) for w in r] for r in runs]
+
+    docs = spark.createDataFrame([(f"f{i}.txt", "Jan idzie do domu", "txt") for i in range(40)],
+                                 "doc_id string, text string, fmt string")
+    rec = lambda p: recognize.model_labels(p, factory)
+    for _ in range(2):
+        got = Redaction(docs, recognizer=rec, config=Config(partitions=8)).spans.collect()
+        assert {(r.doc_id, r.text) for r in got} == {(f"f{i}.txt", "Jan") for i in range(40)}
+    loads = [x.split("-")[0] for x in os.listdir(folder)]
+    assert len(loads) == len(set(loads)) > 0
+
+
+def test_documents_without_a_match_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, "bez nazw " * 50, "txt") for i in range(50)] + [(99, "x 123456789 y", "txt"), (100, None, "txt")],
+                                 "doc_id long, text string, fmt string")
+    r = Redaction(docs, config=Config(materialize="none"))
+    assert [(x.doc_id, x.text) for x in r.spans.collect()] == [(99, "123456789")]
+    plan = r.spans._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE", plan.index("RepartitionByExpression")) > 0
