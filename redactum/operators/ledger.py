@@ -29,11 +29,13 @@ def latest(ledger: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("n_events")))
 
 
-def subsets(lat: DataFrame) -> DataFrame:
-    """pending / in progress / finished flags of the latest state."""
+def subsets(lat: DataFrame, resolved: DataFrame) -> DataFrame:
+    """pending / in progress / finished / stopping flags of the latest
+    state; ``resolved`` are the documents with requests (T4)."""
     s = F.col("status")
-    return lat.select("doc_id", "status", (s == PENDING).alias("pending"),
-                      s.isin(IN_PROGRESS).alias("in_progress"), s.isin(FINISHED).alias("finished"))
+    x = lat.select("doc_id", "status").join(resolved.select("doc_id", "stopping"), "doc_id", "left")
+    return x.select("doc_id", "status", (s == PENDING).alias("pending"), s.isin(IN_PROGRESS).alias("in_progress"),
+                    s.isin(FINISHED).alias("finished"), F.coalesce("stopping", F.lit(False)).alias("stopping"))
 
 
 def todo(docs: DataFrame, lat: DataFrame) -> DataFrame:
@@ -57,22 +59,56 @@ def erase(selected: DataFrame, lat: DataFrame) -> DataFrame:
                     .otherwise(F.lit("deleted")).alias("outcome"))
 
 
-def resolve_requests(lat: DataFrame, requests: DataFrame) -> DataFrame:
-    """T4: requests(doc_id, ts, seq, request in {stop, retry}); the latest
-    request per document is applied to the latest state."""
-    r = requests.groupBy("doc_id").agg(F.max_by("request", F.struct("ts", "seq")).alias("request"),
-                                       F.count(F.lit(1)).alias("n_requests"))
-    x = lat.join(r, "doc_id")
-    s, q = F.col("status"), F.col("request")
-    outcome = (F.when((q == "stop") & (s == PENDING), F.lit("cancelled"))
+def resolve_requests(ledger: DataFrame, requests: DataFrame) -> DataFrame:
+    """T4: ledger(doc_id, ts, seq, status), requests(doc_id, ts, seq, request
+    in {stop, retry}) -> one row per document that has a request: its ledger
+    status, the newest request after that status and its outcome (null if the
+    status is newer), the status that results, whether a running attempt is
+    to be stopped, and the number of its attempts (accepted retries + 1).
+
+    Requests take their place among the events (after an event of the same
+    ts and seq) and meet the state that holds there: what the events say, as
+    changed by earlier requests since the last event. While a document is
+    processing, no request changes that state; otherwise a retry makes it
+    pending, and a stop cancels it if it is pending. A request before the
+    first event finds no document and does nothing.
+    """
+    none = F.lit(None).cast("string")
+    x = (ledger.select("doc_id", "ts", "seq", F.lit(0).alias("kind"), "status", none.alias("request"))
+         .unionByName(requests.select("doc_id", "ts", "seq", F.lit(1).alias("kind"), none.alias("status"), "request")))
+    w = Window.partitionBy("doc_id").orderBy("ts", "seq", "kind")
+    x = (x.withColumn("base", F.last("status", ignorenulls=True).over(w))
+         .withColumn("epoch", F.count("status").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    since = Window.partitionBy("doc_id", "epoch").orderBy("ts", "seq", "kind")
+    before = since.rowsBetween(Window.unboundedPreceding, -1)
+    q, base, prev = F.col("request"), F.col("base"), F.lag("request").over(since)
+    retried = F.coalesce(F.max(q == "retry").over(before), F.lit(False))
+    state = (F.when(base.isNull() | (base == PROCESSING) | prev.isNull(), base)
+             .when(prev == "retry", F.lit(PENDING))
+             .when(retried | (base == PENDING), F.lit(CANCELLED)).otherwise(base))
+    s = F.col("state")
+    outcome = (F.when(q.isNull(), none)
+               .when(s.isNull(), F.lit("noop"))
+               .when((q == "stop") & (s == PENDING), F.lit("cancelled"))
                .when((q == "stop") & (s == PROCESSING), F.lit("stopping"))
                .when(q == "stop", F.lit("noop"))
-               .when((q == "retry") & (s == PROCESSING), F.lit("refused"))
+               .when(s == PROCESSING, F.lit("refused"))
                .otherwise(F.lit("requeued")))
-    new_status = (F.when(outcome.isin("cancelled", "stopping"), F.lit(CANCELLED))
-                  .when(outcome == "requeued", F.lit(PENDING)).otherwise(s))
-    return x.select("doc_id", "status", "request", outcome.alias("outcome"), new_status.alias("new_status"),
-                    (F.col("n_requests") + F.when(outcome == "requeued", 1).otherwise(0)).alias("attempt"))
+    x = x.withColumn("state", state).withColumn("outcome", outcome)
+    # the last row of a document holds its state; stops since its last event are seen by epoch
+    at = F.struct("epoch", "ts", "seq", "kind")
+    last = x.groupBy("doc_id").agg(
+        F.max_by(F.struct("base", "state", "request", "outcome"), at).alias("l"),
+        F.max("epoch").alias("epoch"),
+        F.max(F.when(F.col("outcome") == "stopping", F.col("epoch"))).alias("stop_epoch"),
+        F.count_if(F.col("outcome") == "requeued").alias("retries"), F.count("request").alias("n_requests"))
+    stopping = F.coalesce((F.col("l.base") == PROCESSING) & (F.col("stop_epoch") == F.col("epoch")), F.lit(False))
+    result = (F.when(stopping | (F.col("l.outcome") == "cancelled"), F.lit(CANCELLED))
+              .when(F.col("l.outcome") == "requeued", F.lit(PENDING)).otherwise(F.col("l.state")))
+    return last.where("n_requests > 0").select(
+        "doc_id", F.col("l.base").alias("status"), F.col("l.request").alias("request"),
+        F.col("l.outcome").alias("outcome"), result.alias("new_status"), stopping.alias("stopping"),
+        (F.col("retries") + 1).alias("attempt"))
 
 
 def overdue(lat: DataFrame, asof, limit_s: int = OVERDUE_SECONDS) -> DataFrame:

@@ -50,23 +50,19 @@ def _json_str(c):
     return F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
 
 
-def roster_json(roster: DataFrame, page_size: int = 100_000) -> DataFrame:
-    """``{"case_id": .., "persons": {..}, "count": n}`` per case, keys
-    sorted, non-ASCII kept (the reference's export format).
-
-    A case with more than ``page_size`` persons is exported in
-    ceil(count / page_size) pages, persons assigned to pages by a hash of
-    the key, so no page (and no task) holds an unbounded map; ``count`` is
-    always the case total."""
+def roster_json(roster: DataFrame) -> DataFrame:
+    """(case_id, person_key, json), one JSON line per person and one per
+    case with the number of its persons (person_key null); non-ASCII kept.
+
+    The same lines at every size, instead of one map per case that a single
+    row would have to hold."""
+    head = F.concat(F.lit('{"case_id": '), _json_str(F.col("case_id")))
+    line = F.concat(head, F.lit(', "person": '), _json_str(F.col("person_key")),
+                    F.lit(', "initials": '), _json_str(F.col("initials")), F.lit("}"))
     counts = roster.groupBy("case_id").agg(F.count(F.lit(1)).alias("total"))
-    n_pages = F.ceil(F.col("total") / F.lit(page_size)).cast("long")
-    x = roster.join(counts, "case_id").withColumn("page", F.pmod(F.xxhash64("person_key"), n_pages))
-    e = F.sort_array(F.collect_list(F.struct("person_key", "initials")))
-    g = x.groupBy("case_id", "page").agg(e.alias("e"), F.first("total").alias("total"))
-    body = F.array_join(F.transform("e", lambda s: F.concat(_json_str(s["person_key"]), F.lit(": "), _json_str(s["initials"]))), ", ")
-    js = F.concat(F.lit('{"case_id": '), _json_str(F.col("case_id")), F.lit(', "persons": {'), body,
-                  F.lit('}, "count": '), F.col("total").cast("string"), F.lit("}"))
-    return g.select("case_id", "page", js.alias("json"))
+    total = F.concat(head, F.lit(', "count": '), F.col("total").cast("string"), F.lit("}"))
+    return roster.select("case_id", "person_key", line.alias("json")).unionByName(
+        counts.select("case_id", F.lit(None).cast("string").alias("person_key"), total.alias("json")))
 
 
 def sorted_roster(roster: DataFrame) -> DataFrame:

@@ -202,7 +202,7 @@ def q_ledger_latest(spark, d):
 
 
 def q_ledger_subset(spark, d):
-    return L.subsets(_latest(spark, d))
+    return L.subsets(_latest(spark, d), L.resolve_requests(T.ledger(spark, d), _requests(spark, d)))
 
 
 def _case_docs(spark, d):
@@ -233,7 +233,7 @@ def _requests(spark, d):
 
 
 def q_ledger_resolved(spark, d):
-    return L.resolve_requests(_latest(spark, d), _requests(spark, d))
+    return L.resolve_requests(T.ledger(spark, d), _requests(spark, d))
 
 
 def q_overdue_docs(spark, d):
@@ -369,13 +369,11 @@ def q_golden_cases(spark, d):
 
 def _verdicts(spark, d):
     cases = _golden_cases(spark, d)
-    num = F.regexp_extract("file", "[0-9]+", 0).cast("long")
-    docs = cases.select((num * F.lit(100000) + F.col("case_no")).alias("doc_id"), F.col("input").alias("text"),
-                        F.lit("txt").alias("fmt"))
+    case_id = F.concat(F.col("case_no").cast("string"), F.lit("#"), F.col("file"))
+    docs = cases.select(case_id.alias("doc_id"), F.col("input").alias("text"), F.lit("txt").alias("fmt"))
     out = Redaction(docs).redacted()
-    out = out.select((F.col("doc_id") / 100000).cast("long").alias("fno"), (F.col("doc_id") % 100000).cast("int").alias("case_no"),
-                     "text", "n_mentions")
-    out = out.join(cases.select("file", "case_no", num.alias("fno")), ["fno", "case_no"]).drop("fno")
+    out = out.select(F.substring_index("doc_id", "#", 1).cast("int").alias("case_no"),
+                     F.regexp_replace("doc_id", "^[0-9]+#", "").alias("file"), "text", "n_mentions")
     return EV.verdicts(cases, out)
 
 
@@ -425,9 +423,6 @@ def q_leak_audit(spark, d):
 
 # ---- sources, failures, streams -----------------------------------------------
 
-ADMISSION_TEST_BYTES = 16000
-
-
 def _named(spark, d):
     docs = T.table(spark, d, "documents")
     sfx = (F.when(F.pmod("doc_id", F.lit(10)) == 3, F.lit(".pdf")).when(F.pmod("doc_id", F.lit(10)) == 7, F.lit(".XML"))
@@ -436,8 +431,10 @@ def _named(spark, d):
 
 
 def q_admission(spark, d):
-    f = _named(spark, d).select("doc_id", "name", F.encode("text", "UTF-8").alias("content"))
-    return FS.admission(f, ADMISSION_TEST_BYTES).select("doc_id", "name", "size", "status", "reason")
+    # every tenth document ends in a byte that UTF-8 does not have
+    tail = F.when(F.pmod("doc_id", F.lit(10)) == 9, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+    f = _named(spark, d).select("doc_id", "name", F.concat(F.encode("text", "UTF-8"), tail).alias("content"))
+    return FS.admission(f).select("doc_id", "name", "size", "status", "reason")
 
 
 def q_case_assignment(spark, d):
@@ -479,7 +476,7 @@ def q_stream_dedup(spark, d):
 
 
 def q_stream_throughput(spark, d):
-    x = spark.read.parquet(SJ.throughput_stream(spark, d))
+    x = SJ.current_throughput(spark.read.parquet(SJ.throughput_stream(spark, d)))
     return x.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("w_start"), "n",
                     F.round("avg_s", 6).alias("avg_s"))
 

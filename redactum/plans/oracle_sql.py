@@ -397,14 +397,37 @@ def _js(x):
     return f"'\"' || replace(replace({x}, '\\', '\\\\'), '\"', '\\\"') || '\"'"
 
 
+# events and requests of a document, one after the other, through the state rules
+REQUEST_STATES = """rq AS (SELECT user_id AS doc_id, ts, event_id AS seq, CASE WHEN value > 45 THEN 'stop' WHEN value < 3 THEN 'retry' END AS request FROM events),
+step AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts, seq, kind) AS n FROM (
+  SELECT doc_id, ts, seq, 0 AS kind, status AS what FROM ledger
+  UNION ALL SELECT doc_id, ts, seq, 1, request FROM rq WHERE request IS NOT NULL)),
+walk AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS state, false AS flag, CAST(1 AS BIGINT) AS attempt,
+    CAST(NULL AS VARCHAR) AS request, CAST(NULL AS VARCHAR) AS outcome FROM step
+  UNION ALL
+  SELECT w.doc_id, s.n,
+    CASE WHEN s.kind = 0 THEN s.what WHEN s.what = 'stop' AND w.state = 'pending' THEN 'cancelled'
+         WHEN s.what = 'retry' AND w.state <> 'processing' THEN 'pending' ELSE w.state END,
+    CASE WHEN s.kind = 0 THEN false WHEN s.what = 'stop' AND w.state = 'processing' THEN true ELSE w.flag END,
+    w.attempt + CASE WHEN s.kind = 1 AND s.what = 'retry' AND w.state <> 'processing' THEN 1 ELSE 0 END,
+    CASE WHEN s.kind = 1 THEN s.what END,
+    CASE WHEN s.kind = 0 THEN NULL WHEN w.state IS NULL THEN 'noop'
+         WHEN s.what = 'stop' THEN CASE w.state WHEN 'pending' THEN 'cancelled' WHEN 'processing' THEN 'stopping' ELSE 'noop' END
+         WHEN w.state = 'processing' THEN 'refused' ELSE 'requeued' END
+  FROM walk w JOIN step s ON s.doc_id = w.doc_id AND s.n = w.n + 1)"""
+REQUEST_END = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) AS r FROM walk) WHERE r = 1"
+
+
 def _with_persons(body):
     return core(TXT, "persons") + ",\n" + LEDGER + ",\n" + DOC_ROSTER + "\n" + body
 
 
 ORACLES.update({
     "ledger_latest": f"WITH {LEDGER} SELECT doc_id, status, strftime(ts, {TSF}) AS ts, n_events FROM lat",
-    "ledger_subset": f"""WITH {LEDGER} SELECT doc_id, status, status = 'pending' AS pending,
-        status IN ('pending', 'processing') AS in_progress, status IN ('done', 'failed', 'cancelled') AS finished FROM lat""",
+    "ledger_subset": f"""WITH RECURSIVE {LEDGER}, {REQUEST_STATES} SELECT lat.doc_id, status, status = 'pending' AS pending,
+        status IN ('pending', 'processing') AS in_progress, status IN ('done', 'failed', 'cancelled') AS finished,
+        status = 'processing' AND coalesce(st.flag, false) AS stopping FROM lat LEFT JOIN
+        ({REQUEST_END}) st ON st.doc_id = lat.doc_id""",
     "todo_docs": f"WITH {LEDGER} SELECT doc_id, case_id FROM cdocs WHERE doc_id IN (SELECT doc_id FROM lat WHERE status = 'pending')",
     "published_only": core("SELECT doc_id, text, 'txt' AS fmt FROM documents WHERE doc_id NOT IN "
                            "(SELECT user_id FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r "
@@ -412,16 +435,10 @@ ORACLES.update({
 SELECT doc_id, n_mentions, length(text) AS n_chars FROM red WHERE doc_id NOT IN (SELECT doc_id FROM lat WHERE status = 'cancelled')""",
     "erase_outcome": f"""WITH {LEDGER}, sel AS (SELECT DISTINCT doc_id FROM labels)
 SELECT s.doc_id, CASE WHEN l.status = 'processing' THEN 'skipped' ELSE 'deleted' END AS outcome FROM sel s LEFT JOIN lat l ON l.doc_id = s.doc_id""",
-    "ledger_resolved": f"""WITH {LEDGER},
-rq AS (SELECT user_id AS doc_id, ts, event_id AS seq, CASE WHEN value > 45 THEN 'stop' WHEN value < 3 THEN 'retry' END AS request FROM events),
-rq2 AS (SELECT doc_id, request, n_requests FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts DESC, seq DESC) AS r,
-          count(*) OVER (PARTITION BY doc_id) AS n_requests FROM rq WHERE request IS NOT NULL) WHERE r = 1),
-x AS (SELECT l.doc_id, l.status, q.request, q.n_requests,
-  CASE WHEN q.request = 'stop' AND l.status = 'pending' THEN 'cancelled' WHEN q.request = 'stop' AND l.status = 'processing' THEN 'stopping'
-       WHEN q.request = 'stop' THEN 'noop' WHEN q.request = 'retry' AND l.status = 'processing' THEN 'refused' ELSE 'requeued' END AS outcome
-  FROM lat l JOIN rq2 q ON q.doc_id = l.doc_id)
-SELECT doc_id, status, request, outcome, CASE WHEN outcome IN ('cancelled', 'stopping') THEN 'cancelled' WHEN outcome = 'requeued' THEN 'pending' ELSE status END AS new_status,
-  n_requests + CASE WHEN outcome = 'requeued' THEN 1 ELSE 0 END AS attempt FROM x""",
+    "ledger_resolved": f"""WITH RECURSIVE {LEDGER}, {REQUEST_STATES}
+SELECT e.doc_id, l.status, e.request, e.outcome, CASE WHEN e.flag THEN 'cancelled' ELSE e.state END AS new_status,
+  e.flag AS stopping, e.attempt FROM ({REQUEST_END}) e JOIN lat l ON l.doc_id = e.doc_id
+WHERE e.doc_id IN (SELECT doc_id FROM rq WHERE request IS NOT NULL)""",
     "overdue_docs": f"""WITH {LEDGER}, a AS (SELECT max(ts) AS as_of FROM ledger)
 SELECT doc_id, strftime(ts, {TSF}) AS ts, CAST(epoch(date_trunc('second', (SELECT as_of FROM a))) - epoch(date_trunc('second', ts)) AS BIGINT) AS age_s FROM lat
 WHERE status = 'processing' AND epoch(date_trunc('second', (SELECT as_of FROM a))) - epoch(date_trunc('second', ts)) > 1800""",
@@ -449,9 +466,8 @@ WHERE r = 1 AND op = 'put'"""),
 SELECT r.case_id, r.person_key, (c.person_key IS NOT NULL) AS found FROM removals r
 LEFT JOIN croster c ON c.case_id = r.case_id AND c.person_key = r.person_key"""),
     "roster_json": _with_persons(f"""
-SELECT case_id, CAST(0 AS BIGINT) AS page, '{{"case_id": ' || {_js('case_id')} || ', "persons": {{' ||
-  string_agg({_js('person_key')} || ': ' || {_js('initials')}, ', ' ORDER BY person_key, initials) || '}}, "count": ' || CAST(count(*) AS VARCHAR) || '}}' AS json
-FROM croster GROUP BY case_id"""),
+SELECT case_id, person_key, '{{"case_id": ' || {_js('case_id')} || ', "person": ' || {_js('person_key')} || ', "initials": ' || {_js('initials')} || '}}' AS json FROM croster
+UNION ALL SELECT case_id, NULL, '{{"case_id": ' || {_js('case_id')} || ', "count": ' || CAST(count(*) AS VARCHAR) || '}}' FROM croster GROUP BY case_id"""),
     "roster_sorted": _with_persons("SELECT case_id, person_key, initials, row_number() OVER (PARTITION BY case_id ORDER BY person_key) AS rn FROM croster"),
     "case_summary": _with_persons("""
 , cd AS (SELECT d.case_id, count(*) AS n_docs, count(*) FILTER (WHERE l.status = 'done') AS n_done FROM cdocs d LEFT JOIN lat l ON l.doc_id = d.doc_id GROUP BY d.case_id),
@@ -495,14 +511,14 @@ GOLD_CASES = f"""SELECT file, CAST(k AS INTEGER) AS case_no, {_collapse('i')} AS
     SELECT file, regexp_extract_all(content, {q(CASE_PATTERN)}, 1) AS ii, regexp_extract_all(content, {q(CASE_PATTERN)}, 2) AS ee,
            regexp_extract_all(content, {q(CASE_PATTERN)}, 3) AS nn FROM ({GOLD_FILES})))"""
 
-GOLD_DOCS = f"""SELECT CAST(regexp_extract(file, '[0-9]+', 0) AS BIGINT) * 100000 + case_no AS doc_id, input AS text, 'txt' AS fmt FROM ({GOLD_CASES})"""
+GOLD_DOCS = f"""SELECT CAST(case_no AS VARCHAR) || '#' || file AS doc_id, input AS text, 'txt' AS fmt FROM ({GOLD_CASES})"""
 
 NW = q(P.NOT_WORD)
 VERDICTS = f"""
 SELECT c.file, c.case_no, r.n_mentions,
   CASE WHEN c.no_change THEN r.n_mentions = 0 ELSE
     len(list_filter(c.expected, lambda e: regexp_replace(e, {NW}, '', 'g') = regexp_replace(r.text, {NW}, '', 'g'))) > 0 END AS passed
-FROM ({GOLD_CASES}) c JOIN red r ON r.doc_id = CAST(regexp_extract(c.file, '[0-9]+', 0) AS BIGINT) * 100000 + c.case_no"""
+FROM ({GOLD_CASES}) c JOIN red r ON r.doc_id = CAST(c.case_no AS VARCHAR) || '#' || c.file"""
 
 
 def _spans_only(threshold):
@@ -548,9 +564,9 @@ SFX = "regexp_extract(name, '^(.*?)(\\.[^.]+)?$', 2)"
 STEM = "regexp_extract(name, '^(.*?)(\\.[^.]+)?$', 1)"
 
 ORACLES.update({
-    "admission": f"""SELECT doc_id, name, CAST(octet_length(encode(text)) AS BIGINT) AS size,
-  CASE WHEN lower({SFX}) NOT IN ('.xml', '.txt') OR octet_length(encode(text)) > 16000 THEN 'rejected' ELSE 'accepted' END AS status,
-  CASE WHEN lower({SFX}) NOT IN ('.xml', '.txt') THEN 'suffix' WHEN octet_length(encode(text)) > 16000 THEN 'size' END AS reason FROM {NAMED}""",
+    "admission": f"""SELECT doc_id, name, CAST(octet_length(encode(text)) + CASE WHEN doc_id % 10 = 9 THEN 1 ELSE 0 END AS BIGINT) AS size,
+  CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason FROM (
+  SELECT *, CASE WHEN lower({SFX}) NOT IN ('.xml', '.txt') THEN 'suffix' WHEN doc_id % 10 = 9 AND text IS NOT NULL THEN 'encoding' END AS reason FROM {NAMED})""",
     "case_assignment": """WITH man AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source END AS case_id,
     CASE WHEN doc_id % 5 = 0 THEN trim(' case-' || CAST(doc_id % 17 AS VARCHAR) || ' ') END AS new FROM documents),
 cases AS (SELECT DISTINCT source AS case_id FROM documents)
@@ -566,10 +582,7 @@ SELECT doc_id, 'done' AS status, CAST(NULL AS VARCHAR) AS error, n_mentions FROM
 UNION ALL SELECT -1, 'failed', 'no text', 0 UNION ALL SELECT -2, 'failed', 'NUL character in text', 0""",
     "stream_redact": core(TXT) + "\nSELECT doc_id, text, n_mentions FROM red",
     "stream_dedup": "SELECT DISTINCT user_id AS doc_id FROM events WHERE event_type = 'view'",
-    "stream_throughput": """WITH p AS (SELECT ts, value FROM events WHERE event_type = 'purchase'),
-wm AS (SELECT max(ts) - INTERVAL '1 hour' AS wm FROM p)
-SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS w_start, count(*) AS n, round(avg(value), 6) AS avg_s
-FROM p GROUP BY time_bucket(INTERVAL '1 hour', ts) HAVING time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' <= (SELECT wm FROM wm)""",
+    "stream_throughput": ORACLES["throughput_hourly"],
     "stream_roster": ORACLES["case_roster"],
 })
 

@@ -32,9 +32,13 @@ def _paths(spark: SparkSession, name: str):
     return f"{base}/streams/{tag}/out", f"{base}/streams/{tag}/checkpoint"
 
 
-def document_stream(spark: SparkSession, folder: str, file_glob: str = "documents*.parquet") -> DataFrame:
-    return (spark.readStream.schema(DOC_SCHEMA).option("pathGlobFilter", file_glob)
-            .option("maxFilesPerTrigger", 1).parquet(folder))
+def document_stream(spark: SparkSession, folder: str, file_glob: str = "documents*.parquet",
+                    max_files: int | None = None) -> DataFrame:
+    """Arriving documents; ``max_files`` bounds the files of one micro-batch."""
+    s = spark.readStream.schema(DOC_SCHEMA).option("pathGlobFilter", file_glob)
+    if max_files:
+        s = s.option("maxFilesPerTrigger", max_files)
+    return s.parquet(folder)
 
 
 def event_stream(spark: SparkSession, folder: str, file_glob: str = "events*.parquet") -> DataFrame:
@@ -73,19 +77,31 @@ def dedup_stream(spark: SparkSession, folder: str, delay: str = "1 hour") -> str
 
 
 def throughput_stream(spark: SparkSession, folder: str, every: str = "1 hour", delay: str = "1 hour") -> str:
-    """Finished documents per tumbling window, append mode: a window is
-    emitted once the watermark passes its end; rows later than the
-    watermark are dropped."""
+    """Finished documents per tumbling window, update mode: every batch
+    writes the windows it changed, open ones too, as its own ``batch_id=``
+    partition (a replayed batch replaces it); ``current_throughput`` reads
+    the newest row of each window. Rows later than the watermark are
+    dropped, which bounds the state."""
     out_path, ckpt = _paths(spark, "throughput")
     led = (event_stream(spark, folder).where(F.col("event_type") == "purchase")
            .select("ts", F.col("value").alias("duration")).withWatermark("ts", delay))
     agg = led.groupBy(F.window("ts", every).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg("duration").alias("avg_s"))
-    q = (agg.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", ckpt)
-         .outputMode("append").trigger(availableNow=True).start())
+
+    def per_batch(batch: DataFrame, batch_id: int):
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+
+    q = (agg.writeStream.outputMode("update").foreachBatch(per_batch)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
     return out_path
 
 
+def current_throughput(updates: DataFrame) -> DataFrame:
+    """(w, n, avg_s): the newest row of each window."""
+    return (updates.groupBy("w").agg(F.max_by(F.struct("n", "avg_s"), "batch_id").alias("x"))
+            .select("w", "x.n", "x.avg_s"))
+
+
 def roster_stream(spark: SparkSession, folder: str, config: Config | None = None) -> str:
     """T5: running case roster. Each micro-batch redacts its documents and
     merges their persons into the cases it touches (G7: latest document
@@ -103,11 +119,9 @@ def roster_stream(spark: SparkSession, folder: str, config: Config | None = None
                .select("case_id", "person_key", "initials", "seq"))
         touched = new.select("case_id").distinct()
         rows = new
-        try:
+        if batch_id > 0:  # every batch before has written its version
             prev = current_roster(spark.read.parquet(versions).where(F.col("version") < batch_id))
             rows = rows.unionByName(prev.join(touched, "case_id", "left_semi").select("case_id", "person_key", "initials", "seq"))
-        except Exception:  # first batch: no roster yet
-            pass
         merged = rows.groupBy("case_id", "person_key").agg(
             F.max_by("initials", "seq").alias("initials"), F.max("seq").alias("seq"))
         merged.write.mode("overwrite").parquet(f"{versions}/version={batch_id}")

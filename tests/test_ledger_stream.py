@@ -7,13 +7,27 @@ from redactum.plans import catalog
 
 
 def test_resolution_rules(spark):
-    lat = spark.createDataFrame([(1, "pending"), (2, "processing"), (3, "done"), (4, "processing"), (5, "failed")],
-                                "doc_id long, status string")
-    req = spark.createDataFrame([(1, 1, 1, "stop"), (2, 1, 1, "stop"), (3, 1, 1, "stop"), (4, 1, 1, "retry"), (5, 1, 1, "retry")],
-                                "doc_id long, ts long, seq long, request string")
-    got = {r.doc_id: (r.outcome, r.new_status) for r in L.resolve_requests(lat, req).collect()}
-    assert got == {1: ("cancelled", "cancelled"), 2: ("stopping", "cancelled"), 3: ("noop", "done"),
-                   4: ("refused", "processing"), 5: ("requeued", "pending")}
+    states = {1: "pending", 2: "processing", 3: "done", 4: "processing", 5: "failed", 6: "done", 7: "done", 8: "pending",
+              9: "processing", 10: "pending", 11: "cancelled", 12: "done"}
+    led = [(d, 5, 1, s) for d, s in states.items()] + [(7, 9, 1, "pending"), (12, 9, 1, "processing")]
+    asked = {1: "s", 2: "s", 3: "s", 4: "r", 5: "r", 6: "ssr", 8: "sr", 9: "sr", 10: "rrs", 11: "rs", 12: "rs"}
+    req = [(d, 6 + i, 1, {"s": "stop", "r": "retry"}[c]) for d, q in asked.items() for i, c in enumerate(q)]
+    req += [(7, 6, 1, "retry"), (13, 1, 1, "retry")]
+    led = spark.createDataFrame(led, "doc_id long, ts long, seq long, status string")
+    req = spark.createDataFrame(req, "doc_id long, ts long, seq long, request string")
+    res = L.resolve_requests(led, req).collect()
+    got = {r.doc_id: (r.outcome, r.new_status, r.stopping, r.attempt) for r in res}
+    assert got == {1: ("cancelled", "cancelled", False, 1), 2: ("stopping", "cancelled", True, 1), 3: ("noop", "done", False, 1),
+                   4: ("refused", "processing", False, 1), 5: ("requeued", "pending", False, 2),
+                   6: ("requeued", "pending", False, 2),      # stops of a finished document count nothing
+                   7: (None, "pending", False, 2),            # the state is newer than the request
+                   8: ("requeued", "pending", False, 2),      # cancelled, then asked again
+                   9: ("refused", "cancelled", True, 1),      # the stop still holds
+                   10: ("cancelled", "cancelled", False, 3), 11: ("cancelled", "cancelled", False, 2),
+                   12: (None, "processing", False, 2),        # requests before the state it reached
+                   13: ("noop", None, False, 1)}              # no such document
+    sub = {r.doc_id: r.stopping for r in L.subsets(L.latest(led), L.resolve_requests(led, req)).collect()}
+    assert [d for d, s in sub.items() if s] in ([2, 9], [9, 2])
 
 
 def test_roster_merge_remove(spark):
@@ -34,19 +48,14 @@ def test_stream_equals_batch(spark):
     assert s == b and len(s) > 0
 
 
-def test_roster_json_pages_cover_case(spark):
+def test_roster_json_lines_cover_case(spark):
     import json
 
     rows = [("c", f"p{i:03d}", f"I{i}.") for i in range(250)] + [("d", "x", "X.")]
     ro = spark.createDataFrame(rows, "case_id string, person_key string, initials string")
-    out = R.roster_json(ro, page_size=100).collect()
-    pages = [json.loads(r.json) for r in out if r.case_id == "c"]
-    assert len(pages) == 3
-    assert all(p["count"] == 250 for p in pages)
-    merged = {}
-    for p in pages:
-        merged.update(p["persons"])
-    assert merged == {k: v for _, k, v in rows[:250]}
+    lines = [json.loads(r.json) for r in R.roster_json(ro).collect() if r.case_id == "c"]
+    assert {x["person"]: x["initials"] for x in lines if "person" in x} == {k: v for _, k, v in rows[:250]}
+    assert [x["count"] for x in lines if "count" in x] == [250]
 
 
 def test_two_stage_sessions_equal_direct(spark):
@@ -71,9 +80,8 @@ def test_preview_and_parse_both_quote_styles(spark):
     df = spark.createDataFrame([(1, t)], "doc_id long, text string")
     m = [(r.n, r.subst, r.orig) for r in rewrite.parse_mentions(df).orderBy("n").collect()]
     assert m == [(1, "J. K. (1)", "Jan Kowalski"), (2, "E. N.", "Ewa"), (3, None, "X")]
-    clean, trunc = rewrite.clean_text(F.col("text"), 1000)
-    c = df.select(clean.alias("c"), trunc.alias("t")).first()
-    assert c.c == " A J. K. (1), E. N. i (...) \n\nkoniec tu" and c.t is False
+    c = df.select(rewrite.clean_text(F.col("text")).alias("c")).first()
+    assert c.c == " A J. K. (1), E. N. i (...) \n\nkoniec tu"
 
 
 def test_work_selection_rules(spark):
