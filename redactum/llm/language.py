@@ -28,6 +28,8 @@ from pyspark.sql import Window as W
 WINDOW = 64
 HIDDEN = 10
 DOCS, DRAWS = 300, 4
+#: slices in which the least DOCS rows of a language are found first
+SLICES = 256
 STEPS, BATCH, RATE = 240, 96, 0.015
 #: windows that a task reads at a time
 SLAB = 1536
@@ -204,10 +206,14 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     room = F.greatest(F.length(text) - WINDOW, F.lit(0)) + 1
     pieces = F.array(*[F.substring(text, (F.pmod(F.xxhash64(key, F.lit(k)), room) + 1).cast("int"), F.lit(WINDOW))
                        for k in range(DRAWS)])
-    own = F.row_number().over(W.partitionBy("lang").orderBy("place", "pieces"))
-    return (docs.filter(F.col(lang_col).isNotNull() & text.rlike(r"\p{L}") & (remainder(key) != 1))
+    rows = (docs.filter(F.col(lang_col).isNotNull() & text.rlike(r"\p{L}") & (remainder(key) != 1))
             .select(F.col(lang_col).alias("lang"), F.xxhash64(key).alias("place"), pieces.alias("pieces"))
-            .withColumn("own", own).filter(F.col("own") <= DOCS).select("lang", "place", "pieces"))
+            .withColumn("slice", F.spark_partition_id() % SLICES))
+    # the first DOCS of every slice hold the first DOCS of the language
+    for by in (["lang", "slice"], ["lang"]):
+        own = F.row_number().over(W.partitionBy(*by).orderBy("place", "pieces"))
+        rows = rows.withColumn("own", own).filter(F.col("own") <= DOCS)
+    return rows.select("lang", "place", "pieces")
 
 
 def train(docs: DataFrame, **columns: str) -> Network | None:

@@ -371,3 +371,13 @@ def test_pipeline(spark):
     empty = docs.limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_language_sample_is_the_least_of_each_language(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} of many", "abc"[i % 3]) for i in range(4000)],
+                                 "doc_id long, text string, lang string").repartition(300, "doc_id")
+    got = {lang: sorted(r.place for r in language.sample(docs).filter(F.col("lang") == lang).collect()) for lang in "abc"}
+    for lang in "abc":
+        places = (docs.filter((F.col("lang") == lang) & (language.remainder(F.col("doc_id")) != 1))
+                  .select(F.xxhash64("doc_id").alias("p")).collect())
+        assert got[lang] == sorted(r.p for r in places)[:language.DOCS]
