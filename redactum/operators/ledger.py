@@ -130,20 +130,25 @@ def throughput(ledger: DataFrame, every: str = "1 hour", slide: str | None = Non
 def sessions(ledger: DataFrame, key: str, gap: str = "30 minutes", sub_key: str = "doc_id") -> DataFrame:
     """Gap-based work sessions per key (e.g. case).
 
-    Pre-aggregated in two steps so a hot case is not sessionised event by
-    event in one task: sessions are first built per (key, sub_key) (e.g.
-    per document), then their intervals [first, last + gap) are merged per
-    key; overlapping intervals chain exactly as the events do."""
+    Pre-aggregated so a hot case is not sessionised event by event in one
+    task: sessions are first built per (key, sub_key) (e.g. per document),
+    their intervals [first, last + gap) are merged per key and day of their
+    start, and what is left, at most one interval per gap, per key;
+    overlapping intervals chain exactly as the events do."""
     s1 = (ledger.groupBy(key, sub_key, F.session_window("ts", gap).alias("s"))
           .agg(F.count(F.lit(1)).alias("n"))
           .select(key, F.col("s.start").alias("s_start"), F.col("s.end").alias("s_end"), "n"))
-    w = Window.partitionBy(key).orderBy("s_start", "s_end")
+    by_day = _merged(s1.withColumn("day", F.date_trunc("day", "s_start")), [key, "day"])
+    return _merged(by_day, [key]).select(key, F.struct(F.col("s_start").alias("start"), F.col("s_end").alias("end")).alias("s"), "n")
+
+
+def _merged(intervals: DataFrame, keys: list) -> DataFrame:
+    """Overlapping intervals (s_start, s_end, n) of the same keys as one."""
+    w = Window.partitionBy(*keys).orderBy("s_start", "s_end")
     prev_end = F.max("s_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    s2 = s1.withColumn("new", F.when(prev_end.isNull() | (F.col("s_start") >= prev_end), 1).otherwise(0))
-    s2 = s2.withColumn("sid", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return (s2.groupBy(key, "sid")
-            .agg(F.min("s_start").alias("start"), F.max("s_end").alias("end"), F.sum("n").alias("n"))
-            .select(key, F.struct("start", "end").alias("s"), "n"))
+    x = intervals.withColumn("new", F.when(prev_end.isNull() | (F.col("s_start") >= prev_end), 1).otherwise(0))
+    x = x.withColumn("sid", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return x.groupBy(*keys, "sid").agg(F.min("s_start").alias("s_start"), F.max("s_end").alias("s_end"), F.sum("n").alias("n"))
 
 
 def by_day_status(ledger: DataFrame) -> DataFrame:

@@ -64,8 +64,15 @@ def case_persons(mentions: DataFrame, shift: int = 0, order: str = "reference")
 
 
 def split_rank(df: DataFrame, keys: list, order_col: str, slices: int | None = None) -> DataFrame:
-    """Exact row_number and group count over ``keys`` ordered by ``order_col``
-    without putting a whole group into one task (skew-safe W2/W3)."""
+    """``rank_slices`` with the substitute of each person (skew-safe W2/W3)."""
+    sub = F.when(F.col("n_same") == 1, F.col("initials")).otherwise(
+        F.concat(F.col("initials"), F.lit(" ("), F.col("k").cast("string"), F.lit(")")))
+    return rank_slices(df, keys, order_col, slices).withColumn("substitute", sub)
+
+
+def rank_slices(df: DataFrame, keys: list, order_col: str, slices: int | None = None) -> DataFrame:
+    """Exact row_number ``k`` and group count ``n_same`` over ``keys`` ordered
+    by ``order_col`` without putting a whole group into one task."""
     spark = df.sparkSession
     n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     x = df.repartitionByRange(n, *[F.col(k) for k in keys], F.col(order_col))
@@ -83,9 +90,7 @@ def split_rank(df: DataFrame, keys: list, order_col: str, slices: int | None = N
               .withColumn("n_same", F.sum("_c").over(Window.partitionBy(*keys))))
     x = x.join(counts, keys + ["_slice"])
     x = x.withColumn("k", (F.col("_lk") + F.col("_before")).cast("int"))
-    sub = F.when(F.col("n_same") == 1, F.col("initials")).otherwise(
-        F.concat(F.col("initials"), F.lit(" ("), F.col("k").cast("string"), F.lit(")")))
-    return x.withColumn("substitute", sub).drop("_slice", "_lk", "_c", "_before")
+    return x.drop("_slice", "_lk", "_c", "_before")
 
 
 def mention_substitutes(spans: DataFrame, keys: DataFrame, shift: int = 0,

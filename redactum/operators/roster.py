@@ -8,9 +8,11 @@ tombstones in a roster log where the latest operation wins.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .persons import rank_slices
+
 
 def doc_roster(persons: DataFrame) -> DataFrame:
     """(doc_id, person_key, initials); the number is dropped when the
@@ -66,6 +68,6 @@ def roster_json(roster: DataFrame) -> DataFrame:
 
 
 def sorted_roster(roster: DataFrame) -> DataFrame:
-    """O2: roster rows with their position in person order."""
-    w = Window.partitionBy("case_id").orderBy("person_key")
-    return roster.withColumn("rn", F.row_number().over(w))
+    """O2: roster rows with their position in person order; a case is ranked
+    in slices, so none is sorted in one task."""
+    return rank_slices(roster, ["case_id"], "person_key").withColumnRenamed("k", "rn").drop("n_same")

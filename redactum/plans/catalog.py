@@ -250,7 +250,7 @@ def q_throughput_hourly(spark, d):
 
 
 def q_case_sessions(spark, d):
-    led = T.ledger(spark, d).join(_case_docs(spark, d), "doc_id")
+    led = T.ledger(spark, d).join(_case_docs(spark, d), "doc_id", "left")
     x = L.sessions(led, "case_id")
     return x.select("case_id", F.date_format("s.start", TS_FMT).alias("s_start"),
                     F.date_format("s.end", TS_FMT).alias("s_end"), "n")
@@ -324,11 +324,11 @@ def q_newest_per_case(spark, d):
 
 def q_run_summary(spark, d):
     r = redaction(spark, d)
-    red = r.redacted().agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_mentions").alias("n_mentions"))
-    p = r.persons.agg(F.count(F.lit(1)).alias("n_persons"),
-                      F.count_distinct("doc_id", "initials").alias("n_initials"))
-    # two one-row aggregates side by side, joined on a constant key
-    return red.withColumn("k", F.lit(0)).join(p.withColumn("k", F.lit(0)), "k").drop("k")
+    none = F.lit(None).cast("string")
+    rows = r.redacted().select("doc_id", "n_mentions", none.alias("initials")).unionByName(
+        r.persons.select("doc_id", F.lit(None).cast("long").alias("n_mentions"), "initials"))
+    return rows.agg(F.count_if(F.col("initials").isNull()).alias("n_docs"), F.sum("n_mentions").alias("n_mentions"),
+                    F.count("initials").alias("n_persons"), F.count_distinct("doc_id", "initials").alias("n_initials"))
 
 
 def q_persons_numbered_case(spark, d):
@@ -338,6 +338,25 @@ def q_persons_numbered_case(spark, d):
                                      F.col("n_same").cast("long").alias("n_same"), "substitute")
 
 
+def _part_mentions(spark, d):
+    """Mentions of part names, fifty to a document, five cases: many persons share their initials."""
+    p = T.part_names(spark, d)
+    doc = F.floor(F.col("p_partkey") / 50).cast("long")
+    return p.select(doc.alias("doc_id"), (doc % 5).alias("case_id"), F.lit(0).alias("run_no"), F.col("p_partkey").alias("start"),
+                    F.col("name").alias("text"), F.lower("name").alias("person_key"))
+
+
+def q_parts_numbered(spark, d):
+    return PS.persons(_part_mentions(spark, d)).select(
+        "doc_id", "person_key", "initials", "k", F.col("n_same").cast("long").alias("n_same"),
+        F.col("n_mentions").cast("long").alias("n_mentions"), "substitute")
+
+
+def q_parts_numbered_case(spark, d):
+    return PS.case_persons(_part_mentions(spark, d)).select(
+        "case_id", "person_key", "initials", "k", F.col("n_same").cast("long").alias("n_same"), "substitute")
+
+
 # ---- evaluation and corpus ---------------------------------------------------
 
 DIGITS9 = "[0-9]{9,}"

@@ -445,7 +445,7 @@ WHERE status = 'processing' AND epoch(date_trunc('second', (SELECT as_of FROM a)
     "throughput_hourly": f"""WITH {LEDGER} SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS w_start,
   count(*) AS n, round(avg(duration), 6) AS avg_s FROM ledger WHERE status = 'done' GROUP BY 1""",
     "case_sessions": f"""WITH {LEDGER},
-e AS (SELECT c.case_id, l.ts FROM ledger l JOIN cdocs c ON c.doc_id = l.doc_id),
+e AS (SELECT c.case_id, l.ts FROM ledger l LEFT JOIN cdocs c ON c.doc_id = l.doc_id),
 g AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY case_id ORDER BY ts) IS NULL
         OR ts - lag(ts) OVER (PARTITION BY case_id ORDER BY ts) >= INTERVAL '30 minutes' THEN 1 ELSE 0 END AS nw FROM e),
 h AS (SELECT *, sum(nw) OVER (PARTITION BY case_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM g)
@@ -491,6 +491,22 @@ SELECT case_id, person_key, initials, k, CAST(n_same AS BIGINT) AS n_same,
 })
 
 
+PART_MENTIONS = f"""WITH m AS (SELECT p_partkey // 50 AS doc_id, (p_partkey // 50) % 5 AS case_id, p_partkey AS s,
+  lower(name) AS person_key, {initials('name')} AS ini FROM {PART_NAMES_SQL})"""
+NUMBERED = "CASE WHEN n_same = 1 THEN initials ELSE initials || ' (' || CAST(k AS VARCHAR) || ')' END AS substitute"
+ORACLES.update({
+    "parts_numbered": PART_MENTIONS + f""",
+p AS (SELECT doc_id, person_key, arg_max(ini, s) AS initials, max(s) AS s, count(*) AS n_mentions FROM m GROUP BY doc_id, person_key),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, initials ORDER BY s DESC) AS k, count(*) OVER (PARTITION BY doc_id, initials) AS n_same FROM p)
+SELECT doc_id, person_key, initials, k, n_same, n_mentions, {NUMBERED} FROM r""",
+    "parts_numbered_case": PART_MENTIONS + f""",
+p AS (SELECT case_id, person_key, ini AS initials, doc_id, s FROM m
+  QUALIFY row_number() OVER (PARTITION BY case_id, person_key ORDER BY doc_id, s DESC) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY case_id, initials ORDER BY doc_id, s DESC) AS k, count(*) OVER (PARTITION BY case_id, initials) AS n_same FROM p)
+SELECT case_id, person_key, initials, k, n_same, {NUMBERED} FROM r""",
+})
+
+
 # ---- evaluation and corpus ---------------------------------------------------
 
 GOLD_FILES = f"""SELECT 'doc_' || CAST(doc_id AS VARCHAR) || '.test' AS file, string_agg(cs, chr(10) ORDER BY ln) AS content FROM (
