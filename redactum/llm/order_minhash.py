@@ -13,9 +13,12 @@ texts that agree on a seed share a bucket.
 Links: in a bucket of up to ``SMALL`` texts every pair is a candidate. In a
 larger one each text is paired with the bucket's first one, and all are dealt
 anew to buckets in which more seeds agree (``AGREE``), where the same holds, up
-to those in which all seeds do. No text is left out, and the pairs stay in
-proportion to the texts. Candidates are verified by word edit distance in a
-band: linked if at most ``1 - LEAST`` of the longer text's words are edits.
+to those in which all seeds do. Candidates are verified by word edit distance in
+a band: linked if at most ``1 - LEAST`` of the longer text's words are edits.
+Large buckets whose texts are then not all linked are searched exactly: their
+texts are dealt to blocks, every two blocks meet in one cell, and a cell gives
+only links between texts that were not linked before. So every two texts that
+share a bucket are compared or linked already, however many others share it.
 Classes are the connected components of the links.
 
 Texts shorter than ``K`` words have one k-mer. Null texts and texts without a
@@ -42,6 +45,8 @@ SKETCHES, PICKS = 24, 2
 SMALL = 8
 #: seeds that agree in the buckets of each round; a round deals the large buckets of the one before
 AGREE = (1, 3, 6, 12, 24)
+#: texts and words of a block of a large bucket, and the counters of hashed words that stand for a text
+BLOCK, BLOCK_WORDS, COUNTERS = 256, 1 << 20, 64
 #: cells of the seed-by-window table computed at once
 CELLS = 1 << 21
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, SKETCHES, dtype=np.uint64) | np.uint64(1)
@@ -168,7 +173,10 @@ def banded_distance(a: list, b: list, most: int) -> int:
 
 def similar(a: str, b: str, least: float = LEAST) -> bool:
     """Whether at most 1 - least of the longer text's words are edits."""
-    x, y = words_of(a), words_of(b)
+    return similar_words(words_of(a), words_of(b), least)
+
+
+def similar_words(x: list[bytes], y: list[bytes], least: float = LEAST) -> bool:
     longest = max(len(x), len(y))
     most = int((1 - least) * longest + 1e-9)
     if abs(len(x) - len(y)) > most or longest - sum((Counter(x) & Counter(y)).values()) > most:
@@ -176,8 +184,9 @@ def similar(a: str, b: str, least: float = LEAST) -> bool:
     return banded_distance(x, y, most) <= most
 
 
-def candidates(spark: SparkSession, classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, from classes(c, n_words, sketch)."""
+def candidates(spark: SparkSession, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b), a < b, from classes(c, n_words, sketch), and the
+    members (bucket, band, c, n_words) of the large buckets."""
     members = classes.select("c", "n_words", F.posexplode("sketch").alias("band", "value")).select(
         F.xxhash64("band", "value").alias("bucket"), "c", "n_words", "band")
     found = []
@@ -192,6 +201,8 @@ def candidates(spark: SparkSession, classes: DataFrame) -> DataFrame:
         fits = F.least("a.n_words", "b.n_words") >= F.lit(LEAST) * F.greatest("a.n_words", "b.n_words") - 1e-6
         found.append(every.filter(fits).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")))
         large = shared.filter(F.col("many") > SMALL)
+        if agreed == AGREE[0]:
+            crowded = large.select("bucket", "band", "c", "n_words")
         found.append(large.filter(F.col("c") != F.col("first")).select(F.col("first").alias("a"), F.col("c").alias("b")))
         if more is None or not large.limit(1).count():
             break
@@ -201,7 +212,60 @@ def candidates(spark: SparkSession, classes: DataFrame) -> DataFrame:
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    return pairs.distinct()
+    return pairs.distinct(), crowded
+
+
+def cell_links(cell: pd.DataFrame, least: float = LEAST) -> pd.DataFrame:
+    """Links (a, b) of a cell(c, label, side, band, sketch, text) between different labels.
+
+    Texts of side 0 meet each other, or those of side 1 if there are any. A pair
+    that also shares the bucket of an earlier band is left to that one. Counts
+    of hashed words can't differ by more than the words themselves, so what
+    they rule out is not similar; the rest is aligned unless linked by now.
+    """
+    words = [words_of(t) for t in cell.text]
+    size = np.array([len(w) for w in words])
+    counts = np.zeros((len(words), COUNTERS), np.int32)
+    for i, own in enumerate(words):
+        raw = np.frombuffer(b" ".join(own), np.uint8)
+        counts[i] = np.bincount((word_hashes(raw, *word_spans(raw)) >> np.uint64(40)).astype(np.int64) % COUNTERS,
+                                minlength=COUNTERS)
+    seeds = np.stack(cell.sketch.to_numpy())
+    side, band, c = cell.side.to_numpy(), int(cell.band.iloc[0]), cell.c.to_numpy()
+    label = np.unique(cell.label.to_numpy(), return_inverse=True)[1]
+    two = side.any()
+    others = np.flatnonzero(side == 1) if two else np.arange(len(c))
+    out = []
+    for x in np.flatnonzero(side == 0):
+        y = others if two else others[x + 1:]
+        y = y[label[y] != label[x]]
+        most = ((1 - least) * np.maximum(size[x], size[y]) + 1e-9).astype(np.int64)
+        apart = np.abs(size[y] - size[x])
+        fits = apart <= most
+        y, room = y[fits], (2 * most - apart)[fits]
+        y = y[np.abs(counts[y] - counts[x]).sum(1) <= room]
+        y = y[(seeds[y] == seeds[x]).argmax(1) == band]
+        for k in y.tolist():
+            if label[k] != label[x] and similar_words(words[x], words[k], least):
+                out.append((min(c[x], c[k]), max(c[x], c[k])))
+                label[label == label[k]] = label[x]
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
+def crowded_links(crowded: DataFrame, classes: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of the large buckets between texts whose labels(c, label) differ."""
+    members = (crowded.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c")))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_words") / BLOCK_WORDS)).cast("int")
+    mixed = (members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), blocks.alias("blocks"))
+             .filter("lo < hi").select("bucket", "blocks"))
+    own = F.pmod(F.xxhash64("c", "bucket"), F.col("blocks")).cast("int")
+    dealt = (members.join(mixed, "bucket").withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                     (F.col("own") > F.col("other")).cast("int").alias("side"), "band", "c", "label"))
+    whole = dealt.join(classes.select("c", "sketch"), "c").join(texts, "c")
+    return (whole.groupBy("bucket", "i", "j").applyInPandas(lambda cell: cell_links(cell, least), "a long, b long")
+            .distinct())
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
@@ -260,13 +324,18 @@ def classes_of(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str,
                                 F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch")))
     first = stored(spark, same.select("key", F.col("l.doc_id").alias("least_id"), F.col("l.many").alias("many"),
                                       "n_words", "sketch", F.monotonically_increasing_id().alias("c")), "texts")
-    pairs = stored(spark, candidates(spark, first), "candidates")
+    pairs, crowded = candidates(spark, first)
+    pairs = stored(spark, pairs, "candidates")
     asked = (pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
              .join(first.select("c", "key", "least_id"), "c"))
     slim = docs.select(ids.alias("doc_id"), F.col(text_col).alias("text"))
     texts = with_key(slim, "doc_id", "text", asked).select("c", "text")
     texts = stored(spark, texts.groupBy("c").agg(F.first("text").alias("text")), "asked-texts")
-    labels = components(spark, stored(spark, verified(pairs, texts, least), "near"))
+    near = stored(spark, verified(pairs, texts, least), "near")
+    labels = stored(spark, components(spark, near), "labels")
+    more = stored(spark, crowded_links(crowded, first, labels, texts, least), "crowded-links")
+    if more.limit(1).count():
+        labels = components(spark, near.unionByName(more))
     named = (first.select("c", "key", "least_id", "many").join(labels, "c", "left")
              .withColumn("label", F.coalesce("label", "c")))
     own = named.groupBy("label").agg(F.min("least_id").alias("class_id"))

@@ -117,6 +117,32 @@ def test_classes_of_planted_copies(spark, odd):
     assert order_minhash.near_duplicates(spark, odd.limit(0)).count() == 0
 
 
+def test_crowded_buckets_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    template, texts = [word() for _ in range(60)], []
+    for _ in range(220):  # one template and 40 words of their own: not similar, but for every text's one copy
+        own = [word() for _ in range(40)]
+        copy = list(own)
+        for at in rng.choice(40, 15, replace=False):
+            copy[at] = word()
+        texts += [template + own, template + copy]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    sketches = [order_minhash.sketch(" ".join(w))[2] for w in texts]
+    band_sizes = Counter((k, int(v)) for s in sketches for k, v in enumerate(s))
+    assert max(band_sizes.values()) > order_minhash.BLOCK  # every two blocks meet too
+    parent = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if (sketches[a] == sketches[b]).any() and order_minhash.similar_words(
+                    [w.encode() for w in texts[a]], [w.encode() for w in texts[b]]):
+                old, new = max(parent[a], parent[b]), min(parent[a], parent[b])
+                parent = [new if p == old else p for p in parent]
+    assert 220 <= len(set(parent)) < 225
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark, docs).collect()}
+    assert got == dict(enumerate(parent))
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(100, 107), (103, 107)]
     got = dict(rows(order_minhash.components(spark, spark.createDataFrame(links, "a long, b long"))))
