@@ -3,21 +3,22 @@
 Reads a merge-type model file. Spaces become the word mark, one mark goes in
 front, and the symbols of a word are merged pair by pair from an agenda, the
 best-scored piece first, then the leftmost. Each candidate merge taken from the
-agenda is skipped if a keyed hash of the word's stream, its place and the piece
-says so; a skipped pair may still be merged in another way. The hash addresses
-a table in which a share ``dropout`` of the entries, drawn from the seed, are
-skips. The stream of a word is a keyed hash of the seed, the document key
-and the word's number, over ``STREAMS`` values, so a word is cut in various ways
-within and across documents, always alike for the same seed; a dropout of 0
-gives the model's plain segmentation.
+agenda is skipped if a 64-bit hash of the seed, the document key, the word's
+number, the place in the word and the piece is in the lowest share ``dropout``;
+a skipped pair may still be merged in another way. So every occurrence of a word
+is cut on its own, always alike for the same seed; a dropout of 0 gives the
+model's plain segmentation.
 
 Characters without a piece become byte pieces; the word mark itself, where a
 text holds it, is written as bytes, so it can't be taken for a space. Decoding
 gives back the exact text. Null and empty texts have no ids and decode to the
 empty text.
 
-A worker keeps the segmentations of up to two generations of ``KEEP`` words;
-words over ``LONG_WORD`` characters are never kept.
+A worker keeps, for a word and the candidates skipped so far, the candidates
+that follow and the ids if none of them is skipped (``Path``). It depends on no
+key: the hashes of each occurrence choose the way from path to path. Up to two
+generations of ``KEEP`` paths are kept; words over ``LONG_WORD`` characters are
+merged with their hashes at once.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-STREAMS = 4
 KEEP = 400_000
 LONG_WORD = 64
 _M64 = 2**64 - 1
@@ -51,6 +51,26 @@ def _mix(x: int) -> int:
     return x ^ (x >> 31)
 
 
+def _mix_all(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _code(place: int, piece: int) -> int:
+    return (place * 0x9E3779B97F4A7C15 + piece * 0xC2B2AE3D27D4EB4F) & _M64
+
+
+class Path:
+    """A word after some skips: the codes of the candidates that follow, and its
+    ids if none of them is skipped; then: the path if the n-th one is."""
+
+    __slots__ = ("word", "skipped", "codes", "ids", "then")
+
+    def __init__(self, word: str, skipped: tuple, codes: bytes, ids: bytes):
+        self.word, self.skipped, self.codes, self.ids, self.then = word, skipped, codes, ids, None
+
+
 class Coder:
     def __init__(self, path: str, dropout: float, seed: int):
         import sentencepiece
@@ -82,10 +102,11 @@ class Coder:
         self.joins_words = any(MARK in p.lstrip(MARK) for p in self.piece_id)
         self.word = self._word_pattern()
         self.seed = seed
-        # the keyed hash: a table of skips filled from the seed, addressed by stream, place and piece
-        self.skips = (np.random.default_rng(seed).random(1 << 20) < dropout).tobytes() if dropout > 0 else None
-        self.now: list[dict[str, bytes]] = [{} for _ in range(STREAMS)]
-        self.before: list[dict[str, bytes]] = [{} for _ in range(STREAMS)]
+        #: hashes below this are skips
+        self.limit = min(int(dropout * 2.0**64), _M64) if dropout > 0 else 0
+        self.now: dict[str, Path] = {}
+        self.before: dict[str, Path] = {}
+        self.paths = 0
 
     @classmethod
     def of(cls, path: str, dropout: float, seed: int) -> Coder:
@@ -101,18 +122,14 @@ class Coder:
         marks = "".join(map(re.escape, sorted(set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") - behind)))
         return re.compile((rf" *{_LETTER.pattern}+(?=[{marks}])|" if marks else "") + " *[^ ]+| +")
 
-    def _skip(self, stream: int, place: int, piece: int) -> bool:
-        return self.skips[(piece * 0x9E3779B1 + place * 0x85EBCA77 + stream * 0xC2B2AE3D) >> 7 & 0xFFFFF]
-
-    def _merged_short(self, ids: list[int], stream: int) -> list[int]:
-        pairs, ranks, base, skips = self.pairs, self.ranks.get, self.base, self.skips
+    def _merged_short(self, ids: list[int], first: int, skip) -> list[int]:
+        pairs, ranks, base = self.pairs, self.ranks.get, self.base
         agenda = [ranks(x * base + y, NEVER) for x, y in pairwise(ids)]
-        place = list(range(len(ids)))
-        salt = stream * 0xC2B2AE3D
+        place = list(range(first, first + len(ids)))
         while agenda and (best := min(agenda)) < NEVER:
             k = agenda.index(best)
             piece = pairs[ids[k] * base + ids[k + 1]]
-            if skips and skips[(piece * 0x9E3779B1 + place[k] * 0x85EBCA77 + salt) >> 7 & 0xFFFFF]:  # as in _skip
+            if skip and skip(place[k], piece):
                 agenda[k] = NEVER
                 continue
             ids[k] = piece
@@ -123,7 +140,7 @@ class Coder:
                 agenda[k] = ranks(piece * base + ids[k + 1], NEVER)
         return ids
 
-    def _merged_long(self, ids: list[int], stream: int) -> list[int]:
+    def _merged_long(self, ids: list[int], first: int, skip) -> list[int]:
         pairs, ranks, base, n = self.pairs, self.ranks.get, self.base, len(ids)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda: list[tuple[int, int, int, int, int]] = []
@@ -140,7 +157,7 @@ class Coder:
             if ids[i] != x or right[i] != j or ids[j] != y:
                 continue
             piece = pairs[x * base + y]
-            if self.skips and self._skip(stream, i, piece):
+            if skip and skip(first + i, piece):
                 continue
             ids[i], ids[j] = piece, GONE
             right[i] = right[j]
@@ -151,24 +168,25 @@ class Coder:
                 offer(left[i])
         return [x for x in ids if x != GONE]
 
-    def segment(self, word: str, stream: int) -> list[int]:
-        """Ids of one word (marks for spaces) by the agenda with dropout."""
+    def segment(self, word: str, skip) -> list[int]:
+        """Ids of one word (marks for spaces) by the agenda; skip(place, piece) is asked for each candidate."""
         ids = list(map(self.piece_id.get, word))
         if None not in ids:
-            return self._merged_short(ids, stream) if len(ids) <= SHORT else self._merged_long(ids, stream)
+            return self._merged_short(ids, 0, skip) if len(ids) <= SHORT else self._merged_long(ids, 0, skip)
         odd = {}
         for k, c in enumerate(word):
             if ids[k] is None:  # a number no pair has
                 ids[k] = odd.setdefault(c, -1 - len(odd))
-        return self._with_bytes(ids, {v: c for c, v in odd.items()}, stream)
+        return self._with_bytes(ids, {v: c for c, v in odd.items()}, skip)
 
-    def _with_bytes(self, ids: list[int], odd: dict[int, str], stream: int) -> list[int]:
+    def _with_bytes(self, ids: list[int], odd: dict[int, str], skip) -> list[int]:
         """Merge between characters without a piece, which become bytes."""
         out, run = [], []
-        for i in [*ids, None]:
+        for k, i in enumerate([*ids, None]):
             if i is None or i < 0:
                 if run:
-                    out += self._merged_short(run, stream) if len(run) <= SHORT else self._merged_long(run, stream)
+                    first = k - len(run)
+                    out += self._merged_short(run, first, skip) if len(run) <= SHORT else self._merged_long(run, first, skip)
                     run = []
                 if i is not None:
                     out += [self.byte_id[b] for b in odd[i].encode("utf-8", "surrogatepass")]
@@ -176,25 +194,72 @@ class Coder:
                 run.append(i)
         return out
 
-    def _plain(self, text: str, key: int, first: int) -> bytes:
-        """Ids of a text without the word mark; first: the number of its first word."""
+    def _path(self, word: str, skipped: tuple) -> Path:
+        """The path of a word whose candidates of these numbers are skipped."""
+        codes, last = array("Q"), skipped[-1] if skipped else -1
+        asked = 0
+
+        def skip(place: int, piece: int) -> bool:
+            nonlocal asked
+            asked += 1
+            if asked - 1 > last:
+                codes.append(_code(place, piece))
+            return asked - 1 in skipped
+
+        ids = array("I", self.segment(word.replace(" ", MARK), skip if self.limit else None)).tobytes()
+        self.paths += 1
+        return Path(word, skipped, codes.tobytes(), ids)
+
+    def _first_path(self, word: str) -> Path:
+        path = self.now.get(word)
+        if path is None:
+            path = self.before.get(word)
+            if path is None:
+                path = self._path(word, ())
+            else:  # without the paths behind it
+                path = Path(word, (), path.codes, path.ids)
+                self.paths += 1
+            self.now[word] = path
+        return path
+
+    def _next_path(self, path: Path, nth: int) -> Path:
+        if path.then is None:
+            path.then = {}
+        if nth not in path.then:
+            at = nth + (path.skipped[-1] + 1 if path.skipped else 0)
+            path.then[nth] = self._path(path.word, (*path.skipped, at))
+        return path.then[nth]
+
+    def _at_once(self, word: str, key: int) -> bytes:
+        limit = self.limit
+        skip = (lambda place, piece: _mix(key ^ _code(place, piece)) < limit) if limit else None
+        return array("I", self.segment(word.replace(" ", MARK), skip)).tobytes()
+
+    def _plain(self, text: str, key: int, first: int) -> tuple[bytes, int]:
+        """Ids of a text without the word mark, and its number of words; first: the number of its first word."""
         words = self.word.findall(text) if not self.joins_words else [text]
-        number = np.arange(first, first + len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(key)
-        number = (number ^ (number >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        streams = ((number >> np.uint64(40)).astype(np.int64) % STREAMS).tolist()
-        now, out = self.now, []
-        for word, stream in zip(words, streams, strict=True):
-            ids = now[stream].get(word)
-            if ids is None:
-                ids = self.before[stream].get(word)
-                if ids is None:
-                    ids = array("I", self.segment(word.replace(" ", MARK), stream)).tobytes()
-                if len(word) <= LONG_WORD:
-                    now[stream][word] = ids
-            out.append(ids)
-        if sum(map(len, now)) > KEEP:
-            self.before, self.now = now, [{} for _ in range(STREAMS)]
-        return b"".join(out)
+        number = np.arange(first, first + len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        keys = _mix_all(number ^ np.uint64(key))
+        paths = [self._first_path(w) if len(w) <= LONG_WORD else None for w in words]
+        open_ = [k for k, path in enumerate(paths) if path is not None] if self.limit else []
+        while open_:
+            many = np.array([len(paths[k].codes) >> 3 for k in open_])
+            codes = np.frombuffer(b"".join([paths[k].codes for k in open_]), np.uint64)
+            hits = np.flatnonzero(_mix_all(np.repeat(keys[open_], many) ^ codes) < np.uint64(self.limit))
+            end = np.cumsum(many)
+            owner = np.searchsorted(end, hits, "right")
+            new = np.ones(len(hits), bool)
+            new[1:] = owner[1:] != owner[:-1]
+            owner, hits = owner[new], hits[new]
+            nth = hits - (end - many)[owner]
+            open_ = [open_[k] for k in owner.tolist()]
+            for k, at in zip(open_, nth.tolist(), strict=True):
+                paths[k] = self._next_path(paths[k], at)
+        out = [self._at_once(w, k) if path is None else path.ids
+               for w, path, k in zip(words, paths, keys.tolist(), strict=True)]
+        if self.paths > KEEP:
+            self.before, self.now, self.paths = self.now, {}, 0
+        return b"".join(out), len(words)
 
     def encode(self, text: str | None, doc_key: int = 0) -> np.ndarray:
         if not text:
@@ -206,8 +271,9 @@ class Coder:
             if i:
                 out.append(mark)
             if part:
-                out.append(self._plain(part, key, first))
-                first += part.count(" ") + 1
+                ids, many = self._plain(part, key, first)
+                out.append(ids)
+                first += many
         return np.frombuffer(b"".join(out), "<u4")
 
     def decode(self, ids) -> str:
@@ -221,7 +287,7 @@ def encode_decode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int =
     """(doc_id, ids, n_tokens, decoded_equal) of every row.
 
     decoded_equal: the ids decode to the row's text (the empty one for null).
-    A null id has the stream of key 0.
+    A null id has the key 0.
     """
     def run(batches):
         for batch in batches:

@@ -331,6 +331,26 @@ def test_merge_dropout(spark, odd):
     assert len(got) == len(ODD) and all(r.decoded_equal and r.n_tokens == len(r.ids) for r in got)
 
 
+def test_every_occurrence_of_a_word_is_cut_on_its_own():
+    coder = merge_dropout.Coder(default_path("piece_bpe_32k.model"), 0.2, 5)
+    word, n = " international", 4000
+    plain = coder._first_path(word)
+    seen = Counter(coder.encode(word[1:], d).tobytes() for d in range(n))
+    assert len(seen) > 30  # a table of streams stops at its size
+    rng, drawn = np.random.default_rng(6), Counter()
+    for _ in range(n):
+        said: dict = {}
+        skip = lambda *at: said.setdefault(at, rng.random() < 0.2)  # noqa: B023, E731
+        drawn[np.array(coder.segment(word.replace(" ", "▁"), skip), "<u4").tobytes()] += 1
+    assert plain.ids in seen
+    for ids in seen | drawn:
+        assert abs(seen[ids] - drawn[ids]) < 5 * (seen[ids] + drawn[ids] + 1) ** 0.5
+    assert len({coder._plain(word, 9, k)[0] for k in range(n)}) > 30
+    for key in range(200):  # kept paths and hashing at once agree
+        at = int(merge_dropout._mix_all(np.array([key], np.uint64))[0])
+        assert coder._plain(word, key, 0)[0] == coder._at_once(word, at)
+
+
 # -- URL filter ----------------------------------------------------------------------------
 
 def test_url_rules_and_models(spark):
