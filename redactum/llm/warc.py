@@ -1,8 +1,10 @@
 """WARC archives: a writer in DataFrame functions and a salvage reader.
 
 Writer: one record per page. Header lines, the HTTP head and the payload are
-one string column, written by Spark's text writer, whose task commit makes lost
-or repeated attempts harmless; by default each file is one gzip stream. Of pages with equal payloads the largest page_id
+one string column; by default each record is a gzip member of its own, so damage
+costs the record it lies in. Members are written by Spark's text writer, whose
+task commit makes lost or repeated attempts harmless: a member ends with a zero
+byte, which is the writer's line end. Of pages with equal payloads the largest page_id
 is the response; the others are revisit records without a payload that name its
 record id.
 
@@ -24,10 +26,12 @@ can't be broken by them.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,10 +109,29 @@ def record_text(df: DataFrame) -> Column:
                     F.lit("\r\n\r\n"), body, F.lit("\r\n\r"))
 
 
+def member(record: bytes) -> bytes:
+    """The record as a gzip member that ends with a zero byte, without that byte.
+
+    The last byte is the highest of the length; after a record of 16 MB or more
+    an empty member follows.
+    """
+    out = gzip.compress(record, 6, mtime=0)
+    return (out if out[-1] == 0 else out + gzip.compress(b"", mtime=0))[:-1]
+
+
+def member_column(record: Column) -> Column:
+    def run(records: pd.Series) -> pd.Series:
+        return pd.Series([member(r.encode()) for r in records], dtype=object)
+
+    return F.pandas_udf(run, "binary")(record)
+
+
 def write_warc(planned: DataFrame, path: str, compression: str = "gzip") -> None:
-    """A file per partition; a record is never split."""
-    (planned.select(record_text(planned).alias("value"))
-     .write.option("lineSep", "\n").option("compression", compression).text(path))
+    """A file per partition; a record is never split. gzip: one member a record."""
+    record, end = record_text(planned), "\n"
+    if compression == "gzip":
+        record, end, compression = member_column(F.concat(record, F.lit("\n"))).cast("string"), "\0", "none"
+    planned.select(record.alias("value")).write.option("lineSep", end).option("compression", compression).text(path)
 
 
 # -- reader -------------------------------------------------------------------

@@ -313,6 +313,31 @@ def test_salvage_plain_and_members():
     assert found(b"") == []
 
 
+def test_damage_of_a_written_archive_costs_one_record(spark):
+    import glob
+
+    prepare(spark)
+    df = spark.createDataFrame([(i, f"http://a/{i}", f"<p>page {i} " + hashlib.sha256(b"%d" % i).hexdigest() * 40)
+                                for i in range(60)], "page_id long, url string, html string")
+    path, got = warc.archive(spark, df)
+    name, = glob.glob(path.removeprefix("file:") + "/part-*")
+    data = open(name, "rb").read()
+    assert gzip.decompress(data).count(b"WARC-Type: response") == 60
+    starts = [r.start for r in got.orderBy("start").collect()]
+    assert len(set(starts)) == 60
+    at = (starts[20] + starts[21]) // 2
+    lost = f"<urn:page:{re.search(rb'<urn:page:([0-9]+)>', zlib.decompress(data[starts[20]:starts[21]], 31))[1].decode()}>"
+    bad = fresh_path(spark, "damaged").removeprefix("file:")
+    os.makedirs(bad)
+    with open(f"{bad}/part-0", "wb") as f:
+        f.write(data[:at] + bytes([data[at] ^ 255]) + data[at + 1:])
+    found = warc.read_warc(spark, bad).collect()
+    assert {r.record_id for r in found if r.gap is None} == {f"<urn:page:{i}>" for i in range(60)} - {lost}
+    assert [(r.start, r.stop) for r in found if r.gap is not None] == [(starts[20], starts[21])]
+    large = b"x" * (1 << 24)
+    assert gzip.decompress(warc.member(large) + b"\0" + warc.member(b"y") + b"\0") == large + b"y"
+
+
 # -- merge dropout ------------------------------------------------------------------------
 
 def test_merge_dropout(spark, odd):
