@@ -9,9 +9,11 @@ sidebar, advert, form, comments ...), inside the main element, a heading. A
 decision tree, grown here on the small labelled table ``LABELLED``, tells
 content from the rest. Content blocks are joined by a line feed in page order.
 
-A line break tag is white space, two in a row end a block. Scripts, styles and
-other raw elements are skipped, up to the end of the page if they never close;
-a ``<`` that starts no tag is text. Null and empty pages have an empty text;
+A line break tag is white space, two in a row end a block. Scripts, styles,
+titles and text areas are skipped, up to the end of the page if they never
+close. Buttons, drawings, players and the like (``EMBEDDED``) are skipped up to
+their own end tag; one that has none before an element around it closes, and a
+self-closed one, is empty. A ``<`` that starts no tag is text. Null and empty pages have an empty text;
 repeated rows are each extracted.
 """
 
@@ -27,8 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: element and class names of HTML pages ---------------------
-RAW = ("script", "style", "title", "noscript", "template", "textarea", "select", "button", "iframe", "object",
-       "svg", "canvas", "audio", "video")
+RAW = ("script", "style", "title", "textarea")
+EMBEDDED = frozenset(("noscript", "template", "select", "button", "iframe", "object", "svg", "canvas", "audio", "video"))
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
     figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol
     optgroup option p pre search section summary table tbody td tfoot th thead tr ul""".split())
@@ -47,12 +49,13 @@ MAIN_WORDS = frozenset("article content main post entry story".split())
 _RAW = "|".join(RAW)
 #: Attributes follow the grammar closely, so a page of unclosed quotes is still read in linear time.
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^<>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"""
+    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])[^<>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"""
     r"""|<(?P<end>/?)(?P<name>[a-z][^\s/<>]*+)(?:"""
     r"""(?P<more>(?:[\s/]++(?:[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s"'<>]*+))?+)?+)*+)>"""
     r"""|(?P<loose>[^<>]*+)>)|<[!?/][^<>]*+>""", re.I | re.S)
 _HINT = re.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_EMBEDDED = re.compile(rf"<(?:{'|'.join(EMBEDDED)})(?=[\s/>])", re.I)
 NONE, MAIN, BOILER, STRONG = range(4)
 
 
@@ -73,6 +76,36 @@ def _state(before: int, name: str, more: str) -> int:
     return MAIN if before == NONE and said & MAIN_WORDS else before
 
 
+def _self_closed(m: re.Match) -> bool:
+    return (m["more"] or m["loose"] or "").rstrip().endswith("/")
+
+
+def _embedded(page: str) -> dict[int, int]:
+    """Where each embedded element starts, and where its own end tag ends."""
+    out: dict[int, int] = {}
+    if not _EMBEDDED.search(page):
+        return out
+    stack: list[tuple[str, int]] = []
+    open_names: Counter[str] = Counter()
+    for m in _TOKEN.finditer(page):
+        name = (m["name"] or "").lower()
+        if name not in EMBEDDED and (name not in BLOCK or name in VOID):
+            continue
+        if not m["end"]:
+            if not _self_closed(m):
+                stack.append((name, m.start()))
+                open_names[name] += 1
+            continue
+        while open_names[name]:
+            top, start = stack.pop()
+            open_names[top] -= 1
+            if top == name:
+                if name in EMBEDDED:
+                    out[start] = m.end()
+                break
+    return out
+
+
 class Block:
     __slots__ = ("text", "words", "linked", "state", "heading")
 
@@ -106,11 +139,13 @@ def flat_blocks(page: str) -> list[Block]:
         if breaks and not text.isspace():
             breaks = 0
 
-    at = 0
+    at, embedded = 0, _embedded(page)
     for m in _TOKEN.finditer(page):
+        if m.start() < at:  # in an embedded element
+            continue
         if m.start() > at:
             add(page[at:m.start()])
-        at = m.end()
+        at = embedded.get(m.start(), m.end())
         name = m["name"]
         if not name:
             continue
@@ -138,7 +173,7 @@ def flat_blocks(page: str) -> list[Block]:
                     open_names[stack.pop()[0]] -= 1
                 more = m["more"] or m["loose"] or ""
                 before = stack[-1][1] if stack else NONE
-                if not more.rstrip().endswith("/"):
+                if not _self_closed(m):
                     stack.append((name, _state(before, name, more)))
                     open_names[name] += 1
             state = stack[-1][1] if stack else NONE

@@ -207,6 +207,23 @@ def test_main_text(spark):
     assert got[2] == got[None] == ("", 0) and got[1][1] == len(got[1][0]) and len(got) == 4
 
 
+@pytest.mark.parametrize("odd_tag", [
+    '<svg viewBox="0 0 1 1"/>', "<svg />", "<button>", "<object data=x>", "<video src=a><source src=b>", "<svg-icon name=x></svg-icon>",
+    "<button-group></button-group>", "<video-player></video-player>", "<title-bar></title-bar>", "<style-x></style-x>",
+    "<svg><title>No</title><g><text>drawn</text></g></svg>", "<button><p>press</p></button>", "<select><option>one</select>",
+    "<script>if (a<b) c='</p>'</script>"])
+def test_embedded_elements_end_where_they_close(odd_tag):
+    tree, long = html_blocks.trained(), "many words of one paragraph " * 12
+    page = (f"<body><div>{odd_tag}</div><main><article><h1>Head</h1><p>First {long}</p><p>In {odd_tag} it {long}</p>"
+            f"<div>{odd_tag}</div><p>Last {long}</p></article></main>{odd_tag}</body>")
+    want = [" ".join(x.split()) for x in ("Head", f"First {long}", f"In it {long}", f"Last {long}")]
+    assert html_blocks.main_text(page, tree).split("\n") == want
+    button = page.replace("</main>", "<p>After</p><button>Share</button></main>")
+    assert html_blocks.main_text(button, tree).split("\n") == [*want, "After"]
+    for name in html_blocks.RAW:
+        assert html_blocks.main_text(f"<main><p>{long}</p><{name}>{long}<p>{long}</p>", tree) == long.strip()
+
+
 def test_given_pages_keep_their_article(spark):
     tree = html_blocks.trained()
     import html
