@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactum.llm import html_blocks, language, merge_dropout, order_minhash, orc_tokens, packing, repetition, topk, url_filter, warc
+from redactum.llm import (
+    html_blocks, language, merge_dropout, order_minhash, orc_tokens, packing, prefix_trie, repetition, token_counts, topk, url_filter,
+    vector_codes, warc)
 from redactum.llm.common import prepare, table
 from redactum.llm.tokens import default_path
 
@@ -65,9 +67,22 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), default_path("piece_bpe_32k.model"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark, table(spark, sf_dir, "conversations"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(spark, table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_topk, op2_order_minhash, op3_language, op4_html_blocks, op5_orc_tokens, op6_warc, op7_packing,
-    op8_merge_dropout, op9_url_filter, op10_repetition)}
+    op8_merge_dropout, op9_url_filter, op10_repetition, op11_token_counts, op12_prefix_trie, op13_vector_codes)}
 TOP_K_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
            FROM embeddings
@@ -115,4 +130,70 @@ b AS (SELECT *, n_words < {repetition.MIN_WORDS} OR 100 * n_repeat_words > {repe
 SELECT *, NOT base_failed AND dup_line_chars <= {repetition.LINE_LIMIT} * word_chars
     AND {" AND ".join(f"dup_{n}gram_chars <= {x} * word_chars" for n, x in repetition.LIMITS.items())} AS kept FROM b"""
 
-ORACLES: dict[str, str] = {"op1_topk": TOP_K_SQL, "op10_repetition": REPETITION_SQL}
+# crc32 of the decimal id, bit by bit
+_CRC = """xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)),
+        lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295)"""
+
+TRIE_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                                   sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text)) AS k FROM t),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS head, {_CRC} % 9 AS h FROM t),
+r AS (SELECT c.conv_id, 0 AS half, k, role, text FROM c JOIN o ON o.conv_id = c.head AND k <= h
+      UNION ALL SELECT c.conv_id, 1, k, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND k > h),
+q AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY half, k) FILTER (k IS NOT NULL) AS turns
+      FROM c LEFT JOIN r USING (conv_id) GROUP BY conv_id),
+m AS (SELECT conv_id, d, CASE WHEN d = 0 THEN [] ELSE turns[1:d] END AS p, d = coalesce(len(turns), 0) AS ends
+      FROM (SELECT *, unnest(range(0, coalesce(len(turns), 0) + 1)) AS d FROM q)),
+n AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+             CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * strlen(p[d].text) END AS saved,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+      FROM m GROUP BY p, d),
+kids AS (SELECT CASE WHEN d = 1 THEN [] ELSE p[1:d - 1] END AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+x AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (p)),
+sub AS (SELECT CASE WHEN k = 0 THEN [] ELSE p[1:k] END AS p, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+        FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM x) GROUP BY 1)
+SELECT x.conv_id, CAST(x.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, x.n_convs, x.n_children, sub.n_leaves,
+       CAST(sub.saved_tokens AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM x JOIN sub USING (p) LEFT JOIN x up ON x.d > 0 AND up.d = x.d - 1 AND up.p = (CASE WHEN x.d = 1 THEN [] ELSE x.p[1:x.d - 1] END)"""
+
+
+def _codes_sql(parts: int, entries: int, factor: int, rounds: int) -> str:
+    def assigned(k: int) -> str:
+        """a<k>(r, p, m): the least distance of a part times ``entries`` plus its entry."""
+        return f"""
+a{k} AS (SELECT r, p, min(dist * {entries} + e) AS m FROM (
+    SELECT r, p, e, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i]))) AS HUGEINT) AS dist
+    FROM part JOIN (SELECT p, e, x AS y FROM b{k}) USING (p)) GROUP BY r, p)"""
+
+    def moved(k: int) -> str:
+        return f"""
+s{k} AS (SELECT p, e, list(CAST((s - ((s % c) + c) % c) // c AS BIGINT) ORDER BY i) AS x FROM (
+    SELECT p, e, i, sum(v) AS s, count(*) AS c FROM (
+        SELECT p, CAST(m % {entries} AS BIGINT) AS e, unnest(x) AS v, unnest(range(len(x))) AS i FROM part JOIN a{k} USING (r, p))
+    GROUP BY p, e, i) GROUP BY p, e),
+b{k + 1} AS (SELECT p, e, coalesce(s{k}.x, b{k}.x) AS x FROM b{k} LEFT JOIN s{k} USING (p, e))"""
+
+    steps = ",".join(f"{assigned(k)},{moved(k)}" for k in range(rounds))
+    return f"""
+WITH f AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({factor} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(embedding) % {parts} = 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+k AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r FROM f),
+kept AS (SELECT * FROM k WHERE len(v) = (SELECT len(v) FROM k WHERE r = 1)),
+part AS (SELECT r, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x
+         FROM (SELECT *, unnest(range({parts})) AS p FROM kept)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY r) - 1 AS e, x FROM part
+       QUALIFY row_number() OVER (PARTITION BY p ORDER BY r) <= {entries}),{steps},{assigned(rounds)},
+books AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256
+          FROM (SELECT p, e, unnest(x) AS v, unnest(range(len(x))) AS i FROM b{rounds})),
+coded AS (SELECT r, string_agg(format('{{:02x}}', CAST(m % {entries} AS BIGINT)), '' ORDER BY p) AS code,
+                 CAST(sum(m // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), books"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_topk": TOP_K_SQL, "op10_repetition": REPETITION_SQL, "op12_prefix_trie": TRIE_SQL,
+    "op13_vector_codes": _codes_sql(vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.FACTOR, vector_codes.ROUNDS)}
