@@ -45,3 +45,21 @@ def rule_model_factory():
         return out
 
     return predict
+
+
+def fragile_model_factory():
+    """The same model, but one that raises on a run with a long digit run
+    (for the failure queries)."""
+    import regex
+
+    digits = regex.compile(r"^[0-9]{9,}$")
+    rule = rule_model_factory()
+
+    def predict(runs):
+        for words in runs:
+            for w in words:
+                if digits.search(w):
+                    raise ValueError(f"cannot read {w}")
+        return rule(runs)
+
+    return predict

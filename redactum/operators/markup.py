@@ -20,8 +20,9 @@ from ..functions.names import rstrip_ws
 
 
 def segments(docs: DataFrame, skip_tagged: bool = True) -> DataFrame:
-    """docs(doc_id, text, fmt) -> segments(doc_id, seg_no, seg, is_run).
+    """docs(doc_id, text, fmt) -> segments(doc_id, seg_no, seg, is_xml, is_run, base).
 
+    ``base`` is the code-point offset of the segment in the document.
     Concatenating ``seg`` in ``seg_no`` order gives back ``text`` exactly.
     ``skip_tagged`` leaves runs that are already inside a mention tag alone
     (re-running on redacted output does not nest tags).
@@ -48,19 +49,17 @@ def segments(docs: DataFrame, skip_tagged: bool = True) -> DataFrame:
                   & ~F.coalesce(in_attr, F.lit(False)))
     if skip_tagged:
         markup_run = markup_run & ~F.coalesce(prev2.rlike(r"^xAnon(\s|$)"), F.lit(False))
+    base = F.coalesce(F.sum(F.length("seg")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return s.select("doc_id", "seg_no", "seg", "is_xml",
                     F.when(F.col("is_xml"), F.coalesce(markup_run, F.lit(False)))
-                    .otherwise(F.lit(True)).alias("is_run"))
+                    .otherwise(F.lit(True)).alias("is_run"), base.cast("int").alias("base"))
 
 
 def text_runs(docs: DataFrame, skip_tagged: bool = True) -> DataFrame:
     """runs(doc_id, run_no, start, text) with code-point offsets in the
     raw document."""
-    s = segments(docs, skip_tagged)
-    w = Window.partitionBy("doc_id").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("start", F.coalesce(F.sum(F.length("seg")).over(w), F.lit(0)).cast("int"))
-    return s.where("is_run").select("doc_id", F.col("seg_no").alias("run_no"), "start",
-                                    F.col("seg").alias("text"))
+    return segments(docs, skip_tagged).where("is_run").select(
+        "doc_id", F.col("seg_no").alias("run_no"), F.col("base").alias("start"), F.col("seg").alias("text"))
 
 
 def blank_attributes(text, names, substitute: str = "(...)"):

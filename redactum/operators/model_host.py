@@ -6,7 +6,8 @@ holds stays as long as the worker does.
 
 from __future__ import annotations
 
-from typing import Callable
+import traceback
+from typing import Callable, Iterator
 
 _MODELS: dict[str, Callable] = {}
 
@@ -16,3 +17,27 @@ def hosted(model_id: str, factory: Callable[[], Callable]) -> Callable:
     if model_id not in _MODELS:
         _MODELS[model_id] = factory()
     return _MODELS[model_id]
+
+
+def _checked(model: Callable, runs: list[list[str]]) -> list:
+    out = list(model(runs))
+    sizes = [len(x) for x in out]
+    if sizes != [len(r) for r in runs]:
+        raise ValueError("the model must give one label for each word of each run")
+    return out
+
+
+def answers(model: Callable, runs: list[list[str]], isolate: bool) -> Iterator[tuple]:
+    """(predictions, None) or (None, message and trace) of each run; one call for
+    all if it goes well, else one for each."""
+    try:
+        yield from [(preds, None) for preds in _checked(model, runs)]
+        return
+    except Exception:
+        if not isolate:
+            raise
+    for run in runs:
+        try:
+            yield _checked(model, [run])[0], None
+        except Exception as e:  # the model's own, whatever it is
+            yield None, f"{e}\n\n{traceback.format_exc()}"

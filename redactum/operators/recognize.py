@@ -5,7 +5,8 @@ A recognizer maps ``pieces`` to ``(label, confidence)`` per token:
 * ``rule_labels``      - (a) a deterministic rule recognizer, all JVM-side;
 * ``gazetteer_labels`` - (b) an equi-join of tokens with a term list;
 * ``model_labels``     - (c) hosts a user's token-classification callable in
-  ``mapInPandas``, loaded once per Python worker, fed Arrow batches of runs;
+  ``mapInPandas``, loaded once per Python worker, fed Arrow batches of runs
+  (``model_predictions`` also tells the runs it failed on, T9);
 * ``join_predictions`` - (d) an external predictions table, missing -> O/1.0.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
 
 from ..functions import patterns as P
-from .model_host import hosted
+from .model_host import answers, hosted
 from .tokens import run_window
 
 # --- fixed values of the test-table rule recognizer ------------------------
@@ -140,9 +141,10 @@ def apply_label_map(pred_ids: DataFrame, label_map_json: DataFrame) -> DataFrame
         "label", F.coalesce("label", F.lit("O")))
 
 
-def model_labels(pcs: DataFrame, model_factory: Callable[[], Callable], window=None,
-                 model_id: str | None = None) -> DataFrame:
-    """X1(c): user model over runs in Arrow batches.
+def model_predictions(pcs: DataFrame, model_factory: Callable[[], Callable], window=None,
+                      model_id: str | None = None, isolate: bool = True) -> DataFrame:
+    """X1(c), T9: a user's model over runs in Arrow batches ->
+    (doc_id, run_no, tok_no, label, confidence, error).
 
     ``model_factory()`` returns ``predict(list[list[str]]) -> list[list[(label, conf)]]``
     and is called once per Python worker and ``model_id`` (by default a
@@ -152,7 +154,13 @@ def model_labels(pcs: DataFrame, model_factory: Callable[[], Callable], window=N
     bounds it), never on the driver. ``window=(size, overlap)`` feeds a length-limited
     model overlapping token windows (X2); each token keeps the prediction of
     the window where it is furthest from an edge, so no token is left
-    unlabelled."""
+    unlabelled.
+
+    A run that the model raises on (or answers with the wrong number of labels)
+    is a row of its own: tok_no is null, ``error`` holds the message, an empty
+    line and the whole trace. When a call with many runs raises, its runs
+    are asked one by one, so the others keep their labels. With ``isolate``
+    off the exception ends the job."""
     toks = pcs.where("is_tok").select("doc_id", "run_no", F.col("pos").alias("tok_no"), "token")
     if window is None:
         toks = toks.withColumn("chunk", F.lit(0))
@@ -170,22 +178,35 @@ def model_labels(pcs: DataFrame, model_factory: Callable[[], Callable], window=N
         model = hosted(model_id, model_factory)
         for pdf in batches:
             words = [[t["token"] for t in toks] for toks in pdf["toks"]]
-            out = model(words)
             rows = []
-            for (d, r, c, toks, preds) in zip(pdf["doc_id"], pdf["run_no"], pdf["chunk"], pdf["toks"], out):
-                rows += [(d, r, c, t["pos"], lab, float(conf)) for t, (lab, conf) in zip(toks, preds)
-                         if every or lab != "O"]
-            yield pd.DataFrame(rows, columns=["doc_id", "run_no", "chunk", "tok_no", "label", "confidence"])
+            for d, r, c, toks, (preds, error) in zip(pdf["doc_id"], pdf["run_no"], pdf["chunk"], pdf["toks"],
+                                                     answers(model, words, isolate)):
+                if error is not None:
+                    rows.append((d, r, c, None, None, None, error))
+                else:
+                    rows += [(d, r, c, t["pos"], lab, float(conf), None) for t, (lab, conf) in zip(toks, preds)
+                             if every or lab != "O"]
+            out = pd.DataFrame(rows, columns=["doc_id", "run_no", "chunk", "tok_no", "label", "confidence", "error"])
+            out["tok_no"] = out["tok_no"].astype("Int32")
+            yield out
 
     schema = StructType([runs.schema["doc_id"], runs.schema["run_no"], runs.schema["chunk"]])
-    schema = schema.add("tok_no", IntegerType()).add("label", StringType()).add("confidence", DoubleType())
+    schema = (schema.add("tok_no", IntegerType()).add("label", StringType()).add("confidence", DoubleType())
+              .add("error", StringType()))
     preds = runs.mapInPandas(infer, schema=schema)
-    if window is not None:
-        size, overlap = window
-        step = size - overlap
-        off = F.col("tok_no") - F.col("chunk") * F.lit(step)
-        dist = F.least(off, F.lit(size - 1) - off)
-        best = F.max_by(F.struct("label", "confidence"), F.struct(dist, -F.col("chunk")))
-        preds = (preds.groupBy("doc_id", "run_no", "tok_no").agg(best.alias("b"))
-                 .select("doc_id", "run_no", "tok_no", "b.label", "b.confidence"))
-    return join_predictions(pcs, preds.drop("chunk") if window is None else preds)
+    if window is None:
+        return preds.drop("chunk")
+    size, overlap = window
+    step = size - overlap
+    off = F.col("tok_no") - F.col("chunk") * F.lit(step)
+    dist = F.least(off, F.lit(size - 1) - off)
+    best = F.max_by(F.struct("label", "confidence"), F.struct(dist, -F.col("chunk")))
+    # the rows of a run's raising windows share the null tok_no: the first window's error stands
+    return (preds.groupBy("doc_id", "run_no", "tok_no").agg(best.alias("b"), F.min_by("error", "chunk").alias("error"))
+            .select("doc_id", "run_no", "tok_no", "b.label", "b.confidence", "error"))
+
+
+def model_labels(pcs: DataFrame, model_factory: Callable[[], Callable], window=None,
+                 model_id: str | None = None) -> DataFrame:
+    """X1(c) as a recognizer: ``model_predictions`` on every token; an exception of the model ends the job."""
+    return join_predictions(pcs, model_predictions(pcs, model_factory, window, model_id, isolate=False).drop("error"))

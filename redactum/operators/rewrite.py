@@ -1,11 +1,12 @@
 """Rewriting (P13, P14, P15, F3), tagged output parsing (P16, P18) and the
 cleaned text view (P17).
 
-The document is rebuilt from its pieces: each token row emits its own text
-(or the substitute / tag parts if it opens or closes a span), and the pieces
-of a document are concatenated in (run_no, pos) order. No offset arithmetic
-is done on the document string, and a document without spans comes back
-byte-identical.
+A document is rewritten in its own row: its mentions come as one array of
+(start, end, substitute) and ``spliced`` puts the replacements between the
+stretches that stay. Nothing is exploded or collected but the mentions, a
+document without mentions passes as it is, and everything outside the mentions
+comes back byte-identical. ``emit`` is the piece-wise form of the same rewrite,
+for reports that need the pieces (U3).
 """
 
 from __future__ import annotations
@@ -17,6 +18,56 @@ from ..functions import patterns as P
 from ..functions.substitutes import ELLIPSIS, TAG_CLOSE, TAG_MID, TAG_OPEN, escape_attr
 
 
+#: code points of a block of a text that is spliced
+BLOCK = 1024
+
+
+def document_spans(subs: DataFrame) -> DataFrame:
+    """Mentions with substitutes -> (doc_id, spans), one array a document of
+    (start, end, substitute) in the document's own code-point offsets."""
+    at = F.struct((F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"), "substitute")
+    return subs.groupBy("doc_id").agg(F.sort_array(F.collect_list(at)).alias("spans"))
+
+
+def spliced(text, blocks, spans, tags):
+    """The text with its spans (sorted, disjoint) replaced, or tagged where ``tags``.
+
+    ``blocks`` are the text's stretches of ``BLOCK`` code points: a substring
+    of a long text is counted from its start, one of a block is not, so the
+    whole is linear in the text."""
+    block = F.lit(BLOCK)
+
+    def between(a, b):
+        i, j = F.floor(a / block).cast("int"), F.floor(b / block).cast("int")
+        piece = lambda k: F.coalesce(F.get(blocks, k), F.lit(""))
+        first, last = a % block + 1, b % block
+        inner = F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+        return F.when(i == j, F.substring(piece(i), first, b - a)).otherwise(
+            F.concat(F.substring(piece(i), first, block), inner, F.substring(piece(j), F.lit(1), last)))
+
+    n = F.size(spans)
+
+    def part(i):
+        own, before = F.get(spans, i), F.get(spans, i - 1)
+        start = F.when(i == n, F.length(text)).otherwise(own["start"])
+        kept = between(F.when(i == 0, F.lit(0)).otherwise(before["end"]), start)
+        tagged = F.concat(F.lit(TAG_OPEN), escape_attr(own["substitute"]), F.lit(TAG_MID), between(start, own["end"]), F.lit(TAG_CLOSE))
+        return F.concat(kept, F.when(i == n, F.lit("")).when(tags, tagged).otherwise(own["substitute"]))
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), n), part), "")
+
+
+def rewritten(docs: DataFrame, spans: DataFrame, tags) -> DataFrame:
+    """docs(doc_id, text, ...) and document_spans -> (doc_id, text, n_mentions).
+
+    One left join; documents without mentions keep their row untouched (F3)."""
+    x = docs.join(spans, "doc_id", "left")
+    x = x.withColumn("blocks", F.when(F.col("spans").isNotNull(), F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{BLOCK}}}"), 0)))
+    new = spliced(F.col("text"), F.col("blocks"), F.col("spans"), tags)
+    return x.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(new).alias("text"),
+                    F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_mentions"))
+
+
 def span_positions(subs: DataFrame) -> DataFrame:
     """Kept spans -> one row per token position they cover (small: only
     tokens inside mentions)."""

@@ -27,6 +27,19 @@ def merge_case_roster(doc_rosters: DataFrame, seq_col: str = "seq") -> DataFrame
             .agg(F.max_by("initials", F.col(seq_col)).alias("initials")))
 
 
+def completed(doc_rosters: DataFrame, ledger: DataFrame, current: bool = False) -> DataFrame:
+    """The rosters of documents that were done, with ``done`` = (ts, seq)
+    of their last done event, the order of completion. Documents that never
+    were add nothing; with ``current`` only those whose latest state is done
+    (Q8: the merged view keeps what later retries and failures took back)."""
+    at = F.struct("ts", "seq")
+    done = (ledger.groupBy("doc_id").agg(F.max(F.when(F.col("status") == "done", at)).alias("done"), F.max(at).alias("last"))
+            .where(F.col("done").isNotNull()))
+    if current:
+        done = done.where(F.col("done") == F.col("last"))
+    return doc_rosters.join(done.select("doc_id", "done"), "doc_id")
+
+
 def roster_log(doc_rosters: DataFrame, removals: DataFrame) -> DataFrame:
     """Append-only roster log: merges (op 'put') and removals (op 'del')."""
     puts = doc_rosters.select("case_id", "person_key", "initials", F.lit("put").alias("op"), F.col("seq"))
@@ -48,21 +61,15 @@ def removal_found(roster: DataFrame, removals: DataFrame) -> DataFrame:
             .select("case_id", "person_key", F.coalesce("found", F.lit(False)).alias("found")))
 
 
-def _json_str(c):
-    return F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-
-
 def roster_json(roster: DataFrame) -> DataFrame:
     """(case_id, person_key, json), one JSON line per person and one per
     case with the number of its persons (person_key null); non-ASCII kept.
 
     The same lines at every size, instead of one map per case that a single
     row would have to hold."""
-    head = F.concat(F.lit('{"case_id": '), _json_str(F.col("case_id")))
-    line = F.concat(head, F.lit(', "person": '), _json_str(F.col("person_key")),
-                    F.lit(', "initials": '), _json_str(F.col("initials")), F.lit("}"))
-    counts = roster.groupBy("case_id").agg(F.count(F.lit(1)).alias("total"))
-    total = F.concat(head, F.lit(', "count": '), F.col("total").cast("string"), F.lit("}"))
+    line = F.to_json(F.struct("case_id", F.col("person_key").alias("person"), "initials"), {"ignoreNullFields": "false"})
+    counts = roster.groupBy("case_id").agg(F.count(F.lit(1)).alias("count"))
+    total = F.to_json(F.struct("case_id", "count"), {"ignoreNullFields": "false"})
     return roster.select("case_id", "person_key", line.alias("json")).unionByName(
         counts.select("case_id", F.lit(None).cast("string").alias("person_key"), total.alias("json")))
 

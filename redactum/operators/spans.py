@@ -52,7 +52,7 @@ def mark_spans(labelled: DataFrame, threshold: float = 0.7) -> DataFrame:
 
 def decode_spans(marked: DataFrame, threshold: float = 0.7) -> DataFrame:
     """marked pieces -> spans(doc_id, run_no, span, start, end, label,
-    confidence, n_tokens, first_pos, last_pos, text).
+    confidence, n_tokens, first_pos, last_pos, base, text).
 
     F2: a span is kept when its mean confidence is at least the threshold;
     spans of an empty type are dropped (the reference never emits them).
@@ -65,7 +65,7 @@ def decode_spans(marked: DataFrame, threshold: float = 0.7) -> DataFrame:
                 F.max("etype").alias("label"),
                 F.avg(F.when(bi, F.col("confidence"))).alias("confidence"),
                 F.count(F.when(bi, 1)).alias("n_tokens"),
-                F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"),
+                F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.min("base").alias("base"),
                 F.sort_array(F.collect_list(F.struct(F.col("pos"), piece.alias("p")))).alias("ps")))
     text = F.left(F.array_join(F.transform("ps", lambda s: s["p"]), ""), F.col("end") - F.col("start"))
     return (agg.where((F.col("confidence") >= F.lit(threshold)) & (F.col("label") != ""))

@@ -22,22 +22,24 @@ def run_window():
 
 
 def pieces(segs: DataFrame, offsets: bool = True) -> DataFrame:
-    """segments -> pieces(doc_id, run_no, pos, is_xml, is_tok, lead, token, trail, start, end).
+    """segments -> pieces(doc_id, run_no, pos, is_xml, is_tok, lead, token, trail, start, end, base).
 
+    ``base`` is the run's offset in the document (0 where the segments have none).
     ``offsets=False`` skips the running-sum window (the rewrite pass needs
     positions, not offsets), so no sort is needed."""
     seg = F.col("seg")
+    base = F.col("base") if "base" in segs.columns else F.lit(0)
     # one regex pass per run: each match is a token with its trailing space
-    x = segs.select("doc_id", "seg_no", "is_xml", "is_run", "seg",
+    x = segs.select("doc_id", "seg_no", "is_xml", "is_run", "seg", base.alias("base"),
                     F.regexp_extract_all(seg, F.lit(P.TOKEN_WITH_TRAIL_JAVA), 0).alias("ps"))
     tokenized = F.col("is_run") & (F.size("ps") > 0)
     arr = F.when(tokenized, F.col("ps")).otherwise(F.array(seg))
     lead = F.when(tokenized, F.regexp_extract(seg, P.LEADING_SPACE, 0)).otherwise(F.lit(""))
     # everything per segment is computed before the explode, so the exploded
     # rows carry only small columns (never the segment text or its arrays)
-    x = x.select("doc_id", F.col("seg_no").alias("run_no"), "is_xml", tokenized.alias("is_tok"),
+    x = x.select("doc_id", F.col("seg_no").alias("run_no"), "is_xml", "base", tokenized.alias("is_tok"),
                  lead.alias("lead0"), arr.alias("arr"))
-    x = x.select("doc_id", "run_no", "is_xml", "is_tok", "lead0", F.posexplode("arr").alias("pos", "p"))
+    x = x.select("doc_id", "run_no", "is_xml", "base", "is_tok", "lead0", F.posexplode("arr").alias("pos", "p"))
     # a token never ends in whitespace, so right-trimming the match splits it
     token = F.when(F.col("is_tok"), F.rtrim(F.col("p"), F.lit(P.WHITESPACE_CHARS))).otherwise(F.col("p"))
     x = x.withColumn("token", token).withColumn("trail", F.expr("substring(p, length(token) + 1)"))
@@ -50,7 +52,7 @@ def pieces(segs: DataFrame, offsets: bool = True) -> DataFrame:
     return x.select(
         "doc_id", "run_no", "pos", "is_xml", "is_tok",
         F.when(F.col("pos") == 0, F.col("lead0")).otherwise(F.lit("")).alias("lead"),
-        "token", "trail", start.cast("int").alias("start"), (start + F.length("token")).cast("int").alias("end"))
+        "token", "trail", start.cast("int").alias("start"), (start + F.length("token")).cast("int").alias("end"), "base")
 
 
 def tokens(segs: DataFrame) -> DataFrame:

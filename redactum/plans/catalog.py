@@ -7,6 +7,7 @@ places on both sides.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from ..operators import persons as PS
 from ..operators import recognize, rewrite, tokens
 from ..operators import roster as R
 from ..operators import spans as SP
-from ..operators.fixture_model import rule_model_factory
+from ..operators.fixture_model import fragile_model_factory, rule_model_factory
 from ..operators.markup import segments as markup_segments
 from ..operators.markup import text_runs
 from ..session import checkpoint_dir
@@ -30,6 +31,7 @@ from ..sources import files as FS
 from ..sources import golden as G
 from ..sources import tables as T
 from ..streaming import jobs as SJ
+from ..streaming.lifecycle import Lifecycle
 from .failures import redact_isolated
 from .pipeline import Config, Redaction
 
@@ -280,6 +282,25 @@ def _case_roster(spark, d):
     return R.merge_case_roster(_doc_rosters(spark, d))
 
 
+def _part_rosters(spark, d):
+    """Rosters of documents of part names: a person is the first word of the name, so documents share persons."""
+    p = T.part_names(spark, d)
+    doc = F.floor(F.col("p_partkey") / 50).cast("long")
+    m = p.select(doc.alias("doc_id"), F.lit(0).alias("run_no"), F.col("p_partkey").alias("start"), F.col("name").alias("text"),
+                 F.substring_index(F.lower("p_name"), " ", 1).alias("person_key"))
+    return R.doc_roster(PS.persons(m)).withColumn("case_id", F.col("doc_id") % 5)
+
+
+def q_roster_by_completion(spark, d):
+    """G7, merged view: of all documents that were ever done, the last completion wins."""
+    return R.merge_case_roster(R.completed(_part_rosters(spark, d), T.ledger(spark, d)), "done")
+
+
+def q_roster_current(spark, d):
+    """G7, current view: documents whose latest state is done."""
+    return R.merge_case_roster(R.completed(_part_rosters(spark, d), T.ledger(spark, d), current=True), "done")
+
+
 def q_doc_roster(spark, d):
     return R.doc_roster(redaction(spark, d).persons)
 
@@ -480,9 +501,43 @@ def q_sources_union(spark, d):
 
 
 def q_failures_isolated(spark, d):
+    """A model that raises on some documents, one row without text and one with a NUL character."""
     docs = T.text_docs(spark, d).select("doc_id", "text", "fmt")
-    bad = spark.createDataFrame([(-1, None, "txt"), (-2, "nul\u0000byte", "txt")], "doc_id long, text string, fmt string")
-    return redact_isolated(docs.unionByName(bad)).select("doc_id", "status", "error", "n_mentions")
+    odd = spark.createDataFrame([(-1, None, "txt"), (-2, "nul\u0000byte", "txt")], "doc_id long, text string, fmt string")
+    x = redact_isolated(docs.unionByName(odd), model_factory=fragile_model_factory)
+    return x.select("doc_id", "status", F.substring_index("error", "\n", 1).alias("error"),
+                    F.coalesce(F.contains("error", F.lit("Traceback")), F.lit(False)).alias("has_trace"), "n_mentions")
+
+
+def _lifecycle(spark, d) -> Lifecycle:
+    """The lifecycle of all documents: some asked to stop before they are
+    claimed, some while they are worked, some deleted meanwhile, and a model that raises on some."""
+    key = (spark.sparkContext.applicationId, d, "lifecycle")
+    if key not in _cache:
+        e = T.table(spark, d, "events").where("value > 220")
+        stop = e.select(F.col("user_id").alias("doc_id"), F.lit("stop").alias("request"), F.lit(0).cast("long").alias("seq"))
+        gone = (T.table(spark, d, "labels").where("toxic = 1")
+                .select("doc_id", F.lit("delete").alias("request"), F.lit(0).cast("long").alias("seq")))
+        views = itertools.cycle([stop.where("event_id % 2 = 0"), stop.unionByName(gone)])  # at the claim, at the recheck
+        docs = SJ.document_stream(spark, d).select(
+            "doc_id", F.col("source").alias("case_id"), F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")).alias("name"), "text")
+        path = f"{checkpoint_dir(spark).rstrip('/')}/streams/lifecycle-{uuid.uuid4().hex[:12]}"
+        _cache[key] = Lifecycle(spark, path, lambda: next(views), fragile_model_factory).run(docs)
+    return _cache[key]
+
+
+def q_lifecycle_results(spark, d):
+    return _lifecycle(spark, d).results().select("run_id", "doc_id", "result_name", "text")
+
+
+def q_lifecycle_ledger(spark, d):
+    return _lifecycle(spark, d).ledger().select(
+        "doc_id", "case_id", "seq", "step", "attempt", "status", "entity_count", "person_count",
+        F.substring_index("error", "\n", 1).alias("error"))
+
+
+def q_lifecycle_roster(spark, d):
+    return _lifecycle(spark, d).roster()
 
 
 def q_stream_redact(spark, d):
@@ -491,7 +546,7 @@ def q_stream_redact(spark, d):
 
 
 def q_stream_dedup(spark, d):
-    return spark.read.parquet(SJ.dedup_stream(spark, d)).select("doc_id")
+    return SJ.dedup_stream(spark, d).read("accepted").select("doc_id", F.date_format("ts", TS_FMT).alias("ts"), "event_id")
 
 
 def q_stream_throughput(spark, d):
@@ -501,8 +556,7 @@ def q_stream_throughput(spark, d):
 
 
 def q_stream_roster(spark, d):
-    v = spark.read.parquet(SJ.roster_stream(spark, d))
-    return SJ.current_roster(v).select("case_id", "person_key", "initials")
+    return SJ.roster_stream(spark, d).read("roster").select("case_id", "person_key", "initials")
 
 
 # ---- more inventory items ------------------------------------------------------
@@ -568,19 +622,8 @@ def q_conversation_substitutes(spark, d):
 
 
 def q_stream_ledger(spark, d):
-    """T3 as a stream: latest status per document, update mode."""
-    base = checkpoint_dir(spark).rstrip("/") + f"/streams/ledger-{uuid.uuid4().hex[:12]}"
-
-    def per_batch(b, i):
-        b.write.mode("overwrite").parquet(f"{base}/out/batch_id={i}")
-
-    q = (SJ.latest_status_stream(spark, d).writeStream.outputMode("update").foreachBatch(per_batch)
-         .option("checkpointLocation", base + "/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
-    x = spark.read.parquet(base + "/out")
-    # the newest batch that updated a document holds its latest status
-    last = x.groupBy("doc_id").agg(F.max_by("event_type", "batch_id").alias("event_type"))
-    return last.select("doc_id", F.col("event_type").alias("last_event"))
+    """T3 as a stream: latest status per document."""
+    return SJ.latest_status_stream(spark, d).read("latest").select("doc_id", F.col("event_type").alias("last_event"))
 
 
 def q_throughput_sliding(spark, d):

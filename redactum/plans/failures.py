@@ -1,28 +1,57 @@
-"""Failure isolation (T9): a bad document becomes a ``failed`` row with a
-message; the batch goes on. Checks are column expressions, so no exception
-leaves a task."""
+"""Failure isolation (T9): a document that cannot be worked becomes a ``failed``
+row with its message and trace; the batch goes on.
+
+What can fail is the recognizer: a hosted model that raises on a run gives an
+error row for that run (``recognize.model_predictions``), which fails the run's
+document and no other. The predictions are written once, so the model is not
+asked again when results and failures are read. A document without text fails
+too. Any other text, whatever characters it holds, is worked.
+"""
 
 from __future__ import annotations
 
+from typing import Callable, Optional
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import recognize
+from ..session import checkpoint_dir
 from .pipeline import Config, Redaction
 
+NO_TEXT = "no text"
+
+
+def isolated(docs: DataFrame, model_factory: Optional[Callable] = None, config: Optional[Config] = None,
+             window=None, model_id: Optional[str] = None, **redaction) -> tuple[Redaction, DataFrame]:
+    """(the redaction of the documents that can be worked, failures(doc_id, error)).
+
+    Without a model the rule recognizer is used, which does not fail. The
+    failed documents are left in the redaction without mentions, so its
+    documents are read and dealt once; ``outcomes`` tells them apart."""
+    none = docs.where(F.col("text").isNull()).select("doc_id", F.lit(NO_TEXT).alias("error"))
+    if model_factory is None:
+        return Redaction(docs, config=config, **redaction), none
+    checkpoint_dir(docs.sparkSession)
+    pieces = Redaction(docs, config=config, **redaction).pieces
+    preds = recognize.model_predictions(pieces, model_factory, window, model_id).checkpoint(eager=True)
+    failed = (preds.where("error IS NOT NULL").groupBy("doc_id").agg(F.min_by("error", "run_no").alias("error")))
+    labels = preds.where("error IS NULL").drop("error").join(failed.select("doc_id"), "doc_id", "left_anti")
+    good = Redaction(docs, recognizer=lambda p: recognize.join_predictions(p, labels), config=config, **redaction)
+    return good, none.unionByName(failed)
+
 
-def problems():
-    t = F.col("text")
-    return (F.when(t.isNull(), F.lit("no text"))
-            .when(t.contains("\u0000"), F.lit("NUL character in text")))
+def outcomes(redacted: DataFrame, failures: DataFrame) -> DataFrame:
+    """(doc_id, status, error, n_mentions, text); a failed document has no text and no mentions."""
+    x = redacted.join(failures, "doc_id", "left")
+    ok = F.col("error").isNull()
+    return x.select("doc_id", F.when(ok, F.lit("done")).otherwise(F.lit("failed")).alias("status"), "error",
+                    F.when(ok, F.col("n_mentions")).otherwise(F.lit(0)).cast("long").alias("n_mentions"),
+                    F.when(ok, F.col("text")).alias("text"))
 
 
-def redact_isolated(docs: DataFrame, config: Config | None = None) -> DataFrame:
-    """-> (doc_id, status, error, n_mentions, text)."""
-    x = docs.withColumn("error", problems())
-    bad = x.where(F.col("error").isNotNull()).select(
-        "doc_id", F.lit("failed").alias("status"), "error",
-        F.lit(0).cast("long").alias("n_mentions"), F.lit(None).cast("string").alias("text"))
-    good = Redaction(x.where(F.col("error").isNull()).drop("error"), config=config).redacted()
-    good = good.select("doc_id", F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"),
-                       F.col("n_mentions").cast("long"), "text")
-    return good.unionByName(bad)
+def redact_isolated(docs: DataFrame, config: Optional[Config] = None, model_factory: Optional[Callable] = None,
+                    **options) -> DataFrame:
+    """-> (doc_id, status, error, n_mentions, text) of every document."""
+    good, failures = isolated(docs, model_factory, config, **options)
+    return outcomes(good.redacted(), failures)

@@ -324,11 +324,9 @@ ORACLES = {
 sx AS (SELECT *, CAST(coalesce(sum(length(seg)) OVER (PARTITION BY doc_id ORDER BY seg_no
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start FROM segs)
 SELECT doc_id, seg_no AS run_no, start, seg AS text FROM sx WHERE is_run""",
-    "preds_joined": core(TXT, "labels") + """,
-preds AS (SELECT doc_id, run_no, pos AS tok_no, label, confidence FROM lab WHERE is_tok AND label <> 'O')
-SELECT t.doc_id, t.run_no, t.pos AS tok_no, t.token, coalesce(p.label, 'O') AS label,
-       round(coalesce(p.confidence, 1.0), 6) AS confidence
-FROM pieces2 t LEFT JOIN preds p ON p.doc_id = t.doc_id AND p.run_no = t.run_no AND p.tok_no = t.pos WHERE t.is_tok""",
+    "preds_joined": core(TXT, "labels") + """
+SELECT doc_id, run_no, pos AS tok_no, token, label, round(CASE WHEN label = 'O' THEN 1.0 ELSE confidence END, 6) AS confidence
+FROM lab WHERE is_tok""",
     "first_subtoken": core(TXT, "labels") + """,
 sb AS (SELECT doc_id, run_no, pos AS tok_no, label, confidence,
          unnest(range(0, CAST(greatest(ceil(length(token) / 3), 1) AS BIGINT))) AS sub_no FROM lab WHERE is_tok),
@@ -393,10 +391,6 @@ removals AS (SELECT case_id, person_key, 1000000000000 AS seq FROM croster WHERE
   UNION ALL SELECT case_id, person_key || ' x', 1000000000000 FROM croster WHERE substring(person_key, 1, 1) >= 'm')"""
 
 
-def _js(x):
-    return f"'\"' || replace(replace({x}, '\\', '\\\\'), '\"', '\\\"') || '\"'"
-
-
 # events and requests of a document, one after the other, through the state rules
 REQUEST_STATES = """rq AS (SELECT user_id AS doc_id, ts, event_id AS seq, CASE WHEN value > 45 THEN 'stop' WHEN value < 3 THEN 'retry' END AS request FROM events),
 step AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts, seq, kind) AS n FROM (
@@ -465,9 +459,9 @@ WHERE r = 1 AND op = 'put'"""),
     "removal_found": _with_persons("""
 SELECT r.case_id, r.person_key, (c.person_key IS NOT NULL) AS found FROM removals r
 LEFT JOIN croster c ON c.case_id = r.case_id AND c.person_key = r.person_key"""),
-    "roster_json": _with_persons(f"""
-SELECT case_id, person_key, '{{"case_id": ' || {_js('case_id')} || ', "person": ' || {_js('person_key')} || ', "initials": ' || {_js('initials')} || '}}' AS json FROM croster
-UNION ALL SELECT case_id, NULL, '{{"case_id": ' || {_js('case_id')} || ', "count": ' || CAST(count(*) AS VARCHAR) || '}}' FROM croster GROUP BY case_id"""),
+    "roster_json": _with_persons("""
+SELECT case_id, person_key, CAST(json_object('case_id', case_id, 'person', person_key, 'initials', initials) AS VARCHAR) AS json FROM croster
+UNION ALL SELECT case_id, NULL, CAST(json_object('case_id', case_id, 'count', count(*)) AS VARCHAR) FROM croster GROUP BY case_id"""),
     "roster_sorted": _with_persons("SELECT case_id, person_key, initials, row_number() OVER (PARTITION BY case_id ORDER BY person_key) AS rn FROM croster"),
     "case_summary": _with_persons("""
 , cd AS (SELECT d.case_id, count(*) AS n_docs, count(*) FILTER (WHERE l.status = 'done') AS n_done FROM cdocs d LEFT JOIN lat l ON l.doc_id = d.doc_id GROUP BY d.case_id),
@@ -507,6 +501,22 @@ SELECT case_id, person_key, initials, k, n_same, {NUMBERED} FROM r""",
 })
 
 
+def _completed(current: bool) -> str:
+    last = "AND done = (SELECT max((ts, seq)) FROM ledger l WHERE l.doc_id = d.doc_id)" if current else ""
+    return f"""WITH {LEDGER},
+m AS (SELECT p_partkey // 50 AS doc_id, p_partkey AS s, split_part(lower(p_name), ' ', 1) AS person_key, {initials('name')} AS ini
+      FROM {PART_NAMES_SQL}),
+p AS (SELECT doc_id, person_key, arg_max(ini, s) AS initials, max(s) AS s FROM m GROUP BY doc_id, person_key),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, initials ORDER BY s DESC) AS k, count(*) OVER (PARTITION BY doc_id, initials) AS n_same FROM p),
+dn AS (SELECT * FROM (SELECT doc_id, max((ts, seq)) AS done FROM ledger WHERE status = 'done' GROUP BY doc_id) d WHERE true {last}),
+x AS (SELECT r.doc_id % 5 AS case_id, person_key, {NUMBERED}, done FROM r JOIN dn ON dn.doc_id = r.doc_id)
+SELECT case_id, person_key, substitute AS initials FROM x
+QUALIFY row_number() OVER (PARTITION BY case_id, person_key ORDER BY done DESC) = 1"""
+
+
+ORACLES.update({"roster_by_completion": _completed(False), "roster_current": _completed(True)})
+
+
 # ---- evaluation and corpus ---------------------------------------------------
 
 GOLD_FILES = f"""SELECT 'doc_' || CAST(doc_id AS VARCHAR) || '.test' AS file, string_agg(cs, chr(10) ORDER BY ln) AS content FROM (
@@ -579,7 +589,33 @@ NAMED = """(SELECT doc_id, source, text, 'doc_' || CAST(doc_id AS VARCHAR) || CA
 SFX = "regexp_extract(name, '^(.*?)(\\.[^.]+)?$', 2)"
 STEM = "regexp_extract(name, '^(.*?)(\\.[^.]+)?$', 1)"
 
+# documents that the fragile model raises on, with its message
+UNREADABLE = """unreadable AS (SELECT doc_id, 'cannot read ' || arg_min(token, pos) AS error FROM pieces2
+  WHERE is_tok AND regexp_matches(token, '^[0-9]{9,}$') GROUP BY doc_id)"""
+
+LIFECYCLE = core(TXT) + f""",
+{UNREADABLE},
+stop AS (SELECT user_id AS doc_id, bool_or(event_id % 2 = 0) AS early FROM events WHERE value > 220 GROUP BY user_id),
+fin AS (SELECT x.doc_id, x.source AS case_id, coalesce(s.early, false) AS early, u.error,
+    CASE WHEN s.doc_id IS NOT NULL THEN 'cancelled' WHEN u.doc_id IS NOT NULL THEN 'failed' ELSE 'done' END AS status
+  FROM documents x LEFT JOIN stop s ON s.doc_id = x.doc_id LEFT JOIN unreadable u ON u.doc_id = x.doc_id
+  WHERE x.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+np AS (SELECT doc_id, count(*) AS n FROM persons GROUP BY doc_id)
+"""
+
 ORACLES.update({
+    "lifecycle_results": LIFECYCLE + """SELECT 'run-0' AS run_id, f.doc_id, 'doc_' || CAST(f.doc_id AS VARCHAR) || '_anon.txt' AS result_name, r.text
+FROM fin f JOIN red r ON r.doc_id = f.doc_id WHERE f.status = 'done'""",
+    "lifecycle_ledger": LIFECYCLE + """SELECT f.doc_id, f.case_id, CAST(0 AS BIGINT) AS seq, CAST(e.step AS INTEGER) AS step, CAST(1 AS INTEGER) AS attempt,
+  CASE e.step WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' ELSE f.status END AS status,
+  CASE WHEN e.step = 2 AND f.status = 'done' THEN r.n_mentions END AS entity_count,
+  CASE WHEN e.step = 2 AND f.status = 'done' THEN coalesce(np.n, 0) END AS person_count,
+  CASE WHEN e.step = 2 AND f.status = 'failed' THEN f.error END AS error
+FROM fin f JOIN red r ON r.doc_id = f.doc_id LEFT JOIN np ON np.doc_id = f.doc_id
+CROSS JOIN (VALUES (0), (1), (2)) e(step) WHERE NOT (e.step = 1 AND f.early)""",
+    "lifecycle_roster": LIFECYCLE + """SELECT case_id, person_key, substitute AS initials FROM (
+  SELECT f.case_id, p.person_key, p.substitute, row_number() OVER (PARTITION BY f.case_id, p.person_key ORDER BY p.doc_id DESC) AS r
+  FROM persons p JOIN fin f ON f.doc_id = p.doc_id WHERE f.status = 'done') WHERE r = 1""",
     "admission": f"""SELECT doc_id, name, CAST(octet_length(encode(text)) + CASE WHEN doc_id % 10 = 9 THEN 1 ELSE 0 END AS BIGINT) AS size,
   CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason FROM (
   SELECT *, CASE WHEN lower({SFX}) NOT IN ('.xml', '.txt') THEN 'suffix' WHEN doc_id % 10 = 9 AND text IS NOT NULL THEN 'encoding' END AS reason FROM {NAMED})""",
@@ -593,11 +629,14 @@ FROM man m""",
     "result_names": f"SELECT doc_id, {STEM} || '_anon' || {SFX} AS result_name FROM {NAMED}",
     "sources_union": """SELECT doc_id, 'document' AS kind, length(text) AS n_chars FROM documents
 UNION ALL SELECT conv_id, 'conversation', length(string_agg(text, chr(10) ORDER BY turn)) FROM conversations GROUP BY conv_id""",
-    "failures_isolated": core(TXT) + """
-SELECT doc_id, 'done' AS status, CAST(NULL AS VARCHAR) AS error, n_mentions FROM red
-UNION ALL SELECT -1, 'failed', 'no text', 0 UNION ALL SELECT -2, 'failed', 'NUL character in text', 0""",
+    "failures_isolated": core(TXT) + f""",
+{UNREADABLE}
+SELECT r.doc_id, CASE WHEN u.doc_id IS NULL THEN 'done' ELSE 'failed' END AS status, u.error, u.error IS NOT NULL AS has_trace,
+  CASE WHEN u.doc_id IS NULL THEN n_mentions ELSE 0 END AS n_mentions FROM red r LEFT JOIN unreadable u ON u.doc_id = r.doc_id
+UNION ALL SELECT -1, 'failed', 'no text', false, 0 UNION ALL SELECT -2, 'done', NULL, false, 0""",
     "stream_redact": core(TXT) + "\nSELECT doc_id, text, n_mentions FROM red",
-    "stream_dedup": "SELECT DISTINCT user_id AS doc_id FROM events WHERE event_type = 'view'",
+    "stream_dedup": f"""SELECT user_id AS doc_id, strftime(ts, {TSF}) AS ts, event_id FROM events WHERE event_type = 'view'
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1""",
     "stream_throughput": ORACLES["throughput_hourly"],
     "stream_roster": ORACLES["case_roster"],
 })

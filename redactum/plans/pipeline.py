@@ -166,11 +166,12 @@ class Redaction:
         return rewrite.emit(pcs, positions, self.fmt_tags)
 
     def redacted(self) -> DataFrame:
-        """docs'(doc_id, text, n_mentions); untouched documents pass through."""
+        """docs'(doc_id, text, n_mentions): each document spliced in its own
+        row, after one left join with the arrays of its mentions. Recognition
+        is not run again and no text is cut, exploded or collected; if the
+        arrays are too many to broadcast, that join is the one exchange of the
+        text (none for a table bucketed by doc_id)."""
         if self._seg_input is not None:
             raise ValueError("segment input has no document text to pass through; use outputs()")
-        changed = rewrite.rebuild(self.outputs())
-        # documents without mentions are read as they are, never shuffled
-        same = (self.raw_docs.join(self.touched(), "doc_id", "left_anti")
-                .select("doc_id", "text", F.lit(0).cast("long").alias("n_mentions")))
-        return changed.unionByName(same)
+        tags = F.col("fmt") == "xml" if self.cfg.tags is None else F.lit(bool(self.cfg.tags))
+        return rewrite.rewritten(self.raw_docs, rewrite.document_spans(self.mentions), tags)
