@@ -100,7 +100,6 @@ class Lifecycle:
         todo = sub.join(claims.where("claim = 'claimed'").select("doc_id"), "doc_id", "left_semi")
         docs = todo.select("doc_id", "text", fmt_of(F.col("name")).alias("fmt"))
         good, failures = isolated(docs, self.model_factory, self.config, **self.options)
-        failures = work.keep("failures", failures)
         worked = work.keep("worked", outcomes(good.redacted(), failures))
         persons = work.keep("persons", R.doc_roster(good.persons).join(failures.select("doc_id"), "doc_id", "left_anti"))
 
@@ -109,8 +108,8 @@ class Lifecycle:
         work.append("results", worked.select("doc_id", "text").join(done, "doc_id").select(
             F.lit(f"run-{batch_id}").alias("run_id"), "doc_id", "attempt", result_name(F.col("name")).alias("result_name"), "text"))
         work.append("ledger", self._events(final, batch_id))
-        entries = work.keep("entries", persons.join(done, "doc_id").where("case_id IS NOT NULL").select(
-            "case_id", "person_key", "initials", "doc_id", "attempt", F.lit(batch_id).cast("long").alias("seq")))
+        entries = persons.join(done, "doc_id").where("case_id IS NOT NULL").select(
+            "case_id", "person_key", "initials", "doc_id", "attempt", F.lit(batch_id).cast("long").alias("seq"))
         work.append("roster_log", entries)
         work.upsert("roster", entries, newest(["case_id", "person_key"], ["seq", "doc_id"]))
         work.upsert("documents", final.select("doc_id", "case_id", "status", "attempt", F.lit(batch_id).cast("long").alias("seq")),
