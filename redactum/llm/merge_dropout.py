@@ -14,11 +14,13 @@ text holds it, is written as bytes, so it can't be taken for a space. Decoding
 gives back the exact text. Null and empty texts have no ids and decode to the
 empty text.
 
-A worker keeps, for a word and the candidates skipped so far, the candidates
-that follow and the ids if none of them is skipped (``Path``). It depends on no
-key: the hashes of each occurrence choose the way from path to path. Up to two
-generations of ``KEEP`` paths are kept; words over ``LONG_WORD`` characters are
-merged with their hashes at once.
+A worker keeps, for a word, the candidates of the merges without a skip and the
+ids they lead to, up to two generations of ``KEEP`` words; this depends on no
+key. An occurrence of which no candidate is skipped has those ids. All others of
+an Arrow batch are merged anew together: one table of symbols, a row a word, in
+which every step takes the best candidate of each row, hashes it and merges or
+skips it; rows that have no candidate left leave. Words over ``SHORT`` symbols
+are merged one by one.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import heapq
 import re
 from array import array
 from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +38,16 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 KEEP = 400_000
-LONG_WORD = 64
+#: rows of a table of words that are merged together
+ROWS = 1 << 14
 _M64 = 2**64 - 1
 _LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]")
-#: words up to so many symbols keep their agenda in a plain list, longer ones in a heap
+#: words up to so many symbols keep their agenda in a plain list or a table's row, longer ones in a heap
 SHORT = 24
 NEVER = 1 << 40
 GONE = -(1 << 40)
+#: the rank of no pair in a table
+LAST = np.int32(2**31 - 1)
 _CODERS: dict[tuple, Coder] = {}
 
 
@@ -61,14 +67,13 @@ def _code(place: int, piece: int) -> int:
     return (place * 0x9E3779B97F4A7C15 + piece * 0xC2B2AE3D27D4EB4F) & _M64
 
 
-class Path:
-    """A word after some skips: the codes of the candidates that follow, and its
-    ids if none of them is skipped; then: the path if the n-th one is."""
+class Word(NamedTuple):
+    """The codes of a word's candidates if none is skipped, the ids they lead to,
+    and its symbols (none if it is merged by itself)."""
 
-    __slots__ = ("word", "skipped", "codes", "ids", "then")
-
-    def __init__(self, word: str, skipped: tuple, codes: bytes, ids: bytes):
-        self.word, self.skipped, self.codes, self.ids, self.then = word, skipped, codes, ids, None
+    codes: bytes
+    ids: bytes
+    symbols: bytes | None
 
 
 class Coder:
@@ -104,9 +109,20 @@ class Coder:
         self.seed = seed
         #: hashes below this are skips
         self.limit = min(int(dropout * 2.0**64), _M64) if dropout > 0 else 0
-        self.now: dict[str, Path] = {}
-        self.before: dict[str, Path] = {}
-        self.paths = 0
+        self.now: dict[str, Word] = {}
+        self.before: dict[str, Word] = {}
+        #: the symbol of every code point: an id, below -1 (see odd_bytes) without a piece, -1 if not met yet
+        self.symbol_of = np.full(0x110000, -1, np.int32)
+        for piece, i in self.piece_id.items():
+            if len(piece) == 1:
+                self.symbol_of[ord(piece)] = i
+        self.odd_bytes: list[list[int]] = []
+        # the pairs in order, to be searched for many at once
+        keys = np.fromiter(self.pairs, np.int64, len(self.pairs))
+        order = np.argsort(keys)
+        self.pair_keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.pair_pieces = np.append(np.fromiter(self.pairs.values(), np.int32, len(keys))[order], np.int32(0))
+        self.pair_ranks = np.append(np.fromiter((self.ranks[k] for k in keys.tolist()), np.int32, len(keys))[order], LAST)
 
     @classmethod
     def of(cls, path: str, dropout: float, seed: int) -> Coder:
@@ -194,87 +210,192 @@ class Coder:
                 run.append(i)
         return out
 
-    def _path(self, word: str, skipped: tuple) -> Path:
-        """The path of a word whose candidates of these numbers are skipped."""
-        codes, last = array("Q"), skipped[-1] if skipped else -1
-        asked = 0
-
-        def skip(place: int, piece: int) -> bool:
-            nonlocal asked
-            asked += 1
-            if asked - 1 > last:
-                codes.append(_code(place, piece))
-            return asked - 1 in skipped
-
-        ids = array("I", self.segment(word.replace(" ", MARK), skip if self.limit else None)).tobytes()
-        self.paths += 1
-        return Path(word, skipped, codes.tobytes(), ids)
-
-    def _first_path(self, word: str) -> Path:
-        path = self.now.get(word)
-        if path is None:
-            path = self.before.get(word)
-            if path is None:
-                path = self._path(word, ())
-            else:  # without the paths behind it
-                path = Path(word, (), path.codes, path.ids)
-                self.paths += 1
-            self.now[word] = path
-        return path
-
-    def _next_path(self, path: Path, nth: int) -> Path:
-        if path.then is None:
-            path.then = {}
-        if nth not in path.then:
-            at = nth + (path.skipped[-1] + 1 if path.skipped else 0)
-            path.then[nth] = self._path(path.word, (*path.skipped, at))
-        return path.then[nth]
+    def _symbols(self, words: list[str]) -> np.ndarray:
+        """Symbols of the words end to end: ids, and a number below -1 for each character without a piece."""
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbols = self.symbol_of[points]
+        if (symbols == -1).any():
+            for point in np.unique(points[symbols == -1]).tolist():
+                self.odd_bytes.append([self.byte_id[b] for b in chr(point).encode("utf-8", "surrogatepass")])
+                self.symbol_of[point] = -1 - len(self.odd_bytes)
+            symbols = self.symbol_of[points]
+        return symbols
+
+    def _spelled(self, ids: bytes) -> bytes:
+        """Ids in which the bytes of characters without a piece stand for them."""
+        out = array("I")
+        for x in np.frombuffer(ids, np.int32).tolist():
+            if x >= 0:
+                out.append(x)
+            else:
+                out.extend(self.odd_bytes[-2 - x])
+        return out.tobytes()
+
+    def _made(self, words: list[str]) -> list[Word]:
+        """Words without their occurrences' keys: short ones together, long ones one by one."""
+        flat = self._symbols([w.replace(" ", MARK) for w in words]).tobytes()
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        end = (np.cumsum(size) * 4).tolist()
+        symbols = [flat[a:b] for a, b in zip([0, *end[:-1]], end, strict=True)] if words else []
+        short = np.flatnonzero(size <= SHORT).tolist()
+        out: list[Word | None] = [None] * len(words)
+        for i, (ids, codes) in zip(short, self._merged_rows([symbols[i] for i in short], None), strict=True):
+            out[i] = Word(codes, ids, symbols[i])
+        for i in np.flatnonzero(size > SHORT).tolist():
+            codes = array("Q")
+
+            def note(place: int, piece: int) -> bool:
+                codes.append(_code(place, piece))  # noqa: B023
+                return False
+
+            ids = array("I", self.segment(words[i].replace(" ", MARK), note)).tobytes()
+            out[i] = Word(codes.tobytes(), ids, None)
+        return out
+
+    def _known(self, words: list[str]) -> list[Word]:
+        missing = []
+        for w in words:
+            if w not in self.now:
+                if w in self.before:
+                    self.now[w] = self.before[w]
+                else:
+                    missing.append(w)
+        self.now.update(zip(missing, self._made(missing), strict=True))
+        known = [self.now[w] for w in words]
+        if len(self.now) > KEEP:
+            self.before, self.now = self.now, {}
+        return known
 
     def _at_once(self, word: str, key: int) -> bytes:
         limit = self.limit
         skip = (lambda place, piece: _mix(key ^ _code(place, piece)) < limit) if limit else None
         return array("I", self.segment(word.replace(" ", MARK), skip)).tobytes()
 
-    def _plain(self, text: str, key: int, first: int) -> tuple[bytes, int]:
-        """Ids of a text without the word mark, and its number of words; first: the number of its first word."""
-        words = self.word.findall(text) if not self.joins_words else [text]
-        number = np.arange(first, first + len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        keys = _mix_all(number ^ np.uint64(key))
-        paths = [self._first_path(w) if len(w) <= LONG_WORD else None for w in words]
-        open_ = [k for k, path in enumerate(paths) if path is not None] if self.limit else []
-        while open_:
-            many = np.array([len(paths[k].codes) >> 3 for k in open_])
-            codes = np.frombuffer(b"".join([paths[k].codes for k in open_]), np.uint64)
-            hits = np.flatnonzero(_mix_all(np.repeat(keys[open_], many) ^ codes) < np.uint64(self.limit))
-            end = np.cumsum(many)
-            owner = np.searchsorted(end, hits, "right")
-            new = np.ones(len(hits), bool)
-            new[1:] = owner[1:] != owner[:-1]
-            owner, hits = owner[new], hits[new]
-            nth = hits - (end - many)[owner]
-            open_ = [open_[k] for k in owner.tolist()]
-            for k, at in zip(open_, nth.tolist(), strict=True):
-                paths[k] = self._next_path(paths[k], at)
-        out = [self._at_once(w, k) if path is None else path.ids
-               for w, path, k in zip(words, paths, keys.tolist(), strict=True)]
-        if self.paths > KEEP:
-            self.before, self.now, self.paths = self.now, {}, 0
-        return b"".join(out), len(words)
+    def _offers(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, piece) of pairs of ids; LAST where there is none or an id is missing (-1)."""
+        key = left.astype(np.int64) * self.base + right
+        at = np.searchsorted(self.pair_keys, key)
+        there = (self.pair_keys[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(there, self.pair_ranks[at], LAST), self.pair_pieces[at]
+
+    def _merged_table(self, ids: np.ndarray, keys: np.ndarray | None) -> list[tuple[bytes, bytes]]:
+        """(ids, codes) of words given as rows of symbols (-1 behind the last one).
+
+        A merged pair keeps the column of its left symbol, its place in the
+        word; the right one's column is blank from then on, and each column
+        knows its neighbours. With the keys of their occurrences candidates are
+        skipped, and codes are empty; without, none is, and codes tell the
+        candidates in order."""
+        n, width = ids.shape
+        ids = np.hstack([ids, np.full((n, 1), -1, np.int32)])  # a blank column behind the last
+        right = np.broadcast_to(np.minimum(np.arange(1, width + 2), width), ids.shape).copy()
+        left = np.broadcast_to(np.arange(-1, width), ids.shape).copy()
+        left[:, 0] = width
+        rank, piece = self._offers(ids[:, :-1], ids[:, 1:])
+        live, notes = np.arange(n), []
+        while len(live):
+            k = rank[live].argmin(1)
+            going = rank[live, k] < LAST
+            live, k = live[going], k[going]
+            new = piece[live, k]
+            code = k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + new.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+            if keys is None:
+                notes.append((live, code))
+                r, c = live, k
+            else:
+                skip = _mix_all(keys[live] ^ code) < np.uint64(self.limit)
+                rank[live[skip], k[skip]] = LAST
+                r, c, new = live[~skip], k[~skip], new[~skip]
+            gone = right[r, c]
+            after = right[r, gone]
+            ids[r, c], ids[r, gone] = new, -1
+            ends = gone < width - 1  # the last column has no rank of its own to blank
+            rank[r[ends], gone[ends]] = LAST
+            right[r, c], left[r, after] = after, c
+            rank[r, c], piece[r, c] = self._offers(new, ids[r, after])
+            before = left[r, c]
+            inner = before < width
+            r, before, new = r[inner], before[inner], new[inner]
+            rank[r, before], piece[r, before] = self._offers(ids[r, before], new)
+        stays = ids != -1
+        end = np.cumsum(stays.sum(1)) * 4
+        flat = ids[stays].tobytes()
+        found = [flat[a:b] for a, b in zip([0, *end[:-1].tolist()], end.tolist(), strict=True)]
+        for i in np.flatnonzero((ids < -1).any(1)).tolist():
+            found[i] = self._spelled(found[i])
+        if not notes:
+            return [(x, b"") for x in found]
+        owner, codes = (np.concatenate(x) for x in zip(*notes, strict=True))
+        order = np.argsort(owner, kind="stable")
+        end = np.cumsum(np.bincount(owner, minlength=n)) * 8
+        told = codes[order].tobytes()
+        return [(x, told[a:b]) for x, a, b in zip(found, [0, *end[:-1].tolist()], end.tolist(), strict=True)]
+
+    def _merged_rows(self, symbols: list[bytes], keys: np.ndarray | None) -> list[tuple[bytes, bytes]]:
+        """The same for words given as bytes of their symbols, those of like length together."""
+        size = np.array([len(s) >> 2 for s in symbols], np.int64)
+        out: list[tuple[bytes, bytes]] = [(b"", b"")] * len(symbols)
+        order = np.argsort(size, kind="stable")
+        for a in range(0, len(order), ROWS):
+            own = order[a:a + ROWS]
+            flat = np.frombuffer(b"".join([symbols[i] for i in own.tolist()]), np.int32)
+            table = np.full((len(own), int(size[own].max())), -1, np.int32)
+            table[np.arange(table.shape[1]) < size[own][:, None]] = flat
+            for i, got in zip(own.tolist(), self._merged_table(table, None if keys is None else keys[own]), strict=True):
+                out[i] = got
+        return out
+
+    def _encode_words(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+        """Ids of words with the keys of their occurrences."""
+        which = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        at = np.fromiter(map(which.__getitem__, words), np.int64, len(words))
+        known = self._known(list(which))
+        codes_of, ids_of, symbols_of = zip(*known, strict=True) if known else ((), (), ())
+        ids = list(map(ids_of.__getitem__, at.tolist()))
+        if not self.limit or not words:
+            return ids
+        codes = np.frombuffer(b"".join(codes_of), np.uint64)
+        many = np.fromiter(map(len, codes_of), np.int64, len(known)) >> 3
+        first = np.cumsum(many) - many
+        own = many[at]
+        end = np.cumsum(own)
+        asked = codes[np.arange(end[-1]) + np.repeat(first[at] - (end - own), own)]
+        hits = np.flatnonzero(_mix_all(np.repeat(keys, own) ^ asked) < np.uint64(self.limit))
+        again = np.unique(np.searchsorted(end, hits, "right"))
+        plain = np.array([s is not None for s in symbols_of])[at[again]]
+        rows = again[plain]
+        merged = self._merged_rows(list(map(symbols_of.__getitem__, at[rows].tolist())), keys[rows])
+        for i, (new, _) in zip(rows.tolist(), merged, strict=True):
+            ids[i] = new
+        for i in again[~plain].tolist():
+            ids[i] = self._at_once(words[i], int(keys[i]))
+        return ids
+
+    def encode_all(self, texts: list[str | None], doc_keys: list[int]) -> list[np.ndarray]:
+        """Ids of each text with the key of its document."""
+        mark = np.array([self.byte_id[b] for b in MARK.encode()], "<u4").tobytes()
+        words: list[str] = []
+        keys, plan = [np.zeros(0, np.uint64)], []  # of each text: (first, end) of words, or None for a mark
+        for text, doc_key in zip(texts, doc_keys, strict=True):
+            own: list[tuple[int, int] | None] = []
+            begin = len(words)
+            for i, part in enumerate((" " + text).split(MARK) if text else []):
+                if i:
+                    own.append(None)
+                if part:
+                    a = len(words)
+                    words += [part] if self.joins_words else self.word.findall(part)
+                    own.append((a, len(words)))
+            plan.append(own)
+            key = _mix((self.seed ^ doc_key * 0xA0761D6478BD642F) & _M64)
+            number = np.arange(len(words) - begin, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            keys.append(_mix_all(number ^ np.uint64(key)))
+        ids = self._encode_words(words, np.concatenate(keys))
+        return [np.frombuffer(b"".join([mark if run is None else b"".join(ids[run[0]:run[1]]) for run in own]), "<u4")
+                for own in plan]
 
     def encode(self, text: str | None, doc_key: int = 0) -> np.ndarray:
-        if not text:
-            return np.zeros(0, "<u4")
-        key = _mix((self.seed ^ doc_key * 0xA0761D6478BD642F) & _M64)
-        mark = np.array([self.byte_id[b] for b in MARK.encode()], "<u4").tobytes()
-        out, first = [], 0
-        for i, part in enumerate((" " + text).split(MARK)):
-            if i:
-                out.append(mark)
-            if part:
-                ids, many = self._plain(part, key, first)
-                out.append(ids)
-                first += many
-        return np.frombuffer(b"".join(out), "<u4")
+        return self.encode_all([text], [doc_key])[0]
 
     def decode(self, ids) -> str:
         """The exact text of ids: without the mark in front."""
@@ -293,7 +414,7 @@ def encode_decode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int =
         for batch in batches:
             coder = Coder.of(model, dropout, seed)
             docs_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ids = [coder.encode(t, d or 0) for d, t in zip(docs_, texts, strict=True)]
+            ids = coder.encode_all(texts, [d or 0 for d in docs_])
             size = np.array([len(x) for x in ids], np.int64)
             same = [coder.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)]
             flat = np.concatenate([np.zeros(0, "<u4"), *ids]).astype(np.int32)
