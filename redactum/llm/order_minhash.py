@@ -15,10 +15,11 @@ larger one each text is paired with the bucket's first one, and all are dealt
 anew to buckets in which more seeds agree (``AGREE``), where the same holds, up
 to those in which all seeds do. Candidates are verified by word edit distance in
 a band: linked if at most ``1 - LEAST`` of the longer text's words are edits.
-Large buckets whose texts are then not all linked are searched exactly: their
-texts are dealt to blocks, every two blocks meet in one cell, and a cell gives
-only links between texts that were not linked before. So every two texts that
-share a bucket are compared or linked already, however many others share it.
+Large buckets whose texts are then not all linked are searched exactly: two of
+their texts that are similar share one of each one's rarest words (a prefix
+filter, see ``rare_words``), and those that do, share a bucket and are not
+linked yet are verified too. So every two texts that share a bucket are compared,
+linked already or can't be similar, however many others share it.
 Classes are the connected components of the links.
 
 Texts shorter than ``K`` words have one k-mer. Null texts and texts without a
@@ -45,8 +46,6 @@ SKETCHES, PICKS = 24, 2
 SMALL = 8
 #: seeds that agree in the buckets of each round; a round deals the large buckets of the one before
 AGREE = (1, 3, 6, 12, 24)
-#: texts and words of a block of a large bucket, and the counters of hashed words that stand for a text
-BLOCK, BLOCK_WORDS, COUNTERS = 256, 1 << 20, 64
 #: cells of the seed-by-window table computed at once
 CELLS = 1 << 21
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, SKETCHES, dtype=np.uint64) | np.uint64(1)
@@ -62,7 +61,11 @@ def labelled_kmers(raw: np.ndarray) -> np.ndarray:
     """Hash of every window of K words and its occurrence number, in text order."""
     start, end = word_spans(raw)
     prefix = _prefix(word_hashes(raw, start, end))
-    grams = window_hashes(prefix, min(K, len(start)))
+    return labelled(window_hashes(prefix, min(K, len(start))))
+
+
+def labelled(grams: np.ndarray) -> np.ndarray:
+    """Hashes mixed with the number of their occurrence, in the same order."""
     order = np.argsort(grams, kind="stable")
     ranked = grams[order]
     new = np.ones(len(grams), bool)
@@ -215,57 +218,64 @@ def candidates(spark: SparkSession, classes: DataFrame) -> tuple[DataFrame, Data
     return pairs.distinct(), crowded
 
 
-def cell_links(cell: pd.DataFrame, least: float = LEAST) -> pd.DataFrame:
-    """Links (a, b) of a cell(c, label, side, band, sketch, text) between different labels.
+def word_marks(text: Column) -> Column:
+    """64-bit hashes of every word of a text with its occurrence number."""
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            raw = np.frombuffer(b" ".join(words_of(text)), np.uint8)
+            out.append(labelled(word_hashes(raw, *word_spans(raw))).view(np.int64))
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "array<long>")(text)
 
-    Texts of side 0 meet each other, or those of side 1 if there are any. A pair
-    that also shares the bucket of an earlier band is left to that one. Counts
-    of hashed words can't differ by more than the words themselves, so what
-    they rule out is not similar; the rest is aligned unless linked by now.
+
+def rare_words(spark: SparkSession, texts: DataFrame, least: float) -> DataFrame:
+    """(c, word, many, first) of the rarest words of texts(c, n_words, text), many the texts that hold it.
+
+    Similar texts of n words share all but (1 - least) n of the longer one's
+    labelled words, so in any order of all words each of them holds one that
+    they share among its first (1 - least) n + 1. Rarest first, few others do.
+    Words that only one text holds take their places but are not returned.
+    """
+    words = stored(spark, texts.select("c", "n_words", F.explode(word_marks(F.col("text"))).alias("word")), "marks")
+    counts = words.groupBy("word").agg(F.count("*").alias("many")).filter("many > 1")
+    counts = stored(spark, counts, "mark-counts")
+    ranked = (words.join(counts, "word", "left").groupBy("c", "n_words")
+              .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("many", F.lit(1)).alias("many"), "word"))).alias("all")))
+    first = F.floor((1 - least) * F.col("n_words") + 1e-9).cast("int") + 1
+    return (ranked.select("c", F.explode(F.slice("all", F.lit(1), first)).alias("x"))
+            .select("c", "x.word", "x.many").filter("many > 1"))
+
+
+def crowded_links(spark: SparkSession, crowded: DataFrame, classes: DataFrame, labels: DataFrame, texts: DataFrame,
+                  least: float) -> DataFrame:
+    """Links (a, b) of the large buckets between texts whose labels(c, label) differ.
+
+    Of the texts of buckets that hold several labels, pairs are met on their
+    rare words: of each word's texts those outside its most frequent label meet
+    all of another label, so copies that are linked already never meet. A pair
+    that fits in length and shares a bucket is aligned. Only ids, sizes and
+    sketches travel until then.
     """
-    words = [words_of(t) for t in cell.text]
-    size = np.array([len(w) for w in words])
-    counts = np.zeros((len(words), COUNTERS), np.int32)
-    for i, own in enumerate(words):
-        raw = np.frombuffer(b" ".join(own), np.uint8)
-        counts[i] = np.bincount((word_hashes(raw, *word_spans(raw)) >> np.uint64(40)).astype(np.int64) % COUNTERS,
-                                minlength=COUNTERS)
-    seeds = np.stack(cell.sketch.to_numpy())
-    side, band, c = cell.side.to_numpy(), int(cell.band.iloc[0]), cell.c.to_numpy()
-    label = np.unique(cell.label.to_numpy(), return_inverse=True)[1]
-    two = side.any()
-    others = np.flatnonzero(side == 1) if two else np.arange(len(c))
-    out = []
-    for x in np.flatnonzero(side == 0):
-        y = others if two else others[x + 1:]
-        y = y[label[y] != label[x]]
-        most = ((1 - least) * np.maximum(size[x], size[y]) + 1e-9).astype(np.int64)
-        apart = np.abs(size[y] - size[x])
-        fits = apart <= most
-        y, room = y[fits], (2 * most - apart)[fits]
-        y = y[np.abs(counts[y] - counts[x]).sum(1) <= room]
-        y = y[(seeds[y] == seeds[x]).argmax(1) == band]
-        for k in y.tolist():
-            if label[k] != label[x] and similar_words(words[x], words[k], least):
-                out.append((min(c[x], c[k]), max(c[x], c[k])))
-                label[label == label[k]] = label[x]
-    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
-
-
-def crowded_links(crowded: DataFrame, classes: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) of the large buckets between texts whose labels(c, label) differ."""
-    members = (crowded.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c")))
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_words") / BLOCK_WORDS)).cast("int")
-    mixed = (members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), blocks.alias("blocks"))
-             .filter("lo < hi").select("bucket", "blocks"))
-    own = F.pmod(F.xxhash64("c", "bucket"), F.col("blocks")).cast("int")
-    dealt = (members.join(mixed, "bucket").withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     (F.col("own") > F.col("other")).cast("int").alias("side"), "band", "c", "label"))
-    whole = dealt.join(classes.select("c", "sketch"), "c").join(texts, "c")
-    return (whole.groupBy("bucket", "i", "j").applyInPandas(lambda cell: cell_links(cell, least), "a long, b long")
-            .distinct())
+    members = crowded.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    mixed = stored(spark, members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+                   .filter("lo < hi").select("bucket"), "mixed-buckets")
+    asked = stored(spark, members.join(mixed, "bucket").select("c", "label", "n_words").distinct(), "mixed-texts")
+    rare = rare_words(spark, asked.select("c", "n_words").join(texts, "c"), least)
+    held = stored(spark, rare.join(asked, "c").select("word", "c", "label", "n_words"), "rare-words")
+    kinds = held.groupBy("word", "label").agg(F.count("*").alias("many")).groupBy("word").agg(
+        F.max_by("label", "many").alias("most"), F.count("*").alias("kinds"))
+    few = held.join(kinds.filter("kinds > 1"), "word").filter("label != most")
+    one, two = few.select("word", F.col("c").alias("a"), F.col("label").alias("la"), F.col("n_words").alias("na")), \
+        held.select("word", F.col("c").alias("b"), F.col("label").alias("lb"), F.col("n_words").alias("nb"))
+    fits = F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-6
+    pairs = one.join(two, "word").filter((F.col("la") != F.col("lb")) & fits).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    of = lambda k: classes.select(F.col("c").alias(k), F.col("sketch").alias(f"sketch_{k}"))
+    agree = F.exists(F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y), lambda x: x)
+    near = pairs.join(of("a"), "a").join(of("b"), "b").filter(agree).select("a", "b")
+    return verified(stored(spark, near, "rare-pairs"), texts, least)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
@@ -333,7 +343,7 @@ def classes_of(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str,
     texts = stored(spark, texts.groupBy("c").agg(F.first("text").alias("text")), "asked-texts")
     near = stored(spark, verified(pairs, texts, least), "near")
     labels = stored(spark, components(spark, near), "labels")
-    more = stored(spark, crowded_links(crowded, first, labels, texts, least), "crowded-links")
+    more = stored(spark, crowded_links(spark, crowded, first, labels, texts, least), "crowded-links")
     if more.limit(1).count():
         labels = components(spark, near.unionByName(more))
     named = (first.select("c", "key", "least_id", "many").join(labels, "c", "left")
