@@ -13,7 +13,11 @@ A line break tag is white space, two in a row end a block. Scripts, styles,
 titles and text areas are skipped, up to the end of the page if they never
 close. Buttons, drawings, players and the like (``EMBEDDED``) are skipped up to
 their own end tag; one that has none before an element around it closes, and a
-self-closed one, is empty. A ``<`` that starts no tag is text. Null and empty pages have an empty text;
+self-closed one, is empty. Class names are weak evidence: those that tell what a
+page has, lacks or hides (``has-footer``, ``no-sidebar``) say nothing, and an
+element with most words of a page without a main element is no boilerplate by
+its class. Inline elements whose class says advert or notice and no more are
+blocks of their own. A ``<`` that starts no tag is text. Null and empty pages have an empty text;
 repeated rows are each extracted.
 """
 
@@ -45,6 +49,9 @@ BOILER_WORDS = frozenset("""ad ads advert adverts advertisement advertising bann
     share sharing social related recommended widget pagination pager search copyright legal disclaimer complementary
     contentinfo skip""".split())
 MAIN_WORDS = frozenset("article content main post entry story".split())
+#: words of a class that tell what its page has, lacks or hides, not what it is
+ABOUT_WORDS = frozenset("no not non has with without hide hidden hides show shows off on is enabled disabled left right".split())
+INLINE = frozenset("span ins small font b em strong i u mark label".split())
 # ------------------------------------------------------------------------------
 _RAW = "|".join(RAW)
 #: Attributes follow the grammar closely, so a page of unclosed quotes is still read in linear time.
@@ -65,8 +72,9 @@ def _state(before: int, name: str, more: str) -> int:
         return STRONG
     said = set()
     if more and name not in ("html", "body"):
-        for _, a, b, c in _HINT.findall(more):
-            said.update(_WORDS.findall((a or b or c).lower()))
+        for token in _tokens(more):
+            if not ABOUT_WORDS & set(token):
+                said.update(token)
     if said & COMMENT_WORDS:
         return STRONG
     if said & BOILER_WORDS or name == "form" or name in OFTEN_BOILER and before != MAIN:
@@ -76,6 +84,16 @@ def _state(before: int, name: str, more: str) -> int:
     return MAIN if before == NONE and said & MAIN_WORDS else before
 
 
+def _tokens(more: str) -> list[list[str]]:
+    """The words of each class, id and role of a tag."""
+    return [_WORDS.findall(token) for _, a, b, c in _HINT.findall(more) for token in (a or b or c).lower().split()]
+
+
+def _inline_clutter(more: str) -> bool:
+    """Whether an inline element is an advert, notice or the like: one of its classes says that and nothing else."""
+    return any(token and set(token) <= BOILER_WORDS for token in _tokens(more))
+
+
 def _self_closed(m: re.Match) -> bool:
     return (m["more"] or m["loose"] or "").rstrip().endswith("/")
 
@@ -113,9 +131,28 @@ class Block:
         self.text, self.words, self.linked, self.state, self.heading = text, words, linked, state, heading
 
 
+#: share of a page's words from which on an element is the page, whatever its class says
+WHOLE = 2 / 3
+
+
 def flat_blocks(page: str) -> list[Block]:
+    """The blocks of a page. An element that only its class calls boilerplate
+    and that holds most words of a page without a main element is taken as
+    its body."""
+    blocks, held = _blocks(page, frozenset())
+    total = sum(b.words for b in blocks)
+    if any(b.state == MAIN for b in blocks):
+        return blocks
+    wrappers = frozenset(at for at, words in held.items() if words > WHOLE * total)
+    return _blocks(page, wrappers)[0] if wrappers else blocks
+
+
+def _blocks(page: str, wrappers: frozenset) -> tuple[list[Block], dict[int, int]]:
+    """(blocks, words in each element that its class calls boilerplate, by its place); wrappers are not."""
     out: list[Block] = []
     stack: list[tuple[str, int]] = []
+    weak: list[tuple[int, int]] = []  # (depth on the stack, place) of open elements called boilerplate by class
+    held: dict[int, int] = {}
     parts: list[str] = []
     links: list[str] = []
     state, in_link, breaks, heading = NONE, 0, 0, False
@@ -125,6 +162,8 @@ def flat_blocks(page: str) -> list[Block]:
         nonlocal breaks
         words = "".join(parts).split()
         if words:
+            for _, place in weak:
+                held[place] = held.get(place, 0) + len(words)
             out.append(Block(" ".join(words), len(words), min(len(" ".join(links).split()), len(words)), state, heading))
         parts.clear()
         links.clear()
@@ -157,6 +196,17 @@ def flat_blocks(page: str) -> list[Block]:
             breaks += 1
             if breaks > 1:
                 close_block()
+        elif name in INLINE and (open_names[name] or not closing and m["more"] and _inline_clutter(m["more"])):
+            # from an inline advert on, all elements of its name are followed to its end
+            close_block()
+            if not closing:
+                before = stack[-1][1] if stack else NONE
+                stack.append((name, STRONG if _inline_clutter(m["more"] or "") else before))
+                open_names[name] += 1
+            elif any(top == name for top, _ in stack[-1:]):
+                open_names[stack.pop()[0]] -= 1
+            state = stack[-1][1] if stack else NONE
+            heading = bool(stack) and stack[-1][0] in HEADING
         elif name in BLOCK:
             close_block()
             if name in VOID:
@@ -174,14 +224,22 @@ def flat_blocks(page: str) -> list[Block]:
                 more = m["more"] or m["loose"] or ""
                 before = stack[-1][1] if stack else NONE
                 if not _self_closed(m):
-                    stack.append((name, _state(before, name, more)))
+                    own = _state(before, name, more)
+                    if own == BOILER and before < BOILER and name not in OFTEN_BOILER:
+                        if m.start() in wrappers:
+                            own = before
+                        else:
+                            weak.append((len(stack), m.start()))
+                    stack.append((name, own))
                     open_names[name] += 1
+            while weak and weak[-1][0] >= len(stack):
+                weak.pop()
             state = stack[-1][1] if stack else NONE
             heading = bool(stack) and stack[-1][0] in HEADING
     if at < len(page):
         add(page[at:])
     close_block()
-    return out
+    return out, held
 
 
 # Small labelled table: one block a row.
