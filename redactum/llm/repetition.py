@@ -1,9 +1,9 @@
 """Quality rules by repetition coverage.
 
 Every text is read as UTF-8 bytes in numpy. Words are runs of bytes other than
-space and ``\\x09-\\x0D``. A polynomial prefix hash over the bytes gives each
-word a 64-bit hash, and a second prefix hash over the words gives the rolling
-hash of every window of ``n`` words for all lengths at once. Windows whose hash
+space and ``\\x09-\\x0D``. Each word gets a 64-bit hash of its bytes, and a
+polynomial prefix hash over the words gives the rolling hash of every window of
+``n`` words for all lengths at once. Windows whose hash
 occurs twice or more in the text are duplicated; the words under them, and the
 characters of those words, are covered (the first occurrence included).
 
@@ -38,7 +38,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+#: masks of the first 0 to 8 bytes of a little-endian number
+_LOW_BYTES = np.array([2**(8 * n) - 1 for n in range(9)], np.uint64)
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 2**64)
 
@@ -81,9 +82,21 @@ def word_spans(raw: np.ndarray):
 
 
 def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    prefix = _prefix(_BYTE[raw])
-    _, down = _Powers.get(len(raw) + 1)
-    return _mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
+    """64-bit hash of every word: its stretches of 8 bytes, each mixed with its
+    number, added up and mixed with the length. (A polynomial of the bytes
+    modulo 2**64 has equal values for whole families of long words.)"""
+    size = end - start
+    many = np.maximum((size + 7) >> 3, 1)
+    first = np.cumsum(many) - many
+    nth = np.arange(int(many.sum())) - np.repeat(first, many)
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[:len(raw)] = raw
+    eight = np.ndarray(len(raw) + 1, "<u8", padded.data, strides=(1,))  # the 8 bytes from each place on
+    left = np.minimum(np.repeat(size, many) - 8 * nth, 8)
+    value = eight[np.repeat(start, many) + 8 * nth] & _LOW_BYTES[left]
+    mixed = _mix(value + (nth + 1).astype(np.uint64) * np.uint64(_STEP))
+    total = np.add.reduceat(mixed, first) if len(first) else mixed
+    return _mix(total + size.astype(np.uint64))
 
 
 def window_hashes(prefix: np.ndarray, n: int) -> np.ndarray:

@@ -39,13 +39,13 @@ def rows(df):
 # -- top-k ---------------------------------------------------------------------
 
 def brute_topk(vecs, k):
-    out = set()
-    for qi, q in vecs:
+    out = Counter()
+    for n, (qi, q) in enumerate(vecs):
         if qi % 2:
             continue
-        best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), vi) for vi, v in vecs
-                      if vi != qi and len(v) == len(q))[:k]
-        out |= {(qi, r + 1, vi, -s) for r, (s, vi) in enumerate(best)}
+        best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), vi) for m, (vi, v) in enumerate(vecs)
+                      if m != n and len(v) == len(q))[:k]
+        out.update((qi, r + 1, vi, -s) for r, (s, vi) in enumerate(best))
     return out
 
 
@@ -58,7 +58,12 @@ def test_topk_equals_brute_force(spark):
     data += [data[4], (400, None), (402, [None, 1.0]), (404, [float("nan")] * 6), (406, [float("inf")] * 6)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("v", F.lit(1))
     got = rows(topk.top_k(spark, df, F.col("vec_id") % 2 == 0, 5))
-    assert set(got) == brute_topk(vecs, 5) and len(got) == len(set(got))
+    assert Counter(got) == brute_topk(vecs + [vecs[4]], 5)  # the repeated row is a row of its own
+    pair = lambda *x: spark.createDataFrame([(i, [v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert rows(topk.top_k(spark, pair(2.0**30, 2.0**12), F.col("vec_id") == 0)) == [(0, 1, 1, 2**62)]
+    for too_large in (pair(2.0**40, 2.0**12), pair(1e17, 1.0)):
+        with pytest.raises(Exception, match="too large|OverflowError"):
+            topk.top_k(spark, too_large, F.lit(True)).collect()
     assert topk.top_k(spark, df.limit(0), F.col("vec_id") % 2 == 0).count() == 0
 
 
@@ -67,7 +72,7 @@ def test_threshold_stops_early():
     v = rng.normal(size=(5000, 2)) * 1000
     v = v.astype(int).astype(float)
     order = np.argsort(v, axis=0, kind="stable")
-    ids, scores, depth = topk.threshold_search(v, np.arange(5000), order, np.array([3.0, 2.0]), -1, 10)
+    ids, scores, depth = topk.threshold_search(v, np.arange(5000), order, np.array([3.0, 2.0]), np.zeros(5000, bool), 10)
     assert depth < 2500
     assert sorted(scores, reverse=True) == sorted(v @ np.array([3.0, 2.0]), reverse=True)[:10]
 
@@ -224,6 +229,22 @@ def test_embedded_elements_end_where_they_close(odd_tag):
         assert html_blocks.main_text(f"<main><p>{long}</p><{name}>{long}<p>{long}</p>", tree) == long.strip()
 
 
+def test_classes_are_weak_evidence():
+    tree = html_blocks.trained()
+    long = " ".join(["Many words make one long paragraph of the article here."] * 4)
+    page = f"<body>{{}}<p>{long}</p><p>{long} End.</p>{{}}</body>"
+    want = f"{long}\n{long} End."
+    for wrapper in ("page has-footer", "no-sidebar", "wiki-sidebar-off", "with-banner layout", "sidebar-left-page"):
+        assert html_blocks.main_text(page.format(f'<div class="{wrapper}">', "</div>"), tree) == want
+    for wrapper in ("banner", "promo", "social"):  # all of the page
+        assert html_blocks.main_text(page.format(f'<div class="{wrapper}"><div>', "</div></div>"), tree) == want
+    menu = '<div class="sidebar"><a href="/">Home</a> <a href="/b">News</a></div>'
+    clutter = '<span class="ad">Buy one, get one free today only!</span> <span class="cookie-notice">We use <b>cookies</b>.</span>'
+    inline = f"<main>{menu}<p>{long} {clutter} and <span class='share-price'>12</span> <span>more</span></p></main>"
+    assert html_blocks.main_text(inline, tree) == f"{long}\nand 12 more"
+    assert html_blocks.main_text(page.format(menu, '<div class="footer">Copyright of the page</div>'), tree) == want
+
+
 def test_given_pages_keep_their_article(spark):
     tree = html_blocks.trained()
     import html
@@ -355,6 +376,31 @@ def test_damage_of_a_written_archive_costs_one_record(spark):
     assert gzip.decompress(warc.member(large) + b"\0" + warc.member(b"y") + b"\0") == large + b"y"
 
 
+# -- long words that a polynomial hash takes for equal -----------------------------------
+
+def test_long_words_keep_apart(spark):
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    raw = np.frombuffer(f"{one} {two}".encode(), np.uint8)
+    a, b = repetition.word_hashes(raw, *repetition.word_spans(raw))
+    assert a != b
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        encoder = Encoder(default_path(name))
+        got, want = encoder.encode_all([f"{one} {two}", two]), encoder.whole([f"{one} {two}", two])
+        assert all((x == y).all() for x, y in zip(got, want, strict=True))
+    n = dict(zip(repetition._NAMES, repetition.measure(f"{one} {two} " + " ".join(f"w{i}" for i in range(30)) + f" {two}"), strict=True))
+    assert n["n_repeat_words"] == 0
+
+
+def test_word_hashes_tell_words_apart():
+    rng = np.random.default_rng(8)
+    words = list({bytes(rng.integers(97, 99, rng.integers(1, 30))) for _ in range(3000)} | {b"a" * k for k in range(1, 40)})
+    raw = np.frombuffer(b" ".join(words * 2), np.uint8)
+    got = repetition.word_hashes(raw, *repetition.word_spans(raw))
+    assert len(set(got.tolist())) == len(words) and (got[:len(words)] == got[len(words):]).all()
+    assert len(repetition.word_hashes(np.zeros(0, np.uint8), np.zeros(0, int), np.zeros(0, int))) == 0
+
+
 # -- merge dropout ------------------------------------------------------------------------
 
 def test_merge_dropout(spark, odd):
@@ -376,7 +422,8 @@ def test_merge_dropout(spark, odd):
 def test_every_occurrence_of_a_word_is_cut_on_its_own():
     coder = merge_dropout.Coder(default_path("piece_bpe_32k.model"), 0.2, 5)
     word, n = " international", 4000
-    plain = coder._first_path(word)
+    plain = coder._known([word])[0]
+    key_of = lambda *numbers: merge_dropout._mix_all(np.array(numbers, np.uint64))
     seen = Counter(coder.encode(word[1:], d).tobytes() for d in range(n))
     assert len(seen) > 30  # a table of streams stops at its size
     rng, drawn = np.random.default_rng(6), Counter()
@@ -387,10 +434,11 @@ def test_every_occurrence_of_a_word_is_cut_on_its_own():
     assert plain.ids in seen
     for ids in seen | drawn:
         assert abs(seen[ids] - drawn[ids]) < 5 * (seen[ids] + drawn[ids] + 1) ** 0.5
-    assert len({coder._plain(word, 9, k)[0] for k in range(n)}) > 30
-    for key in range(200):  # kept paths and hashing at once agree
-        at = int(merge_dropout._mix_all(np.array([key], np.uint64))[0])
-        assert coder._plain(word, key, 0)[0] == coder._at_once(word, at)
+    assert len(set(coder._encode_words([word] * n, key_of(*range(n))))) > 30
+    odd = [word, " a\nb", "naïve", " " + "x" * 40, "\U0001F600 ok", "", " ", "日本"]  # merged in tables and by themselves
+    for key in range(200):
+        keys = np.repeat(key_of(key), len(odd))
+        assert coder._encode_words(odd, keys) == [coder._at_once(w, int(keys[0])) for w in odd]
 
 
 # -- URL filter ----------------------------------------------------------------------------
