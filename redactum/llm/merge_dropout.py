@@ -287,36 +287,38 @@ class Coder:
         skipped, and codes are empty; without, none is, and codes tell the
         candidates in order."""
         n, width = ids.shape
-        ids = np.hstack([ids, np.full((n, 1), -1, np.int32)])  # a blank column behind the last
-        right = np.broadcast_to(np.minimum(np.arange(1, width + 2), width), ids.shape).copy()
-        left = np.broadcast_to(np.arange(-1, width), ids.shape).copy()
-        left[:, 0] = width
-        rank, piece = self._offers(ids[:, :-1], ids[:, 1:])
+        stride = width + 1  # a blank column behind the last
+        ids = np.hstack([ids, np.full((n, 1), -1, np.int32)])
+        rank, piece = np.full((n, stride), LAST, np.int32), np.zeros((n, stride), np.int32)
+        rank[:, :-1], piece[:, :-1] = self._offers(ids[:, :-1], ids[:, 1:])
+        right = np.tile(np.minimum(np.arange(1, stride + 1), width).astype(np.int8), n)
+        left = np.tile(np.concatenate([[width], np.arange(width)]).astype(np.int8), n)
+        id_at, rank_at, piece_at = ids.reshape(-1), rank.reshape(-1), piece.reshape(-1)
         live, notes = np.arange(n), []
         while len(live):
             k = rank[live].argmin(1)
-            going = rank[live, k] < LAST
-            live, k = live[going], k[going]
-            new = piece[live, k]
+            at = live * stride + k
+            going = rank_at[at] < LAST
+            if not going.all():
+                live, k, at = live[going], k[going], at[going]
+            new = piece_at[at]
             code = k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + new.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
             if keys is None:
                 notes.append((live, code))
-                r, c = live, k
             else:
                 skip = _mix_all(keys[live] ^ code) < np.uint64(self.limit)
-                rank[live[skip], k[skip]] = LAST
-                r, c, new = live[~skip], k[~skip], new[~skip]
-            gone = right[r, c]
-            after = right[r, gone]
-            ids[r, c], ids[r, gone] = new, -1
-            ends = gone < width - 1  # the last column has no rank of its own to blank
-            rank[r[ends], gone[ends]] = LAST
-            right[r, c], left[r, after] = after, c
-            rank[r, c], piece[r, c] = self._offers(new, ids[r, after])
-            before = left[r, c]
+                rank_at[at[skip]] = LAST
+                at, k, new = at[~skip], k[~skip], new[~skip]
+            row = at - k
+            gone = row + right[at]
+            after = right[gone]
+            id_at[at], id_at[gone], rank_at[gone] = new, -1, LAST
+            right[at], left[row + after] = after, k
+            rank_at[at], piece_at[at] = self._offers(new, id_at[row + after])
+            before = left[at]
             inner = before < width
-            r, before, new = r[inner], before[inner], new[inner]
-            rank[r, before], piece[r, before] = self._offers(ids[r, before], new)
+            before, new = row[inner] + before[inner], new[inner]
+            rank_at[before], piece_at[before] = self._offers(id_at[before], new)
         stays = ids != -1
         end = np.cumsum(stays.sum(1)) * 4
         flat = ids[stays].tobytes()
