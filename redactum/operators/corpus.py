@@ -1,10 +1,75 @@
-"""Training-set preparation."""
+"""Training-set preparation.
+
+``tagged_tokens`` goes from tagged documents back to their source: cut at the
+mention tags, the stretches between them have running sums of their lengths as
+source offsets, and running counts of opening and closing tags say in which
+mention they lie. Mentions hold whole tokens, so a stretch is tokenized by itself
+and its tokens inherit the mention: no offsets are joined by range.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tokens as TK
+
+# --- fixed values: the mention element of tagged output ---------------------
+MENTION_OPEN = r"<xAnon(?:\s+xSubst=(?:'[^']*'|\"[^\"]*\"))?\s*>"
+MENTION_CLOSE = "</xAnon>"
+# ---------------------------------------------------------------------------
+#: label of mentions that come without one
+ENTITY = "ENTITY"
+
+
+def source_text(tagged):
+    """The text a tagged document was made from: its mention tags taken out."""
+    return F.regexp_replace(tagged, F.lit(f"{MENTION_OPEN}|{MENTION_CLOSE}"), F.lit(""))
+
+
+def tagged_tokens(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Tagged plain-text documents(doc_id, text) -> (doc_id, tok_no, start, end, token, mention, tag).
+
+    Offsets are those of the source text. ``labels(doc_id, mention, label)``
+    names the mentions by their number in the document, from 1 (as P18 counts
+    them); without it all are ``ENTITY``. The first token of a mention is ``B-``,
+    the others ``I-``, the rest ``O``."""
+    cut = F.regexp_extract_all("text", F.lit(f"{MENTION_OPEN}|{MENTION_CLOSE}|[^<]+|<"), F.lit(0))
+    x = docs.select("doc_id", F.posexplode(cut).alias("seg_no", "seg"))
+    opens = F.col("seg").rlike(f"^{MENTION_OPEN}$")
+    x = x.withColumn("opens", opens).withColumn("closes", F.col("seg") == MENTION_CLOSE)
+    x = x.withColumn("width", F.when(F.col("opens") | F.col("closes"), F.lit(0)).otherwise(F.length("seg")))
+    w = Window.partitionBy("doc_id").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opened, closed = F.count_if("opens").over(w), F.count_if("closes").over(w)
+    x = x.select("doc_id", "seg_no", "seg", F.lit(False).alias("is_xml"), (F.col("width") > 0).alias("is_run"),
+                 (F.sum("width").over(w) - F.col("width")).cast("int").alias("base"),
+                 F.when(opened > closed, opened).alias("mention"))
+    toks = TK.pieces(x).where("is_tok").select("doc_id", F.col("run_no").alias("seg_no"), "pos", "token",
+                                               (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"))
+    inside = x.where("is_run").select("doc_id", "seg_no", "mention")
+    toks = toks.join(inside, ["doc_id", "seg_no"])
+    order = Window.partitionBy("doc_id").orderBy("seg_no", "pos")
+    first = F.row_number().over(Window.partitionBy("doc_id", "mention").orderBy("seg_no", "pos")) == 1
+    toks = toks.withColumn("tok_no", F.row_number().over(order) - 1).withColumn("first", first)
+    label = F.lit(ENTITY)
+    if labels is not None:
+        toks = toks.join(labels.select("doc_id", "mention", "label"), ["doc_id", "mention"], "left")
+        label = F.coalesce("label", label)
+    tag = F.when(F.col("mention").isNull(), F.lit("O")).otherwise(
+        F.concat(F.when(F.col("first"), F.lit("B-")).otherwise(F.lit("I-")), label))
+    return toks.select("doc_id", F.col("tok_no").cast("int").alias("tok_no"), F.col("start").cast("int").alias("start"),
+                       F.col("end").cast("int").alias("end"), "token", "mention", tag.alias("tag"))
+
+
+def tagged_examples(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """One example a tagged document: (doc_id, text, tokens, starts, labels),
+    ``text`` the source text; documents without a token have empty arrays."""
+    t = (tagged_tokens(docs, labels).groupBy("doc_id")
+         .agg(F.sort_array(F.collect_list(F.struct("tok_no", "token", "start", "tag"))).alias("t")))
+    none = F.array().cast("array<struct<tok_no: int, token: string, start: int, tag: string>>")
+    x = docs.select("doc_id", source_text(F.col("text")).alias("text")).join(t, "doc_id", "left").withColumn("t", F.coalesce("t", none))
+    return x.select("doc_id", "text", F.col("t.token").alias("tokens"), F.col("t.start").alias("starts"), F.col("t.tag").alias("labels"))
+
 
 def bio_tags(marked: DataFrame, kept: DataFrame) -> DataFrame:
     """Per token: B-<label> on the first token of a kept span, I-<label>

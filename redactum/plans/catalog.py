@@ -10,7 +10,7 @@ from __future__ import annotations
 import itertools
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as PT
@@ -85,8 +85,12 @@ def q_spans_decoded(spark, d):
     return _spans_out(redaction(spark, d).spans)
 
 
+#: words of the invented texts that stand for role words: persons follow them there
+TEST_ROLES = ("gnu", "an.")
+
+
 def q_officials_excluded(spark, d):
-    return _spans_out(redaction(spark, d, officials=True).spans)
+    return _spans_out(redaction(spark, d, officials=TEST_ROLES).spans)
 
 
 def q_chunked_predictions(spark, d):
@@ -344,12 +348,21 @@ def q_newest_per_case(spark, d):
 
 
 def q_run_summary(spark, d):
+    """Documents, mentions, persons and initials of the run; of the ledger's
+    documents how many are done, and the seconds from its first event to its last."""
     r = redaction(spark, d)
-    none = F.lit(None).cast("string")
-    rows = r.redacted().select("doc_id", "n_mentions", none.alias("initials")).unionByName(
-        r.persons.select("doc_id", F.lit(None).cast("long").alias("n_mentions"), "initials"))
-    return rows.agg(F.count_if(F.col("initials").isNull()).alias("n_docs"), F.sum("n_mentions").alias("n_mentions"),
-                    F.count("initials").alias("n_persons"), F.count_distinct("doc_id", "initials").alias("n_initials"))
+    none = lambda t: F.lit(None).cast(t)
+    parts = [
+        r.redacted().select("doc_id", "n_mentions", none("string").alias("initials"), none("string").alias("status"), none("timestamp_ntz").alias("ts")),
+        r.persons.select("doc_id", none("long").alias("n_mentions"), "initials", none("string").alias("status"), none("timestamp_ntz").alias("ts")),
+        L.latest(T.ledger(spark, d)).select("doc_id", none("long").alias("n_mentions"), none("string").alias("initials"), "status", "ts"),
+        T.ledger(spark, d).select("doc_id", none("long").alias("n_mentions"), none("string").alias("initials"), none("string").alias("status"), "ts")]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    seconds = lambda c: F.unix_timestamp(c.cast("timestamp"))
+    return rows.agg(F.count("n_mentions").alias("n_docs"), F.sum("n_mentions").alias("n_mentions"),
+                    F.count("initials").alias("n_persons"), F.count_distinct("doc_id", "initials").alias("n_initials"),
+                    F.count("status").alias("n_total"), F.count_if(F.col("status") == "done").alias("n_ok"),
+                    (seconds(F.max("ts")) - seconds(F.min("ts"))).alias("elapsed_s"))
 
 
 def q_persons_numbered_case(spark, d):
@@ -442,6 +455,29 @@ def q_bio_dataset(spark, d):
                      F.array_join("tokens", " ").alias("tokens"), F.array_join("labels", " ").alias("labels"))
 
 
+def _tagged_docs(spark, d):
+    """(tagged documents, labels of their mentions by number)."""
+    r = redaction(spark, d, tags=True)
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("run_no", "start"))
+    return r.redacted(), r.spans.select("doc_id", n.alias("mention"), "label")
+
+
+def q_bio_from_tags(spark, d):
+    """Training examples from tagged output, aligned with the source text."""
+    ex = C.tagged_examples(*_tagged_docs(spark, d))
+    return ex.select("doc_id", "text", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"),
+                     F.array_join(F.transform("starts", lambda x: x.cast("string")), " ").alias("starts"),
+                     F.array_join("labels", " ").alias("labels"))
+
+
+def q_bio_json(spark, d):
+    """The same examples written as JSON lines and read back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/bio-{uuid.uuid4().hex}"
+    C.write_bio(C.tagged_examples(*_tagged_docs(spark, d)), path)
+    ex = C.read_bio(spark, path)
+    return ex.select("text", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("labels", " ").alias("labels"))
+
+
 def q_split_80_20(spark, d):
     ex = C.bio_examples(_tagged(spark, d)).select("doc_id", "run_no")
     return C.split_by_document(ex, 80, key="mod")
@@ -491,6 +527,13 @@ def q_result_names(spark, d):
     return _named(spark, d).select("doc_id", FS.result_name(F.col("name")).alias("result_name"))
 
 
+def q_doc_formats(spark, d):
+    """The mode of a document from its name's suffix, and its run under it."""
+    docs = _named(spark, d).select("doc_id", "name", FS.fmt_of(F.col("name")).alias("fmt"), "text")
+    runs = markup_segments(docs).where("is_run").groupBy("doc_id").agg(F.count("*").alias("n_runs"))
+    return docs.join(runs, "doc_id", "left").select("doc_id", "name", "fmt", F.coalesce("n_runs", F.lit(0)).alias("n_runs"))
+
+
 def q_sources_union(spark, d):
     docs = T.table(spark, d, "documents").select("doc_id", F.lit("document").alias("kind"), F.length("text").alias("n_chars"))
     conv = (T.table(spark, d, "conversations").groupBy("conv_id")

@@ -9,7 +9,7 @@ character. Tables are the pre-registered views of the test data.
 from __future__ import annotations
 
 from ..functions import patterns as P
-from ..operators.recognize import PREPOSITIONS, ROLE_WORDS
+from ..operators.recognize import PREPOSITIONS
 from ..operators.names import CASES
 from ..sources.golden import CASE_PATTERN
 from ..sources.tables import PART_NAMES_SQL
@@ -114,7 +114,8 @@ pieces AS (
 pieces2 AS (SELECT *, CAST(start + length(token) AS INTEGER) AS "end" FROM pieces)"""
 
 
-def labels_cte(officials: bool = False) -> str:
+def labels_cte(officials=()) -> str:
+    """``officials``: role words after which persons stay clear, if any."""
     s = f"""
 lw AS (SELECT *, lag(token) OVER w AS prev, lead(token) OVER w AS nxt, lag(token, 2) OVER w AS prev2
        FROM pieces2 WINDOW w AS (PARTITION BY doc_id, run_no ORDER BY pos)),
@@ -132,7 +133,7 @@ lab0 AS (
   FROM lw)"""
     if not officials:
         return s + ",\nlab AS (SELECT * FROM lab0)"
-    roles = inlist([r.lower() for r in ROLE_WORDS])
+    roles = inlist([r.lower() for r in officials])
     return s + f""",
 lo1 AS (SELECT *, coalesce(label = 'B-PERSON' AND (lower(prev) IN {roles} OR lower(prev2) IN {roles}), false) AS official,
           sum(CASE WHEN label <> 'I-PERSON' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, run_no ORDER BY pos
@@ -270,7 +271,7 @@ red AS (SELECT r.doc_id, r.text, coalesce(c.n, 0) AS n_mentions FROM redacted r
 LEVELS = ["segments", "pieces", "labels", "spans", "keys", "persons", "redact"]
 
 
-def core(docs_sql: str, upto: str = "redact", *, officials: bool = False, shift: int = 0,
+def core(docs_sql: str, upto: str = "redact", *, officials=(), shift: int = 0,
          tags: str = "is_xml", extra_names: str = "", threshold: float = 0.7) -> str:
     """WITH-prefix of the redaction plan up to a level (no trailing comma)."""
     names = "(SELECT text AS name FROM spans WHERE label = 'PERSON'" + (
@@ -335,7 +336,7 @@ sc AS (SELECT doc_id, run_no, tok_no, sub_no, CASE WHEN sub_no = 0 THEN label EL
 SELECT doc_id, run_no, tok_no, label, round(confidence, 6) AS confidence FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id, run_no, tok_no ORDER BY sub_no) AS r FROM sc) WHERE r = 1""",
     "spans_decoded": core(TXT, "spans") + "\n" + SPANS_OUT,
-    "officials_excluded": core(TXT, "spans", officials=True) + "\n" + SPANS_OUT,
+    "officials_excluded": core(TXT, "spans", officials=("gnu", "an.")) + "\n" + SPANS_OUT,
     "chunked_predictions": _chunks(),
     "name_pair_key": _names_then("SELECT name, first, last, person_key FROM keys"),
     "best_lemma": _names_then("SELECT word, best FROM bl"),
@@ -470,9 +471,11 @@ SELECT cd.case_id, n_docs, n_done, coalesce(cp.n, 0) AS n_persons FROM cd LEFT J
     "newest_per_case": f"""WITH {LEDGER}, cr AS (SELECT doc_id, min(ts) AS created FROM ledger GROUP BY doc_id)
 SELECT case_id, doc_id, rn FROM (SELECT d.case_id, d.doc_id, row_number() OVER (PARTITION BY d.case_id ORDER BY cr.created DESC NULLS LAST, d.doc_id) AS rn
   FROM cdocs d LEFT JOIN cr ON cr.doc_id = d.doc_id) WHERE rn <= 3""",
-    "run_summary": core(TXT) + """
+    "run_summary": core(TXT) + ",\n" + LEDGER + """
 SELECT (SELECT count(*) FROM red) AS n_docs, (SELECT CAST(sum(n_mentions) AS BIGINT) FROM red) AS n_mentions,
-       (SELECT count(*) FROM persons) AS n_persons, (SELECT count(DISTINCT (doc_id, initials)) FROM persons) AS n_initials""",
+       (SELECT count(*) FROM persons) AS n_persons, (SELECT count(DISTINCT (doc_id, initials)) FROM persons) AS n_initials,
+       (SELECT count(*) FROM lat) AS n_total, (SELECT count(*) FROM lat WHERE status = 'done') AS n_ok,
+       (SELECT CAST(epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts))) AS BIGINT) FROM ledger) AS elapsed_s""",
     "persons_numbered_case": core(TXT, "persons") + """,
 cdocs AS (SELECT doc_id, source AS case_id FROM documents),
 pc AS (SELECT c.case_id, pm.doc_id, pm.person_key, pm.ini, pm.run_no, pm.start FROM pm JOIN cdocs c ON c.doc_id = pm.doc_id),
@@ -571,6 +574,13 @@ bt AS (SELECT m.doc_id, m.run_no, m.pos, m.token, CASE WHEN s.label IS NULL THEN
        WHERE m.is_tok)
 SELECT doc_id, run_no, count(*) AS n_tokens, string_agg(token, ' ' ORDER BY pos) AS tokens, string_agg(tag, ' ' ORDER BY pos) AS labels
 FROM bt GROUP BY doc_id, run_no""",
+    "bio_from_tags": core(TXT, "spans") + """,
+bt AS (SELECT m.doc_id, m.pos, m.start, m.token, CASE WHEN s.label IS NULL THEN 'O' WHEN m.pos = s.first_pos THEN 'B-' || s.label
+         ELSE 'I-' || s.label END AS tag FROM marked m LEFT JOIN spans s ON s.doc_id = m.doc_id AND s.run_no = m.run_no AND s.span = m.span
+       WHERE m.is_tok)
+SELECT d.doc_id, d.text, count(bt.pos) AS n_tokens, coalesce(string_agg(token, ' ' ORDER BY pos), '') AS tokens,
+  coalesce(string_agg(CAST(start AS VARCHAR), ' ' ORDER BY pos), '') AS starts, coalesce(string_agg(tag, ' ' ORDER BY pos), '') AS labels
+FROM documents d LEFT JOIN bt ON bt.doc_id = d.doc_id GROUP BY d.doc_id, d.text""",
     "split_80_20": core(TXT, "pieces") + """
 SELECT DISTINCT doc_id, run_no, CASE WHEN doc_id % 100 < 80 THEN 'train' ELSE 'val' END AS split FROM pieces2 WHERE is_tok""",
     "redaction_diff": core(TXT) + """
@@ -583,6 +593,9 @@ SELECT st.doc_id, count(*) AS n_leaks FROM st JOIN ot ON ot.doc_id = st.doc_id A
 })
 
 
+ORACLES["bio_json"] = f"SELECT text, n_tokens, labels FROM ({ORACLES['bio_from_tags']})"
+
+
 # ---- sources, failures, streams -----------------------------------------------
 NAMED = """(SELECT doc_id, source, text, 'doc_' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 10 = 3 THEN '.pdf'
   WHEN doc_id % 10 = 7 THEN '.XML' ELSE '.txt' END AS name FROM documents)"""
@@ -626,6 +639,9 @@ SELECT doc_id, CASE WHEN m.case_id IS NOT NULL AND new IS NOT NULL THEN NULL ELS
   CASE WHEN m.case_id IS NOT NULL AND new IS NOT NULL THEN 'rejected' WHEN new IS NOT NULL OR m.case_id IS NOT NULL THEN 'ok' ELSE 'none' END AS status,
   NOT (m.case_id IS NOT NULL AND new IS NOT NULL) AND new IS NOT NULL AND new NOT IN (SELECT case_id FROM cases) AS created
 FROM man m""",
+    "doc_formats": "WITH " + segments_cte(f"SELECT doc_id, text, CASE WHEN lower({SFX}) = '.xml' THEN 'xml' ELSE 'txt' END AS fmt FROM {NAMED}") + f"""
+SELECT n.doc_id, n.name, CASE WHEN lower({SFX}) = '.xml' THEN 'xml' ELSE 'txt' END AS fmt, coalesce(r.n_runs, 0) AS n_runs FROM {NAMED} n
+LEFT JOIN (SELECT doc_id, count(*) AS n_runs FROM segs WHERE is_run GROUP BY doc_id) r ON r.doc_id = n.doc_id""",
     "result_names": f"SELECT doc_id, {STEM} || '_anon' || {SFX} AS result_name FROM {NAMED}",
     "sources_union": """SELECT doc_id, 'document' AS kind, length(text) AS n_chars FROM documents
 UNION ALL SELECT conv_id, 'conversation', length(string_agg(text, chr(10) ORDER BY turn)) FROM conversations GROUP BY conv_id""",

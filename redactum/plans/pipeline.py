@@ -30,7 +30,7 @@ class Config:
     order: str = "reference"      # or "reading"
     tags: Optional[bool] = None   # None: tags for markup, plain for text
     skip_tagged: bool = True
-    officials: bool = False
+    officials: bool | tuple = False  # True: the fixed role words (P20); or role words of one's own
     fold: str = "reference"       # or "letter" (Q4)
     partitions: Optional[int] = None
     # how the small intermediate tables (spans, name keys, substitutes) are
@@ -125,7 +125,7 @@ class Redaction:
     def _recognize(self, pcs: DataFrame, recognizer) -> DataFrame:
         labelled = recognizer(pcs)
         if self.cfg.officials:
-            labelled = recognize.officials_rule(labelled)
+            labelled = recognize.officials_rule(labelled, None if self.cfg.officials is True else self.cfg.officials)
         return labelled
 
     def _keep(self, df: DataFrame) -> DataFrame:
