@@ -5,7 +5,7 @@ Production code passes a real model factory to ``model_labels``."""
 
 from __future__ import annotations
 
-from .recognize import PREPOSITIONS, TRANSPARENT_SYMBOL
+from .rules import PREPOSITIONS, TRANSPARENT_SYMBOL
 
 
 def rule_model_factory():

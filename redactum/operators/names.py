@@ -20,6 +20,9 @@ from ..functions.names import name_parts, split_ws, strip_titles, strip_ws
 
 # --- fixed values ----------------------------------------------------------
 CASES = ["nom", "gen", "dat", "acc", "inst", "loc", "voc"]
+# what a pair of analyses of first and last word scores: same gender, same case,
+# both plural, both singular, first word nominative
+SAME_GENDER, SAME_CASE, BOTH_PLURAL, BOTH_SINGULAR, NOMINATIVE = 100, 50, 20, 30, 5
 # ---------------------------------------------------------------------------
 
 
@@ -78,10 +81,10 @@ def name_keys(names: DataFrame, lemmas: DataFrame) -> DataFrame:
                                    F.col("lemma").alias("f_lemma"), F.col("gender"),
                                    F.col("gcase").alias("f_case"), F.col("number").alias("f_number")), "w_first")
     pairs = fi.join(lclass.withColumnRenamed("word", "w_last"), ["w_last", "gender"])
-    score = (F.lit(100) + F.when(F.col("f_case") == F.col("gcase"), 50).otherwise(0)
+    score = (F.lit(SAME_GENDER) + F.when(F.col("f_case") == F.col("gcase"), SAME_CASE).otherwise(0)
              + F.when(F.col("f_number") == F.col("number"),
-                      F.when(F.col("f_number") == "sg", 30).otherwise(20)).otherwise(0)
-             + F.when(F.col("f_case") == "nom", 5).otherwise(0))
+                      F.when(F.col("f_number") == "sg", BOTH_SINGULAR).otherwise(BOTH_PLURAL)).otherwise(0)
+             + F.when(F.col("f_case") == "nom", NOMINATIVE).otherwise(0))
     best_pair = (pairs.groupBy("name")
                  .agg(F.max_by(F.struct("f_lemma", "l_lemma"), F.struct(score, -F.col("f_ord"), -F.col("l_ord"))).alias("bp")))
     b1 = best.select(F.col("word").alias("w_first"), F.col("best").alias("b_first"))
@@ -104,32 +107,5 @@ def same_person(pairs: DataFrame, keys: DataFrame) -> DataFrame:
     return x.withColumn("same", F.col("key_a").eqNullSafe(F.col("key_b")))
 
 
-def fixture_lemmas(words: DataFrame) -> DataFrame:
-    """A rule-made dictionary for tests on the invented corpus: analyses are
-    generated from each word's ending (the production dictionary is a real
-    morphological lexicon loaded as a table)."""
-    w = F.col("word")
-    low = F.lower(w)
-    stem = F.expr("substring(word, 1, length(word) - 1)")
-    rules = [
-        (low.endswith("a"), 0, stem, "subst:sg:gen:m1"),
-        (low.endswith("a"), 1, F.concat(w, F.lit(":Sf")), "subst:sg:nom:f"),
-        (low.endswith("a"), 2, w, "adj:sg:nom:f:pos"),
-        (low.endswith("e"), 0, w, "adj:sg:nom:n:pos"),
-        (low.endswith("e"), 1, F.concat(stem, F.lit("a")), "subst:sg:loc:f"),
-        (low.endswith("e"), 2, stem, "subst:pl:nom:m1"),
-        (low.rlike("[nrzh]$"), 0, w, "subst:sg:nom:m1"),
-        (low.rlike("[nrzh]$"), 1, F.concat(w, F.lit("a")), "subst:pl:gen:f"),
-        (low.rlike("[iy]$"), 0, w, "subst:pl:nom:m1"),
-        (low.rlike("[iy]$"), 1, w, "subst:sg:gen:f"),
-        (low.endswith("s"), 0, w, "verb:fin:sg:ter"),
-    ]
-    arr = F.filter(F.array(*[F.when(c, F.struct(F.lit(o).alias("ord"), l.alias("lemma"), F.lit(t).alias("tag")))
-                             for c, o, l, t in rules]), lambda s: s.isNotNull())
-    d = words.select("word").distinct().select("word", F.explode(arr).alias("e"))
-    return d.select(F.col("word").alias("orth"), F.col("e.ord").cast("int").alias("ord"),
-                    F.col("e.lemma").alias("lemma"), F.col("e.tag").alias("tag"))
-
-
 def words_of_names(names: DataFrame) -> DataFrame:
     return names.select(F.explode(split_ws(clean_name(F.col("name")))).alias("word")).distinct()

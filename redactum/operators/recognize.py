@@ -2,8 +2,10 @@
 
 A recognizer maps ``pieces`` to ``(label, confidence)`` per token:
 
-* ``rule_labels``      - (a) a deterministic rule recognizer, all JVM-side;
-* ``gazetteer_labels`` - (b) an equi-join of tokens with a term list;
+* (a) rules as column expressions over a run's window, all JVM-side (the test
+  tables' rules are in ``redactum.fixtures.rules``);
+* ``gazetteer_labels`` - (b) an equi-join of tokens with a term list, and
+  ``term_labels`` for terms of several words, found on the distinct words of runs;
 * ``model_labels``     - (c) hosts a user's token-classification callable in
   ``mapInPandas``, loaded once per Python worker, fed Arrow batches of runs
   (``model_predictions`` also tells the runs it failed on, T9);
@@ -20,14 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
 
-from ..functions import patterns as P
 from .model_host import answers, hosted
 from .tokens import run_window
 
-# --- fixed values of the test-table rule recognizer ------------------------
-PREPOSITIONS = ["in", "at", "from", "to", "de", "en", "von", "aus", "nach", "bei", "zu",
-                "dans", "sur", "par", "con", "por", "para"]
-TRANSPARENT_SYMBOL = "@"
+# --- fixed values ------------------------------------------------------------
 # role words after which a person is an official and stays in clear (P20)
 ROLE_WORDS = ["sędzia", "sędziego", "sędzią", "sędziemu", "prokurator", "prokuratora",
               "biegły", "biegłego", "protokolant", "protokolantka", "przewodniczący",
@@ -35,53 +33,6 @@ ROLE_WORDS = ["sędzia", "sędziego", "sędzią", "sędziemu", "prokurator", "pr
               "juge", "greffier", "procureur", "richter", "staatsanwalt", "juez", "fiscal"]
 # ---------------------------------------------------------------------------
 
-CAP3 = r"^\p{Lu}\p{Ll}{2,}$"
-CAPS = r"^\p{Lu}{3,}$"
-DIGITS9 = r"^[0-9]{9,}$"
-
-
-def rule_prefilter(seg):
-    """Run-level superset test for the rule recognizer: a run can only hold
-    a span if its text matches one of these (two word tokens are always
-    separated by whitespace only, or they would be one token). Runs that
-    do not match skip the token pass of recognition."""
-    z = P.SPACE_CLASS
-    preps = "|".join(PREPOSITIONS)
-    pat = (rf"[0-9]{{9,}}|\p{{Lu}}{{3,}}[{z}]*License|\p{{Lu}}\p{{Ll}}{{2,}}[{z}]*\p{{Lu}}\p{{Ll}}{{2,}}"
-           rf"|(?:{preps})[{z}]*\p{{Lu}}\p{{Ll}}{{2,}}")
-    return seg.rlike(pat)
-
-
-
-
-def rule_confidence(token):
-    return F.lit(0.5) + (F.length(token) % F.lit(5)) * F.lit(0.125)
-
-
-def rule_labels(pcs: DataFrame) -> DataFrame:
-    """X1(a): rule recognizer over runs; adds label, confidence.
-
-    Each token's regex predicates are evaluated once; neighbours see them
-    through lag/lead of the booleans (regex matching dominates the cost)."""
-    tok = F.col("token")
-    x = (pcs.withColumn("_c3", F.col("is_tok") & tok.rlike(CAP3))
-         .withColumn("_ca", F.col("is_tok") & tok.rlike(CAPS)))
-    w = run_window()
-    prev, nxt = F.lag("token", 1).over(w), F.lead("token", 1).over(w)
-    p_c3, n_c3, p_ca = F.lag("_c3", 1).over(w), F.lead("_c3", 1).over(w), F.lag("_ca", 1).over(w)
-    c3, ca = F.col("_c3"), F.col("_ca")
-    label = (F.when(~F.col("is_tok"), F.lit("O"))
-             .when(tok.rlike(DIGITS9), F.lit("B-SENSITIVE"))
-             .when(ca & (nxt == "License"), F.lit("B-PRODUCT"))
-             .when((tok == "License") & p_ca, F.lit("I-PRODUCT"))
-             .when(c3 & p_c3, F.lit("I-PERSON"))
-             .when(c3 & n_c3, F.lit("B-PERSON"))
-             .when(c3 & prev.isin(PREPOSITIONS), F.lit("B-LOCATION"))
-             .when(tok == TRANSPARENT_SYMBOL, F.lit("MAIL"))
-             .otherwise(F.lit("O")))
-    conf = F.when(F.col("is_tok"), rule_confidence(tok)).otherwise(F.lit(1.0))
-    return x.withColumn("label", label).withColumn("confidence", conf).drop("_c3", "_ca")
-
 
 def officials_rule(labelled: DataFrame, roles=None) -> DataFrame:
     """P20: a person mention right after a role word (one or two tokens
@@ -114,6 +65,59 @@ def gazetteer_labels(pcs: DataFrame, terms: DataFrame) -> DataFrame:
             .withColumn("confidence", F.coalesce("g_conf", F.lit(1.0))).drop("g_label", "g_conf"))
 
 
+#: words of the key that terms are found by
+_NONE = "\u0000"
+
+
+def term_labels(pcs: DataFrame, terms: DataFrame) -> DataFrame:
+    """X1(b): terms(term, label, confidence) of one or more words.
+
+    A match is a run of following tokens equal to the term's words (parted by
+    white space); in a run of text the leftmost match counts, of those the
+    longest, and the search goes on behind it. ``label`` is the entity type: the
+    first token is ``B-``, the others ``I-``.
+
+    A term is found by its first two words (one, if it has no more). Each run
+    asks for its distinct words and pairs of neighbours once, so a token that
+    is frequent in the text costs one row a run, and only those that begin a
+    term find anything; the places of a run's terms are then looked up in the
+    run's own token array. Of equal terms the one with the greatest confidence,
+    then the least label counts."""
+    words = F.filter(F.split(F.trim("term"), r"\s+"), lambda w: w != "")
+    t = (terms.select(words.alias("words"), "label", "confidence").where("size(words) > 0").groupBy("words")
+         .agg(F.max_by(F.struct("confidence", "label"), F.struct("confidence", F.reverse("label"))).alias("x"))
+         .select("words", "x.label", "x.confidence"))
+    t = t.select(F.get("words", F.lit(0)).alias("w1"), F.coalesce(F.get("words", F.lit(1)), F.lit(_NONE)).alias("w2"),
+                 F.struct("words", "label", "confidence").alias("term"))
+    runs = (pcs.where("is_tok").groupBy("doc_id", "run_no")
+            .agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("toks"))
+            .select("doc_id", "run_no", F.col("toks.token").alias("toks"), F.get("toks.pos", F.lit(0)).alias("first")))
+    pairs = F.zip_with("toks", F.concat(F.slice("toks", 2, F.size("toks")), F.array(F.lit(_NONE))),
+                       lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))
+    single = F.transform("toks", lambda a: F.struct(a.alias("w1"), F.lit(_NONE).alias("w2")))
+    asked = (runs.select("doc_id", "run_no", F.explode(F.array_distinct(F.concat(pairs, single))).alias("k"))
+             .select("doc_id", "run_no", "k.w1", "k.w2"))
+    found = (asked.join(t, ["w1", "w2"]).groupBy("doc_id", "run_no").agg(F.collect_list("term").alias("terms")))
+    x = runs.join(found, ["doc_id", "run_no"])
+    last = F.size("toks") - 1
+    places = lambda m: F.filter(F.sequence(F.lit(0), last), lambda i: (F.get("toks", i) == F.get(m["words"], F.lit(0))) &
+                                (F.slice("toks", i + 1, F.size(m["words"])) == m["words"]))
+    at = F.transform("terms", lambda m: F.transform(places(m), lambda i: F.struct(
+        i.alias("start"), (-F.size(m["words"])).alias("size"), m["label"].alias("label"), m["confidence"].alias("confidence"))))
+    x = x.select("doc_id", "run_no", "first", F.explode(F.sort_array(F.flatten(at))).alias("m"))
+    # leftmost and longest: matches are few, so a run's are walked in one row
+    ordered = x.groupBy("doc_id", "run_no", "first").agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    start = F.struct(F.lit(0).alias("free"), F.slice("ms", 1, 0).alias("kept"))
+    kept = F.aggregate("ms", start, lambda s, m: F.when(m["start"] >= s["free"], F.struct(
+        (m["start"] - m["size"]).alias("free"), F.concat(s["kept"], F.array(m)).alias("kept"))).otherwise(s))["kept"]
+    spans = ordered.select("doc_id", "run_no", "first", F.explode(kept).alias("m"))
+    tokens = spans.select("doc_id", "run_no", (F.col("first") + F.col("m.start")).alias("start"), F.col("m.label").alias("label"),
+                          F.col("m.confidence").alias("confidence"), F.explode(F.sequence(F.lit(0), -F.col("m.size") - 1)).alias("nth"))
+    preds = tokens.select("doc_id", "run_no", (F.col("start") + F.col("nth")).cast("int").alias("tok_no"),
+                          F.concat(F.when(F.col("nth") == 0, F.lit("B-")).otherwise(F.lit("I-")), "label").alias("label"), "confidence")
+    return join_predictions(pcs, preds)
+
+
 def join_predictions(pcs: DataFrame, preds: DataFrame) -> DataFrame:
     """preds(doc_id, run_no, tok_no, label, confidence); missing -> O, 1.0."""
     p = preds.select("doc_id", "run_no", F.col("tok_no").alias("pos"),

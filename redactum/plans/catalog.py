@@ -13,6 +13,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..fixtures.lexicon import rule_lemmas
+from ..fixtures.model import fragile_model_factory, rule_model_factory
+from ..fixtures.plan import fixture_redaction
+from ..fixtures.rules import rule_labels
 from ..functions import patterns as PT
 from ..functions.names import initials, name_parts
 from ..operators import corpus as C
@@ -23,7 +27,6 @@ from ..operators import persons as PS
 from ..operators import recognize, rewrite, tokens
 from ..operators import roster as R
 from ..operators import spans as SP
-from ..operators.fixture_model import fragile_model_factory, rule_model_factory
 from ..operators.markup import segments as markup_segments
 from ..operators.markup import text_runs
 from ..session import checkpoint_dir
@@ -42,7 +45,7 @@ def redaction(spark: SparkSession, sf_dir: str, kind: str = "text", **cfg) -> Re
     key = (id(spark), sf_dir, kind, tuple(sorted(cfg.items())))
     if key not in _cache:
         docs = T.text_docs(spark, sf_dir) if kind == "text" else T.markup_docs(spark, sf_dir)
-        _cache[key] = Redaction(docs, config=Config(**cfg))
+        _cache[key] = fixture_redaction(docs, config=Config(**cfg))
     return _cache[key]
 
 
@@ -61,7 +64,7 @@ def q_markup_runs(spark, d):
 
 def q_preds_joined(spark, d):
     r = redaction(spark, d)
-    lab = recognize.rule_labels(r.pieces)
+    lab = rule_labels(r.pieces)
     preds = lab.where("is_tok AND label <> 'O'").select("doc_id", "run_no", F.col("pos").alias("tok_no"), "label", "confidence")
     j = recognize.join_predictions(r.pieces.where("is_tok"), preds)
     return j.select("doc_id", "run_no", F.col("pos").alias("tok_no"), "token", "label",
@@ -70,7 +73,7 @@ def q_preds_joined(spark, d):
 
 def q_first_subtoken(spark, d):
     r = redaction(spark, d)
-    lab = recognize.rule_labels(r.pieces).where("is_tok")
+    lab = rule_labels(r.pieces).where("is_tok")
     n_sub = F.greatest(F.ceil(F.length("token") / F.lit(3)), F.lit(1)).cast("int")
     sub = lab.select("doc_id", "run_no", F.col("pos").alias("tok_no"), "label", "confidence",
                      F.explode(F.sequence(F.lit(0), n_sub - 1)).alias("sub_no"))
@@ -105,7 +108,7 @@ def names_table(spark, d) -> DataFrame:
 
 
 def _lemmas_for(nm: DataFrame) -> DataFrame:
-    return N.fixture_lemmas(N.words_of_names(nm))
+    return rule_lemmas(nm)
 
 
 def q_name_pair_key(spark, d):
@@ -222,7 +225,7 @@ def q_todo_docs(spark, d):
 def q_published_only(spark, d):
     lat = _latest(spark, d)
     docs = L.publish(T.text_docs(spark, d), lat)
-    red = Redaction(docs).redacted()
+    red = fixture_redaction(docs).redacted()
     return L.publish(red, lat).select("doc_id", "n_mentions", F.length("text").alias("n_chars"))
 
 
@@ -424,7 +427,7 @@ def _verdicts(spark, d):
     cases = _golden_cases(spark, d)
     case_id = F.concat(F.col("case_no").cast("string"), F.lit("#"), F.col("file"))
     docs = cases.select(case_id.alias("doc_id"), F.col("input").alias("text"), F.lit("txt").alias("fmt"))
-    out = Redaction(docs).redacted()
+    out = fixture_redaction(docs).redacted()
     out = out.select(F.substring_index("doc_id", "#", 1).cast("int").alias("case_no"),
                      F.regexp_replace("doc_id", "^[0-9]+#", "").alias("file"), "text", "n_mentions")
     return EV.verdicts(cases, out)
@@ -547,7 +550,7 @@ def q_failures_isolated(spark, d):
     """A model that raises on some documents, one row without text and one with a NUL character."""
     docs = T.text_docs(spark, d).select("doc_id", "text", "fmt")
     odd = spark.createDataFrame([(-1, None, "txt"), (-2, "nul\u0000byte", "txt")], "doc_id long, text string, fmt string")
-    x = redact_isolated(docs.unionByName(odd), model_factory=fragile_model_factory)
+    x = redact_isolated(docs.unionByName(odd), rule_lemmas, fragile_model_factory)
     return x.select("doc_id", "status", F.substring_index("error", "\n", 1).alias("error"),
                     F.coalesce(F.contains("error", F.lit("Traceback")), F.lit(False)).alias("has_trace"), "n_mentions")
 
@@ -565,7 +568,7 @@ def _lifecycle(spark, d) -> Lifecycle:
         docs = SJ.document_stream(spark, d).select(
             "doc_id", F.col("source").alias("case_id"), F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")).alias("name"), "text")
         path = f"{checkpoint_dir(spark).rstrip('/')}/streams/lifecycle-{uuid.uuid4().hex[:12]}"
-        _cache[key] = Lifecycle(spark, path, lambda: next(views), fragile_model_factory).run(docs)
+        _cache[key] = Lifecycle(spark, path, rule_lemmas, fragile_model_factory, lambda: next(views)).run(docs)
     return _cache[key]
 
 
@@ -584,7 +587,7 @@ def q_lifecycle_roster(spark, d):
 
 
 def q_stream_redact(spark, d):
-    out = SJ.redact_stream(spark, d)
+    out = SJ.redact_stream(spark, d, fixture_redaction)
     return spark.read.parquet(out).select("doc_id", "text", "n_mentions")
 
 
@@ -599,7 +602,7 @@ def q_stream_throughput(spark, d):
 
 
 def q_stream_roster(spark, d):
-    return SJ.roster_stream(spark, d).read("roster").select("case_id", "person_key", "initials")
+    return SJ.roster_stream(spark, d, fixture_redaction).read("roster").select("case_id", "person_key", "initials")
 
 
 # ---- more inventory items ------------------------------------------------------
@@ -624,7 +627,7 @@ def q_initials_frequency(spark, d):
 def q_preds_from_label_map(spark, d):
     """Predicted label ids mapped through a label-map JSON."""
     r = redaction(spark, d)
-    lab = recognize.rule_labels(r.pieces).where("is_tok")
+    lab = rule_labels(r.pieces).where("is_tok")
     ids = F.array_position(F.array(*[F.lit(x) for x in LABEL_LIST]), F.col("label")) - 1
     pred_ids = lab.select("doc_id", "run_no", F.col("pos").alias("tok_no"), ids.cast("int").alias("label_id"), "confidence")
     js = "{\"id2label\": {" + ", ".join(f'\"{i}\": \"{x}\"' for i, x in enumerate(LABEL_LIST)) + "}}"
@@ -638,7 +641,7 @@ def q_spans_model_hosted(spark, d):
     """X1(c): the same rule as a Python model hosted in mapInPandas."""
     docs = T.text_docs(spark, d)
     rec = lambda p: recognize.model_labels(p, rule_model_factory)
-    return _spans_out(Redaction(docs, recognizer=rec).spans)
+    return _spans_out(fixture_redaction(docs, recognizer=rec).spans)
 
 
 def _turn_segments(spark, d):
@@ -660,7 +663,7 @@ def q_conversation_substitutes(spark, d):
     (X1b); one numbering per conversation."""
     terms = person_terms(spark, d)
     rec = lambda p: recognize.gazetteer_labels(p, terms)
-    r = Redaction(None, segments=_turn_segments(spark, d), recognizer=rec)
+    r = fixture_redaction(None, segments=_turn_segments(spark, d), recognizer=rec)
     return r.mentions.select(F.col("doc_id").alias("conv_id"), F.col("run_no").alias("turn"), "start", "label", "substitute")
 
 

@@ -15,29 +15,26 @@ from typing import Callable, Optional
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import recognize
+from ..operators import markup, recognize, tokens
 from ..session import checkpoint_dir
 from .pipeline import Config, Redaction
 
 NO_TEXT = "no text"
 
 
-def isolated(docs: DataFrame, model_factory: Optional[Callable] = None, config: Optional[Config] = None,
-             window=None, model_id: Optional[str] = None, **redaction) -> tuple[Redaction, DataFrame]:
+def isolated(docs: DataFrame, lemmas, model_factory: Callable, config: Optional[Config] = None,
+             window=None, model_id: Optional[str] = None) -> tuple[Redaction, DataFrame]:
     """(the redaction of the documents that can be worked, failures(doc_id, error)).
 
-    Without a model the rule recognizer is used, which does not fail. The
-    failed documents are left in the redaction without mentions, so its
+    The failed documents are left in the redaction without mentions, so its
     documents are read and dealt once; ``outcomes`` tells them apart."""
     none = docs.where(F.col("text").isNull()).select("doc_id", F.lit(NO_TEXT).alias("error"))
-    if model_factory is None:
-        return Redaction(docs, config=config, **redaction), none
     checkpoint_dir(docs.sparkSession)
-    pieces = Redaction(docs, config=config, **redaction).pieces
+    pieces = tokens.pieces(markup.segments(docs.select("doc_id", "text", "fmt"), (config or Config()).skip_tagged))
     preds = recognize.model_predictions(pieces, model_factory, window, model_id).checkpoint(eager=True)
     failed = (preds.where("error IS NOT NULL").groupBy("doc_id").agg(F.min_by("error", "run_no").alias("error")))
     labels = preds.where("error IS NULL").drop("error").join(failed.select("doc_id"), "doc_id", "left_anti")
-    good = Redaction(docs, recognizer=lambda p: recognize.join_predictions(p, labels), config=config, **redaction)
+    good = Redaction(docs, lemmas, lambda p: recognize.join_predictions(p, labels), config)
     return good, none.unionByName(failed)
 
 
@@ -50,8 +47,8 @@ def outcomes(redacted: DataFrame, failures: DataFrame) -> DataFrame:
                     F.when(ok, F.col("text")).alias("text"))
 
 
-def redact_isolated(docs: DataFrame, config: Optional[Config] = None, model_factory: Optional[Callable] = None,
+def redact_isolated(docs: DataFrame, lemmas, model_factory: Callable, config: Optional[Config] = None,
                     **options) -> DataFrame:
     """-> (doc_id, status, error, n_mentions, text) of every document."""
-    good, failures = isolated(docs, model_factory, config, **options)
+    good, failures = isolated(docs, lemmas, model_factory, config, **options)
     return outcomes(good.redacted(), failures)

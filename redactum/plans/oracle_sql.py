@@ -9,7 +9,7 @@ character. Tables are the pre-registered views of the test data.
 from __future__ import annotations
 
 from ..functions import patterns as P
-from ..operators.recognize import PREPOSITIONS
+from ..fixtures.rules import PREPOSITIONS
 from ..operators.names import CASES
 from ..sources.golden import CASE_PATTERN
 from ..sources.tables import PART_NAMES_SQL

@@ -46,16 +46,19 @@ class Redaction:
     """Lazily built DataFrames of one redaction plan (nothing is executed
     until an action runs on one of them)."""
 
-    def __init__(self, docs: DataFrame, lemmas: Optional[DataFrame] = None,
-                 recognizer: Callable[[DataFrame], DataFrame] = recognize.rule_labels,
-                 config: Optional[Config] = None, segments: Optional[DataFrame] = None,
-                 prefilter: Optional[Callable] = None):
-        """``segments`` (doc_id, seg_no, seg, is_xml, is_run) may be given
+    def __init__(self, docs: Optional[DataFrame], lemmas: DataFrame | Callable[[DataFrame], DataFrame],
+                 recognizer: Callable[[DataFrame], DataFrame], config: Optional[Config] = None,
+                 segments: Optional[DataFrame] = None, prefilter: Optional[Callable] = None):
+        """``lemmas`` is the inflection table (``sources.lexicon``), or a function
+        from names(name) to the part of one that these names need;
+        ``recognizer`` labels pieces (``operators.recognize``).
+
+        ``segments`` (doc_id, seg_no, seg, is_xml, is_run) may be given
         instead of documents, e.g. conversations whose turns are runs.
 
         ``prefilter(seg) -> bool column`` is a superset test of the
-        recognizer that holds for a text if it holds for any part of it (the
-        rule recognizer has one; a model has none): documents that fail it
+        recognizer that holds for a text if it holds for any part of it (rules
+        may have one; a model has none): documents that fail it
         are not shuffled for recognition, runs that fail it skip its token
         pass. ``pieces`` and
         ``marked`` stay complete (lazy) for the queries that need every
@@ -73,8 +76,6 @@ class Redaction:
             self._seg_input = segments.repartition(n, "doc_id")
             self.segments = self._seg_input
             self.docs = self.segments.select("doc_id").distinct()
-        if prefilter is None and recognizer is recognize.rule_labels:
-            prefilter = recognize.rule_prefilter
         self._recognizer, self._prefilter, self._lemmas = recognizer, prefilter, lemmas
         self.pieces = tokens.pieces(self.segments)
         self.labelled = self._recognize(self.pieces, recognizer)
@@ -104,9 +105,7 @@ class Redaction:
 
     @cached_property
     def lemmas(self) -> DataFrame:
-        if self._lemmas is not None:
-            return self._lemmas
-        return names.fixture_lemmas(names.words_of_names(self.person_names))
+        return self._lemmas(self.person_names) if callable(self._lemmas) else self._lemmas
 
     @cached_property
     def keys(self) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import roster as R
-from ..plans.pipeline import Config, Redaction
+from ..plans.pipeline import Redaction
 from ..session import checkpoint_dir
 from ..sources.files import file_name, fmt_of
 from .tables import Batch, State, Store, newest
@@ -70,7 +70,10 @@ def event_stream(spark: SparkSession, folder: str, file_glob: str = "events*.par
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def redact_stream(spark: SparkSession, folder: str, config: Config | None = None, out: str | None = None,
+Redact = Callable[[DataFrame], Redaction]  # docs(doc_id, text, fmt) -> its plan
+
+
+def redact_stream(spark: SparkSession, folder: str, redact: Redact, out: str | None = None,
                   docs: DataFrame | None = None) -> str:
     """Documents arriving in ``folder`` -> redacted parquet at the returned
     path. ``docs(doc_id, text, fmt)`` is another stream to read, e.g. ``file_stream``."""
@@ -79,7 +82,7 @@ def redact_stream(spark: SparkSession, folder: str, config: Config | None = None
     arriving = docs if docs is not None else document_stream(spark, folder).withColumn("fmt", F.lit("txt"))
 
     def per_batch(batch: DataFrame, batch_id: int):
-        res = Redaction(batch.select("doc_id", "text", "fmt"), config=config).redacted()
+        res = redact(batch.select("doc_id", "text", "fmt")).redacted()
         res.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     _drain(arriving.writeStream.foreachBatch(per_batch), ckpt)
@@ -145,7 +148,7 @@ def current_throughput(updates: DataFrame) -> DataFrame:
 ROSTER = State("case_id string, person_key string, initials string, seq long", ("case_id", "person_key"))
 
 
-def roster_stream(spark: SparkSession, folder: str, config: Config | None = None, max_files: int | None = None,
+def roster_stream(spark: SparkSession, folder: str, redact: Redact, max_files: int | None = None,
                   path: str | None = None) -> Store:
     """T5: running case roster, the state table ``roster`` of the store. Each
     micro-batch redacts its documents and merges their persons into it (G7:
@@ -159,7 +162,7 @@ def roster_stream(spark: SparkSession, folder: str, config: Config | None = None
         if store.committed(batch_id):
             return
         work = store.begin(batch_id)
-        r = Redaction(batch.select("doc_id", "text", F.lit("txt").alias("fmt")), config=config)
+        r = redact(batch.select("doc_id", "text", F.lit("txt").alias("fmt")))
         cases = batch.select("doc_id", F.col("source").alias("case_id"))
         new = work.keep("new", R.doc_roster(r.persons).join(cases, "doc_id").where("case_id IS NOT NULL")
                         .select("case_id", "person_key", "initials", F.col("doc_id").alias("seq")))

@@ -45,10 +45,11 @@ NO_REQUESTS = "doc_id {id}, request string, seq long"
 
 
 class Lifecycle:
-    def __init__(self, spark: SparkSession, path: str, requests: Optional[Callable[[], DataFrame]] = None,
-                 model_factory: Optional[Callable] = None, config: Optional[Config] = None, id_type: str = "bigint",
+    def __init__(self, spark: SparkSession, path: str, lemmas, model_factory: Callable,
+                 requests: Optional[Callable[[], DataFrame]] = None, config: Optional[Config] = None, id_type: str = "bigint",
                  buckets: int = 64, **options):
-        self.spark, self.path, self.model_factory, self.config, self.options = spark, path, model_factory, config, options
+        self.spark, self.path, self.lemmas, self.model_factory = spark, path, lemmas, model_factory
+        self.config, self.options = config, options
         of = lambda schema: schema.format(id=id_type)
         self.requests = requests or (lambda: spark.createDataFrame([], of(NO_REQUESTS)))
         self.store = Store(spark, path, {k: of(v) for k, v in APPENDS.items()}, {
@@ -99,7 +100,7 @@ class Lifecycle:
 
         todo = sub.join(claims.where("claim = 'claimed'").select("doc_id"), "doc_id", "left_semi")
         docs = todo.select("doc_id", "text", fmt_of(F.col("name")).alias("fmt"))
-        good, failures = isolated(docs, self.model_factory, self.config, **self.options)
+        good, failures = isolated(docs, self.lemmas, self.model_factory, self.config, **self.options)
         worked = work.keep("worked", outcomes(good.redacted(), failures))
         persons = work.keep("persons", R.doc_roster(good.persons).join(failures.select("doc_id"), "doc_id", "left_anti"))
 

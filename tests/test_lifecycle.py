@@ -12,9 +12,11 @@ from conftest import docs_df
 from redactum.operators import ledger as L
 from redactum.operators import recognize, rewrite
 from redactum.operators import roster as R
-from redactum.operators.fixture_model import fragile_model_factory, rule_model_factory
+from redactum.fixtures.lexicon import rule_lemmas
+from redactum.fixtures.model import fragile_model_factory, rule_model_factory
 from redactum.plans.failures import redact_isolated
-from redactum.plans.pipeline import Config, Redaction
+from redactum.fixtures.plan import fixture_redaction
+from redactum.plans.pipeline import Config
 from redactum.sources.files import read_folder
 from redactum.streaming import jobs as SJ
 from redactum.streaming.lifecycle import Lifecycle
@@ -42,7 +44,7 @@ class Requests:
 
 def test_lifecycle_of_several_batches(spark, tmp_path):
     asked = Requests(spark)
-    job = Lifecycle(spark, str(tmp_path / "run"), asked, fragile_model_factory, buckets=4)
+    job = Lifecycle(spark, str(tmp_path / "run"), rule_lemmas, fragile_model_factory, asked, buckets=4)
     batch = lambda *docs: spark.createDataFrame(docs, DOC)
     first = batch((1, "a", "one.txt", "Jan Kowalski pisze."), (2, "a", "two.txt", "numer 123456789"), (3, "a", "three.txt", "Ewa Nowak"),
                   (4, "a", "four.txt", "Iga Nowak"), (5, "a", "five.txt", "Ola Nowak"), (6, None, "six.xml", "<p>Jan Kowalski</p>"),
@@ -55,7 +57,7 @@ def test_lifecycle_of_several_batches(spark, tmp_path):
     assert {k for k in events if k[0] in (1, 2, 3, 5)} == {(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2), (3, 0), (3, 2)}
     assert events[1, 2].entity_count == 1 and events[1, 2].person_count == 1 and events[7, 2].person_count == 0
     message, _, trace = events[2, 2].error.partition("\n\n")
-    assert message == "cannot read 123456789" and trace.startswith("Traceback") and "fixture_model" in trace
+    assert message == "cannot read 123456789" and trace.startswith("Traceback") and "cannot read" in trace
     done = [("run-0", 1, 1, "one_anon.txt", "J. K. pisze."), ("run-0", 6, 1, "six_anon.xml", "<p><xAnon xSubst='J. K.'>Jan Kowalski</xAnon></p>"),
             ("run-0", 7, 1, "seven_anon.txt", "bez osób")]
     assert rows(job.results().select("run_id", "doc_id", "attempt", "result_name", "text")) == done
@@ -93,9 +95,9 @@ def test_lifecycle_stream_of_files(spark, tmp_path):
         (folder / name).write_bytes(text.encode())
         os.utime(folder / name, (1, {"a.txt": 10, "b+c.xml": 20, "ż.txt": 30}[name]))
     docs = SJ.file_stream(spark, str(folder), max_files=1).select("doc_id", F.lit("case").alias("case_id"), "name", "text")
-    job = Lifecycle(spark, str(tmp_path / "run"), model_factory=fragile_model_factory, id_type="string", buckets=2).run(docs)
+    job = Lifecycle(spark, str(tmp_path / "run"), rule_lemmas, fragile_model_factory, id_type="string", buckets=2).run(docs)
     assert {(r.doc_id, r.status, r.seq) for r in job.documents().collect()} == {("a.txt", "done", 0), ("b+c.xml", "done", 1), ("ż.txt", "failed", 2)}
-    one = redact_isolated(read_folder(spark, str(folder)), model_factory=rule_model_factory)
+    one = redact_isolated(read_folder(spark, str(folder)), rule_lemmas, rule_model_factory)
     want = {r.doc_id: r.text for r in one.collect() if r.doc_id != "ż.txt"}
     assert {r.doc_id: r.text for r in job.results().collect()} == want
 
@@ -106,10 +108,10 @@ def test_text_file_stream_equals_batch(spark, tmp_path):
     for i, (name, text) in enumerate({"a.txt": "Jan Kowalski\r\nw domu", "b+c.xml": "<p>Ewa Nowak</p>", "c d.txt": "in Berlin"}.items()):
         (folder / name).write_bytes(text.encode())
         os.utime(folder / name, (1, 10 * i))
-    out = SJ.redact_stream(spark, str(folder), docs=SJ.file_stream(spark, str(folder), max_files=1))
+    out = SJ.redact_stream(spark, str(folder), fixture_redaction, docs=SJ.file_stream(spark, str(folder), max_files=1))
     got = spark.read.parquet(out)
     assert got.select("batch_id").distinct().count() == 3
-    assert rows(got.drop("batch_id")) == rows(Redaction(read_folder(spark, str(folder))).redacted())
+    assert rows(got.drop("batch_id")) == rows(fixture_redaction(read_folder(spark, str(folder))).redacted())
 
 
 # -- state tables -------------------------------------------------------------------
@@ -181,9 +183,9 @@ def test_roster_stream_over_batches(spark, tmp_path):
         part = next(p for p in os.listdir(path) if p.endswith(".parquet"))
         os.rename(f"{path}/{part}", f"{tmp_path}/documents{i}.parquet")
         os.utime(f"{tmp_path}/documents{i}.parquet", (1, 1000 + i))
-    store = SJ.roster_stream(spark, str(tmp_path), max_files=1)
+    store = SJ.roster_stream(spark, str(tmp_path), fixture_redaction, max_files=1)
     docs = docs_df(spark, [(i, t) for i, t in enumerate(x for b in texts for x in b)])
-    per_doc = R.doc_roster(Redaction(docs).persons).withColumns({"case_id": F.lit("c"), "seq": F.col("doc_id")})
+    per_doc = R.doc_roster(fixture_redaction(docs).persons).withColumns({"case_id": F.lit("c"), "seq": F.col("doc_id")})
     assert store.last_batch() == 2
     assert rows(store.read("roster").select("case_id", "person_key", "initials")) == rows(R.merge_case_roster(per_doc))
 
@@ -203,20 +205,20 @@ def strange_model():
 
 def test_failures_leave_the_others_alone(spark):
     docs = docs_df(spark, [(1, "a secret here"), (2, "please raise now"), (3, None), (4, "nul \x00 secret"), (5, "short answers fail"), (6, "")])
-    got = {r.doc_id: r for r in redact_isolated(docs, model_factory=strange_model()).collect()}
+    got = {r.doc_id: r for r in redact_isolated(docs, rule_lemmas, strange_model()).collect()}
     assert {d: r.status for d, r in got.items()} == {1: "done", 2: "failed", 3: "failed", 4: "done", 5: "failed", 6: "done"}
     assert got[1].text == "a (...) here" and got[4].text == "nul \x00 (...)" and got[6].text == ""
     assert got[2].error.startswith("no such word\n\nTraceback") and got[2].text is None and got[2].n_mentions == 0
     assert "one label for each word" in got[5].error and got[3].error == "no text"
     xml = docs_df(spark, [(1, "<p>fine</p><p>raise</p><p>secret</p>")], fmt="xml")
-    assert [r.status for r in redact_isolated(xml, model_factory=strange_model()).collect()] == ["failed"]
+    assert [r.status for r in redact_isolated(xml, rule_lemmas, strange_model()).collect()] == ["failed"]
 
 
 def test_windows_of_a_failing_run(spark):
     docs = docs_df(spark, [(1, "w " * 20 + "raise"), (2, "w " * 20 + "secret")])
-    got = {r.doc_id: r.status for r in redact_isolated(docs, model_factory=strange_model(), window=(8, 4)).collect()}
+    got = {r.doc_id: r.status for r in redact_isolated(docs, rule_lemmas, strange_model(), window=(8, 4)).collect()}
     assert got == {1: "failed", 2: "done"}
-    preds = recognize.model_predictions(Redaction(docs).pieces, strange_model(), window=(8, 4))
+    preds = recognize.model_predictions(fixture_redaction(docs).pieces, strange_model(), window=(8, 4))
     assert [r.error.split("\n")[0] for r in preds.where("error IS NOT NULL").collect()] == ["no such word"]
 
 
@@ -244,7 +246,7 @@ def test_one_exchange_of_the_text(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         docs = docs_df(spark, [(i, f"Jan Kowalski {i} in Berlin") for i in range(50)]).repartition(3)
-        out = Redaction(docs, config=Config()).redacted()
+        out = fixture_redaction(docs, config=Config()).redacted()
         plan = out._jdf.queryExecution().explainString(out._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")) \
             if hasattr(out, "_jvm") else out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
         own = [b for b in re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]\nArguments: hashpartitioning", plan) if "text#" in b]

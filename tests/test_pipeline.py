@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from conftest import docs_df
 from redactum.operators import recognize, rewrite
-from redactum.plans.pipeline import Config, Redaction
+from redactum.fixtures.plan import fixture_redaction
+from redactum.plans.pipeline import Config
 
 JUDGMENT = """<?xml version="1.0" encoding="UTF-8"?>
 <xPart xVersion="1.0" xLang="PL" xml:space="preserve">
@@ -37,7 +38,7 @@ def _run(spark, officials=False):
     lemmas = spark.createDataFrame(LEMMAS, "orth string, ord int, lemma string, tag string")
     terms = spark.createDataFrame([(k, v, 0.95) for k, v in LABELS.items()], "term string, label string, confidence double")
     rec = lambda p: recognize.gazetteer_labels(p, terms)
-    return Redaction(docs, lemmas=lemmas, recognizer=rec, config=Config(officials=officials, materialize="none"))
+    return fixture_redaction(docs, lemmas=lemmas, recognizer=rec, config=Config(officials=officials, materialize="none"))
 
 
 def test_judgment_substitutes(spark):
@@ -73,7 +74,7 @@ def test_text_mode_and_identity(spark):
     docs = docs_df(spark, [(1, "Nic tu nie ma.\r\n"), (2, ""), (3, "Jan Kowalski i Jan Kowalski")])
     terms = spark.createDataFrame([("Jan", "B-PERSON", 0.9), ("Kowalski", "I-PERSON", 0.9)],
                                   "term string, label string, confidence double")
-    r = Redaction(docs, recognizer=lambda p: recognize.gazetteer_labels(p, terms), config=Config(materialize="none"))
+    r = fixture_redaction(docs, recognizer=lambda p: recognize.gazetteer_labels(p, terms), config=Config(materialize="none"))
     got = {x.doc_id: (x.text, x.n_mentions) for x in r.redacted().collect()}
     assert got[1] == ("Nic tu nie ma.\r\n", 0)
     assert got[2] == ("", 0)
@@ -92,11 +93,11 @@ def test_bucketed_input_needs_no_text_shuffle(spark):
     name = "redactum_test_docs_" + uuid.uuid4().hex[:8]
     files.ingest_bucketed(docs, name, 4, path=tempfile.mkdtemp(prefix="redactum-test-") + "/t")
     b = spark.table(name)
-    r = Redaction(b, config=Config(clustered=True, materialize="none"))
+    r = fixture_redaction(b, config=Config(clustered=True, materialize="none"))
     plan = r.marked._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     got = {tuple(x) for x in r.redacted().collect()}
-    want = {tuple(x) for x in Redaction(docs).redacted().collect()}
+    want = {tuple(x) for x in fixture_redaction(docs).redacted().collect()}
     assert got == want
 
 
@@ -110,8 +111,8 @@ def test_rule_prefilter_is_a_superset(spark):
         "Zażółć Gęślą", "nic"])])
     docs = T.text_docs(spark, SF_SMALL).select("doc_id", "text", "fmt").unionByName(extra)
     cols = ["doc_id", "run_no", "start", "end", "label", "text"]
-    a = {tuple(r) for r in Redaction(docs, config=Config(materialize="none")).spans.select(*cols).collect()}
-    b = {tuple(r) for r in Redaction(docs, config=Config(materialize="none"), prefilter=lambda s: F.lit(True)).spans.select(*cols).collect()}
+    a = {tuple(r) for r in fixture_redaction(docs, config=Config(materialize="none")).spans.select(*cols).collect()}
+    b = {tuple(r) for r in fixture_redaction(docs, config=Config(materialize="none"), prefilter=lambda s: F.lit(True)).spans.select(*cols).collect()}
     assert a == b and len(a) > 0
 
 
@@ -121,21 +122,21 @@ def test_mixed_formats_in_one_plan(spark):
 
     txt = T.text_docs(spark, SF_SMALL).select("doc_id", "text", "fmt")
     xml = T.markup_docs(spark, SF_SMALL).select((F.col("doc_id") + 10 ** 7).alias("doc_id"), "text", "fmt")
-    mixed = {tuple(r) for r in Redaction(txt.unionByName(xml)).redacted().collect()}
-    separate = {tuple(r) for r in Redaction(txt).redacted().collect()} | {tuple(r) for r in Redaction(xml).redacted().collect()}
+    mixed = {tuple(r) for r in fixture_redaction(txt.unionByName(xml)).redacted().collect()}
+    separate = {tuple(r) for r in fixture_redaction(txt).redacted().collect()} | {tuple(r) for r in fixture_redaction(xml).redacted().collect()}
     assert mixed == separate
 
 
 def test_model_windows_equal_whole_runs(spark):
     from conftest import SF_SMALL
-    from redactum.operators.fixture_model import rule_model_factory
+    from redactum.fixtures.model import rule_model_factory
     from redactum.sources import tables as T
 
     docs = T.text_docs(spark, SF_SMALL).select("doc_id", "text", "fmt")
     cols = ["doc_id", "run_no", "start", "end", "label", "text"]
-    whole = Redaction(docs, recognizer=lambda p: recognize.model_labels(p, rule_model_factory),
+    whole = fixture_redaction(docs, recognizer=lambda p: recognize.model_labels(p, rule_model_factory),
                       config=Config(materialize="none")).spans.select(*cols)
-    win = Redaction(docs, recognizer=lambda p: recognize.model_labels(p, rule_model_factory, window=(16, 4)),
+    win = fixture_redaction(docs, recognizer=lambda p: recognize.model_labels(p, rule_model_factory, window=(16, 4)),
                     config=Config(materialize="none")).spans.select(*cols)
     a, b = {tuple(r) for r in whole.collect()}, {tuple(r) for r in win.collect()}
     assert a == b and len(a) > 0
@@ -157,7 +158,7 @@ def test_model_is_loaded_once_a_worker(spark, tmp_path):
                                  "doc_id string, text string, fmt string")
     rec = lambda p: recognize.model_labels(p, factory)
     for _ in range(2):
-        got = Redaction(docs, recognizer=rec, config=Config(partitions=8)).spans.collect()
+        got = fixture_redaction(docs, recognizer=rec, config=Config(partitions=8)).spans.collect()
         assert {(r.doc_id, r.text) for r in got} == {(f"f{i}.txt", "Jan") for i in range(40)}
     loads = [x.split("-")[0] for x in os.listdir(folder)]
     assert len(loads) == len(set(loads)) > 0
@@ -166,7 +167,7 @@ def test_model_is_loaded_once_a_worker(spark, tmp_path):
 def test_documents_without_a_match_are_not_shuffled(spark):
     docs = spark.createDataFrame([(i, "bez nazw " * 50, "txt") for i in range(50)] + [(99, "x 123456789 y", "txt"), (100, None, "txt")],
                                  "doc_id long, text string, fmt string")
-    r = Redaction(docs, config=Config(materialize="none"))
+    r = fixture_redaction(docs, config=Config(materialize="none"))
     assert [(x.doc_id, x.text) for x in r.spans.collect()] == [(99, "123456789")]
     plan = r.spans._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("RLIKE", plan.index("RepartitionByExpression")) > 0

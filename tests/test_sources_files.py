@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from redactum.operators import corpus
 from redactum.plans import catalog
-from redactum.plans.pipeline import Redaction
+from redactum.fixtures.plan import fixture_redaction
 from redactum.sources import files
 
 

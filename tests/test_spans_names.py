@@ -104,14 +104,15 @@ def test_numbering_matches_sequential(spark):
 def test_fold_letter_option_and_whole_documents(spark):
     from conftest import docs_df
     from redactum.operators import recognize
-    from redactum.plans.pipeline import Config, Redaction
+    from redactum.fixtures.plan import fixture_redaction
+from redactum.plans.pipeline import Config
 
     df = spark.createDataFrame([("Łukasz Ślęzak",)], "name string")
     assert df.select(initials_col(F.col("name"), 2, "letter").alias("l")).first().l == "N. U."  # L+2, S+2
     docs = docs_df(spark, [(1, "Anna Nowak oraz " * 400 + "Anna Nowak")])
     terms = spark.createDataFrame([("Anna", "B-PERSON", 0.9), ("Nowak", "I-PERSON", 0.9)], "term string, label string, confidence double")
     rec = lambda p: recognize.gazetteer_labels(p, terms)
-    full = Redaction(docs, recognizer=rec, config=Config(materialize="none")).redacted().first()
+    full = fixture_redaction(docs, recognizer=rec, config=Config(materialize="none")).redacted().first()
     assert full.text == "A. N. oraz " * 400 + "A. N."
 
 
