@@ -658,6 +658,23 @@ def person_terms(spark, d):
     return toks.select("term", F.lit("B-PERSON").alias("label"), F.lit(0.9).alias("confidence"))
 
 
+def benchmark_terms(spark, d):
+    """Terms of three, two and one words: the first tokens of the benchmark's passages."""
+    toks = F.regexp_extract_all("text", F.lit(PT.TOKEN_WITH_TRAIL_JAVA), F.lit(1))
+    kinds = [(1, 3, "PRODUCT", 0.9), (4, 2, "LOCATION", 0.85), (6, 1, "PERSON", 0.8)]
+    rows = F.array(*[F.struct(F.slice("t", a, n).alias("w"), F.lit(n).alias("n"), F.lit(lab).alias("label"), F.lit(c).alias("confidence"))
+                     for a, n, lab, c in kinds])
+    x = T.table(spark, d, "benchmark").select(toks.alias("t")).select(F.explode(rows).alias("x"))
+    return x.where("size(x.w) = x.n").select(F.array_join("x.w", " ").alias("term"), "x.label", "x.confidence")
+
+
+def q_terms_matched(spark, d):
+    """X1(b): spans of a term list with terms of one to three words."""
+    terms = benchmark_terms(spark, d)
+    rec = lambda p: recognize.term_labels(p, terms)
+    return _spans_out(fixture_redaction(T.text_docs(spark, d), recognizer=rec).spans)
+
+
 def q_conversation_substitutes(spark, d):
     """Conversations whose turns are runs, recognised with the term list
     (X1b); one numbering per conversation."""

@@ -698,6 +698,24 @@ SELECT doc_id AS conv_id, run_no AS turn, start, label, substitute FROM subs""",
 })
 
 
+ORACLES["terms_matched"] = core(TXT, "pieces").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+bt AS (SELECT regexp_extract_all(text, {q(P.TOKEN_WITH_TRAIL)}, 1) AS t FROM benchmark),
+terms AS (SELECT DISTINCT w, len(w) AS n, label, c FROM (
+  SELECT t[1:3] AS w, 3 AS n, 'PRODUCT' AS label, CAST(0.9 AS DOUBLE) AS c FROM bt UNION ALL SELECT t[4:5], 2, 'LOCATION', CAST(0.85 AS DOUBLE) FROM bt
+  UNION ALL SELECT t[6:6], 1, 'PERSON', CAST(0.8 AS DOUBLE) FROM bt) WHERE len(w) = n),
+tk AS (SELECT doc_id, run_no, pos, token, start, "end", lead(token) OVER o AS t2, lead(token, 2) OVER o AS t3 FROM pieces2 WHERE is_tok
+  WINDOW o AS (PARTITION BY doc_id, run_no ORDER BY pos)),
+mt AS (SELECT tk.doc_id, tk.run_no, tk.pos, n, label, c FROM tk JOIN terms ON w[1] = token AND (n < 2 OR w[2] = t2) AND (n < 3 OR w[3] = t3)
+  QUALIFY row_number() OVER (PARTITION BY tk.doc_id, tk.run_no, tk.pos ORDER BY n DESC) = 1),
+nx AS (SELECT *, (SELECT min(b.pos) FROM mt b WHERE b.doc_id = a.doc_id AND b.run_no = a.run_no AND b.pos >= a.pos + a.n) AS behind FROM mt a),
+wk AS (SELECT * FROM nx QUALIFY row_number() OVER (PARTITION BY doc_id, run_no ORDER BY pos) = 1
+  UNION ALL SELECT nx.* FROM wk JOIN nx ON nx.doc_id = wk.doc_id AND nx.run_no = wk.run_no AND nx.pos = wk.behind)
+SELECT k.doc_id, k.run_no, a.start, z."end", k.label, round(k.c, 6) AS confidence, CAST(k.n AS BIGINT) AS n_tokens,
+  substring(d.text, a.start + 1, z."end" - a.start) AS text
+FROM wk k JOIN tk a ON a.doc_id = k.doc_id AND a.run_no = k.run_no AND a.pos = k.pos
+JOIN tk z ON z.doc_id = k.doc_id AND z.run_no = k.run_no AND z.pos = k.pos + k.n - 1 JOIN documents d ON d.doc_id = k.doc_id"""
+
+
 def _tags_sql(threshold):
     return core(TXT, "spans", threshold=threshold) + """
 SELECT m.doc_id, m.run_no, m.pos, CASE WHEN s.label IS NULL THEN 'O' WHEN m.pos = s.first_pos THEN 'B-' || s.label
