@@ -58,6 +58,7 @@ def decode_spans(marked: DataFrame, threshold: float = 0.7) -> DataFrame:
     spans of an empty type are dropped (the reference never emits them).
     """
     bi = F.col("kind").isin("B", "I")
+    base = F.col("base") if "base" in marked.columns else F.lit(0)
     piece = F.concat("token", "trail")
     agg = (marked.where(F.col("span").isNotNull())
            .groupBy("doc_id", "run_no", "span")
@@ -65,7 +66,7 @@ def decode_spans(marked: DataFrame, threshold: float = 0.7) -> DataFrame:
                 F.max("etype").alias("label"),
                 F.avg(F.when(bi, F.col("confidence"))).alias("confidence"),
                 F.count(F.when(bi, 1)).alias("n_tokens"),
-                F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.min("base").alias("base"),
+                F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.min(base).alias("base"),
                 F.sort_array(F.collect_list(F.struct(F.col("pos"), piece.alias("p")))).alias("ps")))
     text = F.left(F.array_join(F.transform("ps", lambda s: s["p"]), ""), F.col("end") - F.col("start"))
     return (agg.where((F.col("confidence") >= F.lit(threshold)) & (F.col("label") != ""))

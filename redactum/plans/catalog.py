@@ -42,7 +42,7 @@ _cache: dict = {}
 
 
 def redaction(spark: SparkSession, sf_dir: str, kind: str = "text", **cfg) -> Redaction:
-    key = (id(spark), sf_dir, kind, tuple(sorted(cfg.items())))
+    key = (spark.sparkContext.applicationId, sf_dir, kind, tuple(sorted(cfg.items())))
     if key not in _cache:
         docs = T.text_docs(spark, sf_dir) if kind == "text" else T.markup_docs(spark, sf_dir)
         _cache[key] = fixture_redaction(docs, config=Config(**cfg))

@@ -10,14 +10,15 @@ too. Any other text, whatever characters it holds, is worked.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable, Optional
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import markup, recognize, tokens
-from ..session import checkpoint_dir
-from .pipeline import Config, Redaction
+from ..session import scratch_path
+from .pipeline import Config, Redaction, kept_table
 
 NO_TEXT = "no text"
 
@@ -29,12 +30,12 @@ def isolated(docs: DataFrame, lemmas, model_factory: Callable, config: Optional[
     The failed documents are left in the redaction without mentions, so its
     documents are read and dealt once; ``outcomes`` tells them apart."""
     none = docs.where(F.col("text").isNull()).select("doc_id", F.lit(NO_TEXT).alias("error"))
-    checkpoint_dir(docs.sparkSession)
+    folder = scratch_path(docs.sparkSession, f"run-{uuid.uuid4().hex}")
     pieces = tokens.pieces(markup.segments(docs.select("doc_id", "text", "fmt"), (config or Config()).skip_tagged))
-    preds = recognize.model_predictions(pieces, model_factory, window, model_id).checkpoint(eager=True)
+    preds = kept_table(recognize.model_predictions(pieces, model_factory, window, model_id), f"{folder}/predictions")
     failed = (preds.where("error IS NOT NULL").groupBy("doc_id").agg(F.min_by("error", "run_no").alias("error")))
     labels = preds.where("error IS NULL").drop("error").join(failed.select("doc_id"), "doc_id", "left_anti")
-    good = Redaction(docs, lemmas, lambda p: recognize.join_predictions(p, labels), config)
+    good = Redaction(docs, lemmas, lambda p: recognize.join_predictions(p, labels), config, folder=folder)
     return good, none.unionByName(failed)
 
 

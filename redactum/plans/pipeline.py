@@ -12,6 +12,7 @@ the substitute join, which reuses the token side's partitioning
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 from typing import Callable, Optional
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import markup, names, persons, recognize, rewrite, spans, tokens
-from ..session import checkpoint_dir
+from ..session import drop_scratch, scratch_path
 
 
 @dataclass
@@ -34,21 +35,28 @@ class Config:
     fold: str = "reference"       # or "letter" (Q4)
     partitions: Optional[int] = None
     # how the small intermediate tables (spans, name keys, substitutes) are
-    # kept: "checkpoint" writes them to the cluster's checkpoint folder and
-    # cuts the lineage; "none" keeps one long plan
+    # kept: "checkpoint" writes them under a folder of the run next to the
+    # cluster's checkpoints, cuts the lineage and is dropped by ``discard``;
+    # "none" keeps one long plan
     materialize: str = "checkpoint"
     # the input is already hash-partitioned on doc_id (a table bucketed by
     # doc_id, see sources.files.ingest_bucketed): no shuffle of the text
     clustered: bool = False
 
 
+def kept_table(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Redaction:
     """Lazily built DataFrames of one redaction plan (nothing is executed
     until an action runs on one of them)."""
 
     def __init__(self, docs: Optional[DataFrame], lemmas: DataFrame | Callable[[DataFrame], DataFrame],
                  recognizer: Callable[[DataFrame], DataFrame], config: Optional[Config] = None,
-                 segments: Optional[DataFrame] = None, prefilter: Optional[Callable] = None):
+                 segments: Optional[DataFrame] = None, prefilter: Optional[Callable] = None,
+                 folder: Optional[str] = None):
         """``lemmas`` is the inflection table (``sources.lexicon``), or a function
         from names(name) to the part of one that these names need;
         ``recognizer`` labels pieces (``operators.recognize``).
@@ -65,6 +73,8 @@ class Redaction:
         token."""
         self.cfg = config or Config()
         spark = (docs if docs is not None else segments).sparkSession
+        self.folder = folder or scratch_path(spark, f"run-{uuid.uuid4().hex}")
+        self._spark = spark
         n = self.cfg.partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.n = n
         self._seg_input = None
@@ -97,7 +107,7 @@ class Redaction:
             marked = spans.mark_spans(self._recognize(tokens.pieces(segs), self._recognizer), self.cfg.threshold)
         else:
             marked = self.marked
-        return self._keep(spans.decode_spans(marked, self.cfg.threshold))
+        return self._keep("spans", spans.decode_spans(marked, self.cfg.threshold))
 
     @cached_property
     def person_names(self) -> DataFrame:
@@ -109,11 +119,11 @@ class Redaction:
 
     @cached_property
     def keys(self) -> DataFrame:
-        return self._keep(names.name_keys(self.person_names, self.lemmas))
+        return self._keep("keys", names.name_keys(self.person_names, self.lemmas))
 
     @cached_property
     def mentions(self) -> DataFrame:
-        return self._keep(persons.mention_substitutes(
+        return self._keep("mentions", persons.mention_substitutes(
             self.spans, self.keys, self.cfg.shift, self.cfg.order, self.cfg.fold))
 
     @cached_property
@@ -127,13 +137,16 @@ class Redaction:
             labelled = recognize.officials_rule(labelled, None if self.cfg.officials is True else self.cfg.officials)
         return labelled
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        """Materialise a small intermediate table (mentions are a tiny
-        fraction of the text) so later stages do not re-plan the token pass."""
-        if self.cfg.materialize == "checkpoint":
-            checkpoint_dir(df.sparkSession)
-            return df.checkpoint(eager=True)
-        return df
+    def _keep(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a small intermediate table (mentions are a tiny fraction of
+        the text) so later stages do not re-plan the token pass; its size is
+        then known, so joins with it are broadcast only if it is small."""
+        return kept_table(df, f"{self.folder}/{name}") if self.cfg.materialize == "checkpoint" else df
+
+    def discard(self) -> None:
+        """Drop the tables of the run (they hold names and substitutes); what
+        was derived from them must have been written by then."""
+        drop_scratch(self._spark, self.folder)
 
     @property
     def fmt_tags(self):

@@ -78,3 +78,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A location for intermediate tables next to the checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "tables", name) if "://" not in base else f"{base.rstrip('/')}/tables/{name}"
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a location that a run of this library has written, if it is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

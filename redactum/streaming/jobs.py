@@ -82,8 +82,9 @@ def redact_stream(spark: SparkSession, folder: str, redact: Redact, out: str | N
     arriving = docs if docs is not None else document_stream(spark, folder).withColumn("fmt", F.lit("txt"))
 
     def per_batch(batch: DataFrame, batch_id: int):
-        res = redact(batch.select("doc_id", "text", "fmt")).redacted()
-        res.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        r = redact(batch.select("doc_id", "text", "fmt"))
+        r.redacted().write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        r.discard()
 
     _drain(arriving.writeStream.foreachBatch(per_batch), ckpt)
     return out_path
@@ -114,6 +115,7 @@ def dedup_stream(spark: SparkSession, folder: str, max_files: int | None = None,
         work.append("accepted", new)
         work.upsert("known", new, lambda old, more: old.unionByName(more))
         work.commit()
+        work.discard()
 
     s = (event_stream(spark, folder, max_files=max_files).where(F.col("event_type") == "view")
          .select(F.col("user_id").alias("doc_id"), "ts", "event_id"))
@@ -168,6 +170,8 @@ def roster_stream(spark: SparkSession, folder: str, redact: Redact, max_files: i
                         .select("case_id", "person_key", "initials", F.col("doc_id").alias("seq")))
         work.upsert("roster", new, newest(["case_id", "person_key"], ["seq"]))
         work.commit()
+        r.discard()
+        work.discard()
 
     _drain(document_stream(spark, folder, max_files=max_files).writeStream.foreachBatch(per_batch), ckpt)
     return store
@@ -194,6 +198,7 @@ def latest_status_stream(spark: SparkSession, folder: str, max_files: int | None
         if on_batch:
             on_batch(work)
         work.commit()
+        work.discard()
 
     led = event_stream(spark, folder, max_files=max_files).select(
         F.col("user_id").alias("doc_id"), "event_type", "ts", F.col("event_id").alias("seq"))

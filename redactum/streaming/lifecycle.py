@@ -116,6 +116,8 @@ class Lifecycle:
         work.upsert("documents", final.select("doc_id", "case_id", "status", "attempt", F.lit(batch_id).cast("long").alias("seq")),
                     newest(["doc_id"], ["seq"]))
         work.commit()
+        good.discard()
+        work.discard()
 
     def _asked(self, ids: DataFrame) -> DataFrame:
         """(doc_id, stop, retry, deleted): seq of the last request of each kind."""

@@ -20,6 +20,8 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import drop_scratch
+
 MANIFEST = "entry string, bucket int, folder string, batch_id long"
 
 
@@ -137,6 +139,11 @@ class Batch:
         self.store._write_manifest(self.entries or [("empty", None, "")], self.batch_id)
 
 
+    def discard(self) -> None:
+        """Drop the tables of ``keep``, after the commit."""
+        drop_scratch(self.store.spark, f"{self.store.path}/work/{self.token}")
+
+
 def newest(keys: list[str], order: list[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """A merge that keeps, for each key, the row with the greatest order."""
     def merge(old: DataFrame, changed: DataFrame) -> DataFrame:
