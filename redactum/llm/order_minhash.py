@@ -11,9 +11,7 @@ texts agree on a seed with a chance that follows their edit similarity, and
 texts that agree on a seed share a bucket.
 
 Links: in a bucket of up to ``SMALL`` texts every pair is a candidate. In a
-larger one each text is paired with the bucket's first one, and all are dealt
-anew to buckets in which more seeds agree (``AGREE``), where the same holds, up
-to those in which all seeds do. Candidates are verified by word edit distance in
+larger one each text is paired with the bucket's first one. Candidates are verified by word edit distance in
 a band: linked if at most ``1 - LEAST`` of the longer text's words are edits.
 Large buckets whose texts are then not all linked are searched exactly: two of
 their texts that are similar share one of each one's rarest words (a prefix
@@ -44,8 +42,6 @@ K = 5
 LEAST = 0.8
 SKETCHES, PICKS = 24, 2
 SMALL = 8
-#: seeds that agree in the buckets of each round; a round deals the large buckets of the one before
-AGREE = (1, 3, 6, 12, 24)
 #: cells of the seed-by-window table computed at once
 CELLS = 1 << 21
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, SKETCHES, dtype=np.uint64) | np.uint64(1)
@@ -189,33 +185,20 @@ def similar_words(x: list[bytes], y: list[bytes], least: float = LEAST) -> bool:
 
 def candidates(spark: SparkSession, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs (a, b), a < b, from classes(c, n_words, sketch), and the
-    members (bucket, band, c, n_words) of the large buckets."""
+    members (bucket, c, n_words) of the large buckets."""
     members = classes.select("c", "n_words", F.posexplode("sketch").alias("band", "value")).select(
-        F.xxhash64("band", "value").alias("bucket"), "c", "n_words", "band")
-    found = []
-    for agreed, more in zip(AGREE, (*AGREE[1:], None), strict=True):
-        sizes = (members.groupBy("bucket").agg(F.count("*").alias("many"), F.min("c").alias("first"))
-                 .filter("many > 1"))
-        shared = stored(spark, members.join(sizes, "bucket"), f"buckets-{agreed}")
-        small = (shared.filter(F.col("many") <= SMALL).groupBy("bucket")
-                 .agg(F.sort_array(F.collect_list(F.struct("c", "n_words"))).alias("all")))
-        each = small.select(F.posexplode("all").alias("i", "a"), "all")
-        every = each.select("a", F.explode(F.slice("all", F.col("i") + 2, SMALL)).alias("b"))
-        fits = F.least("a.n_words", "b.n_words") >= F.lit(LEAST) * F.greatest("a.n_words", "b.n_words") - 1e-6
-        found.append(every.filter(fits).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")))
-        large = shared.filter(F.col("many") > SMALL)
-        if agreed == AGREE[0]:
-            crowded = large.select("bucket", "band", "c", "n_words")
-        found.append(large.filter(F.col("c") != F.col("first")).select(F.col("first").alias("a"), F.col("c").alias("b")))
-        if more is None or not large.limit(1).count():
-            break
-        values = [F.get("sketch", F.pmod(F.col("band") + k, F.lit(SKETCHES))) for k in range(agreed, more)]
-        members = large.join(classes.select("c", "sketch"), "c").select(
-            F.xxhash64("bucket", *values).alias("bucket"), "c", "n_words", "band")
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs.distinct(), crowded
+        F.xxhash64("band", "value").alias("bucket"), "c", "n_words")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("many"), F.min("c").alias("first")).filter("many > 1")
+    shared = stored(spark, members.join(sizes, "bucket"), "buckets")
+    small = (shared.filter(F.col("many") <= SMALL).groupBy("bucket")
+             .agg(F.sort_array(F.collect_list(F.struct("c", "n_words"))).alias("all")))
+    each = small.select(F.posexplode("all").alias("i", "a"), "all")
+    every = each.select("a", F.explode(F.slice("all", F.col("i") + 2, SMALL)).alias("b"))
+    fits = F.least("a.n_words", "b.n_words") >= F.lit(LEAST) * F.greatest("a.n_words", "b.n_words") - 1e-6
+    large = shared.filter(F.col("many") > SMALL)
+    pairs = every.filter(fits).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).unionByName(
+        large.filter(F.col("c") != F.col("first")).select(F.col("first").alias("a"), F.col("c").alias("b")))
+    return pairs.distinct(), large.select("bucket", "c", "n_words")
 
 
 def word_marks(text: Column) -> Column:
@@ -231,21 +214,22 @@ def word_marks(text: Column) -> Column:
 
 
 def rare_words(spark: SparkSession, texts: DataFrame, least: float) -> DataFrame:
-    """(c, word, many, first) of the rarest words of texts(c, n_words, text), many the texts that hold it.
+    """(c, label, n_words, word) of the rarest words of texts(c, label, n_words, text).
 
     Similar texts of n words share all but (1 - least) n of the longer one's
     labelled words, so in any order of all words each of them holds one that
     they share among its first (1 - least) n + 1. Rarest first, few others do.
     Words that only one text holds take their places but are not returned.
     """
-    words = stored(spark, texts.select("c", "n_words", F.explode(word_marks(F.col("text"))).alias("word")), "marks")
+    own = ["c", "label", "n_words"]
+    words = stored(spark, texts.select(*own, F.explode(word_marks(F.col("text"))).alias("word")), "marks")
     counts = words.groupBy("word").agg(F.count("*").alias("many")).filter("many > 1")
     counts = stored(spark, counts, "mark-counts")
-    ranked = (words.join(counts, "word", "left").groupBy("c", "n_words")
+    ranked = (words.join(counts, "word", "left").groupBy(*own)
               .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("many", F.lit(1)).alias("many"), "word"))).alias("all")))
     first = F.floor((1 - least) * F.col("n_words") + 1e-9).cast("int") + 1
-    return (ranked.select("c", F.explode(F.slice("all", F.lit(1), first)).alias("x"))
-            .select("c", "x.word", "x.many").filter("many > 1"))
+    rare = F.filter(F.slice("all", F.lit(1), first), lambda x: x["many"] > 1)
+    return ranked.select(*own, F.explode(F.transform(rare, lambda x: x["word"])).alias("word"))
 
 
 def crowded_links(spark: SparkSession, crowded: DataFrame, classes: DataFrame, labels: DataFrame, texts: DataFrame,
@@ -262,8 +246,7 @@ def crowded_links(spark: SparkSession, crowded: DataFrame, classes: DataFrame, l
     mixed = stored(spark, members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                    .filter("lo < hi").select("bucket"), "mixed-buckets")
     asked = stored(spark, members.join(mixed, "bucket").select("c", "label", "n_words").distinct(), "mixed-texts")
-    rare = rare_words(spark, asked.select("c", "n_words").join(texts, "c"), least)
-    held = stored(spark, rare.join(asked, "c").select("word", "c", "label", "n_words"), "rare-words")
+    held = stored(spark, rare_words(spark, asked.join(texts, "c"), least), "rare-words")
     kinds = held.groupBy("word", "label").agg(F.count("*").alias("many")).groupBy("word").agg(
         F.max_by("label", "many").alias("most"), F.count("*").alias("kinds"))
     few = held.join(kinds.filter("kinds > 1"), "word").filter("label != most")
