@@ -516,7 +516,7 @@ def q_admission(spark, d):
     return FS.admission(f).select("doc_id", "name", "size", "status", "reason")
 
 
-def q_case_assignment(spark, d):
+def _assigned(spark, d):
     docs = T.table(spark, d, "documents")
     man = docs.select("doc_id", F.when(F.pmod("doc_id", F.lit(3)) == 0, F.col("source")).alias("case_id"),
                       F.when(F.pmod("doc_id", F.lit(5)) == 0,
@@ -526,6 +526,15 @@ def q_case_assignment(spark, d):
     return FS.assign_cases(man, cases)
 
 
+def q_case_assignment(spark, d):
+    return _assigned(spark, d)
+
+
+def q_new_cases(spark, d):
+    """Cases that the manifest creates, each once."""
+    return FS.new_cases(_assigned(spark, d))
+
+
 def q_result_names(spark, d):
     return _named(spark, d).select("doc_id", FS.result_name(F.col("name")).alias("result_name"))
 

@@ -658,6 +658,9 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1""",
 })
 
 
+ORACLES["new_cases"] = f"SELECT DISTINCT case_id FROM ({ORACLES['case_assignment']}) WHERE created"
+
+
 # ---- more inventory items ------------------------------------------------------
 TURNS = """d AS (SELECT DISTINCT conv_id AS doc_id FROM conversations),
 segs AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS seg_no, coalesce(text, '') AS seg, false AS is_xml, true AS is_run FROM conversations)"""
