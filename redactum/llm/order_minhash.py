@@ -214,51 +214,48 @@ def word_marks(text: Column) -> Column:
 
 
 def rare_words(spark: SparkSession, texts: DataFrame, least: float) -> DataFrame:
-    """(c, label, n_words, word) of the rarest words of texts(c, label, n_words, text).
+    """(c, rare): the rarest words of texts(c, n_words, text).
 
     Similar texts of n words share all but (1 - least) n of the longer one's
     labelled words, so in any order of all words each of them holds one that
     they share among its first (1 - least) n + 1. Rarest first, few others do.
     Words that only one text holds take their places but are not returned.
     """
-    own = ["c", "label", "n_words"]
-    words = stored(spark, texts.select(*own, F.explode(word_marks(F.col("text"))).alias("word")), "marks")
+    words = stored(spark, texts.select("c", "n_words", F.explode(word_marks(F.col("text"))).alias("word")), "marks")
     counts = words.groupBy("word").agg(F.count("*").alias("many")).filter("many > 1")
     counts = stored(spark, counts, "mark-counts")
-    ranked = (words.join(counts, "word", "left").groupBy(*own)
+    ranked = (words.join(counts, "word", "left").groupBy("c", "n_words")
               .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("many", F.lit(1)).alias("many"), "word"))).alias("all")))
     first = F.floor((1 - least) * F.col("n_words") + 1e-9).cast("int") + 1
     rare = F.filter(F.slice("all", F.lit(1), first), lambda x: x["many"] > 1)
-    return ranked.select(*own, F.explode(F.transform(rare, lambda x: x["word"])).alias("word"))
+    return ranked.select("c", F.transform(rare, lambda x: x["word"]).alias("rare"))
 
 
-def crowded_links(spark: SparkSession, crowded: DataFrame, classes: DataFrame, labels: DataFrame, texts: DataFrame,
-                  least: float) -> DataFrame:
+def crowded_links(spark: SparkSession, crowded: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Links (a, b) of the large buckets between texts whose labels(c, label) differ.
 
     Of the texts of buckets that hold several labels, pairs are met on their
     rare words: of each word's texts those outside its most frequent label meet
     all of another label, so copies that are linked already never meet. A pair
-    that fits in length and shares a bucket is aligned. Only ids, sizes and
-    sketches travel until then.
+    that fits in length and shares such a bucket is aligned. Only ids, sizes and
+    buckets (one a seed at most) travel until then.
     """
     members = crowded.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     mixed = stored(spark, members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                    .filter("lo < hi").select("bucket"), "mixed-buckets")
-    asked = stored(spark, members.join(mixed, "bucket").select("c", "label", "n_words").distinct(), "mixed-texts")
-    held = stored(spark, rare_words(spark, asked.join(texts, "c"), least), "rare-words")
+    asked = stored(spark, members.join(mixed, "bucket").groupBy("c", "label", "n_words")
+                   .agg(F.collect_set("bucket").alias("buckets")), "mixed-texts")
+    rare = rare_words(spark, asked.select("c", "n_words").join(texts, "c"), least)
+    held = stored(spark, rare.join(asked, "c").select(F.explode("rare").alias("word"), "c", "label", "n_words", "buckets"), "rare-words")
     kinds = held.groupBy("word", "label").agg(F.count("*").alias("many")).groupBy("word").agg(
         F.max_by("label", "many").alias("most"), F.count("*").alias("kinds"))
     few = held.join(kinds.filter("kinds > 1"), "word").filter("label != most")
-    one, two = few.select("word", F.col("c").alias("a"), F.col("label").alias("la"), F.col("n_words").alias("na")), \
-        held.select("word", F.col("c").alias("b"), F.col("label").alias("lb"), F.col("n_words").alias("nb"))
-    fits = F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-6
-    pairs = one.join(two, "word").filter((F.col("la") != F.col("lb")) & fits).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    of = lambda k: classes.select(F.col("c").alias(k), F.col("sketch").alias(f"sketch_{k}"))
-    agree = F.exists(F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y), lambda x: x)
-    near = pairs.join(of("a"), "a").join(of("b"), "b").filter(agree).select("a", "b")
-    return verified(stored(spark, near, "rare-pairs"), texts, least)
+    side = lambda rows, k: rows.select("word", *[F.col(c).alias(f"{c}_{k}") for c in ("c", "label", "n_words", "buckets")])
+    fits = F.least("n_words_a", "n_words_b") >= F.lit(least) * F.greatest("n_words_a", "n_words_b") - 1e-6
+    meets = (F.col("label_a") != F.col("label_b")) & fits & F.arrays_overlap("buckets_a", "buckets_b")
+    pairs = side(few, "a").join(side(held, "b"), "word").filter(meets).select(
+        F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct()
+    return verified(stored(spark, pairs, "rare-pairs"), texts, least)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
@@ -326,7 +323,7 @@ def classes_of(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str,
     texts = stored(spark, texts.groupBy("c").agg(F.first("text").alias("text")), "asked-texts")
     near = stored(spark, verified(pairs, texts, least), "near")
     labels = stored(spark, components(spark, near), "labels")
-    more = stored(spark, crowded_links(spark, crowded, first, labels, texts, least), "crowded-links")
+    more = stored(spark, crowded_links(spark, crowded, labels, texts, least), "crowded-links")
     if more.limit(1).count():
         labels = components(spark, near.unionByName(more))
     named = (first.select("c", "key", "least_id", "many").join(labels, "c", "left")
