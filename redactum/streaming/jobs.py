@@ -44,11 +44,14 @@ def _drain(writer, checkpoint: str) -> None:
 
 def document_stream(spark: SparkSession, folder: str, file_glob: str = "documents*.parquet",
                     max_files: int | None = None) -> DataFrame:
-    """Arriving documents; ``max_files`` bounds the files of one micro-batch."""
-    s = spark.readStream.schema(DOC_SCHEMA).option("pathGlobFilter", file_glob)
+    """Arriving documents; ``max_files`` bounds the files of one micro-batch.
+
+    What ``file_glob`` names may be files or folders of part files: the glob is
+    part of the path (a ``pathGlobFilter`` sees names of files only)."""
+    s = spark.readStream.schema(DOC_SCHEMA)
     if max_files:
         s = s.option("maxFilesPerTrigger", max_files)
-    return s.parquet(folder)
+    return s.parquet(f"{folder.rstrip('/')}/{file_glob}")
 
 
 def file_stream(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
@@ -63,10 +66,10 @@ def file_stream(spark: SparkSession, folder: str, max_files: int | None = None)
 def event_stream(spark: SparkSession, folder: str, file_glob: str = "events*.parquet", max_files: int | None = None) -> DataFrame:
     """Ledger events; event time is cast to TIMESTAMP (watermarks need it;
     the session time zone is UTC, so wall-clock values are unchanged)."""
-    s = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", file_glob)
+    s = spark.readStream.schema(EVENT_SCHEMA)
     if max_files:
         s = s.option("maxFilesPerTrigger", max_files)
-    s = s.parquet(folder)
+    s = s.parquet(f"{folder.rstrip('/')}/{file_glob}")
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

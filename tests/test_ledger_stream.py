@@ -91,3 +91,17 @@ def test_work_selection_rules(spark):
     assert {r.doc_id for r in L.publish(docs, lat).collect()} == {1, 2, 4, 5}   # withdrawn never published
     out = {r.doc_id: r.outcome for r in L.erase(docs.select("doc_id"), lat).collect()}
     assert out == {1: "deleted", 2: "skipped", 3: "deleted", 4: "deleted", 5: "deleted"}
+
+
+def test_streams_read_tables_of_part_files(spark, tmp_path):
+    """A table may be a folder of part files, as well as one file."""
+    from redactum.streaming import jobs as SJ
+
+    docs = [(i, "Jan Kowalski" if i % 2 else "nothing", "de", "a", 7) for i in range(6)]
+    spark.createDataFrame(docs, SJ.DOC_SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    events = spark.sql("SELECT id AS event_id, TIMESTAMP_NTZ '2026-01-01 10:00:00' AS ts, id AS user_id, 'view' AS event_type, "
+                       "1D AS value, '' AS props FROM range(5)")
+    events.repartition(2).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.q_stream_redact(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == [(i, "J. K." if i % 2 else "nothing", i % 2) for i in range(6)]
+    assert catalog.q_stream_ledger(spark, str(tmp_path)).count() == 5
