@@ -14,6 +14,10 @@ from .files import file_name
 
 # --- fixed values: golden file syntax ----------------------------------------
 CASE_PATTERN = r'(?s)ANONYMIZE\("(.*?)"\)\s*=\s*(?:"((?:[^"]|" OR ")*)"|(NO_CHANGE))'
+# Java twin: the alternation under a star recurses once a character and ends the
+# stack on a long expected text. Stretches without a quote are possessive (what
+# they would give back is never a quote), so only separators are tried one by one.
+CASE_PATTERN_JAVA = CASE_PATTERN.replace(r'(?:[^"]|" OR ")*', r'[^"]*+(?:" OR "[^"]*+)*', 1)
 ALT_SEPARATOR = '" OR "'
 # ---------------------------------------------------------------------------
 
@@ -26,9 +30,9 @@ def read_cases(files: DataFrame) -> DataFrame:
     """files(file, content) -> cases_gold(file, case_no, input, expected, no_change)."""
     c = F.col("content")
     x = files.select("file",
-                     F.regexp_extract_all(c, F.lit(CASE_PATTERN), 1).alias("i"),
-                     F.regexp_extract_all(c, F.lit(CASE_PATTERN), 2).alias("e"),
-                     F.regexp_extract_all(c, F.lit(CASE_PATTERN), 3).alias("n"))
+                     F.regexp_extract_all(c, F.lit(CASE_PATTERN_JAVA), 1).alias("i"),
+                     F.regexp_extract_all(c, F.lit(CASE_PATTERN_JAVA), 2).alias("e"),
+                     F.regexp_extract_all(c, F.lit(CASE_PATTERN_JAVA), 3).alias("n"))
     x = x.select("file", F.posexplode(F.arrays_zip("i", "e", "n")).alias("k", "m"))
     no_change = F.col("m.n") == F.lit("NO_CHANGE")
     expected = F.when(no_change, F.array(F.lit("NO_CHANGE"))).otherwise(

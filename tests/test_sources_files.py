@@ -81,3 +81,14 @@ def test_golden_file_reader(spark):
     assert [(r.file, r.case_no, r.input, r.expected, r.no_change) for r in rows] == [
         ("court.test", 1, "Jan Kowalski mieszka", ["J. K. mieszka", "J.K. mieszka"], False),
         ("court.test", 2, "W IMIENIU", ["NO_CHANGE"], True)]
+
+
+def test_golden_long_expected_text(spark):
+    """An expected text of any length is read: no recursion by character, which ended the executor."""
+    from redactum.sources import golden
+
+    long = "ab " * 200_000 + "x"
+    files = spark.createDataFrame([("f", f'ANONYMIZE("x") = "{long}"\nANONYMIZE("y") = "a" OR "b" OR "c"\nANONYMIZE("z") = "p" OR "q')],
+                                  "file string, content string")
+    rows = golden.read_cases(files).orderBy("case_no").collect()
+    assert [r.expected for r in rows] == [[long], ["a", "b", "c"], ["p"]]
