@@ -10,6 +10,8 @@ import traceback
 from typing import Callable, Iterator
 
 _MODELS: dict[str, Callable] = {}
+#: tokens of the runs of one call of a model, more only if a single run has more
+CALL_TOKENS = 20_000
 
 
 def hosted(model_id: str, factory: Callable[[], Callable]) -> Callable:
@@ -19,6 +21,20 @@ def hosted(model_id: str, factory: Callable[[], Callable]) -> Callable:
     return _MODELS[model_id]
 
 
+def token_slices(batch, size: int = CALL_TOKENS) -> Iterator:
+    """A batch of runs(..., words) cut between runs into stretches of about ``size`` tokens."""
+    import pyarrow.compute as pc
+
+    start = held = 0
+    for i, n in enumerate(pc.list_value_length(batch.column("words")).to_pylist()):
+        if held and held + n > size:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def _checked(model: Callable, runs: list[list[str]]) -> list:
     out = list(model(runs))
     sizes = [len(x) for x in out]

@@ -112,3 +112,18 @@ def test_hosted_rule_model_equals_rules(spark):
     docs = docs_df(spark, [(1, "Jan Kowalski in Berlin"), (2, "GNU License 123456789")])
     spans = lambda rec: sorted(tuple(r) for r in fixture_redaction(docs, recognizer=rec).spans.select("doc_id", "start", "end", "label").collect())
     assert spans(rule_labels) == spans(lambda p: recognize.model_labels(p, rule_model_factory))
+
+
+def test_terms_of_long_runs_and_many_terms(spark):
+    """A run costs its tokens, not its tokens times the terms found in it."""
+    words = [f"w{i % 400}" for i in range(12_000)]
+    terms = [(f"w{i} w{i + 1} w{i + 2}", "LOCATION", 0.8) for i in range(0, 398, 2)] + [(f"w{i}", "PERSON", 0.9) for i in range(400)]
+    table = spark.createDataFrame(terms, "term string, label string, confidence double")
+    rec = recognize.term_labels(tokens.pieces(markup.segments(docs_df(spark, [(1, " ".join(words))]))), table)
+    got = [r.label for r in rec.where("is_tok").orderBy("pos").collect()]
+    want, i = [], 0
+    while i < 400:
+        n = 3 if i % 2 == 0 and i < 398 else 1
+        want += ["B-LOCATION", "I-LOCATION", "I-LOCATION"] if n == 3 else ["B-PERSON"]
+        i += n
+    assert got == want * 30
