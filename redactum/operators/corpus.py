@@ -73,8 +73,9 @@ def tagged_examples(docs: DataFrame, labels: DataFrame | None = None) -> DataFra
 
 def bio_tags(marked: DataFrame, kept: DataFrame) -> DataFrame:
     """Per token: B-<label> on the first token of a kept span, I-<label>
-    inside it, O elsewhere."""
-    k = kept.select("doc_id", "run_no", "span", "first_pos", F.col("label").alias("span_label"))
+    inside it, O elsewhere. The spans are the hashed side of the join (they are
+    few), so the tokens are not sorted again for it."""
+    k = kept.select("doc_id", "run_no", "span", "first_pos", F.col("label").alias("span_label")).hint("shuffle_hash")
     x = marked.where("is_tok").join(k, ["doc_id", "run_no", "span"], "left")
     tag = (F.when(F.col("span_label").isNull(), F.lit("O"))
            .when(F.col("pos") == F.col("first_pos"), F.concat(F.lit("B-"), F.col("span_label")))
