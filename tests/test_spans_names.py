@@ -144,3 +144,22 @@ def test_split_rank_on_a_large_group_with_its_columns(spark):
     slices = got.select(F.floor((F.col("k") - 1) / 1000).alias("g"), "o").groupBy("g").agg(F.min("o").alias("a"), F.max("o").alias("b"))
     rows = sorted(slices.collect())
     assert all(x.b < y.a for x, y in zip(rows, rows[1:]))  # numbers follow the order
+
+
+def test_span_tokens_equal_marked_spans(spark):
+    """The rows in spans are the same with and without windows over the other tokens."""
+    import random
+
+    from redactum.operators import spans as SP
+
+    rng = random.Random(5)
+    labels = ["O", "B-A", "I-A", "B-B", "I-B", "X", "I-"]
+    rows = [(d, r, p, rng.choice(labels), rng.choice([0.6, 0.7, 0.9]), f"t{p}", " ", p * 3, p * 3 + 2)
+            for d in range(6) for r in range(2) for p in range(60)]
+    x = spark.createDataFrame(rows, "doc_id long, run_no int, pos int, label string, confidence double, token string, trail string, start int, `end` int")
+    keys = ["doc_id", "run_no", "pos", "kind", "etype", "span"]
+    want = {tuple(r) for r in SP.mark_spans(x).where("span IS NOT NULL").select(keys).collect()}
+    plan = SP.span_tokens(x)
+    assert want == {tuple(r) for r in plan.select(keys).collect()} and len(want) > 100
+    sort = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert sort.rindex("Filter") > sort.rindex("Window")  # O tokens leave before the first window
