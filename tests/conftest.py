@@ -9,12 +9,19 @@ sys.path.insert(0, ROOT)
 SF_SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="session")
-def spark():
+def _session():
     from redactum.session import get_spark
 
-    s = get_spark("local[4]", 4, app_name="redactum-tests")
-    yield s
+    return get_spark("local[4]", 4, app_name="redactum-tests")
+
+
+def pytest_configure(config):
+    _session()  # some test modules make columns when they are read
+
+
+@pytest.fixture(scope="session")
+def spark():
+    yield _session()
 
 
 def docs_df(spark, rows, fmt="txt"):
