@@ -11,7 +11,7 @@ from redactum.fixtures.model import rule_model_factory
 from redactum.fixtures.plan import fixture_redaction
 from redactum.fixtures.rules import rule_labels
 from redactum.operators import corpus as C
-from redactum.operators import recognize
+from redactum.operators import markup, recognize, tokens
 from redactum.plans.pipeline import Config, Redaction
 from redactum.sources.lexicon import bad_lines, ingest_lexicon, read_lexicon
 
