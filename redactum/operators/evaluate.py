@@ -51,10 +51,15 @@ def span_metrics(gold: DataFrame, pred: DataFrame) -> DataFrame:
                       F.round(rec, 6).alias("recall"), F.round(f1, 6).alias("f1"), F.col("gid").cast("long").alias("gid"))
 
 
-def change_set(outs: DataFrame, pcs: DataFrame) -> DataFrame:
-    """Pieces whose text changed: (doc_id, run_no, pos, before, after)."""
-    before = pcs.select("doc_id", "run_no", "pos", F.concat("lead", "token", "trail").alias("before"))
-    x = before.join(outs, ["doc_id", "run_no", "pos"])
+def change_set(outs: DataFrame, pcs: DataFrame | None = None) -> DataFrame:
+    """Pieces whose text changed: (doc_id, run_no, pos, before, after).
+
+    ``outs`` holds each piece as it was; where pieces share a position (those of
+    repeated ids) an output is compared with all of ``pcs`` there."""
+    x = outs
+    if pcs is not None:
+        before = pcs.select("doc_id", "run_no", "pos", F.concat("lead", "token", "trail").alias("before"))
+        x = before.join(outs.drop("before"), ["doc_id", "run_no", "pos"])
     return x.where(F.col("before") != F.col("out")).select("doc_id", "run_no", "pos", "before", F.col("out").alias("after"))
 
 
@@ -66,9 +71,21 @@ def leak_audit(span_tokens: DataFrame, output_tokens: DataFrame) -> DataFrame:
     return a.join(b, ["doc_id", "token"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_leaks"))
 
 
-def token_accuracy(gold_tags: DataFrame, pred_tags: DataFrame) -> DataFrame:
-    """Share of tokens whose BIO tag agrees (one row)."""
+def agreement(gold_tags: DataFrame, pred_tags: DataFrame) -> DataFrame:
+    """(n_tokens, n_equal) of tokens with their tags, joined by position."""
     k = ["doc_id", "run_no", "pos"]
     x = gold_tags.select(*k, F.col("tag").alias("g")).join(pred_tags.select(*k, F.col("tag").alias("p")), k)
-    return x.agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("g") == F.col("p")).alias("n_equal")).select(
+    return x.agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("g") == F.col("p")).alias("n_equal"))
+
+
+def run_agreement(runs: DataFrame) -> DataFrame:
+    """(n_tokens, n_equal) of runs(gold, pred), the tags of a run's tokens as two arrays."""
+    same = F.filter(F.arrays_zip("gold", "pred"), lambda z: z["gold"] == z["pred"])
+    return runs.select(F.size("gold").cast("long").alias("n_tokens"), F.size(same).cast("long").alias("n_equal"))
+
+
+def token_accuracy(counts: DataFrame) -> DataFrame:
+    """Share of tokens whose BIO tag agrees (one row), of counts(n_tokens, n_equal)."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return counts.agg(total("n_tokens"), total("n_equal")).select(
         "n_tokens", "n_equal", F.round(F.try_divide(F.col("n_equal"), F.col("n_tokens")), 6).alias("accuracy"))
