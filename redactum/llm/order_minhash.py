@@ -14,10 +14,11 @@ Links: in a bucket of up to ``SMALL`` texts every pair is a candidate. In a
 larger one each text is paired with the bucket's first one. Candidates are verified by word edit distance in
 a band: linked if at most ``1 - LEAST`` of the longer text's words are edits.
 Large buckets whose texts are then not all linked are searched exactly: two of
-their texts that are similar share one of each one's rarest words (a prefix
+their texts that are similar share some of each one's rarest words (a prefix
 filter, see ``rare_words``), and those that do, share a bucket and are not
-linked yet are verified too. So every two texts that share a bucket are compared,
-linked already or can't be similar, however many others share it.
+linked yet are verified too, the most alike first. So every two texts that share
+a bucket are compared, linked already or can't be similar, however many others
+share it.
 Classes are the connected components of the links.
 
 Texts shorter than ``K`` words have one k-mer. Null texts and texts without a
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,6 +44,8 @@ K = 5
 LEAST = 0.8
 SKETCHES, PICKS = 24, 2
 SMALL = 8
+#: most shared rare words asked of a pair, buckets of a text that order its words, pairs a text that are aligned at once
+NEEDED, CROWDS, WAVE = 8, 4, 4
 #: cells of the seed-by-window table computed at once
 CELLS = 1 << 21
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, SKETCHES, dtype=np.uint64) | np.uint64(1)
@@ -214,48 +218,99 @@ def word_marks(text: Column) -> Column:
 
 
 def rare_words(spark: SparkSession, texts: DataFrame, least: float) -> DataFrame:
-    """(c, rare): the rarest words of texts(c, n_words, text).
+    """(c, rare): the rarest words of texts(c, n_words, crowd, text), ``needed_words`` of which any
+    two similar texts share.
 
     Similar texts of n words share all but (1 - least) n of the longer one's
-    labelled words, so in any order of all words each of them holds one that
-    they share among its first (1 - least) n + 1. Rarest first, few others do.
-    Words that only one text holds take their places but are not returned.
+    labelled words, so in any order of all words the first k that they share are
+    among each one's first (1 - least) n + k. The order only decides how many
+    others share them: first come words with few meetings in the buckets of
+    ``crowd``, so that a passage that makes a bucket comes last in it, however
+    rare it is elsewhere. Words that only one text holds take their places but
+    are not returned.
     """
-    words = stored(spark, texts.select("c", "n_words", F.explode(word_marks(F.col("text"))).alias("word")), "marks")
-    counts = words.groupBy("word").agg(F.count("*").alias("many")).filter("many > 1")
-    counts = stored(spark, counts, "mark-counts")
-    ranked = (words.join(counts, "word", "left").groupBy("c", "n_words")
-              .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("many", F.lit(1)).alias("many"), "word"))).alias("all")))
-    first = F.floor((1 - least) * F.col("n_words") + 1e-9).cast("int") + 1
-    rare = F.filter(F.slice("all", F.lit(1), first), lambda x: x["many"] > 1)
+    marks = stored(spark, texts.select("c", "n_words", "crowd", word_marks(F.col("text")).alias("words")), "marks")
+    met = (marks.select("c", "crowd", F.explode("words").alias("word"))
+           .select("c", "word", F.explode("crowd").alias("bucket")).groupBy("word", "bucket")
+           .agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")))
+    counts = stored(spark, met.groupBy("word").agg(F.sum(F.col("n") * F.col("n")).alias("meetings"), F.min("lo").alias("lo"),
+                                                   F.max("hi").alias("hi"))
+                    .filter("lo < hi").select("word", "meetings"), "mark-counts")
+    ranked = (marks.select("c", "n_words", F.explode("words").alias("word")).join(counts, "word", "left")
+              .groupBy("c", "n_words")
+              .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("meetings", F.lit(0)).alias("meetings"), "word"))).alias("all")))
+    first = F.floor((1 - least) * F.col("n_words") + 1e-9).cast("int") + needed_words(F.col("n_words"), least)
+    rare = F.filter(F.slice("all", F.lit(1), first), lambda x: x["meetings"] > 0)
     return ranked.select("c", F.transform(rare, lambda x: x["word"]).alias("rare"))
 
 
+def needed_words(n_words: Column, least: float) -> Column:
+    """How many of its rarest words a text shares with any similar one at least as long."""
+    return F.least(F.lit(NEEDED), F.floor(least * n_words / (2 * NEEDED)).cast("int") + 1)
+
+
 def crowded_links(spark: SparkSession, crowded: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) of the large buckets between texts whose labels(c, label) differ.
+    """Links (a, b) of the large buckets that join all similar texts whose labels(c, label) differ.
 
     Of the texts of buckets that hold several labels, pairs are met on their
     rare words: of each word's texts those outside its most frequent label meet
     all of another label, so copies that are linked already never meet. A pair
-    that fits in length and shares such a bucket is aligned. Only ids, sizes and
-    buckets (one a seed at most) travel until then.
+    that fits in length, shares such a bucket and enough rare words is aligned.
+    Only ids, sizes and buckets (one a seed at most) travel until then.
     """
     members = crowded.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    mixed = stored(spark, members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-                   .filter("lo < hi").select("bucket"), "mixed-buckets")
-    asked = stored(spark, members.join(mixed, "bucket").groupBy("c", "label", "n_words")
-                   .agg(F.collect_set("bucket").alias("buckets")), "mixed-texts")
-    rare = rare_words(spark, asked.select("c", "n_words").join(texts, "c"), least)
+    mixed = stored(spark, members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
+                   .filter("lo < hi").select("bucket", "size"), "mixed-buckets")
+    place = F.sort_array(F.collect_set(F.struct("size", "bucket")), False)
+    asked = stored(spark, members.join(mixed, "bucket").groupBy("c", "label", "n_words").agg(place.alias("p"))
+                   .select("c", "label", "n_words", F.col("p.bucket").alias("buckets")), "mixed-texts")
+    rare = rare_words(spark, asked.select("c", "n_words", F.slice("buckets", 1, CROWDS).alias("crowd")).join(texts, "c"), least)
     held = stored(spark, rare.join(asked, "c").select(F.explode("rare").alias("word"), "c", "label", "n_words", "buckets"), "rare-words")
     kinds = held.groupBy("word", "label").agg(F.count("*").alias("many")).groupBy("word").agg(
         F.max_by("label", "many").alias("most"), F.count("*").alias("kinds"))
     few = held.join(kinds.filter("kinds > 1"), "word").filter("label != most")
-    side = lambda rows, k: rows.select("word", *[F.col(c).alias(f"{c}_{k}") for c in ("c", "label", "n_words", "buckets")])
+    side = lambda rows, k, *more: rows.select("word", *more, *[F.col(c).alias(f"{c}_{k}") for c in ("c", "label", "n_words", "buckets")])
     fits = F.least("n_words_a", "n_words_b") >= F.lit(least) * F.greatest("n_words_a", "n_words_b") - 1e-6
-    meets = (F.col("label_a") != F.col("label_b")) & fits & F.arrays_overlap("buckets_a", "buckets_b")
-    pairs = side(few, "a").join(side(held, "b"), "word").filter(meets).select(
-        F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct()
-    return verified(stored(spark, pairs, "rare-pairs"), texts, least)
+    once = (F.col("label_b") == F.col("most")) | (F.col("c_a") < F.col("c_b"))  # a word counts a pair once
+    meets = (F.col("label_a") != F.col("label_b")) & once & fits & F.arrays_overlap("buckets_a", "buckets_b")
+    one = lambda k: F.struct(*[F.col(f"{c}_{k}").alias(c) for c in ("c", "label", "n_words")])
+    pairs = side(few, "a", "most").join(side(held, "b"), "word").filter(meets).select(
+        F.least(one("a"), one("b")).alias("a"), F.greatest(one("a"), one("b")).alias("b")).groupBy("a", "b").agg(
+        F.count("*").alias("shared"))
+    enough = F.col("shared") >= needed_words(F.least("a.n_words", "b.n_words"), least)
+    pairs = pairs.filter(enough).select(F.col("a.c").alias("a"), F.col("b.c").alias("b"), F.col("a.label").alias("label_a"),
+                                        F.col("b.label").alias("label_b"),
+                                        (F.col("shared") / F.greatest("a.n_words", "b.n_words")).alias("shared"))
+    return joining_links(spark, stored(spark, pairs, "rare-pairs"), texts, least)
+
+
+def joining_links(spark: SparkSession, pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of pairs(a, b, label_a, label_b, shared) that join every two similar ones.
+
+    While there are many pairs for each text, only the one in which it shares
+    most is aligned; pairs whose labels the links found join need no alignment.
+    When this no longer halves the pairs, all that are left are aligned.
+    """
+    found, many = [], pairs.count()
+    while many:
+        ends = pairs.select("a", "b", "label_a", "label_b", "shared", F.explode(F.array("a", "b")).alias("c"))
+        best = stored(spark, ends.groupBy("c").agg(F.max(F.struct("shared", "a", "b", "label_a", "label_b")).alias("x"))
+                      .select("x.a", "x.b", "x.label_a", "x.label_b").distinct(), "best-pairs")
+        if many <= WAVE * best.count():
+            break
+        links = stored(spark, verified(best.select("a", "b"), texts, least), "best-links")
+        found.append(links)
+        joined = components(spark, links.join(best, ["a", "b"]).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+        pairs = pairs.join(best.select("a", "b"), ["a", "b"], "left_anti")
+        for k in ("label_a", "label_b"):
+            pairs = (pairs.join(joined.select(F.col("c").alias(k), F.col("label").alias("to")), k, "left")
+                     .withColumn(k, F.coalesce("to", k)).drop("to"))
+        pairs = stored(spark, pairs.filter("label_a != label_b"), "pairs-left")
+        before, many = many, pairs.count()
+        if 2 * many > before:
+            break
+    last = verified(pairs.select("a", "b"), texts, least)
+    return reduce(DataFrame.unionByName, found, last)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:

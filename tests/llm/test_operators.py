@@ -148,6 +148,60 @@ def test_crowded_buckets_equal_brute_force(spark):
     assert got == dict(enumerate(parent))
 
 
+def test_crowded_search_aligns_few_pairs(spark, monkeypatch):
+    prepare(spark)
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 7))
+    common, base, crowded, texts = [word() for _ in range(400)], [word() for _ in range(100)], [], []
+    for bucket in range(9):  # a passage in texts that are not similar; its words are in fewer texts than the common ones
+        passage = [word() for _ in range(30)]
+        for _ in range(40):
+            crowded.append((bucket, len(texts), 100))
+            texts.append(passage + list(rng.choice(common, 70, replace=False)))
+    for k in range(60):  # copies that no link joins yet
+        copy = list(base)
+        copy[k] = word()
+        crowded.append((9, len(texts), 100))
+        texts.append(copy)
+    aligned, verified = [], order_minhash.verified
+    monkeypatch.setattr(order_minhash, "verified",
+                        lambda pairs, *more: aligned.append(pairs.count()) or verified(pairs, *more))
+    links = order_minhash.crowded_links(
+        spark, spark.createDataFrame(crowded, "bucket long, c long, n_words int"), spark.createDataFrame([], "c long, label long"),
+        spark.createDataFrame([(c, " ".join(w)) for c, w in enumerate(texts)], "c long, text string"), 0.8)
+    got = dict(rows(order_minhash.components(spark, links)))
+    assert got == {c: 360 for c in range(360, 420)}
+    assert sum(aligned) <= 4 * len(texts)  # of 8790 pairs in buckets
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8, 0.95])
+def test_similar_texts_share_the_needed_words(spark, least):
+    prepare(spark)
+    rng = np.random.default_rng(7)
+    texts = []
+    for n in [*range(1, 12), 20, 31, 32, 64, 150]:
+        base = list(rng.choice(list("abcdefghijklmnop"), n))
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(int(rng.integers(0, int((1 - least) * n + 1e-9) + 1))):
+                at = int(rng.integers(0, len(copy)))
+                copy[at:at + 1] = [[], ["x"], ["a", "b"]][int(rng.integers(0, 3))]
+                copy = copy or ["a"]
+            texts.append(copy)
+    frame = spark.createDataFrame([(c, len(w), [c % 3], " ".join(w)) for c, w in enumerate(texts)],
+                                  "c long, n_words int, crowd array<long>, text string")
+    rare = {c: set(r) for c, r in rows(order_minhash.rare_words(spark, frame, least))}
+    lengths = spark.createDataFrame([(n,) for n in range(160)], "n int")
+    needed = dict(rows(lengths.select("n", order_minhash.needed_words(F.col("n"), least))))
+    checked = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if order_minhash.similar(" ".join(texts[a]), " ".join(texts[b]), least):
+                checked += 1
+                assert len(rare[a] & rare[b]) >= needed[min(len(texts[a]), len(texts[b]))]
+    assert checked > 50
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(100, 107), (103, 107)]
     got = dict(rows(order_minhash.components(spark, spark.createDataFrame(links, "a long, b long"))))
