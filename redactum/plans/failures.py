@@ -11,12 +11,13 @@ too. Any other text, whatever characters it holds, is worked.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 from typing import Callable, Optional
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import markup, recognize, tokens
+from ..operators import recognize
 from ..session import scratch_path
 from .pipeline import Config, Redaction, kept_table
 
@@ -31,11 +32,21 @@ def isolated(docs: DataFrame, lemmas, model_factory: Callable, config: Optional[
     documents are read and dealt once; ``outcomes`` tells them apart."""
     none = docs.where(F.col("text").isNull()).select("doc_id", F.lit(NO_TEXT).alias("error"))
     folder = scratch_path(docs.sparkSession, f"run-{uuid.uuid4().hex}")
-    pieces = tokens.pieces(markup.segments(docs.select("doc_id", "text", "fmt"), (config or Config()).skip_tagged))
-    preds = kept_table(recognize.model_predictions(pieces, model_factory, window, model_id), f"{folder}/predictions")
-    failed = (preds.where("error IS NOT NULL").groupBy("doc_id").agg(F.min_by("error", "run_no").alias("error")))
-    labels = preds.where("error IS NULL").drop("error").join(failed.select("doc_id"), "doc_id", "left_anti")
-    good = Redaction(docs, lemmas, lambda p: recognize.join_predictions(p, labels), config, folder=folder)
+    keys = ["doc_id", "run_no"]
+    good = Redaction(docs, lemmas, recognize.Recognizer(
+        lambda p: recognize.join_predictions(p, reduce(DataFrame.unionByName, labels)), lambda _: recognize.labelled_pieces(found)), config, folder=folder)
+    preds, found = [], None
+    for part in good.parts:
+        if part.alone:
+            found = kept_table(recognize.model_found(part.segments, model_factory, window, model_id), f"{folder}/found")
+            preds.append(found.select(*keys, F.col("pos").alias("tok_no"), "label", "confidence", "error"))
+        else:
+            preds.append(kept_table(recognize.model_predictions(part.pieces, model_factory, window, model_id), f"{folder}/predictions"))
+    errors = reduce(DataFrame.unionByName, [p.where("error IS NOT NULL").select(*keys, "error") for p in preds])
+    failed = errors.groupBy("doc_id").agg(F.min_by("error", "run_no").alias("error"))
+    kept = lambda p: p.where("error IS NULL").join(failed.select("doc_id"), "doc_id", "left_anti")
+    labels = [kept(p).drop("error") for p in preds]
+    found = kept(found)
     return good, none.unionByName(failed)
 
 

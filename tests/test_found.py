@@ -4,10 +4,13 @@ the recognizer that labels every token, and no token without a label becomes a r
 from __future__ import annotations
 
 from conftest import docs_df
+from pyspark.sql import functions as F
 
+from redactum.fixtures.lexicon import rule_lemmas
 from redactum.fixtures.model import rule_model_factory
 from redactum.fixtures.plan import fixture_redaction
 from redactum.operators import recognize
+from redactum.plans.failures import isolated, outcomes
 from redactum.plans.pipeline import Config
 
 TEXTS = ["Anna Nowak in Berlin", "  \t lead and Jan Kowalski \n ", "", "   ", "a\U0001F600b \U0001F600\U0001F600 Jan Kowalski, MIT License 123456789",
@@ -64,3 +67,30 @@ def test_model_that_raises_ends_the_job(spark):
         assert "broken" in str(e)
     else:
         raise AssertionError("the model's error was lost")
+
+
+def angry():
+    """A factory that workers need no module for."""
+    def factory():
+        rule = rule_model_factory()
+
+        def predict(runs):
+            if any("License" in w for w in runs):
+                raise RuntimeError("no licenses")
+            return rule(runs)
+        return predict
+    return factory
+
+
+def test_failures_found_in_rows(spark):
+    for window in (None, (8, 3)):
+        good, failures = isolated(shared(spark), rule_lemmas, angry(), window=window)
+        every = fixture_redaction(shared(spark).where("coalesce(doc_id, -1) <> 4"), recognizer=lambda p: recognize.model_labels(p, rule_model_factory, window))
+        assert bag(good.spans) == bag(every.spans)
+        got = outcomes(good.redacted(), failures).select("doc_id", "status", "n_mentions", F.substring_index("error", "\n", 1).alias("error")).collect()
+        assert len(got) == len(TEXTS) + len(MARKUP) + 4
+        assert {(r.doc_id, r.error) for r in got if r.status == "failed"} == {(4, "no licenses"), (6, "no text"), (103, "no text")}
+        # a document without an id is asked for, and gets no label
+        assert {(None, 0), (300, 1)} <= {(r.doc_id, r.n_mentions) for r in got if r.status == "done"}
+    good, _ = isolated(texts(spark), rule_lemmas, angry())
+    assert "regexp_extract_all" not in plan(good.span_tokens)  # what the model found has its place: the text is not cut again
