@@ -22,6 +22,7 @@ with the batches (an event of batch b has seq b).
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Callable, Optional
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,7 @@ from ..operators import roster as R
 from ..plans.failures import isolated, outcomes
 from ..plans.pipeline import Config
 from ..sources.files import fmt_of, result_name
-from .tables import State, Store, newest
+from .tables import Batch, State, Store, newest
 
 APPENDS = {
     "results": "run_id string, doc_id {id}, attempt int, result_name string, text string",
@@ -93,14 +94,16 @@ class Lifecycle:
         if self.store.committed(batch_id):
             return
         work = self.store.begin(batch_id)
-        first = F.min(F.struct("name", "text", "case_id"))
-        sub = work.keep("submitted", submitted.where("doc_id IS NOT NULL").groupBy("doc_id").agg(first.alias("x")).select("doc_id", "x.*"))
+        rows = submitted.where("doc_id IS NOT NULL").select("doc_id", "name", "text", "case_id")
+        # dealt by document once: every later step reads the files as they are
+        sub = self._first(work, work.keep("submitted", rows.repartition("doc_id")))
         ids = sub.select("doc_id", "case_id", "name")
         claims = work.keep("claims", self._claims(ids, work.current("documents", ids), batch_id))
 
         todo = sub.join(claims.where("claim = 'claimed'").select("doc_id"), "doc_id", "left_semi")
         docs = todo.select("doc_id", "text", fmt_of(F.col("name")).alias("fmt"))
-        good, failures = isolated(docs, self.lemmas, self.model_factory, self.config, **self.options)
+        config = replace(self.config or Config(), clustered=True)
+        good, failures = isolated(docs, self.lemmas, self.model_factory, config, **self.options)
         worked = work.keep("worked", outcomes(good.redacted(), failures))
         persons = work.keep("persons", R.doc_roster(good.persons).join(failures.select("doc_id"), "doc_id", "left_anti"))
 
@@ -119,6 +122,17 @@ class Lifecycle:
         good.discard()
         work.discard()
 
+    @staticmethod
+    def _first(work: Batch, rows: DataFrame) -> DataFrame:
+        """One submission of an id, the first by name and text. Texts are compared
+        only for ids that come again; the others' rows pass as they are."""
+        again = work.keep("again", rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+        if again.isEmpty():
+            return rows
+        first = F.min(F.struct(*rows.columns[1:])).alias("x")
+        of = lambda how: rows.join(again, "doc_id", how)
+        return of("left_anti").unionByName(of("left_semi").groupBy("doc_id").agg(first).select("doc_id", "x.*"))
+
     def _asked(self, ids: DataFrame) -> DataFrame:
         """(doc_id, stop, retry, deleted): seq of the last request of each kind."""
         last = lambda what: F.max(F.when(F.col("request") == what, F.col("seq")))

@@ -12,6 +12,8 @@ from redactum.fixtures.plan import fixture_redaction
 from redactum.operators import recognize
 from redactum.plans.failures import isolated, outcomes
 from redactum.plans.pipeline import Config
+from redactum.streaming.lifecycle import Lifecycle
+from redactum.streaming.tables import Store
 
 TEXTS = ["Anna Nowak in Berlin", "  \t lead and Jan Kowalski \n ", "", "   ", "a\U0001F600b \U0001F600\U0001F600 Jan Kowalski, MIT License 123456789",
          "Ala Ola @ Ewa Iga.", None, "de Paris de Lyon np. tak-nie", " ".join(["word Anna Nowak"] * 150)]
@@ -94,3 +96,16 @@ def test_failures_found_in_rows(spark):
         assert {(None, 0), (300, 1)} <= {(r.doc_id, r.n_mentions) for r in got if r.status == "done"}
     good, _ = isolated(texts(spark), rule_lemmas, angry())
     assert "regexp_extract_all" not in plan(good.span_tokens)  # what the model found has its place: the text is not cut again
+
+
+def test_submissions_of_an_id(spark, tmp_path):
+    """Only texts of ids that come again are compared."""
+    store = Store(spark, str(tmp_path / "s"), {}, {})
+    schema = "doc_id long, name string, text string, case_id string"
+    once = [(i, f"{i}.txt", f"text {i}", None) for i in range(5)]
+    again = [(1, "1.txt", "a text", "c"), (2, None, "z", "c"), (3, "3.txt", "text 3", None)]
+    work = store.begin(0)
+    assert "Aggregate" not in plan(Lifecycle._first(work, work.keep("a", spark.createDataFrame(once, schema))))
+    work = store.begin(1)
+    got = Lifecycle._first(work, work.keep("a", spark.createDataFrame(once + again, schema)))
+    assert bag(got.select("doc_id", "name", "text", "case_id")) == bag(spark.createDataFrame([once[0], again[0], again[1], *once[3:]], schema))
