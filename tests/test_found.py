@@ -3,6 +3,8 @@ the recognizer that labels every token, and no token without a label becomes a r
 
 from __future__ import annotations
 
+import random
+
 from conftest import docs_df
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from redactum.fixtures.lexicon import rule_lemmas
 from redactum.fixtures.model import rule_model_factory
 from redactum.fixtures.plan import fixture_redaction
 from redactum.operators import recognize
+from redactum.operators import spans as SP
 from redactum.plans.failures import isolated, outcomes
 from redactum.plans.pipeline import Config
 from redactum.streaming.lifecycle import Lifecycle
@@ -109,3 +112,41 @@ def test_submissions_of_an_id(spark, tmp_path):
     work = store.begin(1)
     got = Lifecycle._first(work, work.keep("a", spark.createDataFrame(once + again, schema)))
     assert bag(got.select("doc_id", "name", "text", "case_id")) == bag(spark.createDataFrame([once[0], again[0], again[1], *once[3:]], schema))
+
+
+def test_terms_find_in_rows(spark):
+    rnd = random.Random(4)
+    words = ["anna", "jan", "nowak", "x-y", "np.", ",", "\U0001F600", "in", "de"]
+    terms = {" ".join(rnd.choices(words, k=rnd.randint(1, 4))) for _ in range(60)}
+    table = spark.createDataFrame([(t, rnd.choice(["PERSON", "PRODUCT"]), rnd.choice([0.6, 0.9])) for t in sorted(terms)] + [("", "X", 1.0), (" Anna  Nowak ", "Y", 1.0)],
+                                  "term string, label string, confidence double")
+    many = docs_df(spark, [(1000 + i, "\t" + "".join(rnd.choice(words) + rnd.choice([" ", "", "\n "]) for _ in range(rnd.choice([0, 5, 40, 400])))) for i in range(40)])
+    a, b = (fixture_redaction(shared(spark).unionByName(many), recognizer=r) for r in (recognize.term_list(table), lambda p: recognize.term_labels(p, table)))
+    assert bag(a.spans) == bag(b.spans) and a.spans.count() > 1000
+    own = plan(a.parts[0].spans)
+    assert "MapInArrow" in own and "Window" not in own and "collect_list" not in own
+    assert recognize.term_found(a.parts[0].segments, table.limit(0)).isEmpty()
+    # the tokens alone, and a list too long for the workers to hold
+    of = lambda **how: recognize.term_found(a.parts[0].segments, table, **how)
+    assert bag(of().drop("lead")) == bag(of(held=0).drop("lead")) and of().count() > 1000
+    assert bag(a.parts[0].spans) == bag(of(threshold=0.7, held=0)) == bag(b.parts[0].spans)
+
+
+def test_spans_in_a_worker(spark):
+    rnd = random.Random(9)
+    labels = ["O", "B-A", "I-A", "B-B", "I-B", "MAIL", "I-", "B-", "X"]
+    preds = [(d, k, rnd.choice(labels), rnd.choice([0.5, 0.7, 0.9])) for d in range(40) for k in range(60) if rnd.random() < 0.9]
+    pcs = fixture_redaction(docs_df(spark, [(d, " ".join(["w", "ab,", "c"] * 15)) for d in range(40)])).pieces
+    table = spark.createDataFrame([(d, 0, k, lab, c) for d, k, lab, c in preds], "doc_id long, run_no int, tok_no int, label string, confidence double")
+    want = SP.decode_spans(SP.span_tokens(recognize.join_predictions(pcs, table)))
+    got = [(s[0], s[1], s[2], s[3], s[4], s[5], s[6]) for s in SP.run_spans([p for p in preds if p[2] != "O"], 0.7)]
+    cols = ["doc_id", "span", "first_pos", "last_pos", "label", "confidence", "n_tokens"]
+    assert sorted(got) == sorted(tuple(r) for r in want.select(*cols).collect()) and len(got) > 400
+
+
+def test_matches_of_a_long_run(spark):
+    n = 60_000
+    docs = docs_df(spark, [(1, "a b " * n)])
+    table = spark.createDataFrame([("a b", "X", 1.0), ("b a", "Y", 1.0), ("b a b", "Z", 1.0)], "term string, label string, confidence double")
+    spans = fixture_redaction(docs, recognizer=recognize.term_list(table)).spans
+    assert spans.where("label = 'X' AND start % 4 = 0 AND end = start + 3").count() == spans.count() == n
