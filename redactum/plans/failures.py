@@ -52,11 +52,12 @@ def isolated(docs: DataFrame, lemmas, model_factory: Callable, config: Optional[
 
 def outcomes(redacted: DataFrame, failures: DataFrame) -> DataFrame:
     """(doc_id, status, error, n_mentions, text); a failed document has no text and no mentions."""
-    x = redacted.join(failures, "doc_id", "left")
-    ok = F.col("error").isNull()
-    return x.select("doc_id", F.when(ok, F.lit("done")).otherwise(F.lit("failed")).alias("status"), "error",
-                    F.when(ok, F.col("n_mentions")).otherwise(F.lit(0)).cast("long").alias("n_mentions"),
-                    F.when(ok, F.col("text")).alias("text"))
+    # only ids of failures are told to the texts: messages and traces are long
+    done = redacted.join(failures.select("doc_id"), "doc_id", "left_anti").select(
+        "doc_id", F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"), F.col("n_mentions").cast("long").alias("n_mentions"), "text")
+    failed = redacted.select("doc_id").join(failures, "doc_id").select(
+        "doc_id", F.lit("failed").alias("status"), "error", F.lit(0).cast("long").alias("n_mentions"), F.lit(None).cast("string").alias("text"))
+    return done.unionByName(failed)
 
 
 def redact_isolated(docs: DataFrame, lemmas, model_factory: Callable, config: Optional[Config] = None,

@@ -100,7 +100,9 @@ class Lifecycle:
         ids = sub.select("doc_id", "case_id", "name")
         claims = work.keep("claims", self._claims(ids, work.current("documents", ids), batch_id))
 
-        todo = sub.join(claims.where("claim = 'claimed'").select("doc_id"), "doc_id", "left_semi")
+        # what is not claimed is mostly little: told to the texts, it does not deal them again
+        rest = work.keep("rest", ids.join(claims.where("claim = 'claimed'"), "doc_id", "left_anti").select("doc_id"))
+        todo = sub.join(rest, "doc_id", "left_anti")
         docs = todo.select("doc_id", "text", fmt_of(F.col("name")).alias("fmt"))
         config = replace(self.config or Config(), clustered=True)
         good, failures = isolated(docs, self.lemmas, self.model_factory, config, **self.options)
