@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.arrays import bound, running_arrow
+from ..session import drop_empty_parts
 from . import tokens as TK
 
 # --- fixed values: the mention element of tagged output ---------------------
@@ -176,8 +177,10 @@ BIO_SCHEMA = "text string, tokens array<string>, labels array<string>"
 
 
 def write_bio(df: DataFrame, path: str) -> None:
-    """JSON lines {text, tokens, labels}."""
+    """JSON lines {text, tokens, labels}. Spark writes a file for its first
+    partition even if that has no row: a part without a line is dropped."""
     df.select("text", "tokens", "labels").write.mode("overwrite").json(path)
+    drop_empty_parts(df.sparkSession, path)
 
 
 def read_bio(spark, path: str) -> DataFrame:

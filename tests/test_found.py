@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from redactum.fixtures.lexicon import rule_lemmas
 from redactum.fixtures.model import rule_model_factory
 from redactum.fixtures.plan import fixture_redaction
+from redactum.operators import corpus as C
 from redactum.operators import recognize
 from redactum.operators import spans as SP
 from redactum.plans.failures import isolated, outcomes
@@ -150,3 +151,11 @@ def test_matches_of_a_long_run(spark):
     table = spark.createDataFrame([("a b", "X", 1.0), ("b a", "Y", 1.0), ("b a b", "Z", 1.0)], "term string, label string, confidence double")
     spans = fixture_redaction(docs, recognizer=recognize.term_list(table)).spans
     assert spans.where("label = 'X' AND start % 4 = 0 AND end = start + 3").count() == spans.count() == n
+
+
+def test_examples_leave_no_empty_file(spark, tmp_path):
+    one = spark.range(3, numPartitions=3).where("id = 2").selectExpr("'t' AS text", "array('t') AS tokens", "array('O') AS labels")
+    C.write_bio(one, str(tmp_path / "one"))
+    assert [p.stat().st_size > 0 for p in (tmp_path / "one").iterdir() if p.name.startswith("part")] == [True]
+    C.write_bio(one.limit(0), str(tmp_path / "none"))
+    assert C.read_bio(spark, str(tmp_path / "none")).isEmpty() and C.read_bio(spark, str(tmp_path / "one")).count() == 1
